@@ -1,0 +1,21 @@
+"""Join helper for keys that may hold a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def salted_join(
+    many: DataFrame, unique: DataFrame, on: list[str], how: str, spread: list[str], salts: int = 8
+) -> DataFrame:
+    """Join ``many`` to ``unique`` (one row per key), spreading a hot key of ``many`` over ``salts`` tasks.
+
+    Rows of ``many`` are spread by a hash of their ``spread`` columns, and ``unique`` is repeated once per salt, so
+    every row still meets its partner exactly once.  AQE's skew splitting applies on top.
+    """
+    if salts <= 1:
+        return many.join(unique, on, how)
+    left = many.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts).cast("bigint")))
+    right = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
