@@ -1,0 +1,8 @@
+"""Analysis of error texts, stack traces and logs as Spark DataFrame operations."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stackloom.functions import fixed
 from stackloom.functions.dialect import LINE_SPACE, SPACE, java
 from stackloom.functions.language import detect_language
+from stackloom.operators.rows import unfold
 from stackloom.functions.text import let, null_if_empty, strip, to_int
 
 FRAMES_TYPE = "array<struct<file:string,line:bigint,function:string,module:string>>"
@@ -149,10 +150,8 @@ def parse_frames(df: DataFrame, limit: int = fixed.MAX_FRAMES) -> DataFrame:
     """One row per document and frame, in source order from 0; uses ``language`` when ``df`` has it."""
     if "language" not in df.columns:
         df = df.withColumn("language", detect_language(F.col("text")))
-    frames = df.select("doc_id", "language", stack_frames(F.col("text"), F.col("language"), limit).alias("frames"))
-    return frames.select("doc_id", "language", F.posexplode("frames").alias("pos", "frame")).select(
-        "doc_id", "language", "pos", "frame.*"
-    )
+    frames = stack_frames(F.col("text"), F.col("language"), limit)
+    return unfold(df, frames, "doc_id", "language").select("doc_id", "language", "pos", "item.*")
 
 
 def frame_hotspots(df: DataFrame) -> DataFrame:

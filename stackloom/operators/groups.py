@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.functions import fixed
+from stackloom.operators.rows import unfold
 from stackloom.functions.text import UNICODE_SPACE, cut_bytes, excerpt, let, normalize, strip
 
 # A break is a run of blank lines, or a newline in front of a line that starts an entry.
@@ -34,9 +35,8 @@ def block_pieces(text: Column) -> Column:
 def blocks(df: DataFrame) -> DataFrame:
     """One row per block, numbered from 0, without the blank lines around it."""
     edges = rf"(?d)\A{UNICODE_SPACE}*\n|\n{UNICODE_SPACE}*\z"
-    return df.select("doc_id", F.posexplode(block_pieces(F.col("text"))).alias("block_no", "block")).withColumn(
-        "block", F.regexp_replace("block", edges, "")
-    )
+    pieces = unfold(df, block_pieces(F.col("text")), "doc_id", position="block_no", item="block")
+    return pieces.withColumn("block", F.regexp_replace("block", edges, ""))
 
 
 def error_groups(text: Column, max_groups: int | None = fixed.MAX_GROUPS) -> Column:
@@ -98,23 +98,22 @@ def error_groups(text: Column, max_groups: int | None = fixed.MAX_GROUPS) -> Col
 
 def group_errors(df: DataFrame, max_groups: int | None = fixed.MAX_GROUPS) -> DataFrame:
     """One row per document and error group."""
-    return df.select("doc_id", F.inline(error_groups(F.col("text"), max_groups)))
+    return unfold(df, error_groups(F.col("text"), max_groups), "doc_id").select("doc_id", "item.*")
 
 
 def top_signature(text: Column, groups: Column) -> Column:
     """Signature and representative of a text; the start of the text stands in when it has no group."""
-    return F.when(
-        F.size(groups) > 0,
-        F.struct(
-            F.get(groups, F.lit(0))["signature"].alias("signature"),
-            F.get(groups, F.lit(0))["representative"].alias("representative"),
-        ),
-    ).otherwise(
-        F.struct(
+
+    def start() -> Column:
+        return F.struct(
             normalize(cut_bytes(text, fixed.FALLBACK_BYTES)).alias("signature"),
             cut_bytes(text, fixed.REPRESENTATIVE_BYTES).alias("representative"),
         )
+
+    first = let(
+        F.get(groups, F.lit(0)), lambda g: F.when(g.isNotNull(), F.struct(g["signature"], g["representative"]))
     )
+    return F.coalesce(first, start())
 
 
 def doc_signature(df: DataFrame) -> DataFrame:
@@ -136,7 +135,7 @@ def error_families(df: DataFrame) -> DataFrame:
     Each document contributes one row per signature, so counting documents needs no distinct.  All four aggregates
     combine on the map side: a family that makes up a third of all rows arrives as one row per task.
     """
-    per_doc = df.select("ts", F.inline(error_groups(F.col("text"), None)))
+    per_doc = unfold(df, error_groups(F.col("text"), None), "ts").select("ts", "item.*")
     return per_doc.groupBy("signature").agg(
         F.sum("count").alias("occurrences"),
         F.count(F.lit(1)).alias("documents"),

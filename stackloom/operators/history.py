@@ -133,7 +133,7 @@ def occurrence_numbers(occurrences: DataFrame) -> DataFrame:
 
 def recurrence_gaps(occurrences: DataFrame) -> DataFrame:
     """how often each family came back and the shortest and longest gap in seconds."""
-    gap = (F.unix_micros("ts") - F.unix_micros("previous_ts")) / 1000000
+    gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("previous_ts").cast("timestamp"))) / 1000000
     return (
         occurrence_numbers(occurrences)
         .where(F.col("previous_ts").isNotNull())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stackloom.functions import fixed
 from stackloom.functions.text import let, strip, strip_container
 from stackloom.operators.joins import salted_join
+from stackloom.operators.rows import unfold
 from stackloom.sources.ingest import line_count
 
 
@@ -101,13 +102,11 @@ def resolve_distinct(trace_paths: DataFrame, source_files: DataFrame) -> DataFra
         .where(F.col("files") == 1)
         .select("repo", F.lit("base").alias("kind"), "name", "path", "size", "n_lines")
     )
-    wanted = (
-        trace_paths.select("repo", "file")
-        .distinct()
-        .select("repo", "file", F.posexplode(path_candidates(F.col("file"))).alias("priority", "candidate"))
-        .select("repo", "file", "priority", "candidate.*")
+    wanted = trace_paths.select("repo", "file").distinct()
+    candidates = unfold(wanted, path_candidates(F.col("file")), "repo", "file", position="priority").select(
+        "repo", "file", "priority", "item.*"
     )
-    hits = salted_join(wanted, lookup.unionByName(by_name), ["repo", "kind", "name"], "inner", ["file"])
+    hits = salted_join(candidates, lookup.unionByName(by_name), ["repo", "kind", "name"], "inner", ["file"])
     best = F.min_by(F.struct("path", "size", "n_lines"), "priority").alias("hit")
     return hits.groupBy("repo", "file").agg(best).select("repo", "file", "hit.*")
 

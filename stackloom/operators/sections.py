@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.functions import fixed
+from stackloom.operators.rows import unfold
 from stackloom.functions.text import excerpt, let, marker, strip
 
 
@@ -36,7 +37,7 @@ def sections(content: Column) -> Column:
 
 def parse_sections(responses: DataFrame) -> DataFrame:
     """One row per reply and section."""
-    return responses.select("doc_id", F.inline(sections(F.col("content"))))
+    return unfold(responses, sections(F.col("content")), "doc_id", position="_").select("doc_id", "item.*")
 
 
 def summary(parsed: Column, label: str, max_bytes: int = fixed.SUMMARY_BYTES) -> Column:

@@ -277,7 +277,7 @@ def nearest(
     """
 
     def side(df: DataFrame, key: str, time: str) -> DataFrame:
-        stamp = F.unix_micros(F.col(time)) if as_of else F.lit(0).cast("bigint")
+        stamp = F.unix_micros(F.col(time).cast("timestamp")) if as_of else F.lit(0).cast("bigint")
         return with_vector(df).select(key, F.col("embedding").cast("array<double>").alias("embedding"), stamp.alias("time"))
 
     asked, stored = side(queries, "doc_id", "ts"), side(history, "sig_id", "first_seen")

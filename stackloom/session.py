@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -39,3 +40,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="stackloom-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below the session's checkpoint folder, for tables a job writes on its way."""
+    return f"{ensure_checkpoint_dir(spark)}/work-{uuid.uuid4().hex}"

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from stackloom.operators.context import analyze
 from stackloom.operators.groups import error_groups
 from stackloom.operators.history import new_history
+from stackloom.operators.rows import unfold
 from stackloom.sources.history_store import write_history
 
 
@@ -24,7 +25,8 @@ def family_counts(errors: DataFrame, window: str = "1 hour", lateness: str = "1
 
     State is one row per open window and family; the watermark closes windows and drops rows later than ``lateness``.
     """
-    grouped = errors.withWatermark("ts", lateness).select("ts", F.inline(error_groups(F.col("text"), None)))
+    late = errors.withWatermark("ts", lateness)
+    grouped = unfold(late, error_groups(F.col("text"), None), "ts").select("ts", "item.*")
     counts = grouped.groupBy(F.window("ts", window), "signature").agg(
         F.sum("count").alias("occurrences"), F.count(F.lit(1)).alias("documents")
     )
