@@ -71,15 +71,15 @@ RUST_PANIC = r"panicked at(?:.*?\s)?(.+\.rs):(\d+):(\d+)"
 DOTNET_FRAME = r"^\s*at (.+) in (.+):line (\d+)"
 GENERIC_FRAME = r"(\S+\.[A-Za-z][A-Za-z0-9]*):(\d+)"
 
-# --- fixed values: signature template (pattern, replacement), applied in this order ----------------------------------
+# --- fixed values: signature template (pattern, replacement, text every match contains), applied in this order ------
 SIGNATURE_STEPS = (
-    (r"(?m)^\s*\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?Z?\s*", ""),
-    (r"(?m)^\s*\d{2}:\d{2}:\d{2}\s*", ""),
-    (r"0x[0-9a-fA-F]+", "0xADDR"),
-    (r"\[\d+\]", "[PID]"),
-    (r"\bpid=\d+", "pid=N"),
-    (r"goroutine \d+", "goroutine N"),
-    (r"\.([A-Za-z][A-Za-z0-9]*):(\d+)", ".$1:N"),
+    (r"(?m)^\s*\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?Z?\s*", "", ":"),
+    (r"(?m)^\s*\d{2}:\d{2}:\d{2}\s*", "", ":"),
+    (r"0x[0-9a-fA-F]+", "0xADDR", "0x"),
+    (r"\[\d+\]", "[PID]", "["),
+    (r"\bpid=\d+", "pid=N", "pid="),
+    (r"goroutine \d+", "goroutine N", "goroutine "),
+    (r"\.([A-Za-z][A-Za-z0-9]*):(\d+)", ".$1:N", ":"),
 )
 
 # --- fixed values: what starts a new log block -----------------------------------------------------------------------

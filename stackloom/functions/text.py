@@ -66,10 +66,19 @@ def excerpt(col: Column, max_bytes: int, ellipsis: str = fixed.ELLIPSIS) -> Colu
 
 
 def normalize(col: Column) -> Column:
-    """B1: the signature of a log block, its volatile parts replaced and its white space collapsed."""
-    for pattern, replacement in fixed.SIGNATURE_STEPS:
-        col = F.regexp_replace(col, java(pattern), replacement)
-    return F.btrim(F.regexp_replace(col, UNICODE_SPACE + "+", " "))
+    """B1: the signature of a log block, its volatile parts replaced and its white space collapsed.
+
+    A byte search decides whether a step's regular expression has to run at all; most texts need few of them.
+    """
+
+    def apply(text: Column, step: int) -> Column:
+        if step == len(fixed.SIGNATURE_STEPS):
+            return F.btrim(F.regexp_replace(text, UNICODE_SPACE + "+", " "))
+        pattern, replacement, needle = fixed.SIGNATURE_STEPS[step]
+        replaced = F.when(text.contains(needle), F.regexp_replace(text, java(pattern), replacement)).otherwise(text)
+        return let(replaced, lambda result: apply(result, step + 1))
+
+    return apply(col, 0)
 
 
 def starts_block(line: Column) -> Column:
@@ -135,11 +144,14 @@ def join_ints(marks: Column) -> Column:
 
 def marker(line: Column) -> Column:
     """The section label a reply line stands for, or NULL."""
-    title = F.upper(F.rtrim(strip(F.ltrim(line, F.lit(" \t#*-"))), F.lit(":")))
-    label = F.lit(None).cast("string")
-    for name in reversed(fixed.SECTION_LABELS):
-        label = F.when((title == name) | title.startswith(name + " "), name).otherwise(label)
-    return label
+
+    def label(title: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for name in reversed(fixed.SECTION_LABELS):
+            found = F.when((title == name) | title.startswith(name + " "), name).otherwise(found)
+        return found
+
+    return let(F.upper(F.rtrim(strip(F.ltrim(line, F.lit(" \t#*-"))), F.lit(":"))), label)
 
 
 def rfc3339(ts: Column) -> Column:

@@ -120,7 +120,9 @@ def generic_frames(text: Column, limit: int) -> Column:
     look-behind says so, which keeps a long run without a match linear.
     """
     pattern = f"(?d)(?<![^{SPACE}])" + java(fixed.GENERIC_FRAME)[4:]
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 0))
+    found = F.when(text.contains(":"), F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 0))).otherwise(
+        F.array().cast("array<string>")
+    )
     return F.transform(
         F.slice(found, 1, limit),
         lambda m: _frame(F.regexp_extract(m, r"(?s)^(.*):\d+\z", 1), F.substring_index(m, ":", -1)),

@@ -12,7 +12,7 @@ from stackloom.functions.text import day, excerpt, normalize, rfc3339, sig_id, s
 from stackloom.operators import context, frames, groups, history, paths, prompts, sections, similarity, source, symbols
 from stackloom.operators.rows import unfold
 from stackloom.plans import inputs
-from stackloom.session import work_folder
+from stackloom.session import materialize, work_folder
 from stackloom.sources import history_store, ingest
 from stackloom.streaming import jobs
 
@@ -24,10 +24,12 @@ RECALL = {"k": 3, "threshold": 0.3}
 
 
 def analysed_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces with their frames, as a table: the source joins use it several times."""
     traces = inputs.traces(spark, sf_dir).withColumn("language", detect_language(F.col("text")))
-    return traces.select(
+    found = traces.select(
         "doc_id", "repo", "language", frames.stack_frames(F.col("text"), F.col("language")).alias("stack_frames")
     )
+    return materialize(found)
 
 
 def trace_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,10 +351,12 @@ def cause_fixes(spark, sf_dir):
 
 def build_prompts(spark, sf_dir):
     traces = ingest.cap_input(inputs.traces(spark, sf_dir))
-    errors = context.analyze(traces).withColumn(
+    analysis = context.analyze(traces).withColumn(
         "context_json", context.context_json(F.col("language"), F.col("stack_frames"), F.col("error_groups"))
     )
-    return prompts.build_prompts(errors, source_blocks(spark, sf_dir), prior_blocks(spark, sf_dir))
+    errors = materialize(analysis.drop("error_groups"))
+    blocks = source.extract_source(errors, inputs.source_files(spark, sf_dir))
+    return prompts.build_prompts(errors, blocks, prior_blocks(spark, sf_dir))
 
 
 def prompt_texts(spark, sf_dir):

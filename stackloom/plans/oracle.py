@@ -40,7 +40,7 @@ def excerpt(col: str, n: int) -> str:
 
 
 def normalize(col: str) -> str:
-    for pattern, replacement in fixed.SIGNATURE_STEPS:
+    for pattern, replacement, _ in fixed.SIGNATURE_STEPS:
         col = f"regexp_replace({col}, {q(pattern)}, {q(replacement.replace('$1', chr(92) + '1'))}, 'g')"
     return f"trim(regexp_replace({col}, {q(WS_CLASS + '+')}, ' ', 'g'))"
 
@@ -354,11 +354,13 @@ SELECT doc_id, repo, language, (row_number() OVER (PARTITION BY doc_id ORDER BY
   ) WHERE symbol <> '' AND lower(symbol) NOT IN ({_GENERIC_SYMBOLS}) GROUP BY ALL
 )
 QUALIFY seq < {fixed.SOURCE_SYMBOLS}""",
+    "mentions": f"""
+SELECT s.*, l.path, l.line_no, l.text
+FROM (SELECT DISTINCT repo, language, symbol, {_EXT} AS ext FROM symbol_rows WHERE language <> 'generic') s
+JOIN file_lines l ON l.repo = s.repo AND ends_with(l.path, s.ext) AND contains(l.text, s.symbol)""",
     "definitions": f"""
 SELECT repo, language, symbol, min(spot).path AS path, min(spot).line_no AS line_no FROM (
-  SELECT s.repo, s.language, s.symbol, {{'path': l.path, 'line_no': l.line_no}} AS spot
-  FROM (SELECT DISTINCT repo, language, symbol, {_defines()} AS pattern, {_EXT} AS ext FROM symbol_rows WHERE language <> 'generic') s
-  JOIN file_lines l ON l.repo = s.repo AND ends_with(l.path, s.ext) AND regexp_matches(l.text, s.pattern)
+  SELECT repo, language, symbol, {{'path': path, 'line_no': line_no}} AS spot FROM mentions WHERE regexp_matches(text, {_defines()})
 ) GROUP BY repo, language, symbol""",
     "frame_marks": f"""
 SELECT * FROM (
@@ -438,8 +440,8 @@ LEFT JOIN (SELECT doc_id, arg_max(body, pos) AS body FROM sections WHERE title =
 
 # 64-bit FNV-1a with 128-bit arithmetic.
 FNV = (
-    "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(1, strlen({0}) + 1), "
-    "lambda i: ('0x' || substr(hex(encode({0})), 2 * i::INT - 1, 2))::INT::UHUGEINT)), "
+    "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(regexp_extract_all(hex(encode({0})), '..'), "
+    "lambda b: ('0x' || b)::INT::UHUGEINT)), "
     "lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::VARCHAR"
 )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "stackloom", **settings: str) -> SparkSession:
@@ -42,6 +42,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once and read it from there: for a result that several steps use and that is dear to recompute.
+
+    The table lies in the session's shared folder, so it survives lost executors.
+    """
+    folder = work_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def work_folder(spark: SparkSession) -> str:
     """A new folder below the session's checkpoint folder, for tables a job writes on its way."""
     return f"{ensure_checkpoint_dir(spark)}/work-{uuid.uuid4().hex}"
