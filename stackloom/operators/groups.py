@@ -22,9 +22,8 @@ GROUPS_TYPE = "array<struct<rank:int,signature:string,count:bigint,representativ
 
 def lines(df: DataFrame) -> DataFrame:
     """One row per line, numbered from 1."""
-    return df.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn(
-        "line_no", F.col("line_no") + 1
-    )
+    numbered = unfold(df, F.split("text", "\n"), "doc_id", position="line_no", item="line")
+    return numbered.withColumn("line_no", F.col("line_no") + 1)
 
 
 def block_pieces(text: Column) -> Column:

@@ -375,8 +375,9 @@ def explained_history(spark, sf_dir):
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = inputs.table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return stream.repartition(spark.sparkContext.defaultParallelism, "event_id")
 
 
 def _finished(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:

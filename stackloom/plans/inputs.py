@@ -9,12 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackloom.sources.ingest import spread
+
 LOG_EVENTS = 40
 EXTENSIONS = ("go", "py", "java", "js", "rb", "rs", "cs")
 
 
+KEYS = {"events": ["event_id"], "documents": ["doc_id"], "conversations": ["conv_id", "turn"], "embeddings": ["vec_id"]}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), *KEYS[name])
 
 
 def _text(*parts: Column | str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from stackloom.functions import fixed
 from stackloom.functions.text import cut_bytes
+from stackloom.operators.rows import unfold
 
 # Files up to this size are read as one value; of larger ones only the first split is read.
 WHOLE_FILE_BYTES = 64 * 1024 * 1024
@@ -91,6 +92,16 @@ def read_error_stream(
     return cap_input(spark.readStream.format(file_format).schema(schema).load(path))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores for an input of few splits, such as one file with one row group.
+
+    Taking a text apart costs far more than moving it, but only where cores would stand idle: an input with at least
+    as many splits as there are cores is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def line_count(content: Column) -> Column:
     """Lines of a text, counted on bytes without splitting it."""
     return F.octet_length(content) - F.octet_length(F.replace(content, F.lit("\n"), F.lit(""))) + 1
@@ -100,6 +111,5 @@ def source_lines(files: DataFrame, max_bytes: int | None = fixed.SOURCE_FILE_BYT
     """Source files as numbered lines; files over ``max_bytes`` are skipped."""
     if max_bytes is not None:
         files = files.where(F.col("size") <= max_bytes)
-    return files.select("repo", "path", F.posexplode(F.split("content", "\n")).alias("line_no", "text")).withColumn(
-        "line_no", F.col("line_no") + 1
-    )
+    numbered = unfold(files, F.split("content", "\n"), "repo", "path", position="line_no", item="text")
+    return numbered.withColumn("line_no", F.col("line_no") + 1)
