@@ -94,7 +94,7 @@ def history_from_payloads(df: DataFrame) -> DataFrame:
 
 
 def occurrence_numbers(occurrences: DataFrame) -> DataFrame:
-    """for each (doc_id, ts, signature) its number within the family and the time of the one before.
+    """for each (doc_id, ts, signature) its number within the family and the times of the ones before and after.
 
     A window over a family would put a hot one into a single task.  Instead rows are range partitioned by
     (signature, ts, doc_id), which splits a family over as many tasks as it needs; each slice is numbered on its own
@@ -109,25 +109,55 @@ def occurrence_numbers(occurrences: DataFrame) -> DataFrame:
         .withColumn("slice", F.spark_partition_id())
         .checkpoint()
     )
-    earlier = Window.partitionBy("signature").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = Window.partitionBy("signature").orderBy("slice")
+    earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
     sizes = (
         sliced.groupBy("signature", "slice")
-        .agg(F.count(F.lit(1)).alias("rows"), F.max("ts").alias("last_ts"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
         .select(
             "signature",
             "slice",
             F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("shift"),
-            F.max("last_ts").over(earlier).alias("ts_before"),
+            F.lag("last_ts").over(slices).alias("ts_before"),
+            F.lead("first_ts").over(slices).alias("ts_after"),
         )
     )
     within = Window.partitionBy("signature", "slice").orderBy(*order)
-    numbered = sliced.withColumn("number", F.row_number().over(within)).withColumn("lag_ts", F.lag("ts").over(within))
+    numbered = sliced.select(
+        "*",
+        F.row_number().over(within).alias("number"),
+        F.lag("ts").over(within).alias("lag_ts"),
+        F.lead("ts").over(within).alias("lead_ts"),
+    )
     return numbered.join(sizes, ["signature", "slice"]).select(
         "doc_id",
         "ts",
         "signature",
         (F.col("shift") + F.col("number")).alias("occurrence"),
         F.coalesce("lag_ts", "ts_before").alias("previous_ts"),
+        F.coalesce("lead_ts", "ts_after").alias("next_ts"),
+    )
+
+
+def history_versions(occurrences: DataFrame) -> DataFrame:
+    """What the history said about each family after each of its occurrences, until the next one.
+
+    Recalling against these rows with ``as_of`` gives every text the answer it would have had in its turn, counts and
+    causes included, although all texts are processed at once.
+    """
+    kept = storable(occurrences)
+    numbered = occurrence_numbers(kept).select("doc_id", "occurrence", "next_ts")
+    return kept.join(numbered, "doc_id").select(
+        sig_id(F.col("signature")).alias("sig_id"),
+        "signature",
+        F.col("occurrence").cast("bigint").alias("version"),
+        F.col("occurrence").cast("bigint").alias("count"),
+        F.col("ts").alias("first_seen"),
+        F.col("next_ts").alias("valid_until"),
+        F.col("ts").alias("last_seen"),
+        "cause",
+        "fixes",
+        F.col("embedding").cast("array<double>").alias("embedding"),
     )
 
 

@@ -87,14 +87,19 @@ def _first_k(rows: np.ndarray, cols: np.ndarray, scores: np.ndarray, k: int):
     return rows[kept], cols[kept], scores[kept]
 
 
-def top_matches(queries, history, k, threshold, query_time=None, history_time=None):
-    """Row numbers of queries and history and their scores: per query the k best at or above the threshold."""
+def top_matches(queries, history, k, threshold, query_time=None, valid=None):
+    """Row numbers of queries and history and their scores: per query the k best at or above the threshold.
+
+    With times, a history row counts for queries after its ``valid[0]`` and up to its ``valid[1]``.
+    """
     parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
     for q in range(0, len(queries), QUERY_ROWS):
         for h in range(0, len(history), TILE_ROWS):
             scores = np.round(queries[q : q + QUERY_ROWS] @ history[h : h + TILE_ROWS].T, SCORE_DIGITS)
             if query_time is not None:
-                scores[history_time[None, h : h + TILE_ROWS] >= query_time[q : q + QUERY_ROWS, None]] = -2.0
+                asked = query_time[q : q + QUERY_ROWS, None]
+                since, until = (times[None, h : h + TILE_ROWS] for times in valid)
+                scores[(since >= asked) | (until < asked)] = -2.0
             floor = threshold
             if scores.shape[1] > k:
                 floor = np.maximum(np.partition(scores, -k, axis=1)[:, -k, None], threshold)
@@ -113,37 +118,42 @@ def _match_schema(queries: DataFrame, history: DataFrame) -> T.StructType:
     return T.StructType(
         [
             T.StructField("doc_id", queries.schema["doc_id"].dataType),
+            T.StructField("rank", T.IntegerType()),
             T.StructField("sig_id", history.schema["sig_id"].dataType),
+            T.StructField("version", T.LongType()),
             T.StructField("score", T.DoubleType()),
         ]
     )
 
 
+def _matched(doc_ids: pa.Array, held: tuple, found: tuple) -> pa.RecordBatch:
+    """The matches of one batch of queries as rows; ``found`` is ordered by query and rank."""
+    rows, cols, scores = found
+    rank = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") + 1
+    taken = pa.array(cols)
+    return pa.RecordBatch.from_arrays(
+        [doc_ids.take(pa.array(rows)), pa.array(rank.astype(np.int32)), held[0].take(taken), held[1].take(taken), pa.array(scores)],
+        names=["doc_id", "rank", "sig_id", "version", "score"],
+    )
+
+
+def _held(table: pa.Table, dim: int) -> tuple:
+    """History rows as tasks use them: ids, versions, unit vectors, times of validity."""
+    table = table.combine_chunks()
+    ids, versions = (table.column(name).combine_chunks() for name in ("sig_id", "version"))
+    return ids, versions, _unit_rows(table.column("embedding"), dim), (_micros(table, "time"), _micros(table, "until"))
+
+
 def _broadcast_matches(queries, small: pa.Table, dim, k, threshold, as_of, schema) -> DataFrame:
     """Queries against one matrix that every task holds."""
-    small = small.sort_by("sig_id").combine_chunks()
-    content = (
-        small.column("sig_id").combine_chunks(),
-        _unit_rows(small.column("embedding"), dim),
-        _micros(small, "time") if as_of else None,
-    )
-    shared = queries.sparkSession.sparkContext.broadcast(content)
+    shared = queries.sparkSession.sparkContext.broadcast(_held(small.sort_by("sig_id"), dim))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix, times = shared.value
+        held = shared.value
         for batch in batches:
-            rows, cols, scores = top_matches(
-                _unit_rows(batch.column("embedding"), dim),
-                matrix,
-                k,
-                threshold,
-                _micros(batch, "time") if as_of else None,
-                times,
-            )
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(rows)), ids.take(pa.array(cols)), pa.array(scores)],
-                names=["doc_id", "sig_id", "score"],
-            )
+            asked = _micros(batch, "time") if as_of else None
+            found = top_matches(_unit_rows(batch.column("embedding"), dim), held[2], k, threshold, asked, held[3])
+            yield _matched(batch.column("doc_id"), held, found)
 
     return queries.mapInArrow(match, schema)
 
@@ -205,8 +215,10 @@ def _blocked_matches(queries, history, dim, k, threshold, as_of, schema, block_r
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))).alias("chunk"),
         F.lit(0).alias("side"),
         "sig_id",
+        "version",
         "embedding",
         "time",
+        "until",
     )
     query_side = (
         _with_cells(queries, pivots, dim, radii, reach)
@@ -226,37 +238,28 @@ def _blocked_matches(queries, history, dim, k, threshold, as_of, schema, block_r
     arranged = both.repartition(*keys).sortWithinPartitions(*keys, "side", "sig_id")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held, matrix = None, [], None
+        current, stored, held = None, [], None
         for batch in batches:
             block = np.stack([_micros(batch, name) for name in [*keys, "side"]], axis=1)
             starts = np.concatenate([[0], np.nonzero((block[1:] != block[:-1]).any(axis=1))[0] + 1, [len(block)]])
             for start, end in zip(starts[:-1], starts[1:]):
                 key, run = tuple(block[start][:3]), batch.slice(start, end - start)
                 if key != current:
-                    current, held, matrix = key, [], None
+                    current, stored, held = key, [], None
                 if block[start][3] == 0:
-                    held.append(run)
+                    stored.append(run)
                     continue
-                if not held:
+                if not stored:
                     continue
-                if matrix is None:
-                    table = pa.Table.from_batches(held).combine_chunks()
-                    matrix = _unit_rows(table.column("embedding"), dim)
-                    ids, times = table.column("sig_id").combine_chunks(), _micros(table, "time")
-                rows, cols, scores = top_matches(
-                    _unit_rows(run.column("embedding"), dim),
-                    matrix,
-                    k,
-                    threshold,
-                    _micros(run, "time") if as_of else None,
-                    times if as_of else None,
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [run.column("doc_id").take(pa.array(rows)), ids.take(pa.array(cols)), pa.array(scores)],
-                    names=["doc_id", "sig_id", "score"],
-                )
-
-    return arranged.mapInArrow(match, schema)
+                held = held or _held(pa.Table.from_batches(stored), dim)
+                asked = _micros(run, "time") if as_of else None
+                found = top_matches(_unit_rows(run.column("embedding"), dim), held[2], k, threshold, asked, held[3])
+                yield _matched(run.column("doc_id"), held, found)
+
+    # At most k candidates per block are left of a query.
+    order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "sig_id")
+    best = arranged.mapInArrow(match, schema).withColumn("rank", F.row_number().over(order))
+    return best.where(F.col("rank") <= k)
 
 
 def nearest(
@@ -270,39 +273,41 @@ def nearest(
     chunk_rows: int = QUERY_CHUNK_ROWS,
     pivots: int = PIVOTS,
 ) -> DataFrame:
-    """doc_id, rank, sig_id, score of the k most similar history rows at or above the threshold.
+    """doc_id, rank, sig_id, version, score of the k most similar history rows at or above the threshold.
 
-    ``as_of`` (D10) lets a query (column ``ts``) see only what was there before it (history column ``first_seen``).
-    Ties go to the smaller sig_id.
+    ``as_of`` (D10) lets a query (column ``ts``) see only what was there before it: history rows whose ``first_seen``
+    is earlier, and of the rows that ``history_versions`` gives those whose ``valid_until`` has not passed.  Ties go to
+    the smaller sig_id.
     """
+    versioned = "version" in history.columns
 
-    def side(df: DataFrame, key: str, time: str) -> DataFrame:
-        stamp = F.unix_micros(F.col(time).cast("timestamp")) if as_of else F.lit(0).cast("bigint")
-        return with_vector(df).select(key, F.col("embedding").cast("array<double>").alias("embedding"), stamp.alias("time"))
+    def micros(name: str) -> Column:
+        return F.unix_micros(F.col(name).cast("timestamp"))
 
-    asked, stored = side(queries, "doc_id", "ts"), side(history, "sig_id", "first_seen")
+    def side(df: DataFrame, *more: Column | str) -> DataFrame:
+        return with_vector(df).select(*more, F.col("embedding").cast("array<double>").alias("embedding"))
+
+    zero, forever = F.lit(0).cast("bigint"), F.lit(2**63 - 1).cast("bigint")
+    asked = side(queries, "doc_id", (micros("ts") if as_of else zero).alias("time"))
+    stored = side(
+        history,
+        "sig_id",
+        (F.col("version") if versioned else zero).alias("version"),
+        (micros("first_seen") if as_of else zero).alias("time"),
+        (F.coalesce(micros("valid_until"), forever) if as_of and versioned else forever).alias("until"),
+    )
     schema = _match_schema(queries, history)
     first = stored.select(F.size("embedding").alias("dim")).first()
     if first is None:
-        return queries.sparkSession.createDataFrame(
-            [], T.StructType([schema[0], T.StructField("rank", T.IntegerType()), *schema.fields[1:]])
-        )
+        return queries.sparkSession.createDataFrame([], schema)
     dim = first.dim
     asked, stored = check_dimension(asked, dim), check_dimension(stored, dim)
 
-    fits = max(1, broadcast_bytes // (8 * (dim + 2)))
+    fits = max(1, broadcast_bytes // (8 * (dim + 6)))
     head = stored.limit(fits + 1).toArrow()  # bounded by the byte budget
     if head.num_rows <= fits:
-        found = _broadcast_matches(asked, head, dim, k, threshold, as_of, schema)
-    else:
-        found = _blocked_matches(asked, stored, dim, k, threshold, as_of, schema, block_rows, chunk_rows, pivots)
-    # At most k candidates per block are left of a query.
-    order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "sig_id")
-    return (
-        found.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("doc_id", "rank", "sig_id", "score")
-    )
+        return _broadcast_matches(asked, head, dim, k, threshold, as_of, schema)
+    return _blocked_matches(asked, stored, dim, k, threshold, as_of, schema, block_rows, chunk_rows, pivots)
 
 
 def recall(
@@ -315,7 +320,8 @@ def recall(
 ) -> DataFrame:
     """The nearest past errors with what is known about them: count, last_seen, cause, fixes."""
     matches = nearest(queries, history, k, threshold, as_of, **sizes)
-    known = history.select("sig_id", "count", "last_seen", "cause", "fixes")
-    return salted_join(matches, known, ["sig_id"], "inner", ["doc_id"]).select(
+    version = F.col("version") if "version" in history.columns else F.lit(0).cast("bigint")
+    known = history.select("sig_id", version.alias("version"), "count", "last_seen", "cause", "fixes")
+    return salted_join(matches, known, ["sig_id", "version"], "inner", ["doc_id"]).select(
         "doc_id", "rank", "sig_id", "score", "count", "last_seen", "cause", "fixes"
     )

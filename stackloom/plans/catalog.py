@@ -277,6 +277,12 @@ def recall_as_of(spark, sf_dir):
     )
 
 
+def recall_in_turn(spark, sf_dir):
+    """Each vector recalls what earlier ones left behind, with the counts of that moment."""
+    versions = history.history_versions(inputs.vector_occurrences(spark, sf_dir))
+    return _shown_priors(similarity.recall(inputs.vectors(spark, sf_dir), versions, **RECALL, as_of=True)).drop("sig_id")
+
+
 def recall_threshold(spark, sf_dir):
     """The default threshold: only the vectors themselves are that close."""
     found = similarity.nearest(inputs.vectors(spark, sf_dir), inputs.vector_history(spark, sf_dir))
@@ -451,6 +457,7 @@ QUERIES: dict[str, Query] = {
     "recall_topk": recall_topk,
     "recall_blocked": recall_blocked,
     "recall_as_of": recall_as_of,
+    "recall_in_turn": recall_in_turn,
     "recall_threshold": recall_threshold,
     "dimension_check": dimension_check,
     "hash_embed": hash_embed,

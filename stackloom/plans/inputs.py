@@ -226,6 +226,19 @@ def vector_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vector_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings as occurrences, those of one label forming a family."""
+    n = F.col("vec_id")
+    return table(spark, sf_dir, "embeddings").select(
+        _text("trace-", n).alias("doc_id"),
+        F.timestamp_seconds(F.lit(1704067200) + n * 60).alias("ts"),
+        _text("family ", F.col("label")).alias("signature"),
+        _text("cause ", n % 10).alias("cause"),
+        F.when(n % 4 == 0, "").otherwise(_text("- fix ", n % 3)).alias("fixes"),
+        "embedding",
+    )
+
+
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stored point per event, some with fields of the wrong kind."""
     n = F.col("event_id")

@@ -523,6 +523,17 @@ FROM trace_frames""",
     "recall_topk": _priors("priors"),
     "recall_blocked": _priors("priors"),
     "recall_as_of": _priors("priors_before"),
+    "recall_in_turn": f"""
+SELECT doc_id, rank::INT AS rank, round(score, 6) AS score, count, strftime(seen, '%Y-%m-%d') AS last_seen, cause, fixes FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 12) DESC) AS rank FROM (
+    SELECT q.doc_id, list_cosine_similarity(q.e, v.e) AS score, v.count, v.seen, 'cause ' || (v.vec_id % 10) AS cause,
+      CASE WHEN v.vec_id % 4 = 0 THEN '' ELSE '- fix ' || (v.vec_id % 3) END AS fixes
+    FROM priors_of q JOIN (
+      SELECT p.*, row_number() OVER w AS count, lead(seen) OVER w AS next_seen
+      FROM priors_of p JOIN embeddings m ON m.vec_id = p.vec_id WINDOW w AS (PARTITION BY m.label ORDER BY p.seen, p.doc_id)
+    ) v ON v.seen < q.seen AND (v.next_seen IS NULL OR v.next_seen >= q.seen)
+  ) WHERE round(score, 12) >= 0.3
+) WHERE rank <= {fixed.RECALL_K}""",
     "recall_threshold": f"""SELECT doc_id, rank::INT AS rank, id::VARCHAR AS sig_id, round(score, 6) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 12) DESC, id) AS rank FROM scored
   WHERE round(score, 12) >= {fixed.RECALL_THRESHOLD}) WHERE rank <= {fixed.RECALL_K}""",

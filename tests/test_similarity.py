@@ -84,3 +84,41 @@ def test_hash_embed(spark):
 def test_cosine_column(spark):
     row = spark.range(1).select(similarity.cosine(F.array(F.lit(1.0), F.lit(1.0)), F.array(F.lit(1.0), F.lit(0.0))).alias("c")).first()
     assert round(row.c, 6) == 0.707107
+
+
+@pytest.mark.parametrize("sizes", [{}, {"broadcast_bytes": 0, "block_rows": 9, "chunk_rows": 20, "pivots": 5}], ids=["shared", "blocked"])
+def test_recall_in_turn_equals_one_by_one(spark, sizes):
+    """All texts at once give what recalling and recording them one after the other gives."""
+    from stackloom.functions.text import sig_id
+    from stackloom.operators import history
+
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(4, 6))
+    rows = []
+    for n in range(160):
+        family = 0 if rng.random() < 0.4 else int(rng.integers(0, 12))
+        vector = centers[family % 4] + rng.normal(size=6) * 0.2
+        rows.append((f"d{n:03d}", int(n // 2), f"family {family}", f"cause {n}", "", vector.tolist()))
+    df = spark.createDataFrame(rows, "doc_id string, t int, signature string, cause string, fixes string, embedding array<double>")
+    df = df.withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    ids = {r.signature: int(r.id) for r in df.select("signature", sig_id(F.col("signature")).alias("id")).distinct().collect()}
+
+    got = similarity.recall(df, history.history_versions(df), 3, 0.9, as_of=True, **sizes).collect()
+    want = set()
+    for doc, t, _, _, _, v in rows:
+        points = {}
+        for _, t2, sig, cause, _, w in (r for r in rows if r[1] < t):
+            points[sig] = (points.get(sig, (0,))[0] + 1, cause, w)
+        scored = []
+        for sig, (count, cause, w) in points.items():
+            score = round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 12)
+            if score >= 0.9:
+                scored.append((-score, ids[sig], count, cause))
+        want |= {(doc, rank + 1, i, n, c) for rank, (_, i, n, c) in enumerate(sorted(scored)[:3])}
+    assert {(r.doc_id, r["rank"], int(r.sig_id), r["count"], r.cause) for r in got} == want
+
+
+def test_shared_recall_is_not_shuffled(spark):
+    q, h, *_ = make(spark)
+    plan = similarity.nearest(q, h)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
