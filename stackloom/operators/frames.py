@@ -57,29 +57,51 @@ def ruby_frames(text: Column, limit: int) -> Column:
 
 
 def dotnet_frames(text: Column, limit: int) -> Column:
-    return _line_frames(text, fixed.DOTNET_FRAME, limit, file=2, line=3, function=1)
+    """C3g.  Lines are first cut behind their last ``:line n``, so that the two gaps of the pattern are found at once."""
+    single = java(fixed.DOTNET_FRAME)
+    cut = F.regexp_extract_all(text, F.lit(java(r"^\s*at .+:line \d+", per_line=True)), 0)
+    return F.transform(
+        F.slice(F.filter(cut, lambda m: m.rlike(single)), 1, limit),
+        lambda m: _frame(F.regexp_extract(m, single, 2), F.regexp_extract(m, single, 3), F.regexp_extract(m, single, 1)),
+    )
 
 
 def node_frames(text: Column, limit: int) -> Column:
-    """C3d.  Every line of the form with a function also fits the form without one, so one pattern finds both."""
+    """C3d.  Every line of the form with a function also fits the form without one, so one pattern finds both.
+
+    The form with a function is looked for in the line up to its last ``:n:n)``, for the reason given at C3g.
+    """
     call, plain = java(fixed.NODE_CALL_FRAME), java(fixed.NODE_FRAME)
+
+    def frame(line: Column, cut: Column) -> Column:
+        return F.when(
+            cut.rlike(call),
+            _frame(F.regexp_extract(cut, call, 2), F.regexp_extract(cut, call, 3), F.regexp_extract(cut, call, 1)),
+        ).otherwise(_frame(F.regexp_extract(line, plain, 1), F.regexp_extract(line, plain, 2)))
+
     return F.transform(
         _matches(text, fixed.NODE_FRAME + ".*", limit),
-        lambda m: F.when(
-            m.rlike(call),
-            _frame(F.regexp_extract(m, call, 2), F.regexp_extract(m, call, 3), F.regexp_extract(m, call, 1)),
-        ).otherwise(_frame(F.regexp_extract(m, plain, 1), F.regexp_extract(m, plain, 2))),
+        lambda m: let(F.regexp_extract(m, r"(?d)^.*:\d+:\d+\)", 0), lambda cut: frame(m, cut)),
     )
 
 
 def rust_frames(text: Column, limit: int) -> Column:
-    """C3f/H2: the panic header, looked for on the first line only, then the frame lines."""
-    header = java(fixed.RUST_PANIC)
-    first = F.substring_index(text, "\n", 1)
-    head = F.when(
-        first.rlike(header), F.array(_frame(F.regexp_extract(first, header, 1), F.regexp_extract(first, header, 2)))
-    ).otherwise(F.array().cast(FRAMES_TYPE))
+    """C3f/H2: the panic header, looked for on the first line only, then the frame lines.
+
+    The header's file ends at the last ``.rs:n:n`` and begins behind the first blank, if there is one in front of it.
+    Taking these two apart one after the other finds what the one pattern with its three gaps finds, in linear time.
+    """
     single = java(fixed.RUST_FRAME)
+
+    def header(behind: Column) -> Column:
+        whole = F.regexp_extract(behind, single, 1)
+        after_blank = F.regexp_extract(whole, rf"(?d)^[^{SPACE}]*[{SPACE}](.+\.rs)\z", 1)
+        file = F.when(after_blank != "", after_blank).otherwise(whole)
+        return F.when(whole != "", F.array(_frame(file, F.regexp_extract(behind, single, 2)))).otherwise(
+            F.array().cast(FRAMES_TYPE)
+        )
+
+    head = let(F.regexp_extract(F.substring_index(text, "\n", 1), r"(?d)panicked at(.*)", 1), header)
     body = F.transform(
         _matches(text, fixed.RUST_FRAME, limit),
         lambda m: _frame(F.regexp_extract(m, single, 1), F.regexp_extract(m, single, 2)),
