@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stackloom.functions import fixed
 from stackloom.functions.text import UNICODE_SPACE, cut_bytes, excerpt, let, normalize, strip
-from stackloom.operators.rows import unfold
+from stackloom.operators.rows import once, unfold
 
 # A break is a run of blank lines, or a newline in front of a line that starts an entry.
 BLOCK_BREAK = rf"(?d)\n(?:{UNICODE_SPACE}*\n|(?={fixed.BLOCK_START}))"
@@ -117,10 +117,8 @@ def top_signature(text: Column, groups: Column) -> Column:
 
 def doc_signature(df: DataFrame) -> DataFrame:
     """One signature and representative per document."""
-    grouped = df.withColumn("error_groups", error_groups(F.col("text"), 1))
-    return grouped.withColumn("top", top_signature(F.col("text"), F.col("error_groups"))).select(
-        "doc_id", "top.signature", "top.representative"
-    )
+    top = top_signature(F.col("text"), error_groups(F.col("text"), 1))
+    return df.select("doc_id", once(top).alias("top")).select("doc_id", "top.signature", "top.representative")
 
 
 def embed_text(text: Column, groups: Column) -> Column:

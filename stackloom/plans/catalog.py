@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stackloom.functions.language import detect_language, language_scores
 from stackloom.functions.text import day, excerpt, normalize, rfc3339, sig_id, symbol_name
 from stackloom.operators import context, frames, groups, history, paths, prompts, sections, similarity, source, symbols
-from stackloom.operators.rows import unfold
+from stackloom.operators.rows import once, unfold
 from stackloom.plans import inputs
 from stackloom.session import materialize, work_folder
 from stackloom.sources import history_store, ingest
@@ -40,7 +40,8 @@ def trace_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def occurrences(documents: DataFrame) -> DataFrame:
     """Documents (doc_id, text, ts) as occurrences of their top family."""
-    signed = documents.withColumn("top", groups.top_signature(F.col("text"), groups.error_groups(F.col("text"), 1)))
+    top = groups.top_signature(F.col("text"), groups.error_groups(F.col("text"), 1))
+    signed = documents.select("*", once(top).alias("top"))
     number = F.octet_length("text")
     return signed.select(
         "doc_id",

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackloom.operators.rows import once
 from stackloom.sources.ingest import spread
 
 LOG_EVENTS = 40
@@ -33,14 +34,6 @@ def _choice(number: Column, options: list[Column]) -> Column:
     return result
 
 
-def _once(text: Column) -> Column:
-    """A text that is spelled once per row, however often later steps look at it, as one that is read from a table.
-
-    Filters and projections are not moved through the explode, so they do not repeat the spelling.
-    """
-    return F.explode_outer(F.array(text))
-
-
 def _hex(number: Column) -> Column:
     return F.lower(F.hex(number))
 
@@ -130,7 +123,7 @@ def traces_of(events: DataFrame) -> DataFrame:
     )
     return events.select(
         _text("trace-", n).alias("doc_id"),
-        _once(text).alias("text"),
+        once(text).alias("text"),
         F.lit("inline").alias("origin"),
         F.col("ts").cast("timestamp").alias("ts"),
         _text("r", file % 2).alias("repo"),
@@ -166,7 +159,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     content = F.when(n % 13 == 0, _text("no idea about ", n, "\nEVIDENCE: none")).otherwise(full)
     return table(spark, sf_dir, "events").select(
-        _text("trace-", n).alias("doc_id"), _once(content).alias("content"), F.lit("m1").alias("model")
+        _text("trace-", n).alias("doc_id"), once(content).alias("content"), F.lit("m1").alias("model")
     )
 
 
@@ -198,7 +191,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         _text("r", n % 2).alias("repo"),
         _text("src/doc_", n, ".", extension).alias("path"),
-        _once(content).alias("content"),
+        once(content).alias("content"),
     ).withColumn("size", F.octet_length("content").cast("bigint"))
 
 
@@ -252,5 +245,5 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         ',"first_seen":', first, ',"last_seen":"', F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), '"}',
     )
     return table(spark, sf_dir, "events").select(
-        n.alias("sig_id"), _once(payload).alias("payload"), F.array(F.lit(1.0), (n % 10).cast("double")).alias("embedding")
+        n.alias("sig_id"), once(payload).alias("payload"), F.array(F.lit(1.0), (n % 10).cast("double")).alias("embedding")
     )
