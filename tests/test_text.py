@@ -76,7 +76,7 @@ def test_symbol_name(value, function, want):
     [
         ("WHAT HAPPENED:", "WHAT HAPPENED"), ("## probable cause", "PROBABLE CAUSE"), ("- Evidence:", "EVIDENCE"),
         ("EVIDENCE: none", None), ("**EVIDENCE**", None), ("Evidence of a leak", "EVIDENCE"), ("evidences", None), ("", None),
-        ("**Potential fixes:", "POTENTIAL FIXES"), ("  * INVESTIGATE ::", None), ("INVESTIGATE::", "INVESTIGATE"),
+        ("**Potential fixes:", "POTENTIAL FIXES"), ("  * INVESTIGATE ::", "INVESTIGATE"), ("INVESTIGATE::", "INVESTIGATE"),
     ],
 )
 def test_marker(value, line, want):
