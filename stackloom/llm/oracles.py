@@ -14,11 +14,11 @@ shingles AS (
   FROM copies),
 n AS (SELECT rep, count(*) AS n FROM shingles GROUP BY rep),
 met AS (
-  SELECT a.rep AS a, b.rep AS b, count(*) AS both
+  SELECT a.rep AS a, b.rep AS b, count(*) AS shared
   FROM shingles a JOIN shingles b ON a.s = b.s AND a.rep < b.rep GROUP BY 1, 2),
 link AS (
   SELECT a, b FROM met JOIN n na ON na.rep = a JOIN n nb ON nb.rep = b
-  WHERE both >= 0.8 * (na.n + nb.n - both) - 1e-9),
+  WHERE shared >= 0.8 * (na.n + nb.n - shared) - 1e-9),
 two AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach AS (SELECT rep AS node, rep AS root FROM copies UNION SELECT two.b, reach.root FROM reach JOIN two ON two.a = reach.node),
 roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
@@ -27,3 +27,22 @@ SELECT w.doc_id, copies.rep AS text_id, roots.root AS class_id, copies.size AS n
   coalesce(stats.links, 0)::BIGINT AS n_links, (coalesce(stats.docs, 0) + copies.size - 1)::BIGINT AS n_linked_docs
 FROM w JOIN copies ON copies.words = w.words JOIN roots ON roots.node = copies.rep LEFT JOIN stats ON stats.rep = copies.rep
 """
+
+OP9 = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+win AS (
+  SELECT doc_id, i, words[i:i + 12] AS s
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13)),
+own AS (SELECT s, min(doc_id) AS owner FROM win GROUP BY s),
+hit AS (SELECT win.doc_id, win.i FROM win JOIN own USING (s) WHERE own.owner < win.doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM hit),
+lost AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT w.doc_id, len(w.words) AS n_words, coalesce(len(lost.ps), 0) AS n_removed,
+    CASE WHEN lost.ps IS NULL THEN w.words
+      ELSE list_filter(w.words, lambda x, k: NOT list_contains(lost.ps, k)) END AS left_words
+  FROM w LEFT JOIN lost USING (doc_id))
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(left_words, ' '), '')) AS kept_sha256
+FROM kept
+"""
