@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import jaccard, oracles, phrases
+from stackloom.llm import jaccard, oracles, packing, phrases
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +31,22 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def byte_bpe() -> str:
+    """The tokenizer file that the packing query uses."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), byte_bpe())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {
