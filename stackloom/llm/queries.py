@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import jaccard, oracles, packing, phrases
+from stackloom.llm import jaccard, oracles, packing, phrases, tiling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which at least 60 % of a benchmark item's words are found in tiles of five words or more."""
+    return tiling.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class and links of every document: five-word shingles, similarity of 0.8 or more."""
     return jaccard.jaccard_classes(_table(spark, sf_dir, "documents"))
@@ -44,6 +49,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_decontamination": op4_decontamination,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
