@@ -2,13 +2,17 @@
 
 1. *Anchors.*  Each window of ``WINDOW`` words picks the smallest hash of its ``ANCHOR``-word grams.  Equal windows pick
    equal anchors, and about a fifth of the positions are picked, so far fewer rows than windows are shuffled.  Anchors
-   of at least two documents are found by a hash aggregation that is combined before the shuffle.
+   of at least two documents are found by a hash aggregation that is combined before the shuffle.  A document's whole
+   word sequence takes part like an anchor: a copy of a document with a smaller id goes as a whole.
 2. *Segments.*  The words around each occurrence of such an anchor are cut out: the only text that can recur.
-3. *Confirmation.*  Windows of segments that at least two documents hold; the smallest id is a window's owner.
-4. *Automata.*  Windows of the owners' segments are dealt by anchor to shards of bounded size; a task compiles a shard's
-   automaton and streams the segments of its anchors past it.  Shards that hold over 1/``HEAVY`` of the segments are
-   streamed by several tasks.
+3. *Automata.*  Segments are dealt by anchor, so that all occurrences of a window meet.  A task takes whole anchors of
+   bounded size as a shard: windows of at least two documents are confirmed, the smallest id is their owner, their
+   automaton is compiled, and the shard's segments are streamed past it.
+4. *Frequent anchors* (of over ``HOT`` documents) are not gathered anywhere: their windows are confirmed by a combined
+   aggregation, only the owners' segments are compiled, and the segments of frequent shards are streamed by several tasks.
 5. Each document gets its covered word ranges back.
+
+Anchors, windows of frequent anchors and whole documents are told apart by 64-bit hashes, all other windows by their words.
 """
 
 from __future__ import annotations
@@ -22,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.llm.steps import release, written
-from stackloom.llm.words import find_words, gram_hashes, group_bounds, mix, text_slices, whole_groups
+from stackloom.llm.words import find_words, gram_hashes, group_bounds, mix, sequence_hashes, text_slices, whole_groups
 
 WINDOW, ANCHOR = 13, 5
+HOT = 5000
+SHARD_BYTES = 1 << 19
 SHARD_PATTERNS = 8000
 HEAVY = 256
 
@@ -49,56 +55,74 @@ def _runs(words, window: int, anchor: int):
 
 
 def _anchors(window: int, anchor: int, place: bool):
+    """Anchors and whole documents: (h, smallest id, largest id, rows) of a slice, or with ``place`` (h, id, place).
+
+    A place is first window * 256 + number of windows, or minus the number of words of a whole document.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for low, _, data, offsets in text_slices(batch.column(1)):
-                row, h, first, count = _runs(find_words(data, offsets), window, anchor)
-                doc = ids[low + row]
+                words = find_words(data, offsets)
+                row, h, first, count = _runs(words, window, anchor)
+                size = np.diff(words.first)
+                whole = np.flatnonzero(size >= window)
+                h = np.concatenate([h, sequence_hashes(words, 0x9FB21C651E98DF25)[whole].view(np.int64)])
+                doc = ids[low + np.concatenate([row, whole])]
                 if place:
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(first * 256 + count)], names=["h", "doc_id", "at"])
+                    at = np.concatenate([first * 256 + count, -size[whole]])
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(at)], names=["h", "doc_id", "at"])
                 elif len(h):
                     order = np.lexsort((doc, h))
                     h, doc = h[order], doc[order]
                     cut = group_bounds(h)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[cut[:-1]]), pa.array(doc[cut[:-1]]), pa.array(doc[cut[1:] - 1])], names=["h", "a", "b"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h[cut[:-1]]), pa.array(doc[cut[:-1]]), pa.array(doc[cut[1:] - 1]), pa.array(np.diff(cut))], names=["h", "a", "b", "n"]
+                    )
 
     return run
 
 
 def _segments(window: int):
-    """Cuts the words of runs ``marks`` (first window, windows, anchor) out of each text."""
+    """Cuts the words of runs ``marks`` (anchor, place, is it frequent) out of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
-            texts, marks = batch.column("text"), batch.column("marks")
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            size = 0
-            for r in range(batch.num_rows):
-                words = (texts[r].as_py() or "").encode().split()
-                for m in marks[r].values.to_pylist():
-                    first, count = m["at"] // 256, m["at"] % 256
-                    if first + window > len(words):
-                        continue  # a mark of another row with this id
-                    text = b" ".join(words[first : first + count + window - 1]).decode()
-                    size += len(text)
-                    for column, value in zip(out, (m["h"], int(ids[r]), first, text), strict=True):
-                        column.append(value)
-                if size > 1 << 22:
-                    yield _segment_batch(out)
-                    out, size = ([], [], [], []), 0
-            if out[0]:
-                yield _segment_batch(out)
+            ids, texts = batch.column("doc_id").to_numpy(), batch.column("text")
+            marks = batch.column("marks")
+            bounds = marks.offsets.to_numpy()
+            flat = marks.values
+            h, at, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            for low in range(0, batch.num_rows, 256):
+                rows, starts, parts = [], [], []
+                high = min(batch.num_rows, low + 256)
+                for r in range(low, high):
+                    words = (texts[r].as_py() or "").encode().split()
+                    own = slice(bounds[r], bounds[r + 1])
+                    first, last = at[own] // 256, at[own] // 256 + at[own] % 256 + window - 1
+                    ok = np.flatnonzero(last <= len(words))  # other marks are those of another row with this id
+                    edge = np.zeros(len(words) + 1, dtype=np.int64)
+                    np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=edge[1:])
+                    joined = b" ".join(words)
+                    parts += [joined[a:b] for a, b in zip(edge[first[ok]].tolist(), (edge[last[ok]] - 1).tolist(), strict=True)]
+                    rows.append(bounds[r] + ok)
+                    starts.append(first[ok])
+                at_mark = np.concatenate(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(h[at_mark]),
+                        pa.array(np.repeat(ids[low:high], [len(x) for x in rows])),
+                        pa.array(np.concatenate(starts).astype(np.int32)),
+                        pa.array(hot[at_mark].astype(bool)),
+                        pa.array(parts, pa.binary()).cast(pa.string()),
+                    ],
+                    names=["h", "doc_id", "first", "hot", "text"],
+                )
 
     return run
 
 
-def _segment_batch(out) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["h", "doc_id", "first", "text"])
-
-
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,84 +136,108 @@ def _windows(window: int):
     return run
 
 
-def _located(window: int):
-    """Streams segments (kind 1) past the automaton of the owners' windows (kind 0) that precede them in their shard.
+def _phrases(text: str, window: int) -> list[str]:
+    """All windows of a segment, whose words are joined by one space."""
+    edge = [0]
+    at = text.find(" ")
+    while at >= 0:
+        edge.append(at + 1)
+        at = text.find(" ", at + 1)
+    edge.append(len(text) + 1)
+    return [text[edge[i] : edge[i + window] - 1] for i in range(len(edge) - window)]
 
-    Gives the word ranges whose windows also start in a document with a smaller id.
-    """
+
+def _compiled(owners: dict[str, int]):
     import ahocorasick
 
-    def pattern_windows(text: str) -> list[str]:
-        words = text.split(" ")
-        return [f" {' '.join(words[i : i + window])} " for i in range(len(words) - window + 1)]
+    if not owners:
+        return None
+    automaton = ahocorasick.Automaton()
+    for phrase, owner in owners.items():
+        automaton.add_word(f" {phrase} ", owner)
+    automaton.make_automaton()
+    return automaton
+
+
+def _stream(automaton, doc: int, first: int, text: str, window: int, out: list) -> None:
+    """Adds the word ranges of a segment whose windows a smaller id owns."""
+    text = f" {text} "
+    low = high = -1
+    for end, owner in automaton.iter(text):
+        if owner >= doc:
+            continue
+        stop = first + text.count(" ", 0, end)
+        if stop - window > high or low < 0:
+            if low >= 0:
+                out.append((doc, low, high))
+            low = stop - window
+        high = stop
+    if low >= 0:
+        out.append((doc, low, high))
+
+
+def _range_batch(ranges: list) -> pa.RecordBatch:
+    doc, low, high = zip(*ranges, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32())], names=["doc_id", "low", "high"])
+
+
+def _shards(window: int):
+    """Confirms, compiles and streams shards of whole anchors; rows come by anchor and id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, owners, automaton = None, {}, None
+        for table in whole_groups(batches, ["h"], SHARD_BYTES):
+            rows = list(zip(*(table.column(c).to_pylist() for c in ("doc_id", "first", "text")), strict=True))
+            seen: dict[str, int] = {}
+            owners: dict[str, int] = {}
+            for doc, _, text in rows:
+                for phrase in _phrases(text, window):
+                    owner = seen.setdefault(phrase, doc)
+                    if owner != doc:
+                        owners[phrase] = owner
+            seen = {}
+            automaton = _compiled(owners)
+            ranges: list = []
+            if automaton is not None:
+                for doc, first, text in rows:
+                    _stream(automaton, doc, first, text, window, ranges)
+            if ranges:
+                yield _range_batch(ranges)
+
+    return run
+
+
+def _located(window: int):
+    """Streams segments (kind 1) past the automaton of the owners' windows (kind 0) that precede them in their shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, owners, automaton, compiled = None, {}, None, False
         for batch in batches:
-            ranges: list[tuple[int, int, int]] = []
+            ranges: list = []
             columns = (batch.column(c).to_pylist() for c in ("shard", "salt", "kind", "doc_id", "first", "text"))
             for key_shard, salt, kind, doc, first, text in zip(*columns, strict=True):
                 if shard != (key_shard, salt):
-                    shard, owners, automaton = (key_shard, salt), {}, None
+                    shard, owners, compiled = (key_shard, salt), {}, False
                 if kind == 0:
-                    for phrase in pattern_windows(text):
-                        if owners.get(phrase, doc) >= doc:
-                            owners[phrase] = doc
+                    for phrase in _phrases(text, window):
+                        owners[phrase] = min(owners.get(phrase, doc), doc)
                     continue
-                if automaton is None:
-                    automaton = ahocorasick.Automaton()
-                    for phrase, owner in owners.items():
-                        automaton.add_word(phrase, owner)
-                    owners = {}
-                    automaton.make_automaton()
-                if automaton.kind != ahocorasick.AHOCORASICK:
-                    continue  # no pattern in this shard
-                hits = [end for end, owner in automaton.iter(f" {text} ") if owner < doc]
-                if not hits:
-                    continue
-                # words that end at or before a hit's last space
-                spaces = np.flatnonzero(np.frombuffer(f" {text} ".encode("utf-32-le"), dtype=np.uint32) == 32)
-                ends = np.searchsorted(spaces, np.array(hits))
-                cut = np.flatnonzero(np.diff(ends) > 1) + 1
-                for a, b in zip([0, *cut], [*cut, len(ends)], strict=True):
-                    ranges.append((doc, first + int(ends[a]) - window, first + int(ends[b - 1])))
+                if not compiled:
+                    automaton, owners, compiled = _compiled(owners), {}, True
+                if automaton is not None:
+                    _stream(automaton, doc, first, text, window, ranges)
             if ranges:
-                doc, low, high = zip(*ranges, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32())], names=["doc_id", "low", "high"])
+                yield _range_batch(ranges)
 
     return run
 
 
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, low, high): word ranges [low, high) covered by windows that also start in a document with a smaller id.
-
-    Ranges of one document may touch or overlap.  Rows without an id are neither owners nor judged; rows that repeat an
-    id are judged against smaller ids only, never against each other.
-    """
-    spark = docs.sparkSession
-    anchor = min(ANCHOR, window)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL")
-
-    # 1. anchors of two documents or more
-    common = base.mapInArrow(_anchors(window, anchor, False), "h long, a long, b long").groupBy("h").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    common = written(common.filter("a < b").select("h"))
-    release(spark)
-    # 2. their occurrences, and the words around them
-    placed = base.mapInArrow(_anchors(window, anchor, True), "h long, doc_id long, at long").join(common, "h")
-    placed = written(placed)
-    release(spark)
-    marks = placed.groupBy("doc_id").agg(F.collect_list(F.struct("at", "h")).alias("marks"))
-    segments = base.join(marks, "doc_id").select("doc_id", "text", "marks")
-    segments = written(segments.mapInArrow(_segments(window), "h long, doc_id long, first int, text string"))
-    release(spark)
-    # 3. windows of two documents or more, and the segments of their owners
+def _hot_ranges(segments: DataFrame, window: int) -> DataFrame:
+    """Ranges of segments of frequent anchors: combined confirmation, owners' patterns, streams that several tasks share."""
     windows = segments.mapInArrow(_windows(window), "w long, doc_id long, first int")
     owned = windows.groupBy("w").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
     owned = owned.filter("doc_id < last").select("w", "doc_id")
     owners = windows.join(owned, ["w", "doc_id"], "left_semi").select("doc_id", "first").distinct()
     patterns = written(segments.join(owners, ["doc_id", "first"], "left_semi"))
-    release(spark)
-    # 4. shards
     n = patterns.agg(F.sum(F.size(F.split("text", " ")) - (window - 1))).first()[0] or 0
     shards = max(1, -(-int(n) // SHARD_PATTERNS))
     shard = F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int").alias("shard")
@@ -205,9 +253,44 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     streamed = streamed.withColumn("kind", F.lit(1))
     dealt = rules.select(columns).unionByName(streamed.select(columns))
     dealt = dealt.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    found = written(dealt.mapInArrow(_located(window), "doc_id long, low int, high int"))
+    return dealt.mapInArrow(_located(window), "doc_id long, low int, high int")
+
+
+def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot: int = HOT) -> DataFrame:
+    """(doc_id, low, high): word ranges [low, high) covered by windows that also start in a document with a smaller id.
+
+    Ranges of one document may touch or overlap.  Rows without an id are neither owners nor judged; rows that repeat an
+    id are judged against smaller ids only, never against each other.
+    """
+    spark = docs.sparkSession
+    anchor = min(ANCHOR, window)
+    ranges = "doc_id long, low int, high int"
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL")
+
+    common = base.mapInArrow(_anchors(window, anchor, False), "h long, a long, b long, n long")
+    common = common.groupBy("h").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n"))
+    common = written(common.filter("a < b").select("h", "a", (F.col("n") > hot).alias("hot")))
+    release(spark)
+
+    placed = base.mapInArrow(_anchors(window, anchor, True), "h long, doc_id long, at long").join(common.hint("shuffle_hash"), "h")
+    # the first of several copies is no copy
+    placed = written(placed.filter("at >= 0 OR doc_id > a").select("doc_id", "h", "at", "hot"))
+    release(spark)
+
+    copies = placed.filter("at < 0").groupBy("doc_id").agg(F.min("at").alias("at"))
+    marks = placed.filter("at >= 0").join(copies, "doc_id", "left_anti")
+    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "hot")).alias("marks"))
+    segments = base.join(marks, "doc_id").select("doc_id", "text", "marks")
+    segments = written(segments.mapInArrow(_segments(window), "h long, doc_id long, first int, hot boolean, text string"))
+    release(spark)
+
+    cold = segments.filter("NOT hot").select("h", "doc_id", "first", "text").repartition("h").sortWithinPartitions("h", "doc_id", "first")
+    found = written(cold.mapInArrow(_shards(window), ranges))
+    release(spark)
+    frequent = written(_hot_ranges(segments.filter("hot"), window))
     release(spark)
-    return found
+    whole = copies.select("doc_id", F.lit(0).alias("low"), (-F.col("at")).cast("int").alias("high"))
+    return found.unionByName(frequent).unionByName(whole)
 
 
 def _cut(text_col: str, rejoin: bool):

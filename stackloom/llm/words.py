@@ -11,12 +11,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _PIECE = 1 << 20
 WORD_BYTES = np.ones(256, dtype=bool)
 WORD_BYTES[[0x20, *range(0x09, 0x0E)]] = False
+#: Letters and digits; every byte of a letter beyond ASCII counts as a letter.
+ALNUM_BYTES = np.zeros(256, dtype=bool)
+ALNUM_BYTES[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _powers: list[np.ndarray] = []
 
 
@@ -61,6 +65,12 @@ def text_slices(column: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, i
         low = high
 
 
+def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of lower-cased texts; nulls are empty texts."""
+    parts = list(text_slices(pc.utf8_lower(column.fill_null("")), 1 << 62))
+    return (parts[0][2], parts[0][3]) if parts else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+
+
 def _power_tables(size: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < size:
         tables = []
@@ -145,13 +155,11 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], size: int =
         for key in keys:
             column = table.column(key).combine_chunks()
             values = column.slice(low)
-            same = np.asarray(pa.compute.equal(values, values[len(values) - 1]).fill_null(False))
+            same = np.asarray(pc.equal(values, values[len(values) - 1]).fill_null(False))
             differ = np.flatnonzero(~same)
             low += int(differ[-1]) + 1 if len(differ) else 0
         return low if n else 0
 
-    import pyarrow.compute  # noqa: F401
-
     for batch in batches:
         if not batch.num_rows:
             continue
