@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import jaccard, oracles, packing, phrases, tiling
+from stackloom.llm import jaccard, oracles, packing, phrases, tiling, toxicity
+from stackloom.llm.sampling import fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learnt from labels of two thirds of the ids."""
+    docs = _table(spark, sf_dir, "documents")
+    params = toxicity.fit(docs, _table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    return toxicity.score(docs, params).select(
+        "doc_id",
+        (fold("doc_id", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in which at least 60 % of a benchmark item's words are found in tiles of five words or more."""
     return tiling.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -49,6 +62,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op4_decontamination": op4_decontamination,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op9_substring_dedup": op9_substring_dedup,

@@ -17,18 +17,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.llm.words import find_words, gram_hashes, group_bounds, text_slices
+from stackloom.llm.words import ALNUM_BYTES, find_words, gram_hashes, group_bounds, lowered, text_slices
 
 MIN_MATCH = 5
 COVERAGE = 0.6
 BLOCK_BYTES = 8 << 20
 
-_ALNUM = np.zeros(256, dtype=bool)
-_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
 class Block(NamedTuple):
@@ -43,19 +40,14 @@ class Block(NamedTuple):
 
 
 def make_block(ids: list, texts: list[str], k: int) -> Block:
-    data, offsets = _lowered(pa.array(texts, pa.string()))
-    words = find_words(data, offsets, _ALNUM)
+    data, offsets = lowered(pa.array(texts, pa.string()))
+    words = find_words(data, offsets, ALNUM_BYTES)
     h, at = gram_hashes(words, k)
     order = np.argsort(h, kind="stable")
     h, at = h[order], at[order]
     return Block(ids, words.hash, words.first, h, words.row[at], at - words.first[words.row[at]])
 
 
-def _lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    parts = list(text_slices(pc.utf8_lower(column.fill_null("")), 1 << 62))
-    return (parts[0][2], parts[0][3]) if parts else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-
-
 def tile(p: np.ndarray, t_hash: np.ndarray, i: np.ndarray, j: np.ndarray, k: int) -> tuple[int, int]:
     """(words covered, tiles) of the words ``p`` by greedy tiling.
 
@@ -93,8 +85,8 @@ def _found(block: Block, column: pa.Array, k: int, coverage: float) -> Iterator[
     needed = np.maximum(1, np.ceil(coverage * size / k - 1e-9)).astype(np.int64)
     row0 = 0
     for low, high, _, _ in text_slices(column):
-        data, offsets = _lowered(column.slice(low, high - low))
-        words = find_words(data, offsets, _ALNUM)
+        data, offsets = lowered(column.slice(low, high - low))
+        words = find_words(data, offsets, ALNUM_BYTES)
         h, at = gram_hashes(words, k)
         a = np.searchsorted(block.seed, h, side="left")
         hit = np.flatnonzero((a < len(block.seed)) & (block.seed[np.minimum(a, len(block.seed) - 1)] == h))
