@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import jaccard, oracles, packing, phrases, tiling, toxicity
+from stackloom.llm import jaccard, oracles, packing, phrases, quality, tiling, toxicity
 from stackloom.llm.sampling import fold
 
 
@@ -37,6 +37,18 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; learnt from labels of four fifths of the ids."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return quality.score(docs, model).select(
+        "doc_id",
+        (fold("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that are left once repeated windows of 13 words are removed, as a digest."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -65,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op4_decontamination": op4_decontamination,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_quality": op7_quality,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
 }

@@ -100,17 +100,20 @@ def _hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 
 
 def find_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = WORD_BYTES) -> Words:
-    inside = is_word[data]
+    """Runs of bytes of one kind: ``is_word`` gives the kind of each byte, 0 (or False) between words."""
+    kind = is_word[data]
+    inside = kind > 0
     rows = len(offsets) - 1
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(data, none, none, none, none.astype(U), np.zeros(rows + 1, np.int64))
     edges = offsets[(offsets > 0) & (offsets < len(data))]
     begin = inside.copy()
-    begin[1:] &= ~inside[:-1]
+    new = kind[1:] != kind[:-1]
+    begin[1:] &= new
     begin[edges] = inside[edges]
     stop = inside.copy()
-    stop[:-1] &= ~inside[1:]
+    stop[:-1] &= new
     stop[edges - 1] = inside[edges - 1]
     start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
     row = np.searchsorted(offsets, start, side="right") - 1
