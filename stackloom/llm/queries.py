@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import jaccard, oracles, packing, phrases, quality, tiling, toxicity
+from stackloom.llm import graph_index, jaccard, oracles, packing, phrases, quality, tiling, toxicity
 from stackloom.llm.sampling import fold
 
 
@@ -49,6 +49,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors found for each vector whose id is divisible by 100."""
+    return graph_index.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that are left once repeated windows of 13 words are removed, as a digest."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_quality": op7_quality,
+    "op8_nearest": op8_nearest,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
 }
