@@ -167,12 +167,14 @@ def _stream(automaton, doc: int, first: int, text: str, window: int, out: list)
         if owner >= doc:
             continue
         stop = first + text.count(" ", 0, end)
-        if stop - window > high or low < 0:
+        if low < 0 or stop - window > high:
             if low >= 0:
                 out.append((doc, low, high))
             low = stop - window
         high = stop
     if low >= 0:
+        if out and out[-1][0] == doc and out[-1][1] <= low <= out[-1][2]:
+            low, high = out[-1][1], max(high, out.pop()[2])
         out.append((doc, low, high))
 
 
@@ -249,10 +251,10 @@ def _hot_ranges(segments: DataFrame, window: int) -> DataFrame:
         salts = F.when(F.col("shard") == key, F.lit(k)).otherwise(salts)
     columns = ["shard", "salt", "kind", "doc_id", "first", "text"]
     rules = patterns.select(shard, "doc_id", "first", "text").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).withColumn("kind", F.lit(0))
-    streamed = segments.select(shard, "doc_id", "first", "text").withColumn("salt", F.pmod(F.xxhash64("doc_id", "first"), salts).cast("int"))
+    streamed = segments.select(shard, "doc_id", "first", "text").withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int"))
     streamed = streamed.withColumn("kind", F.lit(1))
     dealt = rules.select(columns).unionByName(streamed.select(columns))
-    dealt = dealt.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    dealt = dealt.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind", "doc_id", "first")
     return dealt.mapInArrow(_located(window), "doc_id long, low int, high int")
 
 
@@ -274,7 +276,9 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     placed = base.mapInArrow(_anchors(window, anchor, True), "h long, doc_id long, at long").join(common.hint("shuffle_hash"), "h")
     # the first of several copies is no copy
-    placed = written(placed.filter("at >= 0 OR doc_id > a").select("doc_id", "h", "at", "hot"))
+    # (frequent anchors of one passage mostly have the same first document, by which they are dealt together)
+    placed = placed.filter("at >= 0 OR doc_id > a").select("doc_id", F.when(F.col("hot"), F.col("a")).otherwise(F.col("h")).alias("h"), "at", "hot")
+    placed = written(placed)
     release(spark)
 
     copies = placed.filter("at < 0").groupBy("doc_id").agg(F.min("at").alias("at"))
