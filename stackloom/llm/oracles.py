@@ -46,3 +46,32 @@ SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
   sha256(coalesce(array_to_string(left_words, ' '), '')) AS kept_sha256
 FROM kept
 """
+
+OP2 = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+    lag(role, 1, '<start>') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before,
+    length(regexp_replace(role, '(###|:\n|</turn>|\\)', 'x\1', 'g')) + length(regexp_replace(text, '(###|:\n|</turn>|\\)', 'x\1', 'g'))
+      + length('### :') + 1 + length(' </turn>') + 1 AS chars
+  FROM rows),
+steps AS (
+  SELECT *, CASE WHEN (before, role) IN (('<start>', 'system'), ('<start>', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user'))
+    THEN NULL ELSE before || ' -> ' || role END AS bad
+  FROM sized),
+conv AS (
+  SELECT conv_id, count(*)::BIGINT AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(chars)::BIGINT AS formatted_chars,
+    arg_min(bad, n) FILTER (bad IS NOT NULL) AS bad, arg_max(role, n) AS last_role
+  FROM steps GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars,
+  coalesce(bad, CASE WHEN last_role = 'assistant' THEN '' ELSE last_role || ' -> <end>' END) = '' AS valid,
+  coalesce(bad, CASE WHEN last_role = 'assistant' THEN '' ELSE last_role || ' -> <end>' END) AS problem
+FROM conv
+"""

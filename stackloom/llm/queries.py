@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import graph_index, jaccard, oracles, packing, phrases, quality, tiling, toxicity
+from stackloom.llm import chat, graph_index, jaccard, oracles, packing, phrases, quality, tiling, toxicity
 from stackloom.llm.sampling import fold
 
 
@@ -27,6 +27,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, and of one that quotes control strings, read back from their formatted form."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    quote = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", quote), (-7, 1, "assistant", quote)], "conv_id long, turn long, role string, text string")
+    return chat.chat_digest(rows.unionByName(more))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in which at least 60 % of a benchmark item's words are found in tiles of five words or more."""
     return tiling.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -80,6 +88,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_chat": op2_chat,
     "op4_decontamination": op4_decontamination,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_quality": op7_quality,
@@ -89,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_chat": oracles.OP2,
     "op6_ngram_jaccard": oracles.OP6,
     "op9_substring_dedup": oracles.OP9,
 }
