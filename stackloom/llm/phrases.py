@@ -136,37 +136,41 @@ def _windows(window: int):
     return run
 
 
-def _phrases(text: str, window: int) -> list[str]:
-    """All windows of a segment, whose words are joined by one space."""
-    edge = [0]
-    at = text.find(" ")
-    while at >= 0:
-        edge.append(at + 1)
-        at = text.find(" ", at + 1)
-    edge.append(len(text) + 1)
-    return [text[edge[i] : edge[i + window] - 1] for i in range(len(edge) - window)]
-
-
-def _compiled(owners: dict[str, int]):
+class _Vocabulary(dict):
+    """Numbers words of a shard from 1 as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self) + 1
+        return number
+
+    def add(self, text: str) -> tuple[int, ...]:
+        return tuple(map(self.__getitem__, text.split(" ")))
+
+    def read(self, text: str) -> tuple[int, ...]:
+        """The same, but 0 for new words."""
+        return tuple([self.get(w, 0) for w in text.split(" ")])
+
+
+def _compiled(owners: dict[tuple[int, ...], int]):
+    """Automaton over word numbers; it has far fewer states than one over characters."""
     import ahocorasick
 
     if not owners:
         return None
-    automaton = ahocorasick.Automaton()
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for phrase, owner in owners.items():
-        automaton.add_word(f" {phrase} ", owner)
+        automaton.add_word(phrase, owner)
     automaton.make_automaton()
     return automaton
 
 
-def _stream(automaton, doc: int, first: int, text: str, window: int, out: list) -> None:
-    """Adds the word ranges of a segment whose windows a smaller id owns."""
-    text = f" {text} "
+def _add_ranges(hits: list[tuple[int, int]], doc: int, first: int, window: int, out: list) -> None:
+    """Adds the word ranges of a segment whose windows (last word, owner) a smaller id owns."""
     low = high = -1
-    for end, owner in automaton.iter(text):
+    for last, owner in hits:
         if owner >= doc:
             continue
-        stop = first + text.count(" ", 0, end)
+        stop = first + last + 1
         if low < 0 or stop - window > high:
             if low >= 0:
                 out.append((doc, low, high))
@@ -189,19 +193,31 @@ def _shards(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["h"], SHARD_BYTES):
             rows = list(zip(*(table.column(c).to_pylist() for c in ("doc_id", "first", "text")), strict=True))
-            seen: dict[str, int] = {}
-            owners: dict[str, int] = {}
+            # equal segments are read once: their first document, and whether there is another one
+            texts: dict[str, list] = {}
             for doc, _, text in rows:
-                for phrase in _phrases(text, window):
-                    owner = seen.setdefault(phrase, doc)
-                    if owner != doc:
+                known = texts.get(text)
+                if known is None:
+                    texts[text] = [doc, False, ()]
+                elif known[0] != doc:
+                    known[1] = True
+            vocabulary = _Vocabulary()
+            seen: dict[tuple[int, ...], int] = {}
+            owners: dict[tuple[int, ...], int] = {}
+            for text, known in texts.items():
+                known[2] = words = vocabulary.add(text)
+                for i in range(len(words) - window + 1):
+                    phrase = words[i : i + window]
+                    owner = seen.setdefault(phrase, known[0])
+                    if known[1] or owner != known[0]:
                         owners[phrase] = owner
-            seen = {}
             automaton = _compiled(owners)
             ranges: list = []
             if automaton is not None:
+                for known in texts.values():
+                    known[2] = list(automaton.iter(known[2]))
                 for doc, first, text in rows:
-                    _stream(automaton, doc, first, text, window, ranges)
+                    _add_ranges(texts[text][2], doc, first, window, ranges)
             if ranges:
                 yield _range_batch(ranges)
 
@@ -212,21 +228,23 @@ def _located(window: int):
     """Streams segments (kind 1) past the automaton of the owners' windows (kind 0) that precede them in their shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, owners, automaton, compiled = None, {}, None, False
+        shard, vocabulary, owners, automaton, compiled = None, _Vocabulary(), {}, None, False
         for batch in batches:
             ranges: list = []
             columns = (batch.column(c).to_pylist() for c in ("shard", "salt", "kind", "doc_id", "first", "text"))
             for key_shard, salt, kind, doc, first, text in zip(*columns, strict=True):
                 if shard != (key_shard, salt):
-                    shard, owners, compiled = (key_shard, salt), {}, False
+                    shard, vocabulary, owners, compiled = (key_shard, salt), _Vocabulary(), {}, False
                 if kind == 0:
-                    for phrase in _phrases(text, window):
+                    words = vocabulary.add(text)
+                    for i in range(len(words) - window + 1):
+                        phrase = words[i : i + window]
                         owners[phrase] = min(owners.get(phrase, doc), doc)
                     continue
                 if not compiled:
                     automaton, owners, compiled = _compiled(owners), {}, True
                 if automaton is not None:
-                    _stream(automaton, doc, first, text, window, ranges)
+                    _add_ranges(automaton.iter(vocabulary.read(text)), doc, first, window, ranges)
             if ranges:
                 yield _range_batch(ranges)
 
