@@ -75,3 +75,47 @@ SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars,
   coalesce(bad, CASE WHEN last_role = 'assistant' THEN '' ELSE last_role || ' -> <end>' END) AS problem
 FROM conv
 """
+
+_RULES = """CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END"""
+
+OP3 = rf"""
+WITH RECURSIVE cut AS (
+  SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+base AS (
+  SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut),
+ruled AS (SELECT *, {_RULES} AS rule FROM base),
+judged AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS said FROM ruled),
+hosts AS (
+  SELECT host, avg(CASE WHEN said = 'allow' THEN 1.0::DOUBLE ELSE 0.0 END) AS allowed, avg(CASE WHEN said = 'block' THEN 1.0::DOUBLE ELSE 0.0 END) AS blocked
+  FROM judged WHERE host != '' GROUP BY host),
+found AS (
+  SELECT DISTINCT page_id, host AS src, lower(unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s<>]+)', 1))) AS dst
+  FROM judged WHERE host != ''),
+above AS (
+  SELECT h.host AS src, max_by(k.host, length(k.host)) AS dst FROM hosts h JOIN hosts k ON ends_with(h.host, '.' || k.host) GROUP BY 1),
+edges AS (
+  SELECT src, dst, sum(w) AS w FROM (
+    SELECT src, dst, count(*) AS w FROM found WHERE src != dst AND dst IN (SELECT host FROM hosts) GROUP BY 1, 2
+    UNION ALL SELECT src, dst, 1 FROM above) GROUP BY 1, 2),
+both_ways AS (SELECT 'trust' AS kind, src AS host, dst AS goal, w FROM edges UNION ALL SELECT 'distrust', dst, src, w FROM edges),
+moves AS (SELECT kind, host, goal, w / sum(w) OVER (PARTITION BY kind, host) AS p FROM both_ways),
+seeds AS (SELECT 'trust' AS kind, host, allowed * 0.15 AS r FROM hosts UNION ALL SELECT 'distrust', host, blocked * 0.15 FROM hosts),
+walk AS (
+  SELECT 0 AS step, kind, host, r FROM seeds
+  UNION ALL
+  SELECT walk.step + 1, walk.kind, moves.goal, walk.r * moves.p * 0.85
+  FROM walk JOIN moves ON moves.kind = walk.kind AND moves.host = walk.host WHERE walk.step < 10),
+ranks AS (
+  SELECT host, coalesce(sum(r) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(r) FILTER (kind = 'distrust'), 0) AS distrust
+  FROM walk GROUP BY host)
+SELECT page_id, j.host, path, rule,
+  coalesce(said, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) >= 0.075 THEN 'block' ELSE 'allow' END) AS verdict,
+  round(coalesce(trust, 0), 9) AS trust, round(coalesce(distrust, 0), 9) AS distrust
+FROM judged j LEFT JOIN ranks ON ranks.host = j.host
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import chat, graph_index, jaccard, oracles, packing, phrases, quality, tiling, toxicity
+from stackloom.llm import chat, graph_index, jaccard, oracles, packing, phrases, quality, tiling, toxicity, url_graph
 from stackloom.llm.sampling import fold
 
 
@@ -35,6 +35,20 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(rows.unionByName(more))
 
 
+URL_RULES = [
+    url_graph.Rule("net", "/", "block"),
+    url_graph.Rule("example.net", "/en/", "allow"),
+    url_graph.Rule("example.com", "/de/", "block"),
+    url_graph.Rule("org", "/fr/", "allow"),
+]
+
+
+def op3_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url, by rules and else by trust and distrust of its host."""
+    judged = url_graph.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in which at least 60 % of a benchmark item's words are found in tiles of five words or more."""
     return tiling.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -89,6 +103,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_chat": op2_chat,
+    "op3_url_graph": op3_url_graph,
     "op4_decontamination": op4_decontamination,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_quality": op7_quality,
@@ -99,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_chat": oracles.OP2,
+    "op3_url_graph": oracles.OP3,
     "op6_ngram_jaccard": oracles.OP6,
     "op9_substring_dedup": oracles.OP9,
 }
