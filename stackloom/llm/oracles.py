@@ -119,3 +119,15 @@ SELECT page_id, j.host, path, rule,
   round(coalesce(trust, 0), 9) AS trust, round(coalesce(distrust, 0), 9) AS distrust
 FROM judged j LEFT JOIN ranks ON ranks.host = j.host
 """
+
+OP5 = """
+WITH r AS (
+  SELECT page_id, 'pages-' || (page_id // 500) AS archive, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+l AS (
+  SELECT *, strlen('WARC/1.0WARC-Type: resourceWARC-Record-ID: <urn:page:' || page_id || '>WARC-Target-URI: '
+    || replace(replace(url, chr(13), '%0D'), chr(10), '%0A') || 'Content-Type: text/htmlContent-Length: ' || strlen(html)) + strlen(html) + 18 AS length
+  FROM r),
+o AS (SELECT *, sum(length) OVER (PARTITION BY archive ORDER BY page_id, url, html ROWS UNBOUNDED PRECEDING) - length AS begins FROM l)
+SELECT archive, begins::BIGINT AS "offset", length::BIGINT AS length, '<urn:page:' || page_id || '>' AS record_id, 'changed' AS kind, page_id
+FROM o WHERE page_id % 97 = 5
+"""

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stackloom.llm.steps import release, written
 from stackloom.llm.words import find_words, gram_hashes, group_bounds, mix, sequence_hashes, text_slices, whole_groups
@@ -360,6 +361,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = repeated_ranges(docs, id_col, text_col, window)
     ranges = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("low", "high")).alias("_ranges"))
     joined = docs.join(ranges, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
-    fields = [*docs.schema.fields]
-    schema = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in fields)
-    return joined.mapInArrow(_cut(text_col, rejoin), f"{schema}, _n_words long, _n_removed long")
+    fields = [T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in docs.schema.fields]
+    counts = [T.StructField(c, T.LongType()) for c in ("_n_words", "_n_removed")]
+    return joined.mapInArrow(_cut(text_col, rejoin), T.StructType([*fields, *counts]))
+
+
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """``remove_repeats`` for a pipeline: the same columns; texts of which nothing is left go."""
+    cut = remove_repeats(docs, id_col, text_col, window)
+    return cut.filter("_n_removed = 0 OR _n_removed < _n_words").drop("_n_words", "_n_removed")

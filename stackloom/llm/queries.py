@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import chat, graph_index, jaccard, oracles, packing, phrases, quality, tiling, toxicity, url_graph
+from stackloom.llm import chat, graph_index, jaccard, oracles, packing, phrases, quality, tiling, toxicity, url_graph, warc
 from stackloom.llm.sampling import fold
+from stackloom.llm.steps import written
+from stackloom.session import work_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +56,18 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixity drill: all pages are archived, copied with a bit turned over in one record of 97, and the copy is audited."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    good, other = work_folder(spark), work_folder(spark)
+    archive = F.concat(F.lit("pages-"), F.floor(F.col("page_id") / 500).cast("string"))
+    warc.archive_pages(pages, archive, good)
+    page = F.regexp_extract("record_id", "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+    warc.damaged_copy(warc.read_records(spark, good, with_bytes=True), page % 97 == 5, other)
+    found = warc.audit(written(warc.read_records(spark, good)), written(warc.read_records(spark, other)))
+    return found.withColumn("page_id", page)
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class and links of every document: five-word shingles, similarity of 0.8 or more."""
     return jaccard.jaccard_classes(_table(spark, sf_dir, "documents"))
@@ -105,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat": op2_chat,
     "op3_url_graph": op3_url_graph,
     "op4_decontamination": op4_decontamination,
+    "op5_warc_audit": op5_warc_audit,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_quality": op7_quality,
     "op8_nearest": op8_nearest,
@@ -115,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_chat": oracles.OP2,
     "op3_url_graph": oracles.OP3,
+    "op5_warc_audit": oracles.OP5,
     "op6_ngram_jaccard": oracles.OP6,
     "op9_substring_dedup": oracles.OP9,
 }
