@@ -95,7 +95,7 @@ hosts AS (
   SELECT host, avg(CASE WHEN said = 'allow' THEN 1.0::DOUBLE ELSE 0.0 END) AS allowed, avg(CASE WHEN said = 'block' THEN 1.0::DOUBLE ELSE 0.0 END) AS blocked
   FROM judged WHERE host != '' GROUP BY host),
 found AS (
-  SELECT DISTINCT page_id, host AS src, lower(unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s<>]+)', 1))) AS dst
+  SELECT DISTINCT page_id, host AS src, translate(unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s<>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst
   FROM judged WHERE host != ''),
 above AS (
   SELECT h.host AS src, max_by(k.host, length(k.host)) AS dst FROM hosts h JOIN hosts k ON ends_with(h.host, '.' || k.host) GROUP BY 1),

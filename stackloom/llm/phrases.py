@@ -280,8 +280,8 @@ def _hot_ranges(segments: DataFrame, window: int) -> DataFrame:
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """(doc_id, low, high): word ranges [low, high) covered by windows that also start in a document with a smaller id.
 
-    Ranges of one document may touch or overlap.  Rows without an id are neither owners nor judged; rows that repeat an
-    id are judged against smaller ids only, never against each other.
+    Ranges of one document may touch or overlap.  Rows without an id are neither owners nor judged.  Rows that repeat an id
+    are one document: they are judged against smaller ids only, and the ranges of each hold for all of them.
     """
     spark = docs.sparkSession
     anchor = min(ANCHOR, window)

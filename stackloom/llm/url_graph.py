@@ -53,8 +53,9 @@ def _first_fit(rules: list[Rule], host: Column, path: Column, value) -> Column:
 
 def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     """(src, dst, w): pages of src that link to dst, both known hosts; and 1 for the nearest known domain above a host."""
-    links = pages.select(F.col("host").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(_LINKS), F.lit(1)))).alias("dst"))
-    links = links.withColumn("dst", F.translate("dst", _UPPER, _LOWER)).filter("src != dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
+    found = F.transform(F.regexp_extract_all("html", F.lit(_LINKS), F.lit(1)), lambda x: F.translate(x, _UPPER, _LOWER))
+    links = pages.select(F.col("host").alias("src"), F.explode(F.array_distinct(found)).alias("dst"))
+    links = links.filter("src != dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
     known = hosts.select(F.col("host").alias("dst"))
     links = links.join(known, "dst", "left_semi")
     labels = F.split("host", r"\.")
