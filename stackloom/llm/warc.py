@@ -52,7 +52,8 @@ def write_archives(records: DataFrame, folder: str) -> None:
 def archive_pages(pages: DataFrame, archive: Column, folder: str) -> None:
     """Writes (page_id, url, html) rows as archives, each in order of page_id, url and html.
 
-    ``archive`` names a row's archive; it must spread rows, as an archive is written by one task.  Null texts are empty; a
+    ``archive`` names a row's archive by letters, digits, ``-``, ``_`` and ``.``; it must spread rows, as an archive is written
+    by one task.  Null texts are empty; a
     null id gives an empty record id; repeated rows are records of their own; other columns are ignored.
     """
     rows = pages.select(archive.cast("string").alias("archive"), "page_id", F.col("url").cast("string"), F.col("html").cast("string"))
@@ -99,10 +100,10 @@ def read_records(spark: SparkSession, folder: str, with_bytes: bool = False) ->
                         names=["archive", "offset", "length", "record_id", "sha256", "record"],
                     )
 
-    files = spark.read.schema("path string, modificationTime timestamp, length long, content binary, archive string")
-    files = files.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder)
+    # the archive's folder is taken from the path, as an empty replica has no folders to tell partitions from
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(folder)
     schema = "archive string, offset long, length long, record_id string, sha256 binary, record binary"
-    out = files.select("archive", "content").mapInArrow(run, schema)
+    out = files.select(F.regexp_extract("path", "/archive=([^/]+)/[^/]+$", 1).alias("archive"), "content").mapInArrow(run, schema)
     return out if with_bytes else out.drop("record")
 
 
