@@ -46,7 +46,7 @@ def record_text(record_id: Column, uri: Column, payload: Column) -> Column:
 
 def write_archives(records: DataFrame, folder: str) -> None:
     """Writes (archive, value) rows, sorted within archives that lie in one partition each, to ``folder``."""
-    records.select("value", "archive").write.partitionBy("archive").option("lineSep", BREAK).option("compression", "gzip").text(folder)
+    records.select("value", "archive").write.partitionBy("archive").option("lineSep", BREAK).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(folder)
 
 
 def archive_pages(pages: DataFrame, archive: Column, folder: str) -> None:
