@@ -16,12 +16,12 @@ def fold(id_col: str, folds: int) -> Column:
 
 def training_texts(
     docs: DataFrame, labels: DataFrame, label_col: str, keep: Column, per_class: int, words: int, run: int
-) -> list[tuple[list[str], int]]:
-    """(texts, label) of at most ``per_class`` labelled documents of each class for which ``keep`` holds, in order of id.
+) -> DataFrame:
+    """(doc_id, texts, label) of at most ``per_class`` labelled documents of each class for which ``keep`` holds.
 
     A document of over ``words`` words gives evenly spread runs of ``run`` words of that length in all, others are one
-    text.  So at most 2 * per_class * words words reach the driver, whatever the input.  Rows are picked by a hash of the id;
-    ids labelled twice count as their largest label.
+    text.  So these are at most 2 * per_class * words words, whatever the input.  Rows are picked by a hash of the id; ids
+    labelled twice count as their largest label, and of rows that repeat an id one is taken.
     """
     known = labels.filter(keep & F.col(label_col).isin(0, 1)).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -47,5 +47,4 @@ def training_texts(
             )
 
     rows = texts.select("doc_id", "text", "label").mapInArrow(shorten, "doc_id long, texts array<string>, label int")
-    rows = rows.dropDuplicates(["doc_id"])
-    return [(r["texts"], r["label"]) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])]
+    return rows.dropDuplicates(["doc_id"])

@@ -11,6 +11,7 @@ small product for each window.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -73,7 +74,7 @@ def make_windows(words: Words, which: np.ndarray, none: int) -> tuple[np.ndarray
     at = begin[:, None] + np.arange(WINDOW)
     inside = at < size[row][:, None]
     index = np.minimum(words.first[row][:, None] + at, max(0, len(which) - 1))
-    return np.where(inside, which[index] if len(which) else none, none), row
+    return np.where(inside, which[index] if len(which) else none, none).astype(np.int32), row
 
 
 def start_params(seed: int = 7) -> Params:
@@ -94,8 +95,13 @@ def word_inputs(p: Params, x: Inputs) -> np.ndarray:
     """Input vectors of distinct words."""
     if not len(x.word):
         return np.zeros((0, WORD_DIM + GRAM_DIM), np.float32)
-    grams = np.add.reduceat(p["gram"][x.gram], x.first[:-1], axis=0)
-    return np.concatenate([p["word"][x.word], grams], axis=1)
+    out = np.empty((len(x.word), WORD_DIM + GRAM_DIM), dtype=p["gram"].dtype)
+    out[:, :WORD_DIM] = p["word"][x.word]
+    for low in range(0, len(x.word), 1 << 14):  # in parts, as all grams at once would be large
+        first = x.first[low : low + (1 << 14) + 1]
+        grams = p["gram"][x.gram[first[0] : first[-1]]]
+        out[low : low + (1 << 14), WORD_DIM:] = np.add.reduceat(grams, first[:-1] - first[0], axis=0)
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -287,8 +293,24 @@ def score_slices(p: Params, column: pa.Array) -> Iterator[tuple[int, int, np.nda
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "toxic", per_class: int = PER_CLASS) -> Params:
-    """The network, learnt from at most ``per_class`` labelled documents of each class and ``TRAIN_WORDS`` words of each."""
-    return train(training_texts(docs, labels, label_col, keep, per_class, TRAIN_WORDS, 5 * WINDOW))
+    """The network, learnt from at most ``per_class`` labelled documents of each class and ``TRAIN_WORDS`` words of each.
+
+    That bounded sample goes to one task, which trains and gives the parameters back.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
+        if rows:
+            raw = io.BytesIO()
+            np.savez(raw, **train([(texts, label) for _, texts, label in rows]))
+            yield pa.RecordBatch.from_arrays([pa.array([raw.getvalue()], pa.binary())], names=["params"])
+
+    sample = training_texts(docs, labels, label_col, keep, per_class, TRAIN_WORDS, 5 * WINDOW)
+    found = sample.coalesce(1).mapInArrow(run, "params binary").collect()
+    if not found:
+        return train([])
+    with np.load(io.BytesIO(found[0]["params"])) as params:
+        return {k: params[k] for k in params.files}
 
 
 def score(docs: DataFrame, params: Params, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

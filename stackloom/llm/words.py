@@ -44,31 +44,34 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
-def text_slices(column: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of texts; nulls are empty texts."""
+    column = column.fill_null("").cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def text_slices(column: pa.Array, limit: int = 1 << 21, rows: int = 1024) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of slices of about ``limit`` bytes; nulls are empty texts.
 
-    A longer text is a slice of its own.
+    A longer text is a slice of its own.  Only ``rows`` rows are copied at a time.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.fill_null("").cast(pa.large_string())
-    if not len(column):
-        return
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
-    low = 0
-    while low < len(column):
-        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + limit, side="right")) - 1)
-        high = min(high, len(column))
-        yield low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
-        low = high
+    for base in range(0, len(column), rows):
+        data, offsets = _buffers(column.slice(base, rows))
+        low, n = 0, len(offsets) - 1
+        while low < n:
+            high = min(n, max(low + 1, int(np.searchsorted(offsets, offsets[low] + limit, side="right")) - 1))
+            yield base + low, base + high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+            low = high
 
 
 def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of lower-cased texts; nulls are empty texts."""
-    parts = list(text_slices(pc.utf8_lower(column.fill_null("")), 1 << 62))
-    return (parts[0][2], parts[0][3]) if parts else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    return _buffers(pc.utf8_lower(column.fill_null(""))) if len(column) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
 
 
 def _power_tables(size: int) -> list[np.ndarray]:
