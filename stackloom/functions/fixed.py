@@ -4,7 +4,7 @@ Everything in this module is a FIXED VALUE: limits, word lists, labels and patte
 results to be right.  Patterns are written in RE2 syntax; ``dialect.java`` turns them into the JVM dialect.
 """
 
-# --- fixed values: limits -------------------------------------------------------------------------------------------
+# --- fixed values: limits; none of them is a default -------------------------------------------------------------------------------------------
 MAX_INPUT_BYTES = 256 * 1024
 MAX_FRAMES = 25
 MAX_GROUPS = 20
@@ -110,15 +110,15 @@ FNV_OFFSET_LOW = 0x84222325
 FNV_PRIME_LOW = 0x1B3
 
 # --- fixed values: texts the prompt is put together from -------------------------------------------------------------
-NOTE_INLINE = "Input was provided inline (via --message)."
-NOTE_STDIN = "Input was piped via stdin (likely a command's stderr or a log stream)."
-NOTE_FILE = "Input was read from file: "
-NOTE_TRUNCATED = "\nNOTE: the input exceeded the size limit and was truncated; analyze the portion provided."
+NOTE_INLINE = "The text below was handed over directly."
+NOTE_STDIN = "The text below came from a stream, such as the error output of a command or a log."
+NOTE_FILE = "The text below is the content of "
+NOTE_TRUNCATED = "\nOnly its beginning is given, as the whole was too long."
 CONTEXT_OPEN, CONTEXT_CLOSE = "--- PARSED CONTEXT ---\n", "\n--- END CONTEXT ---\n\n"
 SOURCE_OPEN, SOURCE_CLOSE = "--- RELEVANT SOURCE ---\n", "\n--- END SOURCE ---\n\n"
 PRIORS_OPEN, PRIORS_CLOSE = "--- PRIOR OCCURRENCES ---\n", "--- END PRIOR OCCURRENCES ---"
 INPUT_OPEN, INPUT_CLOSE = "--- INPUT START ---\n", "\n--- INPUT END ---"
-SOURCE_TRUNCATED = "\n\n(source extraction truncated to fit the size budget)"
+SOURCE_TRUNCATED = "\n\n(more source was found than the budget allows)"
 
 # --- fixed values: Unicode White_Space characters --------------------------------------------------------------------
 WHITE_SPACE = (

@@ -69,13 +69,21 @@ def normalize(col: Column) -> Column:
     """B1: the signature of a log block, its volatile parts replaced and its white space collapsed.
 
     A byte search decides whether a step's regular expression has to run at all; most texts need few of them.
+
+    White space in front of a time would be searched anew from each line of a run of blank lines.  It is collapsed in the
+    end anyway, so the pattern takes the blanks of the time's own line only, and gives none of them back.
     """
 
+    def linear(pattern: str) -> str:
+        start = r"(?m)^\s*"
+        own_line = r"(?m)^[\t\f\r ]*+"
+        return java(own_line + pattern[len(start) :]) if pattern.startswith(start) else java(pattern)
+
     def apply(text: Column, step: int) -> Column:
         if step == len(fixed.SIGNATURE_STEPS):
             return F.btrim(F.regexp_replace(text, UNICODE_SPACE + "+", " "))
         pattern, replacement, needle = fixed.SIGNATURE_STEPS[step]
-        replaced = F.when(text.contains(needle), F.regexp_replace(text, java(pattern), replacement)).otherwise(text)
+        replaced = F.when(text.contains(needle), F.regexp_replace(text, linear(pattern), replacement)).otherwise(text)
         return let(replaced, lambda result: apply(result, step + 1))
 
     return apply(col, 0)
@@ -164,23 +172,30 @@ def day(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd")
 
 
-def payload_int(payload: Column, field: str) -> Column:
-    """Number in a JSON payload; 0 when it is missing or no number."""
-    raw = F.get_json_object(payload, f"$.{field}")
-    quoted = F.regexp_like(payload, F.lit(f'"{field}"\\s*:\\s*"'))
-    return F.when(quoted, F.lit(0)).otherwise(F.coalesce(raw.try_cast("double").try_cast("bigint"), F.lit(0))).cast(
-        "bigint"
-    )
+def payload(text: Column) -> Column:
+    """A JSON payload as a variant, NULL when it is no JSON."""
+    return F.try_parse_json(text)
+
+
+def _field(parsed: Column, field: str, kinds: str) -> Column:
+    """A top-level field as text if its own kind, not that of a field of that name further down, is one of ``kinds``."""
+    kind = F.schema_of_variant(F.try_variant_get(parsed, f"$.{field}", "variant"))
+    return F.when(kind.rlike(f"^(?:{kinds})"), F.try_variant_get(parsed, f"$.{field}", "string"))
+
+
+def payload_int(parsed: Column, field: str) -> Column:
+    """Number in a payload; 0 when it is missing or no number."""
+    raw = _field(parsed, field, "BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT")
+    return F.coalesce(raw.try_cast("double").try_cast("bigint"), F.lit(0)).cast("bigint")
 
 
-def payload_text(payload: Column, field: str) -> Column:
-    """String in a JSON payload; empty when it is missing or no string."""
-    quoted = F.regexp_like(payload, F.lit(f'"{field}"\\s*:\\s*"'))
-    return F.when(quoted, F.get_json_object(payload, f"$.{field}")).otherwise(F.lit(""))
+def payload_text(parsed: Column, field: str) -> Column:
+    """String in a payload; empty when it is missing or no string."""
+    return F.coalesce(_field(parsed, field, "STRING"), F.lit(""))
 
 
-def payload_time(payload: Column, field: str) -> Column:
-    """RFC3339 time in a JSON payload; NULL when it cannot be read."""
-    text = payload_text(payload, field)
+def payload_time(parsed: Column, field: str) -> Column:
+    """RFC3339 time in a payload; NULL when it cannot be read."""
+    text = payload_text(parsed, field)
     valid = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$")
     return F.when(valid, text.try_cast("timestamp"))

@@ -1,7 +1,7 @@
 """Stack frames per language (C3a-C3g, C4, F3, F4, H2-H4).
 
 As with groups, the frames of a document are an array column of its row.  Each language has one pattern that picks the
-frame lines out of the whole text; at most 25 lines per document are then taken apart.
+frame lines out of the whole text; they are then taken apart, all of them or the first ``limit``.
 """
 
 from __future__ import annotations
@@ -28,12 +28,16 @@ def _frame(file: Column, line: Column, function: Column | None = None, module: C
     )
 
 
-def _matches(text: Column, pattern: str, limit: int) -> Column:
-    """The first matches of a line pattern in a text."""
-    return F.slice(F.regexp_extract_all(text, F.lit(java(pattern, per_line=True)), 0), 1, limit)
+def _first(items: Column, limit: int | None) -> Column:
+    return items if limit is None else F.slice(items, 1, limit)
 
 
-def _line_frames(text: Column, pattern: str, limit: int, file: int, line: int, function: int, module: int = 0) -> Column:
+def _matches(text: Column, pattern: str, limit: int | None) -> Column:
+    """The first matches, or all, of a line pattern in a text."""
+    return _first(F.regexp_extract_all(text, F.lit(java(pattern, per_line=True)), 0), limit)
+
+
+def _line_frames(text: Column, pattern: str, limit: int | None, file: int, line: int, function: int, module: int = 0) -> Column:
     single = java(pattern)
 
     def part(match: Column, group: int) -> Column | None:
@@ -44,29 +48,29 @@ def _line_frames(text: Column, pattern: str, limit: int, file: int, line: int, f
     )
 
 
-def python_frames(text: Column, limit: int) -> Column:
+def python_frames(text: Column, limit: int | None) -> Column:
     return _line_frames(text, fixed.PYTHON_FRAME, limit, file=1, line=2, function=3)
 
 
-def java_frames(text: Column, limit: int) -> Column:
+def java_frames(text: Column, limit: int | None) -> Column:
     return _line_frames(text, fixed.JAVA_FRAME, limit, file=3, line=4, function=2, module=1)
 
 
-def ruby_frames(text: Column, limit: int) -> Column:
+def ruby_frames(text: Column, limit: int | None) -> Column:
     return _line_frames(text, fixed.RUBY_FRAME, limit, file=1, line=2, function=3)
 
 
-def dotnet_frames(text: Column, limit: int) -> Column:
+def dotnet_frames(text: Column, limit: int | None) -> Column:
     """C3g.  Lines are first cut behind their last ``:line n``, so that the two gaps of the pattern are found at once."""
     single = java(fixed.DOTNET_FRAME)
     cut = F.regexp_extract_all(text, F.lit(java(r"^\s*at .+:line \d+", per_line=True)), 0)
     return F.transform(
-        F.slice(F.filter(cut, lambda m: m.rlike(single)), 1, limit),
+        _first(F.filter(cut, lambda m: m.rlike(single)), limit),
         lambda m: _frame(F.regexp_extract(m, single, 2), F.regexp_extract(m, single, 3), F.regexp_extract(m, single, 1)),
     )
 
 
-def node_frames(text: Column, limit: int) -> Column:
+def node_frames(text: Column, limit: int | None) -> Column:
     """C3d.  Every line of the form with a function also fits the form without one, so one pattern finds both.
 
     The form with a function is looked for in the line up to its last ``:n:n)``, for the reason given at C3g.
@@ -85,7 +89,7 @@ def node_frames(text: Column, limit: int) -> Column:
     )
 
 
-def rust_frames(text: Column, limit: int) -> Column:
+def rust_frames(text: Column, limit: int | None) -> Column:
     """C3f/H2: the panic header, looked for on the first line only, then the frame lines.
 
     The header's file ends at the last ``.rs:n:n`` and begins behind the first blank, if there is one in front of it.
@@ -106,10 +110,10 @@ def rust_frames(text: Column, limit: int) -> Column:
         _matches(text, fixed.RUST_FRAME, limit),
         lambda m: _frame(F.regexp_extract(m, single, 1), F.regexp_extract(m, single, 2)),
     )
-    return F.slice(F.concat(head, body), 1, limit)
+    return _first(F.concat(head, body), limit)
 
 
-def go_frames(text: Column, limit: int) -> Column:
+def go_frames(text: Column, limit: int | None) -> Column:
     """A frame takes the call line before it, unless another frame came in between.
 
     With only call and frame lines left, that is the element in front of the frame.  The look-ahead for a closing
@@ -124,7 +128,7 @@ def go_frames(text: Column, limit: int) -> Column:
         pairs = F.transform(
             hits, lambda hit, i: F.struct(hit.alias("hit"), F.coalesce(F.get(hits, i - 1), F.lit("\t")).alias("before"))
         )
-        return F.slice(F.filter(pairs, lambda p: p["hit"].startswith("\t")), 1, limit)
+        return _first(F.filter(pairs, lambda p: p["hit"].startswith("\t")), limit)
 
     def function(before: Column) -> Column:
         return F.when(~before.startswith("\t"), strip(F.regexp_replace(strip(before), r"\(\)\z", "")))
@@ -135,7 +139,7 @@ def go_frames(text: Column, limit: int) -> Column:
     )
 
 
-def generic_frames(text: Column, limit: int) -> Column:
+def generic_frames(text: Column, limit: int | None) -> Column:
     """C4/H3: every distinct ``file.ext:n``.
 
     The pattern takes as much of a run of non-blanks as it can, so a run has at most one match, at its start.  The
@@ -146,7 +150,7 @@ def generic_frames(text: Column, limit: int) -> Column:
         F.array().cast("array<string>")
     )
     return F.transform(
-        F.slice(found, 1, limit),
+        _first(found, limit),
         lambda m: _frame(F.regexp_extract(m, r"(?s)^(.*):\d+\z", 1), F.substring_index(m, ":", -1)),
     )
 
@@ -162,7 +166,7 @@ PARSERS = {
 }
 
 
-def stack_frames(text: Column, language: Column, limit: int = fixed.MAX_FRAMES) -> Column:
+def stack_frames(text: Column, language: Column, limit: int | None = None) -> Column:
     """The frames of a text by its language, the generic sweep when that gives none."""
     own = F.array().cast(FRAMES_TYPE)
     for name, parser in PARSERS.items():
@@ -170,7 +174,7 @@ def stack_frames(text: Column, language: Column, limit: int = fixed.MAX_FRAMES)
     return let(own, lambda found: F.when(F.size(found) > 0, found).otherwise(generic_frames(text, limit)))
 
 
-def parse_frames(df: DataFrame, limit: int = fixed.MAX_FRAMES) -> DataFrame:
+def parse_frames(df: DataFrame, limit: int | None = None) -> DataFrame:
     """One row per document and frame, in source order from 0; uses ``language`` when ``df`` has it."""
     if "language" not in df.columns:
         df = df.withColumn("language", detect_language(F.col("text")))

@@ -1,8 +1,8 @@
 """Log blocks and error groups.
 
-A document is one row of at most 256 KiB, so everything that concerns a single document is a column expression over
-that row: no shuffle, no window, and the same expression works on a stream.  Only the roll-up across documents (E10)
-moves data.
+A document is one row, so everything that concerns a single document is a column expression over that row: no shuffle, no
+window, and the same expression works on a stream.  Only the roll-up across documents (E10) moves data.  Limits are
+arguments; none holds unless it is given, and roll-ups take none.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.functions import fixed
-from stackloom.functions.text import UNICODE_SPACE, cut_bytes, excerpt, let, normalize, strip
+from stackloom.functions.text import UNICODE_SPACE, excerpt, let, normalize, strip
 from stackloom.operators.rows import once, unfold
 
 # A break is a run of blank lines, or a newline in front of a line that starts an entry.
@@ -38,13 +38,20 @@ def blocks(df: DataFrame) -> DataFrame:
     return pieces.withColumn("block", F.regexp_replace("block", edges, ""))
 
 
-def error_groups(text: Column, max_groups: int | None = fixed.MAX_GROUPS) -> Column:
+def error_groups(
+    text: Column, max_groups: int | None = None, max_bytes: int | None = None, noise: bool = False
+) -> Column:
     """The blocks of a text collapsed by signature, most frequent first, then first seen.
 
+    A single short block is noise and left out unless ``noise``; roll-ups need it, as it may be frequent elsewhere.
+
     Sorting the (signature, block number) pairs puts equal signatures next to each other; the heads of those runs are
     the groups.  That is n log n in the blocks of one document.
     """
 
+    def shortened(block: Column) -> Column:
+        return block if max_bytes is None else excerpt(block, max_bytes)
+
     def signed(pieces: Column) -> Column:
         pairs = F.transform(pieces, lambda b, i: F.struct(normalize(b).alias("signature"), i.alias("block_no")))
         return F.sort_array(F.filter(pairs, lambda p: p["signature"] != ""))
@@ -66,13 +73,13 @@ def error_groups(text: Column, max_groups: int | None = fixed.MAX_GROUPS) -> Col
                 F.get(pairs, start)["signature"].alias("signature"),
             ),
         )
-        # A single short block is noise.
-        kept = F.filter(
-            groups,
-            lambda g: (g["minus_count"] < -1)
-            | (F.octet_length(F.get(pieces, g["block_no"])) >= fixed.NOISE_BYTES),
-        )
-        ordered = F.sort_array(kept)
+        if not noise:
+            groups = F.filter(
+                groups,
+                lambda g: (g["minus_count"] < -1)
+                | (F.octet_length(F.get(pieces, g["block_no"])) >= fixed.NOISE_BYTES),
+            )
+        ordered = F.sort_array(groups)
         if max_groups is not None:
             ordered = F.slice(ordered, 1, max_groups)
         return F.transform(
@@ -81,7 +88,7 @@ def error_groups(text: Column, max_groups: int | None = fixed.MAX_GROUPS) -> Col
                 (i + 1).alias("rank"),
                 g["signature"].alias("signature"),
                 (-g["minus_count"]).cast("bigint").alias("count"),
-                excerpt(F.get(pieces, g["block_no"]), fixed.REPRESENTATIVE_BYTES).alias("representative"),
+                shortened(F.get(pieces, g["block_no"])).alias("representative"),
             ),
         )
 
@@ -95,19 +102,16 @@ def error_groups(text: Column, max_groups: int | None = fixed.MAX_GROUPS) -> Col
     )
 
 
-def group_errors(df: DataFrame, max_groups: int | None = fixed.MAX_GROUPS) -> DataFrame:
-    """One row per document and error group."""
-    return unfold(df, error_groups(F.col("text"), max_groups), "doc_id").select("doc_id", "item.*")
+def group_errors(df: DataFrame, max_groups: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """One row per document and error group, or per document the first ``max_groups``."""
+    return unfold(df, error_groups(F.col("text"), max_groups, max_bytes), "doc_id").select("doc_id", "item.*")
 
 
 def top_signature(text: Column, groups: Column) -> Column:
-    """Signature and representative of a text; the start of the text stands in when it has no group."""
+    """Signature and representative of a text; the whole text stands in when it has no group."""
 
     def start() -> Column:
-        return F.struct(
-            normalize(cut_bytes(text, fixed.FALLBACK_BYTES)).alias("signature"),
-            cut_bytes(text, fixed.REPRESENTATIVE_BYTES).alias("representative"),
-        )
+        return F.struct(normalize(text).alias("signature"), text.alias("representative"))
 
     first = let(
         F.get(groups, F.lit(0)), lambda g: F.when(g.isNotNull(), F.struct(g["signature"], g["representative"]))
@@ -122,20 +126,26 @@ def doc_signature(df: DataFrame) -> DataFrame:
 
 
 def embed_text(text: Column, groups: Column) -> Column:
-    """What to embed: the top group's representative, or the first 4 KiB."""
-    return F.coalesce(F.get(groups, F.lit(0))["representative"], cut_bytes(text, fixed.FALLBACK_BYTES))
+    """What to embed: the top group's representative, or the whole text."""
+    return F.coalesce(F.get(groups, F.lit(0))["representative"], text)
 
 
-def error_families(df: DataFrame) -> DataFrame:
-    """One row per signature over all documents (``df`` has doc_id, text, ts).
-
-    Each document contributes one row per signature, so counting documents needs no distinct.  All four aggregates
-    combine on the map side: a family that makes up a third of all rows arrives as one row per task.
-    """
-    per_doc = unfold(df, error_groups(F.col("text"), None), "ts").select("ts", "item.*")
-    return per_doc.groupBy("signature").agg(
+def counted_families(per_doc: DataFrame, *keys: str | Column) -> DataFrame:
+    """Families over (ts, signature, count, representative) rows, noise left out by what is counted over all of them."""
+    rolled = per_doc.withColumn("bytes", F.octet_length("representative")).groupBy(*keys, "signature").agg(
         F.sum("count").alias("occurrences"),
         F.count(F.lit(1)).alias("documents"),
         F.min("ts").alias("first_seen"),
         F.max("ts").alias("last_seen"),
+        F.max("bytes").alias("bytes"),
     )
+    return rolled.where((F.col("occurrences") > 1) | (F.col("bytes") >= fixed.NOISE_BYTES)).drop("bytes")
+
+
+def error_families(df: DataFrame) -> DataFrame:
+    """One row per signature over all documents (``df`` has doc_id, text, ts).
+
+    Each document contributes one row per signature, so counting documents needs no distinct.  All aggregates combine
+    on the map side: a family that makes up a third of all rows arrives as one row per task.
+    """
+    return counted_families(unfold(df, error_groups(F.col("text"), noise=True), "ts").select("ts", "item.*"))

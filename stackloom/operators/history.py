@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stackloom.functions.text import payload as parsed_payload
 from stackloom.functions.text import payload_int, payload_text, payload_time, sig_id
 from stackloom.session import ensure_checkpoint_dir
 
@@ -80,6 +81,7 @@ def record(history: DataFrame, occurrences: DataFrame) -> DataFrame:
 
 def history_from_payloads(df: DataFrame) -> DataFrame:
     """Stored points (sig_id, payload JSON, embedding) as history rows; what cannot be read counts as missing."""
+    df = df.withColumn("payload", parsed_payload(F.col("payload")))
     payload = F.col("payload")
     texts = [payload_text(payload, name).alias(name) for name in ("signature", *LATEST[:-1])]
     times = [payload_time(payload, name).alias(name) for name in ("first_seen", "last_seen")]

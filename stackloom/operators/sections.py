@@ -40,13 +40,14 @@ def parse_sections(responses: DataFrame) -> DataFrame:
     return unfold(responses, sections(F.col("content")), "doc_id", position="_").select("doc_id", "item.*")
 
 
-def summary(parsed: Column, label: str, max_bytes: int = fixed.SUMMARY_BYTES) -> Column:
-    """Body of the last section with that title, capped; empty when there is none."""
+def summary(parsed: Column, label: str, max_bytes: int | None = None) -> Column:
+    """Body of the last section with that title, cut at ``max_bytes`` if given; empty when there is none."""
     last = F.try_element_at(F.filter(parsed, lambda s: s["title"] == label), F.lit(-1))["body"]
-    return excerpt(F.coalesce(last, F.lit("")), max_bytes)
+    body = F.coalesce(last, F.lit(""))
+    return body if max_bytes is None else excerpt(body, max_bytes)
 
 
-def cause_fixes(responses: DataFrame, max_bytes: int = fixed.SUMMARY_BYTES) -> DataFrame:
+def cause_fixes(responses: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Each reply with its ``cause`` and ``fixes``."""
     parsed = responses.withColumn("_sections", sections(F.col("content")))
     return (

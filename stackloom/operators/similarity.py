@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,17 +49,18 @@ def with_vector(df: DataFrame, col: str = "embedding") -> DataFrame:
 
 
 def hash_embed(df: DataFrame, dim: int = 256, text: str = "text") -> DataFrame:
-    """K: a lexical stand-in for a model's embedding: hashed word counts of unit length.
+    """K: a lexical stand-in for a model's embedding: word counts of unit length, words placed by their md5.
 
     The default recall threshold is not calibrated for it.  A text without words gets no vector.
     """
-    words = Tokenizer(inputCol=text, outputCol="_words").transform(df)
-    counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dim).transform(words)
+    words = F.filter(F.split(F.lower(text), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    places = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % dim).cast("string"))
+    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], inputCol="_places", outputCol="_counts")
+    counts = counter.transform(df.withColumn("_places", F.coalesce(places, F.array().cast("array<string>"))))
     unit = Normalizer(inputCol="_counts", outputCol="_unit").transform(counts)
     return unit.withColumn(
-        "embedding",
-        F.when(F.btrim(F.col(text)) != "", vector_to_array("_unit")).otherwise(F.array().cast("array<double>")),
-    ).drop("_words", "_counts", "_unit")
+        "embedding", F.when(F.size("_places") > 0, vector_to_array("_unit")).otherwise(F.array().cast("array<double>"))
+    ).drop("_places", "_counts", "_unit")
 
 
 def cosine(a: Column, b: Column) -> Column:

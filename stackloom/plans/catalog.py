@@ -115,6 +115,11 @@ def error_groups(spark, sf_dir):
     return groups.group_errors(inputs.errors(spark, sf_dir))
 
 
+def error_groups_top(spark, sf_dir):
+    """the 20 most frequent groups of a text, shortened to 500 bytes."""
+    return groups.group_errors(inputs.errors(spark, sf_dir), max_groups=20, max_bytes=500)
+
+
 def doc_signature(spark, sf_dir):
     return groups.doc_signature(inputs.errors(spark, sf_dir))
 
@@ -285,8 +290,8 @@ def recall_in_turn(spark, sf_dir):
 
 
 def recall_threshold(spark, sf_dir):
-    """The default threshold: only the vectors themselves are that close."""
-    found = similarity.nearest(inputs.vectors(spark, sf_dir), inputs.vector_history(spark, sf_dir))
+    """The default threshold, with near copies as queries."""
+    found = similarity.nearest(inputs.perturbed_vectors(spark, sf_dir), inputs.vector_history(spark, sf_dir))
     return found.select("doc_id", "rank", F.col("sig_id").cast("string").alias("sig_id"), F.round("score", 6).alias("score"))
 
 
@@ -296,7 +301,8 @@ def dimension_check(spark, sf_dir):
 
 def hash_embed(spark, sf_dir):
     embedded = similarity.hash_embed(inputs.errors(spark, sf_dir), 64)
-    return embedded.select("doc_id", F.size("embedding").alias("dim"), F.col("embedding"))
+    shown = F.transform("embedding", lambda x: F.round(x * 1_000_000).cast("bigint").cast("string"))
+    return embedded.select("doc_id", F.size("embedding").alias("dim"), F.array_join(shown, ",").alias("millionths"))
 
 
 def prior_blocks(spark, sf_dir):
@@ -357,7 +363,9 @@ def cause_fixes(spark, sf_dir):
 
 
 def build_prompts(spark, sf_dir):
-    traces = ingest.cap_input(inputs.traces(spark, sf_dir))
+    n = F.col("event_id")
+    origin = F.when(n % 4 == 0, "stdin").when(n % 4 == 1, F.concat(F.lit("logs/"), n.cast("string"), F.lit(".log"))).otherwise("inline")
+    traces = inputs.traces(spark, sf_dir).withColumn("origin", origin).withColumn("truncated", n % 6 == 0)
     analysis = context.analyze(traces).withColumn(
         "context_json", context.context_json(F.col("language"), F.col("stack_frames"), F.col("error_groups"))
     )
@@ -367,8 +375,8 @@ def build_prompts(spark, sf_dir):
 
 
 def prompt_texts(spark, sf_dir):
-    """The user prompts alone; the instruction text is the same in every row."""
-    return build_prompts(spark, sf_dir).select("doc_id", "user_prompt")
+    """User prompts of texts of all origins; of the instruction, which is the same in every row, the md5."""
+    return build_prompts(spark, sf_dir).select("doc_id", "user_prompt", F.md5("system_prompt").alias("instruction_md5"))
 
 
 def explained_history(spark, sf_dir):
@@ -387,8 +395,21 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.repartition(spark.sparkContext.defaultParallelism, "event_id")
 
 
-def _finished(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all there is and give back the table it wrote."""
+def _event_batches(spark: SparkSession, sf_dir: str, batches: int = 4) -> DataFrame:
+    """The events as files that arrive one after the other, in order of time, one to a micro-batch."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    time = F.unix_micros(F.col("ts").cast("timestamp"))
+    bounds = events.select(time.cast("double").alias("t")).approxQuantile("t", [i / batches for i in range(1, batches)], 0.01)
+    folder = work_folder(spark)
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        part = events if low is None else events.where(time >= low)
+        (part if high is None else part.where(time < high)).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return stream.repartition(spark.sparkContext.defaultParallelism, "event_id")
+
+
+def _finished(spark: SparkSession, stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Run a stream over all there is and give back the table it wrote; of update mode the last row of each key."""
     out = work_folder(spark)
     query = (
         stream.writeStream.outputMode(mode)
@@ -398,7 +419,11 @@ def _finished(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows").select(*stream.columns)
+    rows = spark.read.schema(f"{stream._jdf.schema().toDDL()}, batch long").parquet(f"{out}/rows")
+    if keys:
+        rest = [c for c in stream.columns if c not in keys]
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, "last.*")
+    return rows.select(*stream.columns)
 
 
 def stream_analysis(spark, sf_dir):
@@ -409,9 +434,9 @@ def stream_analysis(spark, sf_dir):
 
 
 def stream_family_counts(spark, sf_dir):
-    """Hourly counts of every family.  All input is one batch, so update mode gives each window once."""
-    counts = jobs.family_counts(inputs.traces_of(_event_stream(spark, sf_dir)))
-    return _finished(spark, counts, "update").select(
+    """Hourly counts of every family over several micro-batches, windows that are still open included."""
+    counts = jobs.family_counts(inputs.traces_of(_event_batches(spark, sf_dir)))
+    return _finished(spark, counts, "update", ("start", "end", "signature")).select(
         rfc3339(F.col("start")).alias("window_start"), "signature", "occurrences", "documents"
     )
 
@@ -434,6 +459,7 @@ QUERIES: dict[str, Query] = {
     "source_lines": source_lines,
     "split_blocks": split_blocks,
     "error_groups": error_groups,
+    "error_groups_top": error_groups_top,
     "doc_signature": doc_signature,
     "embed_text": embed_text,
     "error_families": error_families,

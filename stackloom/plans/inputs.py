@@ -44,15 +44,16 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = _choice(
         n % 5,
         [
-            _text("connection refused pid=", n),
-            _text("bad pointer 0x", _hex(n)),
+            _text("connection ", n % 97, " refused pid=", n),
+            _text("bad pointer 0x", _hex(n), " in unit ", n % 89),
             _text("worker [", n, "] died at job.py:", n % 90),
             _text("goroutine ", n, " stuck"),
-            _text(F.col("event_type"), " failed"),
+            _text(F.col("event_type"), " failed at step ", n % 83),
         ],
     )
     level = F.when(F.col("event_type") == "error", "ERROR").otherwise("WARN")
-    gap = F.when(n % 7 == 0, "\n").otherwise("")
+    # now and then a short error of its own, which is noise in a log but not over all logs
+    gap = F.when(n % 35 == 0, "\n\nERR 1\n").when(n % 7 == 0, "\n").otherwise("")
     line = _text(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), " ", level, " ", message, gap)
     return (
         table(spark, sf_dir, "events")
@@ -81,6 +82,13 @@ def traces_of(events: DataFrame) -> DataFrame:
     other = file + 14
     line, line2 = 1 + n % 40, 3 + n % 17
     fn, fn2 = _text("f", n % 10), _text("f", (n + 3) % 10)
+    # longer than what tools commonly look at: 30 frames; and a text of 6 KB whose only word comes last
+    calls = F.transform(
+        F.sequence(F.lit(0), F.lit(29)),
+        lambda i: _text('  File "src/doc_', 7 * ((n + i) % 28) + 1, '.py", line ', 1 + (n + i) % 40, ", in f", (n + i) % 10),
+    )
+    deep = _text("Traceback (most recent call last):\n", F.array_join(calls, "\n"), "\nKeyError: ", n)
+    late = F.lit("2024-01-01 00:00:00\n" * 300 + "\n\nE1")
     text = _choice(
         kind,
         [
@@ -89,10 +97,10 @@ def traces_of(events: DataFrame) -> DataFrame:
                 _hex(n), ")\n\t/workspace/src/doc_", file, ".go:", line, " +0x3a\nmain.", fn2, "()\n\t/workspace/src/doc_",
                 other, ".go:", line2, " +0x12\n",
             ),
-            _text(
+            F.when(n % 40 == 1, deep).otherwise(_text(
                 'Traceback (most recent call last):\n  File "src/doc_', file, '.py", line ', line, ", in ", fn,
                 "\n    x[", n % 6, "]\nIndexError: list index out of range",
-            ),
+            )),
             _text(
                 'Exception in thread "main" java.lang.NullPointerException\n\tat com.acme.Bar.', fn, "(doc_", file, ".java:",
                 line, ")\n\tat java.base/java.lang.Thread.run(Thread.java:840)\nCaused by: java.io.IOException: pid=", n,
@@ -116,9 +124,9 @@ def traces_of(events: DataFrame) -> DataFrame:
                 "() in /app/src/doc_", file, ".cs:line ", line, "\n   at Acme.Program.Main() in /app/src/doc_", other,
                 ".cs:line ", line2,
             ),
-            _text(
+            F.when(n % 56 == 7, late).otherwise(_text(
                 F.col("event_type"), " failed near lib/part_", n % 25, ".txt:", line, " after helper.c:", line2, ", code ", n,
-            ),
+            )),
         ],
     )
     return events.select(
@@ -171,8 +179,13 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One source file per document: its text inside definitions of the language of its extension."""
+    """One source file per document: its text inside definitions of the language of its extension.
+
+    Every 500th file repeats its text to over 2 MiB.
+    """
     n, text = F.col("doc_id"), F.col("text")
+    times = F.floor(F.lit(2_200_000) / (F.octet_length(text) + 1)).cast("int") + 1
+    text = F.when(n % 500 == 0, F.repeat(F.concat(text, F.lit("\n")), times)).otherwise(text)
     kind = n % 7
     fn, fn2 = _text("f", n % 10), _text("f", (n + 1) % 10)
     content = _choice(
@@ -203,6 +216,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def perturbed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies of the embeddings as queries."""
+    n = F.col("vec_id")
+    moved = F.transform("embedding", lambda x, i: x.cast("double") + ((n + i) % 5 - 2) * 0.02)
+    return table(spark, sf_dir, "embeddings").select(_text("near-", n).alias("doc_id"), moved.alias("embedding"))
+
+
 def vector_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The embeddings as history rows."""
     n = F.col("vec_id")
@@ -240,8 +260,9 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         _text('"', F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), '"')
     )
     payload = _text(
-        '{"signature":"family ', n % 100, '","representative":"r","language":"go","cause":"cause ', n % 10,
-        '","fixes":', F.when(n % 8 == 0, F.lit("3")).otherwise(F.lit('"- fix"')), ',"model":"m1","count":', count,
+        '{"meta":{"count":"5","cause":7,"model":{}},"signature":"family ', n % 100,
+        '","representative":"r","language":"go","cause":',
+        F.when(n % 12 == 5, F.lit('{"cause":"x"}')).otherwise(_text('"cause ', n % 10, '"')), ',"fixes":', F.when(n % 8 == 0, F.lit("3")).otherwise(F.lit('"- fix"')), ',"model":"m1","count":', count,
         ',"first_seen":', first, ',"last_seen":"', F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), '"}',
     )
     return table(spark, sf_dir, "events").select(

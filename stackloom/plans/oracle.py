@@ -6,9 +6,11 @@ shares no logic with the Spark expressions.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from stackloom.functions import fixed
+from stackloom.operators.prompts import SYSTEM_PROMPT
 
 
 def q(text: str) -> str:
@@ -141,12 +143,18 @@ _TRACE_TEXTS = [
     "/app/src/doc_{file}.cs:line {line}\n   at Acme.Program.Main() in /app/src/doc_{file + 14}.cs:line {line2}",
     "{event_type} failed near lib/part_{n % 25}.txt:{line} after helper.c:{line2}, code {n}",
 ]
+_DEEP = (
+    "('Traceback (most recent call last):' || chr(10) || array_to_string(list_transform(range(0, 30), lambda i: "
+    "'  File \"src/doc_' || (7 * ((n + i) % 28) + 1) || '.py\", line ' || (1 + (n + i) % 40) || ', in f' || ((n + i) % 10)), chr(10)) "
+    "|| chr(10) || 'KeyError: ' || n)"
+)
+_LATE = "(repeat('2024-01-01 00:00:00' || chr(10), 300) || chr(10) || chr(10) || 'E1')"
 _LOG_TEXTS = [
-    "connection refused pid={event_id}",
-    "bad pointer 0x{lower(to_hex(event_id))}",
+    "connection {event_id % 97} refused pid={event_id}",
+    "bad pointer 0x{lower(to_hex(event_id))} in unit {event_id % 89}",
     "worker [{event_id}] died at job.py:{event_id % 90}",
     "goroutine {event_id} stuck",
-    "{event_type} failed",
+    "{event_type} failed at step {event_id % 83}",
 ]
 _FILE_TEXTS = [
     "package p\n\nfunc {fn}(x int) {{\n{text}\n}}\n\nfunc (s *Server) {fn2}() {{\n}}\n",
@@ -214,12 +222,12 @@ FROM (
   SELECT event_id // 40 AS log, event_id, ts,
     strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'WARN' END || ' '
     || {choice("event_id % 5", [_t(x) for x in _LOG_TEXTS])}
-    || CASE WHEN event_id % 7 = 0 THEN {NL} ELSE '' END AS line
+    || CASE WHEN event_id % 35 = 0 THEN {q(chr(10) * 2 + "ERR 1" + chr(10))} WHEN event_id % 7 = 0 THEN {NL} ELSE '' END AS line
   FROM events
 ) GROUP BY log""",
     "traces": f"""
-SELECT 'trace-' || n AS doc_id, {choice("n % 8", [_t(x) for x in _TRACE_TEXTS])} AS text, 'inline' AS origin, ts,
-  'r' || (file % 2) AS repo
+SELECT 'trace-' || n AS doc_id, n, CASE WHEN n % 40 = 1 THEN {_DEEP} WHEN n % 56 = 7 THEN {_LATE}
+  ELSE {choice("n % 8", [_t(x) for x in _TRACE_TEXTS])} END AS text, 'inline' AS origin, ts, 'r' || (file % 2) AS repo
 FROM (
   SELECT event_id AS n, event_type, ts, 7 * (event_id % 28) + event_id % 8 AS file, 1 + event_id % 40 AS line,
     3 + event_id % 17 AS line2, 'f' || (event_id % 10) AS fn, 'f' || ((event_id + 3) % 10) AS fn2
@@ -245,7 +253,7 @@ UNION ALL SELECT 'turn-' || conv_id || '-' || turn AS doc_id, text AS content, '
     "files": f"""
 SELECT 'r' || (n % 2) AS repo, 'src/doc_' || n || '.' || {choice("n % 7", [q(x) for x in ("go", "py", "java", "js", "rb", "rs", "cs")])} AS path,
   {choice("n % 7", [_f(x) for x in _FILE_TEXTS])} AS content
-FROM (SELECT doc_id AS n, text, 'f' || (doc_id % 10) AS fn, 'f' || ((doc_id + 1) % 10) AS fn2 FROM documents)""",
+FROM (SELECT doc_id AS n, CASE WHEN doc_id % 500 = 0 THEN repeat(text || chr(10), 2200000 // (strlen(text) + 1) + 1) ELSE text END AS text, 'f' || (doc_id % 10) AS fn, 'f' || ((doc_id + 1) % 10) AS fn2 FROM documents)""",
     "file_lines": f"""
 SELECT repo, path, unnest(string_split(content, {NL})) AS text, generate_subscripts(string_split(content, {NL}), 1) AS line_no
 FROM files""",
@@ -270,15 +278,13 @@ FROM (
     "all_groups": f"""
 SELECT doc_id, signature, count(*) AS n, min(block_no) AS first_block, arg_min(rep, block_no) AS rep
 FROM (SELECT doc_id, block_no, trim(block, {WS}) AS rep, {normalize(f"trim(block, {WS})")} AS signature FROM blocks)
-WHERE signature <> '' GROUP BY doc_id, signature
-HAVING count(*) > 1 OR strlen(arg_min(rep, block_no)) >= {fixed.NOISE_BYTES}""",
+WHERE signature <> '' GROUP BY doc_id, signature""",
     "groups": f"""
-SELECT doc_id, rank, signature, n AS count, {excerpt("rep", fixed.REPRESENTATIVE_BYTES)} AS representative
-FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_block) AS rank FROM all_groups)
-WHERE rank <= {fixed.MAX_GROUPS}""",
+SELECT doc_id, rank, signature, n AS count, rep AS representative
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_block) AS rank FROM all_groups
+  WHERE n > 1 OR strlen(rep) >= {fixed.NOISE_BYTES})""",
     "signatures": f"""
-SELECT e.doc_id, e.ts, coalesce(g.signature, {normalize(cut("e.text", fixed.FALLBACK_BYTES))}) AS signature,
-  coalesce(g.representative, {cut("e.text", fixed.REPRESENTATIVE_BYTES)}) AS representative
+SELECT e.doc_id, e.ts, coalesce(g.signature, {normalize("e.text")}) AS signature, coalesce(g.representative, e.text) AS representative
 FROM errors e LEFT JOIN (SELECT * FROM groups WHERE rank = 1) g ON e.doc_id = g.doc_id""",
     # --- language and frames ---
     "scores": f"SELECT doc_id, {SCORES} FROM errors",
@@ -312,7 +318,7 @@ SELECT f.doc_id, g.language, pos::INT AS pos, file, line, function, module
 FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, idx) - 1 AS pos
   FROM (SELECT * FROM own_frames UNION ALL SELECT * FROM swept_frames)
-) f JOIN languages g ON f.doc_id = g.doc_id WHERE pos < {fixed.MAX_FRAMES}""",
+) f JOIN languages g ON f.doc_id = g.doc_id""",
     "json_contexts": """
 SELECT e.doc_id, CASE WHEN g.language = 'generic' AND f.j IS NULL AND r.j IS NULL THEN '' ELSE
   '{"language":"' || g.language || '"' || coalesce(',"stack_frames":[' || f.j || ']', '')
@@ -352,8 +358,7 @@ SELECT doc_id, repo, language, (row_number() OVER (PARTITION BY doc_id ORDER BY
     SELECT doc_id, repo, language, pos, regexp_replace(string_split(trim(function, {WS}), '.')[-1], '\\(\\)$', '') AS symbol
     FROM trace_frames WHERE function IS NOT NULL
   ) WHERE symbol <> '' AND lower(symbol) NOT IN ({_GENERIC_SYMBOLS}) GROUP BY ALL
-)
-QUALIFY seq < {fixed.SOURCE_SYMBOLS}""",
+)""",
     "mentions": f"""
 SELECT s.*, l.path, l.line_no, l.text
 FROM (SELECT DISTINCT repo, language, symbol, {_EXT} AS ext FROM symbol_rows WHERE language <> 'generic') s
@@ -362,22 +367,13 @@ JOIN file_lines l ON l.repo = s.repo AND ends_with(l.path, s.ext) AND contains(l
 SELECT repo, language, symbol, min(spot).path AS path, min(spot).line_no AS line_no FROM (
   SELECT repo, language, symbol, {{'path': path, 'line_no': line_no}} AS spot FROM mentions WHERE regexp_matches(text, {_defines()})
 ) GROUP BY repo, language, symbol""",
-    "frame_marks": f"""
-SELECT * FROM (
-  SELECT r.doc_id, r.repo, 0 AS kind, r.pos, r.path, f.line, row_number() OVER (PARTITION BY r.doc_id ORDER BY r.pos) AS nth
-  FROM resolved r JOIN frames f ON r.doc_id = f.doc_id AND r.pos = f.pos
-) WHERE nth <= {fixed.SOURCE_FRAMES}""",
+    "frame_marks": """
+SELECT r.doc_id, r.repo, 0 AS kind, r.pos, r.path, f.line FROM resolved r JOIN frames f ON r.doc_id = f.doc_id AND r.pos = f.pos""",
     "symbol_hits": """
 SELECT s.doc_id, s.repo, 1 AS kind, s.seq AS pos, d.path, d.line_no AS line
 FROM symbol_rows s JOIN definitions d ON s.repo = d.repo AND s.language = d.language AND s.symbol = d.symbol""",
-    "symbol_marks": f"""
-SELECT h.* FROM symbol_hits h WHERE (
-  SELECT count(DISTINCT path) FROM (
-    SELECT path FROM frame_marks m WHERE m.doc_id = h.doc_id
-    UNION ALL SELECT path FROM symbol_hits o WHERE o.doc_id = h.doc_id AND o.pos < h.pos
-  )) < {fixed.SOURCE_FILES}""",
     "marks": """
-SELECT doc_id, repo, kind, pos, path, line FROM frame_marks UNION ALL SELECT doc_id, repo, kind, pos, path, line FROM symbol_marks""",
+SELECT doc_id, repo, kind, pos, path, line FROM frame_marks UNION ALL SELECT doc_id, repo, kind, pos, path, line FROM symbol_hits""",
     "windows": f"""
 SELECT w.doc_id, w.repo, w.file_rank, w.path, w.marked, greatest(w.lo - w.half, 1) AS start_line, least(w.hi + w.half, s.n_lines) AS end_line
 FROM (
@@ -385,7 +381,7 @@ FROM (
     max(CASE WHEN kind = 0 THEN {fixed.CONTEXT_LINES} ELSE {fixed.SYMBOL_LINES} END) AS half,
     row_number() OVER (PARTITION BY doc_id ORDER BY min(kind * 1000 + pos)) AS file_rank
   FROM marks GROUP BY doc_id, repo, path
-) w JOIN file_sizes s ON s.repo = w.repo AND s.path = w.path WHERE w.file_rank <= {fixed.SOURCE_FILES}""",
+) w JOIN file_sizes s ON s.repo = w.repo AND s.path = w.path""",
     "window_texts": f"""
 SELECT w.doc_id, w.file_rank, '### ' || w.path || ' (lines ' || w.start_line || '-' || w.end_line || '; marked: '
   || array_to_string(w.marked, ',') || ')' || {NL}
@@ -432,7 +428,7 @@ FROM (
   )
 ) WHERE section > 0 GROUP BY doc_id, section""",
     "summaries": f"""
-SELECT r.doc_id, r.model, coalesce({excerpt("c.body", fixed.SUMMARY_BYTES)}, '') AS cause, coalesce({excerpt("f.body", fixed.SUMMARY_BYTES)}, '') AS fixes
+SELECT r.doc_id, r.model, coalesce(c.body, '') AS cause, coalesce(f.body, '') AS fixes
 FROM replies r
 LEFT JOIN (SELECT doc_id, arg_max(body, pos) AS body FROM sections WHERE title = '{fixed.CAUSE_LABEL}' GROUP BY doc_id) c ON r.doc_id = c.doc_id
 LEFT JOIN (SELECT doc_id, arg_max(body, pos) AS body FROM sections WHERE title = '{fixed.FIXES_LABEL}' GROUP BY doc_id) f ON r.doc_id = f.doc_id""",
@@ -489,11 +485,13 @@ SELECTS: dict[str, str] = {
     "numbered_lines": "SELECT doc_id, line_no, line FROM lines",
     "split_blocks": "SELECT doc_id, block_no::INT AS block_no, block FROM blocks",
     "error_groups": "SELECT doc_id, rank::INT AS rank, signature, count, representative FROM groups",
+    "error_groups_top": f"SELECT doc_id, rank::INT AS rank, signature, count, {excerpt('representative', 500)} AS representative FROM groups WHERE rank <= 20",
     "doc_signature": "SELECT doc_id, signature, representative FROM signatures",
-    "embed_text": f"""SELECT e.doc_id, coalesce(g.representative, {cut("e.text", fixed.FALLBACK_BYTES)}) AS embed_text
+    "embed_text": """SELECT e.doc_id, coalesce(g.representative, e.text) AS embed_text
 FROM errors e LEFT JOIN (SELECT * FROM groups WHERE rank = 1) g ON e.doc_id = g.doc_id""",
     "error_families": f"""SELECT signature, sum(n)::BIGINT AS occurrences, count(*) AS documents, {stamp("min(ts)")} AS first_seen,
-  {stamp("max(ts)")} AS last_seen FROM all_groups g JOIN errors e ON g.doc_id = e.doc_id GROUP BY signature""",
+  {stamp("max(ts)")} AS last_seen FROM all_groups g JOIN errors e ON g.doc_id = e.doc_id GROUP BY signature
+HAVING sum(n) > 1 OR max(strlen(rep)) >= 8""",
     "detect_language": "SELECT doc_id, language FROM languages",
     "language_scores": "SELECT * FROM scores",
     "language_mix": "SELECT language, count(*) AS documents FROM languages GROUP BY language",
@@ -518,7 +516,7 @@ FROM trace_frames""",
     "symbol_defs": "SELECT repo, language, symbol, path, line_no::INT AS line_no FROM definitions",
     "source_windows": """SELECT doc_id, file_rank::INT AS file_rank, path, array_to_string(marked, ',') AS marked, start_line::BIGINT AS start_line,
   end_line::BIGINT AS end_line FROM windows""",
-    "source_blocks": _source(fixed.SOURCE_BYTES),
+    "source_blocks": _source(2**62),
     "source_budget": f"SELECT doc_id, files, bytes, truncated FROM ({_source(4000)})",
     "recall_topk": _priors("priors"),
     "recall_blocked": _priors("priors"),
@@ -535,14 +533,24 @@ SELECT doc_id, rank::INT AS rank, round(score, 6) AS score, count, strftime(seen
   ) WHERE round(score, 12) >= 0.3
 ) WHERE rank <= {fixed.RECALL_K}""",
     "recall_threshold": f"""SELECT doc_id, rank::INT AS rank, id::VARCHAR AS sig_id, round(score, 6) AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 12) DESC, id) AS rank FROM scored
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 12) DESC, id) AS rank FROM (
+    SELECT 'near-' || a.vec_id AS doc_id, b.vec_id AS id, list_cosine_similarity(
+      list_transform(a.e, lambda x, i: x + ((a.vec_id + i - 1) % 5 - 2) * 0.02::DOUBLE), b.e) AS score FROM priors_of a, priors_of b)
   WHERE round(score, 12) >= {fixed.RECALL_THRESHOLD}) WHERE rank <= {fixed.RECALL_K}""",
     "dimension_check": "SELECT len(embedding)::INT AS dim, count(*) AS vectors FROM embeddings GROUP BY 1",
+    "hash_embed": """SELECT * FROM (
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS words FROM errors),
+b AS (SELECT doc_id, ('0x' || substr(md5(unnest(words)), 1, 8))::BIGINT % 64 AS place FROM w),
+c AS (SELECT doc_id, place, count(*) AS n FROM b GROUP BY 1, 2),
+v AS (SELECT doc_id, map_from_entries(list((place, n))) AS m, sqrt(sum(n * n)) AS norm FROM c GROUP BY 1)
+SELECT w.doc_id, CASE WHEN v.m IS NULL THEN 0 ELSE 64 END AS dim, CASE WHEN v.m IS NULL THEN '' ELSE
+  array_to_string(list_transform(range(0, 64), lambda i: round(coalesce(m[i], 0) / norm * 1000000)::BIGINT::VARCHAR), ',') END AS millionths
+FROM w LEFT JOIN v ON v.doc_id = w.doc_id)""",
     "prior_blocks": "SELECT doc_id, prior_block FROM prior_texts",
     "history_new": _history(f"SELECT * FROM seen WHERE {_TRACES}"),
     "history_upsert": _history("SELECT * FROM seen UNION ALL SELECT * FROM seen WHERE doc_id LIKE 'log-%'"),
     "history_payloads": f"""SELECT event_id::VARCHAR AS sig_id, 'family ' || (event_id % 100) AS signature, 'r' AS representative, 'go' AS language,
-  'cause ' || (event_id % 10) AS cause, CASE WHEN event_id % 8 = 0 THEN '' ELSE '- fix' END AS fixes, 'm1' AS model,
+  CASE WHEN event_id % 12 = 5 THEN '' ELSE 'cause ' || (event_id % 10) END AS cause, CASE WHEN event_id % 8 = 0 THEN '' ELSE '- fix' END AS fixes, 'm1' AS model,
   CASE WHEN event_id % 6 IN (0, 1) THEN 0 ELSE event_id % 50 END AS count,
   CASE WHEN event_id % 9 = 0 THEN NULL ELSE {stamp("ts")} END AS first_seen, {stamp("ts")} AS last_seen, (event_id % 10)::DOUBLE AS embedding_1
 FROM events""",
@@ -554,18 +562,20 @@ FROM seen WHERE signature = '' OR length(cause) % 2 = 0""",
 ) GROUP BY signature""",
     "parse_sections": "SELECT doc_id, pos, title, body FROM sections",
     "cause_fixes": "SELECT doc_id, model, cause, fixes FROM summaries",
-    "build_prompts": f"""SELECT t.doc_id, {q(fixed.NOTE_INLINE)} || {NL} || {NL}
+    "build_prompts": f"""SELECT t.doc_id, '{hashlib.md5(SYSTEM_PROMPT.encode()).hexdigest()}' AS instruction_md5,
+  CASE t.n % 4 WHEN 0 THEN {q(fixed.NOTE_STDIN)} WHEN 1 THEN {q(fixed.NOTE_FILE)} || 'logs/' || t.n || '.log' ELSE {q(fixed.NOTE_INLINE)} END
+  || CASE WHEN t.n % 6 = 0 THEN {q(fixed.NOTE_TRUNCATED)} ELSE '' END || {NL} || {NL}
   || CASE WHEN c.context_json <> '' THEN {q(fixed.CONTEXT_OPEN)} || c.context_json || {q(fixed.CONTEXT_CLOSE)} ELSE '' END
   || CASE WHEN s.source_block <> '' THEN {q(fixed.SOURCE_OPEN)} || s.source_block || {q(fixed.SOURCE_CLOSE)} ELSE '' END
   || coalesce(p.prior_block || {NL} || {NL}, '') || {q(fixed.INPUT_OPEN)} || t.text || {q(fixed.INPUT_CLOSE)} AS user_prompt
-FROM traces t JOIN json_contexts c ON t.doc_id = c.doc_id LEFT JOIN ({_source(fixed.SOURCE_BYTES)}) s ON s.doc_id = t.doc_id
+FROM traces t JOIN json_contexts c ON t.doc_id = c.doc_id LEFT JOIN ({_source(2**62)}) s ON s.doc_id = t.doc_id
 LEFT JOIN prior_texts p ON p.doc_id = t.doc_id""",
     "explained_history": _history(
         f"SELECT s.* EXCLUDE (cause, fixes, model), m.cause, m.fixes, m.model FROM seen s JOIN summaries m ON s.doc_id = m.doc_id WHERE s.{_TRACES}"
     ),
     "stream_analysis": f"SELECT doc_id, language, pos, file, line, function, module FROM frames WHERE {_TRACES}",
-    "stream_family_counts": f"""SELECT {stamp("date_trunc('hour', ts)")} AS window_start, signature, sum(n)::BIGINT AS occurrences, count(*) AS documents
-FROM all_groups g JOIN traces e ON g.doc_id = e.doc_id GROUP BY ALL""",
+    "stream_family_counts": f"""SELECT {stamp("date_trunc('hour', ts)")} AS window_start, signature, sum(g.n)::BIGINT AS occurrences, count(*) AS documents
+FROM all_groups g JOIN traces e ON g.doc_id = e.doc_id GROUP BY ALL HAVING sum(g.n) > 1 OR max(strlen(rep)) >= 8""",
     "stream_history": _history(f"SELECT * FROM seen WHERE {_TRACES}"),
 }
 

@@ -2,81 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stackloom.functions import fixed
 from stackloom.functions.text import cut_bytes
 from stackloom.operators.rows import unfold
 
-# Files up to this size are read as one value; of larger ones only the first split is read.
-WHOLE_FILE_BYTES = 64 * 1024 * 1024
-
-
-def cap_input(df: DataFrame, max_bytes: int = fixed.MAX_INPUT_BYTES) -> DataFrame:
-    """A4: cut ``text`` at ``max_bytes`` and flag the rows that were cut."""
+def cap_input(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """A4: cut ``text`` at ``max_bytes``, if given, and flag the rows that were cut, now or before."""
+    before = F.coalesce(F.col("truncated"), F.lit(False)) if "truncated" in df.columns else F.lit(False)
+    if max_bytes is None:
+        return df.withColumn("truncated", before)
     over = F.octet_length("text") > max_bytes
-    if "truncated" in df.columns:
-        over = over | F.coalesce(F.col("truncated"), F.lit(False))
-    return df.withColumn("truncated", over).withColumn("text", cut_bytes(F.col("text"), max_bytes))
+    return df.withColumn("truncated", over | before).withColumn("text", cut_bytes(F.col("text"), max_bytes))
 
 
-def from_texts(spark: SparkSession, texts: list[str]) -> DataFrame:
+def from_texts(spark: SparkSession, texts: list[str], max_bytes: int | None = None) -> DataFrame:
     """A3: literal texts, numbered from 0."""
     rows = [(str(number), text, "inline") for number, text in enumerate(texts)]
-    return cap_input(spark.createDataFrame(rows, "doc_id string, text string, origin string"))
+    return cap_input(spark.createDataFrame(rows, "doc_id string, text string, origin string"), max_bytes)
 
 
-def read_error_files(spark: SparkSession, path: str, max_bytes: int = fixed.MAX_INPUT_BYTES) -> DataFrame:
+def read_error_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """A1/A4/A5: one document per file, its path as id and origin.
 
-    A large file is never loaded: its documents' worth of text comes from the lines of its first split, which ends
-    far beyond the cap.
+    A file is one value here, which Spark bounds at 2 GiB; logs of any length are read by ``log_lines`` instead.
     """
-    small = (
+    content = F.col("content")
+    if max_bytes is not None:
+        # Four spare bytes let the cut see whether it falls inside a character.
+        content = F.substring(content, 1, max_bytes + 4)
+    files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(path)
-        .where(F.col("length") <= WHOLE_FILE_BYTES)
         .select(
+            F.col("path").alias("doc_id"),
+            F.make_valid_utf8(content.cast("string")).alias("text"),
             F.col("path").alias("origin"),
+            (F.lit(False) if max_bytes is None else F.col("length") > max_bytes).alias("truncated"),
             F.col("modificationTime").alias("ts"),
-            (F.col("length") > max_bytes).alias("truncated"),
-            # Four spare bytes let the cut see whether it falls inside a character.
-            F.make_valid_utf8(F.substring("content", 1, max_bytes + 4).cast("string")).alias("text"),
-        )
-    )
-    order = Window.partitionBy("origin").orderBy("row")
-    head = (
-        spark.read.option("lineSep", "\n")
-        .option("recursiveFileLookup", "true")
-        .text(path)
-        .where((F.col("_metadata.file_size") > WHOLE_FILE_BYTES) & (F.col("_metadata.file_block_start") == 0))
-        .select(
-            F.col("_metadata.file_path").alias("origin"),
-            F.col("_metadata.file_modification_time").alias("ts"),
-            F.monotonically_increasing_id().alias("row"),
-            F.make_valid_utf8(F.substring(F.col("value").cast("binary"), 1, max_bytes + 4).cast("string")).alias("value"),
         )
-        .withColumn("before", F.sum(F.octet_length("value") + 1).over(order) - F.octet_length("value") - 1)
-        .where(F.col("before") <= max_bytes)
-        .groupBy("origin", "ts")
-        .agg(F.sort_array(F.collect_list(F.struct("row", "value"))).alias("lines"))
-        .select(
-            "origin",
-            "ts",
-            F.lit(True).alias("truncated"),
-            F.array_join(F.col("lines.value"), "\n").alias("text"),
-        )
-    )
-    return cap_input(small.unionByName(head), max_bytes).select(
-        F.col("origin").alias("doc_id"), "text", "origin", "truncated", "ts"
     )
+    return cap_input(files, max_bytes).select("doc_id", "text", "origin", "truncated", "ts")
 
 
 def read_error_stream(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, file_format: str = "text"
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str | None = None,
+    file_format: str = "text",
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """A2: a stream of documents: each new text file is one, or each row of files that carry ``schema``."""
     if file_format == "text":
@@ -87,9 +64,10 @@ def read_error_stream(
                 F.col("value").alias("text"),
                 F.lit("stdin").alias("origin"),
                 F.col("_metadata.file_modification_time").alias("ts"),
-            )
+            ),
+            max_bytes,
         )
-    return cap_input(spark.readStream.format(file_format).schema(schema).load(path))
+    return cap_input(spark.readStream.format(file_format).schema(schema).load(path), max_bytes)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -107,8 +85,8 @@ def line_count(content: Column) -> Column:
     return F.octet_length(content) - F.octet_length(F.replace(content, F.lit("\n"), F.lit(""))) + 1
 
 
-def source_lines(files: DataFrame, max_bytes: int | None = fixed.SOURCE_FILE_BYTES) -> DataFrame:
-    """Source files as numbered lines; files over ``max_bytes`` are skipped."""
+def source_lines(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Source files as numbered lines; files over ``max_bytes``, if given, are skipped."""
     if max_bytes is not None:
         files = files.where(F.col("size") <= max_bytes)
     numbered = unfold(files, F.split("content", "\n"), "repo", "path", position="line_no", item="text")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stackloom.operators.context import analyze
-from stackloom.operators.groups import error_groups
+from stackloom.operators.groups import counted_families, error_groups
 from stackloom.operators.history import new_history
 from stackloom.operators.rows import unfold
 from stackloom.sources.history_store import write_history
@@ -24,12 +24,11 @@ def family_counts(errors: DataFrame, window: str = "1 hour", lateness: str = "1
     """How often each error family occurs per window of event time (``ts``).
 
     State is one row per open window and family; the watermark closes windows and drops rows later than ``lateness``.
+    Noise is told by the counts of a whole window, so the result is for append mode, which gives closed windows only.
     """
     late = errors.withWatermark("ts", lateness)
-    grouped = unfold(late, error_groups(F.col("text"), None), "ts").select("ts", "item.*")
-    counts = grouped.groupBy(F.window("ts", window), "signature").agg(
-        F.sum("count").alias("occurrences"), F.count(F.lit(1)).alias("documents")
-    )
+    grouped = unfold(late, error_groups(F.col("text"), noise=True), "ts").select("ts", "item.*")
+    counts = counted_families(grouped, F.window("ts", window))
     return counts.select("window.start", "window.end", "signature", "occurrences", "documents")
 
 

@@ -10,17 +10,14 @@ def test_cap_input(spark):
 
 
 def test_from_texts(spark):
-    rows = ingest.from_texts(spark, ["boom", "a" * 300_000]).orderBy("doc_id").collect()
+    whole = ingest.from_texts(spark, ["boom", "a" * 300_000]).orderBy("doc_id").collect()
+    assert [(r.truncated, len(r.text)) for r in whole] == [(False, 4), (False, 300_000)]
+    rows = ingest.from_texts(spark, ["boom", "a" * 300_000], max_bytes=262_144).orderBy("doc_id").collect()
     assert [(r.origin, r.truncated, len(r.text)) for r in rows] == [("inline", False, 4), ("inline", True, 262_144)]
 
 
-@pytest.mark.parametrize("whole_file_bytes", [64 * 1024 * 1024, 1])
-def test_error_files(spark, tmp_path, monkeypatch, whole_file_bytes):
-    """Large files, whose first lines are put together again, give what small ones give."""
-    monkeypatch.setattr(ingest, "WHOLE_FILE_BYTES", whole_file_bytes)
+def test_error_files(spark, tmp_path):
     contents = {"a.log": "one\r\ntwo\n\nthree é\n" * 50, "b.log": "x" * 50 + "\n", "c.log": "é\n" * 400}
-    if whole_file_bytes == 1:
-        del contents["b.log"]  # a large file is always longer than the cap
     for name, content in contents.items():
         (tmp_path / name).write_bytes(content.encode())
     rows = ingest.read_error_files(spark, str(tmp_path), max_bytes=101).collect()
@@ -28,11 +25,14 @@ def test_error_files(spark, tmp_path, monkeypatch, whole_file_bytes):
     assert got == {
         name: (content.encode()[:101].decode(errors="ignore"), len(content.encode()) > 101) for name, content in contents.items()
     }
+    whole = {r.origin.rsplit("/", 1)[1]: (r.text, r.truncated) for r in ingest.read_error_files(spark, str(tmp_path)).collect()}
+    assert whole == {name: (content, False) for name, content in contents.items()}
 
 
 def test_source_lines(spark):
     files = spark.createDataFrame([("r", "a", "x\ny\n", 4), ("r", "big", "z", 3_000_000)], "repo string, path string, content string, size bigint")
-    rows = ingest.source_lines(files).orderBy("line_no").collect()
+    assert ingest.source_lines(files).count() == 4
+    rows = ingest.source_lines(files, 2_000_000).orderBy("line_no").collect()
     assert [(r.path, r.line_no, r.text) for r in rows] == [("a", 1, "x"), ("a", 2, "y"), ("a", 3, "")]
     counts = files.select(ingest.line_count(F.col("content")).alias("n")).collect()
     assert [r.n for r in counts] == [3, 1]

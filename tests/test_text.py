@@ -109,9 +109,12 @@ def test_payload_coercion(spark):
         ('{"count": 3, "cause": "c", "first_seen": "2026-08-01T00:00:00Z"}', 3, "c", "2026-08-01T00:00:00Z"),
         ('{"count": "3", "cause": 5, "first_seen": "yesterday"}', 0, "", None),
         ('{"cause": null}', 0, "", None),
+        ('{"meta": {"count": "5", "cause": 1}, "count": 7, "cause": "x"}', 7, "x", None),
+        ('{"cause": {"cause": "x"}, "count": [1]}', 0, "", None),
+        ("no json", 0, "", None),
         ('{"count": 2.9, "cause": "say \\"count\\": \\"9\\"", "first_seen": "2026-08-01T02:00:00+02:00"}', 2, 'say "count": "9"', "2026-08-01T00:00:00Z"),
     ]
-    df = spark.createDataFrame([(r[0],) for r in rows], "p string").select(
+    df = spark.createDataFrame([(r[0],) for r in rows], "p string").withColumn("p", t.payload(F.col("p"))).select(
         t.payload_int(F.col("p"), "count"), t.payload_text(F.col("p"), "cause"), t.rfc3339(t.payload_time(F.col("p"), "first_seen"))
     )
     assert [tuple(r) for r in df.collect()] == [r[1:] for r in rows]
