@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stackloom.llm.words import tidy
+
 ESCAPE = "\\"
 START, END = "<start>", "<end>"
 
@@ -170,7 +172,7 @@ def format_chat(conversations: DataFrame, template: Template | None = None) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _batched(format_turns(_turns(batches), template), kinds)
 
-    return _sorted(conversations).mapInArrow(run, "conv_id long, place long, text string, loss boolean, problem string")
+    return _sorted(conversations).mapInArrow(tidy(run), "conv_id long, place long, text string, loss boolean, problem string")
 
 
 def _digests(segments: Iterable[tuple], template: Template) -> Iterator[tuple]:
@@ -209,4 +211,4 @@ def chat_digest(conversations: DataFrame, template: Template | None = None) -> D
         yield from _batched(_digests(format_turns(_turns(batches), template), template), kinds)
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean, problem string"
-    return _sorted(conversations).mapInArrow(run, schema)
+    return _sorted(conversations).mapInArrow(tidy(run), schema)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackloom.llm.steps import written
-from stackloom.llm.words import whole_groups
+from stackloom.llm.words import whole_groups, tidy
 
 SHARD = 4096
 DEGREE, BEAM, ALPHA = 24, 64, 1.2
@@ -193,11 +193,11 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     # only the k + 1 smallest ids of a vector are kept, which tasks do before the shuffle
     rank = F.row_number().over(Window.partitionBy("v", "dim").orderBy("vec_id"))
     nodes = rows.withColumn("rank", rank).filter(F.col("rank") <= k + 1).groupBy("v", "dim").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    nodes = written(nodes.mapInArrow(_packed, "vector binary, dim int, ids array<bigint>"))
+    nodes = written(nodes.mapInArrow(tidy(_packed), "vector binary, dim int, ids array<bigint>"))
     shards = max(1, -(-nodes.count() // shard_size))
     nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
     nodes = nodes.repartition("dim", "shard").sortWithinPartitions("dim", "shard", F.xxhash64("vector", F.lit(1)), "vector")
-    return written(nodes.select("dim", "shard", "vector", "ids").mapInArrow(_build, _INDEX))
+    return written(nodes.select("dim", "shard", "vector", "ids").mapInArrow(tidy(_build), _INDEX))
 
 
 def _search(k: int, beam: int):
@@ -259,7 +259,7 @@ def nearest(
     different length never meet.  Repeated rows count once; an id with several vectors counts with its nearest.
     """
     index = build_index(vectors, id_col, vector_col, k, shard_size)
-    queries = _valid(vectors.filter(is_query), id_col, vector_col).mapInArrow(_packed, "vec_id long, vector binary, dim int")
+    queries = _valid(vectors.filter(is_query), id_col, vector_col).mapInArrow(tidy(_packed), "vec_id long, vector binary, dim int")
     blank = index.select("dim", "shard", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("query_id"), "vectors", "edges", "ids")
     # a stated query set meets every shard
     last = index.agg(F.max("shard")).first()[0] or 0
@@ -273,7 +273,7 @@ def nearest(
         F.lit(None).cast("array<array<bigint>>").alias("ids"),
     )
     dealt = blank.unionByName(met).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind", "query_id")
-    found = dealt.mapInArrow(_search(k, beam), "query_id long, vec_id long, score double")
+    found = dealt.mapInArrow(tidy(_search(k, beam)), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

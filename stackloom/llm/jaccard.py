@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from stackloom.llm.steps import components, release, written
 from stackloom.llm.words import (
+    tidy,
     U,
     Words,
     find_words,
@@ -40,8 +41,8 @@ BANDS, ROWS = 25, 4
 N_HASHES = BANDS * ROWS
 STEP = 20
 TOLERANCE = 1e-8
-BLOCK_TEXTS = 1024
-BLOCK_SHINGLES = 1 << 20
+BLOCK_TEXTS = 512
+BLOCK_SHINGLES = 1 << 19
 SEED = 20240607
 
 
@@ -185,7 +186,7 @@ def _band_edges(need):
     """Spanning edges (a, b) of the pairs that survive in each group of (band, key, i, j)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["band", "key", "i", "j"]):
+        for table in whole_groups(batches, ["band", "key", "i", "j"], 1 << 22):
             col = {c: table.column(c).to_numpy() for c in ("band", "key", "i", "j", "side", "rep")}
             bounds = group_bounds(col["band"], col["key"], col["i"], col["j"])
             sig = _sig_matrix(table.column("sig").combine_chunks())
@@ -226,7 +227,7 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(local, kind="stable")
     rows, local = rows[order], local[order]
     out = np.zeros((len(sets), len(sets)), dtype=np.float64)
-    width = 4096
+    width = 2048
     for low in range(0, int(local[-1]) + 1 if len(local) else 0, width):
         a, b = np.searchsorted(local, [low, low + width])
         part = np.zeros((len(sets), width), dtype=np.float32)
@@ -239,7 +240,7 @@ def _verify(threshold: float, need):
     """Exact links of each group of (cluster, i, j): for every text its links, linked documents and root in the group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["cluster", "i", "j"]):
+        for table in whole_groups(batches, ["cluster", "i", "j"], 1 << 22):
             col = {c: table.column(c).to_numpy() for c in ("cluster", "i", "j", "side", "rep", "size")}
             bounds = group_bounds(col["cluster"], col["i"], col["j"])
             sig = _sig_matrix(table.column("sig").combine_chunks())
@@ -315,7 +316,7 @@ def jaccard_classes(
     need = least_agreements(threshold, tolerance)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL")
     features = written(
-        base.mapInArrow(_features(shingle), "doc_id long, h1 long, h2 long, n int, sig binary, bands array<bigint>")
+        base.mapInArrow(tidy(_features(shingle)), "doc_id long, h1 long, h2 long, n int, sig binary, bands array<bigint>")
     )
     copies = written(features.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("size"), F.max("n").alias("n")))
     texts = copies.filter("n > 0")
@@ -329,7 +330,7 @@ def jaccard_classes(
     sigs = features.select(F.col("doc_id").alias("rep"), "h1", "h2", "sig").dropDuplicates(["rep", "h1", "h2"]).drop("h1", "h2")
     met = met.join(sigs, "rep")
     edges = _in_blocks(met, ["band", "key"]).select("band", "key", "i", "j", "side", "rep", "sig")
-    edges = written(edges.mapInArrow(_band_edges(need), "a long, b long").distinct())
+    edges = written(edges.mapInArrow(tidy(_band_edges(need)), "a long, b long").distinct())
     release(spark)
 
     # clusters of candidates, whose sets meet in blocks
@@ -340,9 +341,9 @@ def jaccard_classes(
     )
     members = members.join(sizes, "cluster").select("rep", "cluster", "size", "chunks")
     sets = base.withColumnRenamed("doc_id", "rep").join(members, "rep").select("cluster", "rep", "size", "chunks", "text")
-    sets = sets.mapInArrow(_shingled(shingle), "cluster long, rep long, size long, chunks int, shingles binary, sig binary")
+    sets = sets.mapInArrow(tidy(_shingled(shingle)), "cluster long, rep long, size long, chunks int, shingles binary, sig binary")
     blocks = _in_blocks(sets, ["cluster"]).select("cluster", "i", "j", "side", "rep", "size", "shingles", "sig")
-    found = written(blocks.mapInArrow(_verify(threshold, need), "rep long, root long, links long, docs long"))
+    found = written(blocks.mapInArrow(tidy(_verify(threshold, need)), "rep long, root long, links long, docs long"))
     release(spark)
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("docs").alias("docs"))
     roots = components(found.filter("rep != root"), "rep", "root").select(F.col("node").alias("rep"), "root")

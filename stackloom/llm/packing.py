@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.llm.steps import written
+from stackloom.llm.words import tidy
 
 LENGTH = 2048
 OPEN = 16
@@ -39,35 +40,42 @@ class Encoder:
     """Token ids of a tokenizers file.
 
     The same merges run faster in another library, which is used for texts without special tokens once both agree on a
-    probe; the file's own library does the rest.
+    probe; the file's own library does the rest, and is loaded again only if there is such a text.
     """
 
     PROBE = "Déjà vu:  it's 12\t<b>\n\n naïve — «ok» 日本語 \U0001f600 zzz'll  \n x" + " the of and" * 3
 
     def __init__(self, path: str):
+        self.path, self.slow = path, None
+        tokenizer = self._tokenizer()
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.fast = self._same_merges(tokenizer.get_vocab())
+        if self.fast is not None and self.fast.encode_ordinary(self.PROBE) != self._own(self.PROBE):
+            self.fast = None
+        self.slow = None if self.fast is not None else tokenizer
+
+    def _tokenizer(self):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
-        self.fast = self._same_merges()
-        if self.fast is not None and self.fast.encode_ordinary(self.PROBE) != self._own(self.PROBE):
-            self.fast = None
+        if self.slow is None:
+            self.slow = Tokenizer.from_file(self.path)
+        return self.slow
 
-    def _same_merges(self):
+    def _same_merges(self, vocabulary: dict[str, int]):
         import tiktoken
 
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         letter = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
         try:
-            ranks = {bytes(letter[c] for c in t): i for t, i in self.slow.get_vocab().items() if t not in self.special}
+            ranks = {bytes(letter[c] for c in t): i for t, i in vocabulary.items() if t not in self.special}
             return tiktoken.Encoding("same", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         except (KeyError, ValueError):
             return None
 
     def _own(self, text: str) -> list[int]:
-        return self.slow.encode(text, add_special_tokens=False).ids
+        return self._tokenizer().encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> np.ndarray:
         if self.fast is None or any(s in text for s in self.special):
@@ -222,7 +230,7 @@ def pack_documents(
     packed as rows of their own; other columns are ignored; an empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = written(base.mapInArrow(_first_pass(tokenizer, length, open_windows, end_id, with_ids), _SCHEMA))
+    pieces = written(base.mapInArrow(tidy(_first_pass(tokenizer, length, open_windows, end_id, with_ids)), _SCHEMA))
     done, left = [pieces.filter("part IS NULL")], pieces.filter("part IS NOT NULL")
     groups = pieces.agg(F.max("part")).first()[0]
     level = 0
@@ -230,7 +238,7 @@ def pack_documents(
         level, last, groups = level + 1, groups < FAN_IN, groups // FAN_IN
         dealt = left.withColumn("grp", F.floor(F.col("part") / FAN_IN)).repartition("grp")
         dealt = dealt.sortWithinPartitions("grp", "part", "sequence_id", "offset").drop("part")
-        merged = written(dealt.mapInArrow(_merge_pass(length, level, last, with_ids), _SCHEMA))
+        merged = written(dealt.mapInArrow(tidy(_merge_pass(length, level, last, with_ids)), _SCHEMA))
         done.append(merged.filter("part IS NULL"))
         left = merged.filter("part IS NOT NULL")
         if last:

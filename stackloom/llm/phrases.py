@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stackloom.llm.steps import release, written
-from stackloom.llm.words import find_words, gram_hashes, group_bounds, mix, sequence_hashes, text_slices, whole_groups
+from stackloom.llm.words import find_words, gram_hashes, group_bounds, mix, sequence_hashes, text_slices, whole_groups, tidy
 
 WINDOW, ANCHOR = 13, 5
 HOT = 5000
@@ -254,7 +254,7 @@ def _located(window: int):
 
 def _hot_ranges(segments: DataFrame, window: int) -> DataFrame:
     """Ranges of segments of frequent anchors: combined confirmation, owners' patterns, streams that several tasks share."""
-    windows = segments.mapInArrow(_windows(window), "w long, doc_id long, first int")
+    windows = segments.mapInArrow(tidy(_windows(window)), "w long, doc_id long, first int")
     owned = windows.groupBy("w").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
     owned = owned.filter("doc_id < last").select("w", "doc_id")
     owners = windows.join(owned, ["w", "doc_id"], "left_semi").select("doc_id", "first").distinct()
@@ -274,7 +274,7 @@ def _hot_ranges(segments: DataFrame, window: int) -> DataFrame:
     streamed = streamed.withColumn("kind", F.lit(1))
     dealt = rules.select(columns).unionByName(streamed.select(columns))
     dealt = dealt.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind", "doc_id", "first")
-    return dealt.mapInArrow(_located(window), "doc_id long, low int, high int")
+    return dealt.mapInArrow(tidy(_located(window)), "doc_id long, low int, high int")
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot: int = HOT) -> DataFrame:
@@ -288,12 +288,12 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranges = "doc_id long, low int, high int"
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL")
 
-    common = base.mapInArrow(_anchors(window, anchor, False), "h long, a long, b long, n long")
+    common = base.mapInArrow(tidy(_anchors(window, anchor, False)), "h long, a long, b long, n long")
     common = common.groupBy("h").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n"))
     common = written(common.filter("a < b").select("h", "a", (F.col("n") > hot).alias("hot")))
     release(spark)
 
-    placed = base.mapInArrow(_anchors(window, anchor, True), "h long, doc_id long, at long").join(common.hint("shuffle_hash"), "h")
+    placed = base.mapInArrow(tidy(_anchors(window, anchor, True)), "h long, doc_id long, at long").join(common.hint("shuffle_hash"), "h")
     # the first of several copies is no copy
     # (frequent anchors of one passage mostly have the same first document, by which they are dealt together)
     placed = placed.filter("at >= 0 OR doc_id > a").select("doc_id", F.when(F.col("hot"), F.col("a")).otherwise(F.col("h")).alias("h"), "at", "hot")
@@ -304,11 +304,11 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = placed.filter("at >= 0").join(copies, "doc_id", "left_anti")
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "hot")).alias("marks"))
     segments = base.join(marks, "doc_id").select("doc_id", "text", "marks")
-    segments = written(segments.mapInArrow(_segments(window), "h long, doc_id long, first int, hot boolean, text string"))
+    segments = written(segments.mapInArrow(tidy(_segments(window)), "h long, doc_id long, first int, hot boolean, text string"))
     release(spark)
 
     cold = segments.filter("NOT hot").select("h", "doc_id", "first", "text").repartition("h").sortWithinPartitions("h", "doc_id", "first")
-    found = written(cold.mapInArrow(_shards(window), ranges))
+    found = written(cold.mapInArrow(tidy(_shards(window)), ranges))
     release(spark)
     frequent = written(_hot_ranges(segments.filter("hot"), window))
     release(spark)
@@ -323,7 +323,7 @@ def _cut(text_col: str, rejoin: bool):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(low, 512) for b in batches for low in range(0, b.num_rows, 512)):
             names = batch.schema.names
             texts, ranges = batch.column(names.index(text_col)), batch.column(names.index("_ranges"))
             new, words_of, removed_of = [], [], []
@@ -363,7 +363,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = docs.join(ranges, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
     fields = [T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in docs.schema.fields]
     counts = [T.StructField(c, T.LongType()) for c in ("_n_words", "_n_removed")]
-    return joined.mapInArrow(_cut(text_col, rejoin), T.StructType([*fields, *counts]))
+    return joined.mapInArrow(tidy(_cut(text_col, rejoin)), T.StructType([*fields, *counts]))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:

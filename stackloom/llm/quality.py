@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.llm.words import ALNUM_BYTES, U, WORD_BYTES, Words, find_words, group_bounds, text_slices
+from stackloom.llm.words import ALNUM_BYTES, U, WORD_BYTES, Words, find_words, group_bounds, text_slices, tidy
 
 BUCKETS, DIM, SIGNS, REACH = 1 << 13, 24, 4, 2
 HIDDEN = 32
@@ -78,7 +78,7 @@ def _columns() -> list[str]:
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Unit vectors of all buckets, from every document; zero for buckets without a token."""
     schema = "bucket long, " + ", ".join(f"{c} double" for c in _columns())
-    sums = docs.select(F.col(text_col).cast("string")).mapInArrow(_context_sums(index_vectors()), schema)
+    sums = docs.select(F.col(text_col).cast("string")).mapInArrow(tidy(_context_sums(index_vectors())), schema)
     rows = sums.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in _columns())).collect()
     out = np.zeros((BUCKETS, DIM), dtype=np.float32)
     for r in rows:
@@ -189,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "qual
             )
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
-    rows = texts.mapInArrow(run, "doc_id long, label int, x array<float>").dropDuplicates(["doc_id"]).collect()
+    rows = texts.mapInArrow(tidy(run), "doc_id long, label int, x array<float>").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r["doc_id"])
     x = np.array([r["x"] for r in rows], dtype=np.float64).reshape(len(rows), FEATURES)
     return train(x, np.array([r["label"] for r in rows], dtype=np.float64), vectors)
@@ -208,4 +208,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(probabilities(shared.value, x.astype(np.float64)))], names=[id_col, "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(tidy(run), f"`{id_col}` {kind}, score double")

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stackloom.llm.words import tidy
+
 
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id's text modulo ``folds``; null for a null id."""
@@ -46,5 +48,5 @@ def training_texts(
                 [batch.column(0), pa.array(out, pa.list_(pa.string())), batch.column(2)], names=["doc_id", "texts", "label"]
             )
 
-    rows = texts.select("doc_id", "text", "label").mapInArrow(shorten, "doc_id long, texts array<string>, label int")
+    rows = texts.select("doc_id", "text", "label").mapInArrow(tidy(shorten), "doc_id long, texts array<string>, label int")
     return rows.dropDuplicates(["doc_id"])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.llm.words import ALNUM_BYTES, find_words, gram_hashes, group_bounds, lowered, text_slices
+from stackloom.llm.words import ALNUM_BYTES, find_words, gram_hashes, group_bounds, lowered, text_slices, tidy
 
 MIN_MATCH = 5
 COVERAGE = 0.6
@@ -165,7 +165,7 @@ def contaminated(
                         names=["doc_id", "item_id", "item_words", "covered_words", "coverage", "tiles"],
                     )
 
-        part = base.mapInArrow(run, schema)
+        part = base.mapInArrow(tidy(run), schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -187,5 +187,5 @@ def drop_contaminated(
                     keep[[r[0] for r in _found(own, column, min_match, coverage)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

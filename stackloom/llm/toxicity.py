@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.llm.sampling import training_texts
-from stackloom.llm.words import ALNUM_BYTES, U, Words, find_words, lowered, mix, text_slices
+from stackloom.llm.words import ALNUM_BYTES, U, Words, find_words, lowered, mix, text_slices, tidy
 
 WINDOW, STRIDE = 24, 12
 HIDDEN, ATTENTION = 8, 8
@@ -45,21 +45,30 @@ class Inputs(NamedTuple):
 def distinct_inputs(words: Words) -> tuple[Inputs, np.ndarray]:
     """Inputs of the distinct words, and for each word which of them it is."""
     _, at, which = np.unique(words.hash, return_index=True, return_inverse=True)
+    grams = np.maximum(1, words.end[at] - words.start[at] + 3 - GRAM)
+    first = np.concatenate([[0], np.cumsum(grams)]).astype(np.int64)
+    parts = [_gram_buckets(words, at[low : low + (1 << 14)]) for low in range(0, len(at), 1 << 14)]
+    gram = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    return Inputs((words.hash[at] % U(WORD_BUCKETS)).astype(np.int32), gram, first), which.astype(np.int32)
+
+
+def _gram_buckets(words: Words, at: np.ndarray) -> np.ndarray:
+    """Buckets of the grams of words, marks at both ends included, word after word."""
     start, size = words.start[at], words.end[at] - words.start[at]
-    # the bytes of each distinct word between two marks, side by side
     padded = size + 2
     first = np.concatenate([[0], np.cumsum(padded)]).astype(np.int64)
-    chars = np.full(int(first[-1]), 0x5E, dtype=U)
-    inner = np.repeat(start - first[:-1] - 1, size) + np.arange(int(size.sum())) + np.repeat(2 * np.arange(len(size)) + 1, size)
-    chars[np.arange(int(size.sum())) + np.repeat(2 * np.arange(len(size)) + 1, size)] = words.data[inner]
+    chars = np.full(int(first[-1]), 0x5E, dtype=np.uint8)
+    place = np.arange(int(size.sum())) + np.repeat(2 * np.arange(len(size)) + 1, size)
+    chars[place] = words.data[np.repeat(start - first[:-1] - 1, size) + place]
     grams = np.maximum(1, padded - GRAM + 1)
     gram_first = np.concatenate([[0], np.cumsum(grams)]).astype(np.int64)
     position = np.arange(int(gram_first[-1])) - np.repeat(gram_first[:-1] - first[:-1], grams)
-    h = np.zeros(len(position), dtype=U)
     limit = np.repeat(first[1:], grams)
+    h = np.zeros(len(position), dtype=U)
     for j in range(GRAM):
-        h = h * U(0x100000001B3) + np.where(position + j < limit, chars[np.minimum(position + j, max(0, len(chars) - 1))], U(0)) + U(1)
-    return Inputs((words.hash[at] % U(WORD_BUCKETS)).astype(np.int64), (mix(h) % U(GRAM_BUCKETS)).astype(np.int64), gram_first), which
+        char = np.where(position + j < limit, chars[np.minimum(position + j, len(chars) - 1)], 0)
+        h = h * U(0x100000001B3) + char.astype(U) + U(1)
+    return (mix(h) % U(GRAM_BUCKETS)).astype(np.int32)
 
 
 def make_windows(words: Words, which: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
@@ -306,7 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "toxi
             yield pa.RecordBatch.from_arrays([pa.array([raw.getvalue()], pa.binary())], names=["params"])
 
     sample = training_texts(docs, labels, label_col, keep, per_class, TRAIN_WORDS, 5 * WINDOW)
-    found = sample.coalesce(1).mapInArrow(run, "params binary").collect()
+    found = sample.coalesce(1).mapInArrow(tidy(run), "params binary").collect()
     if not found:
         return train([])
     with np.load(io.BytesIO(found[0]["params"])) as params:
@@ -327,7 +336,7 @@ def score(docs: DataFrame, params: Params, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(scores)], names=[id_col, "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(tidy(run), f"`{id_col}` {kind}, score double")
 
 
 def drop_toxic(docs: DataFrame, params: Params, text_col: str = "text", limit: float = 0.7) -> DataFrame:
@@ -340,4 +349,4 @@ def drop_toxic(docs: DataFrame, params: Params, text_col: str = "text", limit: f
             keep = [s < limit for _, _, s in score_slices(shared.value, column)]
             yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

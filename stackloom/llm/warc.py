@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackloom.llm.steps import written
+from stackloom.llm.words import tidy
 
 BREAK = "\r\n\r\n"
 RANGE, FAN = 1 << 17, 16
@@ -103,7 +104,7 @@ def read_records(spark: SparkSession, folder: str, with_bytes: bool = False) ->
     # the archive's folder is taken from the path, as an empty replica has no folders to tell partitions from
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(folder)
     schema = "archive string, offset long, length long, record_id string, sha256 binary, record binary"
-    out = files.select(F.regexp_extract("path", "/archive=([^/]+)/[^/]+$", 1).alias("archive"), "content").mapInArrow(run, schema)
+    out = files.select(F.regexp_extract("path", "/archive=([^/]+)/[^/]+$", 1).alias("archive"), "content").mapInArrow(tidy(run), schema)
     return out if with_bytes else out.drop("record")
 
 
@@ -202,5 +203,5 @@ def damaged_copy(records: DataFrame, damaged: Column, folder: str) -> None:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["archive", "offset", "raw"])
 
     rows = records.select("archive", "offset", "record", F.coalesce(damaged, F.lit(False)).alias("hit"))
-    rows = rows.mapInArrow(run, "archive string, offset long, raw binary").sortWithinPartitions("archive", "offset")
+    rows = rows.mapInArrow(tidy(run), "archive string, offset long, raw binary").sortWithinPartitions("archive", "offset")
     write_archives(rows.select("archive", F.col("raw").cast("string").alias("value")), folder)

@@ -6,6 +6,7 @@ modulo 2**64 that are mixed at the end; they depend on nothing but the bytes, so
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -35,6 +36,21 @@ class Words(NamedTuple):
     first: np.ndarray  # of each row and one more: index of its first word
 
 
+def tidy(run):
+    """``run`` for mapInArrow, after which freed memory goes back to the system: workers are kept for later stages."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit values (a bijection)."""
     h = h ^ (h >> U(33))
