@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stackloom.functions.text import payload as parsed_payload
 from stackloom.functions.text import payload_int, payload_text, payload_time, sig_id
+from stackloom.operators.similarity import check_dimension
 from stackloom.session import ensure_checkpoint_dir
 
 HISTORY_SCHEMA = (
@@ -57,12 +58,14 @@ def fold_history(df: DataFrame) -> DataFrame:
     return _fold(df, "sig_id", ["signature", *LATEST]).select(*HISTORY_COLUMNS)
 
 
-def new_history(occurrences: DataFrame) -> DataFrame:
+def new_history(occurrences: DataFrame, dim: int | None = None) -> DataFrame:
     """Occurrences (doc_id, ts, signature, representative, language, cause, fixes, model, embedding) as history rows.
 
-    Grouping is by the signature itself; the id is hashed afterwards, once per family instead of once per row.
+    Grouping is by the signature itself; the id is hashed afterwards, once per family instead of once per row.  With
+    ``dim`` a vector of another dimension fails the job (A8).
     """
-    rows = storable(occurrences).select(
+    kept = storable(occurrences)
+    rows = (kept if dim is None else check_dimension(kept, dim)).select(
         "signature",
         F.lit(1).cast("bigint").alias("count"),
         F.col("ts").alias("first_seen"),
@@ -74,9 +77,18 @@ def new_history(occurrences: DataFrame) -> DataFrame:
     return _fold(rows, "signature", LATEST).withColumn("sig_id", sig_id(F.col("signature"))).select(*HISTORY_COLUMNS)
 
 
-def record(history: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """The history after these occurrences: counts bumped, first_seen kept, the rest from the latest one."""
-    return fold_history(history.select(*HISTORY_COLUMNS).unionByName(new_history(occurrences)))
+def record(history: DataFrame, occurrences: DataFrame, dim: int | None = None) -> DataFrame:
+    """The history after these occurrences: counts bumped, first_seen kept, the rest from the latest one.
+
+    All vectors must have one dimension: ``dim``, or else that of the stored history, one row of which is looked at.
+    """
+    stored = history.select(*HISTORY_COLUMNS)
+    if dim is None:
+        first = stored.where(F.size("embedding") > 0).select(F.size("embedding").alias("dim")).first()
+        dim = None if first is None else first["dim"]
+    if dim is not None:
+        stored = check_dimension(stored, dim)
+    return fold_history(stored.unionByName(new_history(occurrences, dim)))
 
 
 def history_from_payloads(df: DataFrame) -> DataFrame:
@@ -96,7 +108,7 @@ def history_from_payloads(df: DataFrame) -> DataFrame:
 
 
 def occurrence_numbers(occurrences: DataFrame) -> DataFrame:
-    """for each (doc_id, ts, signature) its number within the family and the times of the ones before and after.
+    """for each (doc_id, ts, signature) its number within the family, the time before and the (time, id) after.
 
     A window over a family would put a hot one into a single task.  Instead rows are range partitioned by
     (signature, ts, doc_id), which splits a family over as many tasks as it needs; each slice is numbered on its own
@@ -115,13 +127,17 @@ def occurrence_numbers(occurrences: DataFrame) -> DataFrame:
     earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
     sizes = (
         sliced.groupBy("signature", "slice")
-        .agg(F.count(F.lit(1)).alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.min(F.struct(*order)).alias("first_row"),
+            F.max("ts").alias("last_ts"),
+        )
         .select(
             "signature",
             "slice",
             F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("shift"),
             F.lag("last_ts").over(slices).alias("ts_before"),
-            F.lead("first_ts").over(slices).alias("ts_after"),
+            F.lead("first_row").over(slices).alias("row_after"),
         )
     )
     within = Window.partitionBy("signature", "slice").orderBy(*order)
@@ -129,7 +145,7 @@ def occurrence_numbers(occurrences: DataFrame) -> DataFrame:
         "*",
         F.row_number().over(within).alias("number"),
         F.lag("ts").over(within).alias("lag_ts"),
-        F.lead("ts").over(within).alias("lead_ts"),
+        F.lead(F.struct(*order)).over(within).alias("lead_row"),
     )
     return numbered.join(sizes, ["signature", "slice"]).select(
         "doc_id",
@@ -137,21 +153,25 @@ def occurrence_numbers(occurrences: DataFrame) -> DataFrame:
         "signature",
         (F.col("shift") + F.col("number")).alias("occurrence"),
         F.coalesce("lag_ts", "ts_before").alias("previous_ts"),
-        F.coalesce("lead_ts", "ts_after").alias("next_ts"),
-    )
+        F.coalesce("lead_row", "row_after").alias("next"),
+    ).select("doc_id", "ts", "signature", "occurrence", "previous_ts", F.col("next.ts").alias("next_ts"), F.col("next.doc_id").alias("next_doc_id"))
 
 
 def history_versions(occurrences: DataFrame) -> DataFrame:
     """What the history said about each family after each of its occurrences, until the next one.
 
     Recalling against these rows with ``as_of`` gives every text the answer it would have had in its turn, counts and
-    causes included, although all texts are processed at once.
+    causes included, although all texts are processed at once.  Turns go by (time, id), so texts of one time have an
+    order as well.  Ids are hashed once per family.
     """
     kept = storable(occurrences)
-    numbered = occurrence_numbers(kept).select("doc_id", "occurrence", "next_ts")
-    return kept.join(numbered, "doc_id").select(
-        sig_id(F.col("signature")).alias("sig_id"),
+    numbered = occurrence_numbers(kept).select("doc_id", "occurrence", "next_ts", "next_doc_id")
+    ids = kept.select("signature").distinct().withColumn("sig_id", sig_id(F.col("signature")))
+    return kept.join(numbered, "doc_id").join(ids, "signature").select(
+        "sig_id",
         "signature",
+        F.col("doc_id").cast("string").alias("since_id"),
+        F.col("next_doc_id").cast("string").alias("until_id"),
         F.col("occurrence").cast("bigint").alias("version"),
         F.col("occurrence").cast("bigint").alias("count"),
         F.col("ts").alias("first_seen"),

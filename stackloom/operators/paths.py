@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from stackloom.functions import fixed
 from stackloom.functions.text import let, strip, strip_container
-from stackloom.operators.joins import salted_join
 from stackloom.operators.rows import unfold
 from stackloom.sources.ingest import line_count
 
@@ -89,24 +88,23 @@ def resolve_distinct(trace_paths: DataFrame, source_files: DataFrame) -> DataFra
 
     All rules are one equi join: a trace path is unfolded into its candidates, and the hit of the best candidate wins.
     """
-    index = file_index(source_files)
-    lookup = index.select("repo", F.lit("path").alias("kind"), F.col("path").alias("name"), "path", "size", "n_lines")
-    by_name = (
-        index.groupBy("repo", "name")
-        .agg(
-            F.count(F.lit(1)).alias("files"),
-            F.min("path").alias("path"),
-            F.min("size").alias("size"),
-            F.min("n_lines").alias("n_lines"),
-        )
-        .where(F.col("files") == 1)
-        .select("repo", F.lit("base").alias("kind"), "name", "path", "size", "n_lines")
+    names = F.array(
+        F.struct(F.lit("path").alias("kind"), F.col("path").alias("name")), F.struct(F.lit("base").alias("kind"), F.col("name"))
+    )
+    # one scan and one shuffle for both rules: a file by its path, and by its name if no other file has it
+    lookup = (
+        unfold(file_index(source_files), names, "repo", "path", "size", "n_lines", position="_")
+        .select("repo", "path", "size", "n_lines", "item.*")
+        .groupBy("repo", "kind", "name")
+        .agg(F.count(F.lit(1)).alias("files"), *(F.min(c).alias(c) for c in ("path", "size", "n_lines")))
+        .where((F.col("kind") == "path") | (F.col("files") == 1))
+        .drop("files")
     )
     wanted = trace_paths.select("repo", "file").distinct()
     candidates = unfold(wanted, path_candidates(F.col("file")), "repo", "file", position="priority").select(
         "repo", "file", "priority", "item.*"
     )
-    hits = salted_join(candidates, lookup.unionByName(by_name), ["repo", "kind", "name"], "inner", ["file"])
+    hits = candidates.join(lookup, ["repo", "kind", "name"])
     best = F.min_by(F.struct("path", "size", "n_lines"), "priority").alias("hit")
     return hits.groupBy("repo", "file").agg(best).select("repo", "file", "hit.*")
 
@@ -117,10 +115,10 @@ def resolve_paths(frames: DataFrame, source_files: DataFrame) -> DataFrame:
     Every distinct trace path is resolved once, however many frames carry it.
     """
     resolved = resolve_distinct(frames, source_files)
-    return salted_join(frames, resolved, ["repo", "file"], "inner", ["doc_id", "pos"])
+    return frames.join(resolved, ["repo", "file"])
 
 
 def unresolved_frames(frames: DataFrame, source_files: DataFrame) -> DataFrame:
     """The frames that resolve_paths leaves out."""
     resolved = resolve_distinct(frames, source_files).select("repo", "file")
-    return salted_join(frames, resolved, ["repo", "file"], "left_anti", ["doc_id", "pos"])
+    return frames.join(resolved, ["repo", "file"], "left_anti")

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stackloom.functions import fixed
-from stackloom.operators.joins import salted_join
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 50_000
@@ -88,19 +87,35 @@ def _first_k(rows: np.ndarray, cols: np.ndarray, scores: np.ndarray, k: int):
     return rows[kept], cols[kept], scores[kept]
 
 
-def top_matches(queries, history, k, threshold, query_time=None, valid=None):
+def _hidden(asked: tuple, since: tuple, until: tuple) -> np.ndarray:
+    """Which history rows (columns) a query (row) may not see; each side is (times, ids or None).
+
+    A row counts for queries after its ``since`` and up to its ``until``.  Equal times are told apart by ids, if there
+    are any; only pairs of equal times look at them.
+    """
+    time, start, end = asked[0][:, None], since[0][None], until[0][None]
+    hidden = (start >= time) | (end < time)
+    if since[1] is not None:
+        rows, cols = np.nonzero(start == time)
+        hidden[rows, cols] = (since[1][cols] >= asked[1][rows]) | (end < time)[rows, cols]
+        rows, cols = np.nonzero((end == time) & ~hidden)
+        hidden[rows, cols] = until[1][cols] < asked[1][rows]
+    return hidden
+
+
+def top_matches(queries, history, k, threshold, asked=None, valid=None):
     """Row numbers of queries and history and their scores: per query the k best at or above the threshold.
 
-    With times, a history row counts for queries after its ``valid[0]`` and up to its ``valid[1]``.
+    With ``asked`` only what a query may see counts (``_hidden``).
     """
     parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
     for q in range(0, len(queries), QUERY_ROWS):
         for h in range(0, len(history), TILE_ROWS):
             scores = np.round(queries[q : q + QUERY_ROWS] @ history[h : h + TILE_ROWS].T, SCORE_DIGITS)
-            if query_time is not None:
-                asked = query_time[q : q + QUERY_ROWS, None]
-                since, until = (times[None, h : h + TILE_ROWS] for times in valid)
-                scores[(since >= asked) | (until < asked)] = -2.0
+            if asked is not None:
+                mine = tuple(x if x is None else x[q : q + QUERY_ROWS] for x in asked)
+                sides = (tuple(x if x is None else x[h : h + TILE_ROWS] for x in side) for side in valid)
+                scores[_hidden(mine, *sides)] = -2.0
             floor = threshold
             if scores.shape[1] > k:
                 floor = np.maximum(np.partition(scores, -k, axis=1)[:, -k, None], threshold)
@@ -139,10 +154,25 @@ def _matched(doc_ids: pa.Array, held: tuple, found: tuple) -> pa.RecordBatch:
 
 
 def _held(table: pa.Table, dim: int) -> tuple:
-    """History rows as tasks use them: ids, versions, unit vectors, times of validity."""
+    """History rows as tasks use them: ids, versions, unit vectors, times (and ids) of validity."""
     table = table.combine_chunks()
     ids, versions = (table.column(name).combine_chunks() for name in ("sig_id", "version"))
-    return ids, versions, _unit_rows(table.column("embedding"), dim), (_micros(table, "time"), _micros(table, "until"))
+    valid = ((_micros(table, "time"), _texts(table, "since_id")), (_micros(table, "until"), _texts(table, "until_id")))
+    return ids, versions, _unit_rows(table.column("embedding"), dim), valid
+
+
+def _texts(batch, name: str) -> np.ndarray | None:
+    """A column of ids as Python texts, a missing one as the empty text; None if there is no such column."""
+    if name not in batch.schema.names:
+        return None
+    return np.array([x or "" for x in batch.column(name).to_pylist()], dtype=object)
+
+
+def _asked(batch, held: tuple, as_of: bool) -> tuple | None:
+    if not as_of:
+        return None
+    named = held[3][0][1] is not None
+    return _micros(batch, "time"), np.array([str(x) for x in batch.column("doc_id").to_pylist()], dtype=object) if named else None
 
 
 def _broadcast_matches(queries, small: pa.Table, dim, k, threshold, as_of, schema) -> DataFrame:
@@ -152,7 +182,7 @@ def _broadcast_matches(queries, small: pa.Table, dim, k, threshold, as_of, schem
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for batch in batches:
-            asked = _micros(batch, "time") if as_of else None
+            asked = _asked(batch, held, as_of)
             found = top_matches(_unit_rows(batch.column("embedding"), dim), held[2], k, threshold, asked, held[3])
             yield _matched(batch.column("doc_id"), held, found)
 
@@ -212,7 +242,7 @@ def _blocked_matches(queries, history, dim, k, threshold, as_of, schema, block_r
     parts_of = F.array(*[F.lit(int(n)).cast("bigint") for n in parts])
     history_side = placed.select(
         F.col("cell"),
-        F.pmod(F.xxhash64("sig_id"), F.get(parts_of, F.col("cell"))).alias("part"),
+        F.pmod(F.xxhash64("sig_id", "version"), F.get(parts_of, F.col("cell"))).alias("part"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))).alias("chunk"),
         F.lit(0).alias("side"),
         "sig_id",
@@ -220,6 +250,7 @@ def _blocked_matches(queries, history, dim, k, threshold, as_of, schema, block_r
         "embedding",
         "time",
         "until",
+        *(c for c in ("since_id", "until_id") if c in placed.columns),
     )
     query_side = (
         _with_cells(queries, pivots, dim, radii, reach)
@@ -253,7 +284,7 @@ def _blocked_matches(queries, history, dim, k, threshold, as_of, schema, block_r
                 if not stored:
                     continue
                 held = held or _held(pa.Table.from_batches(stored), dim)
-                asked = _micros(run, "time") if as_of else None
+                asked = _asked(run, held, as_of)
                 found = top_matches(_unit_rows(run.column("embedding"), dim), held[2], k, threshold, asked, held[3])
                 yield _matched(run.column("doc_id"), held, found)
 
@@ -277,8 +308,8 @@ def nearest(
     """doc_id, rank, sig_id, version, score of the k most similar history rows at or above the threshold.
 
     ``as_of`` (D10) lets a query (column ``ts``) see only what was there before it: history rows whose ``first_seen``
-    is earlier, and of the rows that ``history_versions`` gives those whose ``valid_until`` has not passed.  Ties go to
-    the smaller sig_id.
+    is earlier, and of the rows that ``history_versions`` gives those whose (time, id) is earlier than its own and which
+    none that is earlier replaces.  Ties go to the smaller sig_id.
     """
     versioned = "version" in history.columns
 
@@ -296,6 +327,7 @@ def nearest(
         (F.col("version") if versioned else zero).alias("version"),
         (micros("first_seen") if as_of else zero).alias("time"),
         (F.coalesce(micros("valid_until"), forever) if as_of and versioned else forever).alias("until"),
+        *(("since_id", "until_id") if as_of and "since_id" in history.columns else ()),
     )
     schema = _match_schema(queries, history)
     first = stored.select(F.size("embedding").alias("dim")).first()
@@ -305,9 +337,8 @@ def nearest(
     asked, stored = check_dimension(asked, dim), check_dimension(stored, dim)
 
     fits = max(1, broadcast_bytes // (8 * (dim + 6)))
-    head = stored.limit(fits + 1).toArrow()  # bounded by the byte budget
-    if head.num_rows <= fits:
-        return _broadcast_matches(asked, head, dim, k, threshold, as_of, schema)
+    if stored.count() <= fits:  # counted where the rows are; only what fits the byte budget is fetched
+        return _broadcast_matches(asked, stored.toArrow(), dim, k, threshold, as_of, schema)
     return _blocked_matches(asked, stored, dim, k, threshold, as_of, schema, block_rows, chunk_rows, pivots)
 
 
@@ -323,6 +354,6 @@ def recall(
     matches = nearest(queries, history, k, threshold, as_of, **sizes)
     version = F.col("version") if "version" in history.columns else F.lit(0).cast("bigint")
     known = history.select("sig_id", version.alias("version"), "count", "last_seen", "cause", "fixes")
-    return salted_join(matches, known, ["sig_id", "version"], "inner", ["doc_id"]).select(
+    return matches.join(known, ["sig_id", "version"]).select(
         "doc_id", "rank", "sig_id", "score", "count", "last_seen", "cause", "fixes"
     )

@@ -23,19 +23,23 @@ RECALL = {"k": 3, "threshold": 0.3}
 # --- inputs shared by several queries ---------------------------------------------------------------------------------
 
 
-def analysed_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Traces with their frames, as a table: the source joins use it several times."""
+def framed_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces with their frames."""
     traces = inputs.traces(spark, sf_dir).withColumn("language", detect_language(F.col("text")))
-    found = traces.select(
+    return traces.select(
         "doc_id", "repo", "language", frames.stack_frames(F.col("text"), F.col("language")).alias("stack_frames")
     )
-    return materialize(found)
 
 
-def trace_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unfold(analysed_traces(spark, sf_dir), F.col("stack_frames"), "doc_id", "repo").select(
-        "doc_id", "repo", "pos", "item.*"
-    )
+def analysed_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a table: the source joins use it several times."""
+    return materialize(framed_traces(spark, sf_dir))
+
+
+def trace_frames(spark: SparkSession, sf_dir: str, once_only: bool = False) -> DataFrame:
+    """Frames of all traces, from a table unless they are used ``once_only``."""
+    traces = framed_traces(spark, sf_dir) if once_only else analysed_traces(spark, sf_dir)
+    return unfold(traces, F.col("stack_frames"), "doc_id", "repo").select("doc_id", "repo", "pos", "item.*")
 
 
 def occurrences(documents: DataFrame) -> DataFrame:
@@ -178,7 +182,7 @@ def frame_hotspots(spark, sf_dir):
 
 def path_candidates(spark, sf_dir):
     found = unfold(
-        trace_frames(spark, sf_dir), paths.path_candidates(F.col("file")), "doc_id", "pos", position="priority"
+        trace_frames(spark, sf_dir, once_only=True), paths.path_candidates(F.col("file")), "doc_id", "pos", position="priority"
     )
     return found.select("doc_id", "pos", "priority", "item.*")
 
@@ -204,11 +208,11 @@ def docs_with_source(spark, sf_dir):
 
 
 def collect_symbols(spark, sf_dir):
-    return symbols.collect_symbols(analysed_traces(spark, sf_dir))
+    return symbols.collect_symbols(framed_traces(spark, sf_dir))
 
 
 def frame_symbols(spark, sf_dir):
-    return trace_frames(spark, sf_dir).select(
+    return trace_frames(spark, sf_dir, once_only=True).select(
         "doc_id", "pos", "function", symbol_name(F.coalesce("function", F.lit(""))).alias("symbol")
     )
 
@@ -284,9 +288,9 @@ def recall_as_of(spark, sf_dir):
 
 
 def recall_in_turn(spark, sf_dir):
-    """Each vector recalls what earlier ones left behind, with the counts of that moment."""
-    versions = history.history_versions(inputs.vector_occurrences(spark, sf_dir))
-    return _shown_priors(similarity.recall(inputs.vectors(spark, sf_dir), versions, **RECALL, as_of=True)).drop("sig_id")
+    """Each vector recalls what earlier ones left behind, with the counts of that moment; five have one time each."""
+    versions = history.history_versions(inputs.vector_occurrences(spark, sf_dir, at_once=5))
+    return _shown_priors(similarity.recall(inputs.vectors(spark, sf_dir, at_once=5), versions, **RECALL, as_of=True)).drop("sig_id")
 
 
 def recall_threshold(spark, sf_dir):

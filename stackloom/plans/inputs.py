@@ -208,11 +208,11 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("size", F.octet_length("content").cast("bigint"))
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The embeddings as queries: doc_id, embedding, ts."""
+def vectors(spark: SparkSession, sf_dir: str, at_once: int = 1) -> DataFrame:
+    """The embeddings as queries: doc_id, embedding, ts; ``at_once`` of them have one time."""
     n = F.col("vec_id")
     return table(spark, sf_dir, "embeddings").select(
-        _text("trace-", n).alias("doc_id"), "embedding", F.timestamp_seconds(F.lit(1704067200) + n * 60).alias("ts")
+        _text("trace-", n).alias("doc_id"), "embedding", F.timestamp_seconds(F.lit(1704067200) + F.floor(n / at_once) * 60).alias("ts")
     )
 
 
@@ -239,12 +239,12 @@ def vector_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def vector_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The embeddings as occurrences, those of one label forming a family."""
+def vector_occurrences(spark: SparkSession, sf_dir: str, at_once: int = 1) -> DataFrame:
+    """The embeddings as occurrences, those of one label forming a family; ``at_once`` of them have one time."""
     n = F.col("vec_id")
     return table(spark, sf_dir, "embeddings").select(
         _text("trace-", n).alias("doc_id"),
-        F.timestamp_seconds(F.lit(1704067200) + n * 60).alias("ts"),
+        F.timestamp_seconds(F.lit(1704067200) + F.floor(n / at_once) * 60).alias("ts"),
         _text("family ", F.col("label")).alias("signature"),
         _text("cause ", n % 10).alias("cause"),
         F.when(n % 4 == 0, "").otherwise(_text("- fix ", n % 3)).alias("fixes"),

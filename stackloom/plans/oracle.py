@@ -261,6 +261,8 @@ FROM files""",
     "priors_of": """
 SELECT vec_id, 'trace-' || vec_id AS doc_id, embedding::DOUBLE[] AS e,
   TIMESTAMP '2024-01-01 00:00:00' + to_minutes(vec_id) AS seen FROM embeddings""",
+    "timed": """
+SELECT vec_id, doc_id, e, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(vec_id // 5) AS at_time FROM priors_of""",
     # --- texts ---
     "lines": f"""
 SELECT doc_id, unnest(string_split(text, {NL})) AS line, generate_subscripts(string_split(text, {NL}), 1) AS line_no FROM errors""",
@@ -524,12 +526,13 @@ FROM trace_frames""",
     "recall_in_turn": f"""
 SELECT doc_id, rank::INT AS rank, round(score, 6) AS score, count, strftime(seen, '%Y-%m-%d') AS last_seen, cause, fixes FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 12) DESC) AS rank FROM (
-    SELECT q.doc_id, list_cosine_similarity(q.e, v.e) AS score, v.count, v.seen, 'cause ' || (v.vec_id % 10) AS cause,
+    SELECT q.doc_id, list_cosine_similarity(q.e, v.e) AS score, v.count, v.at_time AS seen, 'cause ' || (v.vec_id % 10) AS cause,
       CASE WHEN v.vec_id % 4 = 0 THEN '' ELSE '- fix ' || (v.vec_id % 3) END AS fixes
-    FROM priors_of q JOIN (
-      SELECT p.*, row_number() OVER w AS count, lead(seen) OVER w AS next_seen
-      FROM priors_of p JOIN embeddings m ON m.vec_id = p.vec_id WINDOW w AS (PARTITION BY m.label ORDER BY p.seen, p.doc_id)
-    ) v ON v.seen < q.seen AND (v.next_seen IS NULL OR v.next_seen >= q.seen)
+    FROM timed q JOIN (
+      SELECT p.*, row_number() OVER w AS count, lead(at_time) OVER w AS next_time, lead(doc_id) OVER w AS next_doc
+      FROM timed p JOIN embeddings m ON m.vec_id = p.vec_id WINDOW w AS (PARTITION BY m.label ORDER BY at_time, doc_id)
+    ) v ON (v.at_time < q.at_time OR (v.at_time = q.at_time AND v.doc_id < q.doc_id))
+      AND (v.next_time IS NULL OR v.next_time > q.at_time OR (v.next_time = q.at_time AND v.next_doc >= q.doc_id))
   ) WHERE round(score, 12) >= 0.3
 ) WHERE rank <= {fixed.RECALL_K}""",
     "recall_threshold": f"""SELECT doc_id, rank::INT AS rank, id::VARCHAR AS sig_id, round(score, 6) AS score FROM (

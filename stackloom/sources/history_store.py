@@ -7,16 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from stackloom.operators.history import HISTORY_SCHEMA, fold_history
 
 
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    """Folders of the versions that were written to the end."""
+def _complete(spark: SparkSession, path: str) -> dict[str, str]:
+    """Name and folder of all versions and compactions that were written to the end; one listing for all of them."""
     jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(root):
-        return []
-    folders = [status.getPath() for status in files.listStatus(root) if status.isDirectory()]
-    done = [f for f in folders if files.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
-    return sorted(f.toString() for f in done if f.getName().startswith("version="))
+    marks = jvm.org.apache.hadoop.fs.Path(f"{path}/*/_SUCCESS")
+    found = marks.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marks) or []
+    folders = [status.getPath().getParent() for status in found]
+    return {f.getName(): f.toString() for f in folders}
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Folders that make up the history: the last compaction and the versions after it."""
+    found = _complete(spark, path)
+    base = max((n for n in found if n.startswith("upto=")), default="upto=")
+    after = [n for n in found if n.startswith("version=") and n.partition("=")[2] > base.partition("=")[2]]
+    return [found[n] for n in ([base] if base in found else []) + sorted(after)]
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
@@ -32,13 +37,24 @@ def write_history(df: DataFrame, path: str, version: int | str) -> bool:
     """Write history rows as one version; False when that version is already there.
 
     A version holds only what it adds: an upsert writes the families it touched, not the table.  A write that broke
-    off leaves no ``_SUCCESS`` and is overwritten by the next try, so nothing is counted twice.  To compact, write
-    ``read_history`` as the only version of a new folder.
+    off leaves no ``_SUCCESS`` and is overwritten by the next try, so nothing is counted twice.  Versions are ordered as
+    texts, so numbers need leading zeros.
     """
-    folder = f"{path}/version={version}"
-    spark = df.sparkSession
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-    if marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+    done = _complete(df.sparkSession, path)
+    compacted = max((n.partition("=")[2] for n in done if n.startswith("upto=")), default="")
+    if f"version={version}" in done or str(version) <= compacted:
         return False
-    df.write.mode("overwrite").parquet(folder)
+    df.write.mode("overwrite").parquet(f"{path}/version={version}")
     return True
+
+
+def compact_history(spark: SparkSession, path: str) -> str | None:
+    """Folds all versions into one table, which readers use instead of them; the name it got, or None if there is no version.
+
+    Versions up to it may be deleted once no reader that began before uses them.  A compaction that broke off is ignored.
+    """
+    names = [n.partition("=")[2] for n in _complete(spark, path) if n.startswith("version=")]
+    if not names:
+        return None
+    read_history(spark, path).write.mode("overwrite").parquet(f"{path}/upto={max(names)}")
+    return f"upto={max(names)}"

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from stackloom.functions.text import rfc3339
@@ -141,3 +142,25 @@ def test_stream_analysis_and_text_files(spark, tmp_path):
     )
     query.awaitTermination()
     assert [tuple(r) for r in spark.table("analysed").collect()] == [("stdin", "python", 1)]
+
+
+def test_a_second_dimension_fails(spark):
+    stored = history.new_history(spark.createDataFrame([occurrence("d1", "sig-A", 0)], OCCURRENCE))
+    other = spark.createDataFrame([occurrence("d2", "sig-A", 5, vector=(1.0, 2.0, 3.0))], OCCURRENCE)
+    with pytest.raises(Exception, match="vector has size 3, want 2"):
+        history.record(stored, other).collect()
+    with pytest.raises(Exception, match="vector has size 3, want 4"):
+        history.new_history(other, dim=4).collect()
+
+
+def test_compaction(spark, tmp_path):
+    path = str(tmp_path / "h")
+    assert history_store.compact_history(spark, path) is None
+    for n in range(3):
+        history_store.write_history(history.new_history(spark.createDataFrame([occurrence(f"d{n}", "sig-A", n)], OCCURRENCE)), path, f"{n:03d}")
+    before = shown(history_store.read_history(spark, path))
+    assert history_store.compact_history(spark, path) == "upto=002"
+    assert shown(history_store.read_history(spark, path)) == before
+    late = history.new_history(spark.createDataFrame([occurrence("d9", "sig-A", 9)], OCCURRENCE))
+    assert not history_store.write_history(late, path, "001") and history_store.write_history(late, path, "003")
+    assert [r[1] for r in shown(history_store.read_history(spark, path))] == [4]

@@ -107,7 +107,7 @@ def test_recall_in_turn_equals_one_by_one(spark, sizes):
     want = set()
     for doc, t, _, _, _, v in rows:
         points = {}
-        for _, t2, sig, cause, _, w in (r for r in rows if r[1] < t):
+        for _, _, sig, cause, _, w in (r for r in rows if (r[1], r[0]) < (t, doc)):
             points[sig] = (points.get(sig, (0,))[0] + 1, cause, w)
         scored = []
         for sig, (count, cause, w) in points.items():
