@@ -7,11 +7,11 @@ arguments; none holds unless it is given, and roll-ups take none.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackloom.functions import fixed
-from stackloom.functions.text import UNICODE_SPACE, excerpt, let, normalize, strip
+from stackloom.functions.text import UNICODE_SPACE, excerpt, let, normalize, starts_block, strip
 from stackloom.operators.rows import once, unfold
 
 # A break is a run of blank lines, or a newline in front of a line that starts an entry.
@@ -149,3 +149,46 @@ def error_families(df: DataFrame) -> DataFrame:
     on the map side: a family that makes up a third of all rows arrives as one row per task.
     """
     return counted_families(unfold(df, error_groups(F.col("text"), noise=True), "ts").select("ts", "item.*"))
+
+
+def line_blocks(lines: DataFrame) -> DataFrame:
+    """C1/C2 for logs of any length: file, block_no, block of the lines (file, split, row, line) that ``log_lines`` gives.
+
+    Every split is numbered on its own and shifted by the blocks that begin in the file's earlier splits, a table of one row
+    per split; whether a split's first line begins a block is told by the last line of the split before.  So a file of
+    any length is the work of as many tasks as it has splits.  A block itself is one value.
+    """
+    own = Window.partitionBy("file", "split").orderBy("row")
+    marked = lines.withColumn("blank", strip(F.col("line")) == "").withColumn("after_blank", F.lag("blank").over(own))
+    opens = starts_block(F.col("line"))
+    # NULL for the first line of a split that begins a block only if a blank line is in front of it
+    marked = marked.withColumn("begins", ~F.col("blank") & (opens | F.col("after_blank")))
+    begins = F.coalesce(F.col("begins"), F.lit(False)).cast("int")
+    first = F.struct("row", "blank", F.isnull("begins").alias("depends"))
+    slices = marked.groupBy("file", "split").agg(
+        F.sum(begins).alias("own"), F.min(first).alias("first"), F.max(F.struct("row", "blank")).alias("last")
+    )
+    order = Window.partitionBy("file").orderBy("split")
+    slices = slices.withColumn("opened", (F.col("first.depends") & F.lag("last.blank", 1, True).over(order)).cast("int"))
+    before = F.sum(F.col("own") + F.col("opened")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    slices = slices.select("file", "split", (F.coalesce(before, F.lit(0)) + F.col("opened")).alias("shift"))
+    numbered = marked.withColumn("number", F.sum(begins).over(own.rowsBetween(Window.unboundedPreceding, 0))).where(~F.col("blank"))
+    placed = numbered.join(slices, ["file", "split"]).withColumn("block_no", F.col("shift") + F.col("number") - 1)
+    gathered = placed.groupBy("file", "block_no").agg(F.sort_array(F.collect_list(F.struct("split", "row", "line"))).alias("l"))
+    return gathered.select("file", "block_no", F.array_join("l.line", "\n").alias("block"))
+
+
+def file_groups(blocks_of_files: DataFrame) -> DataFrame:
+    """E1 for logs of any length: file, rank, signature, count, representative, as ``error_groups`` ranks them.
+
+    Groups are counted by a hash aggregation; the blocks that stand for them are fetched afterwards.
+    """
+    trimmed = strip(F.col("block"))
+    signed = blocks_of_files.select("file", "block_no", trimmed.alias("block"), normalize(trimmed).alias("signature"))
+    counted = signed.where(F.col("signature") != "").groupBy("file", "signature").agg(
+        F.count(F.lit(1)).alias("count"), F.min("block_no").alias("block_no")
+    )
+    shown = counted.join(signed.select("file", "block_no", F.col("block").alias("representative")), ["file", "block_no"])
+    kept = shown.where((F.col("count") > 1) | (F.octet_length("representative") >= fixed.NOISE_BYTES))
+    rank = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("count"), "block_no"))
+    return kept.select("file", rank.alias("rank"), "signature", "count", "representative")

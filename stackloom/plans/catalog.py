@@ -124,6 +124,15 @@ def error_groups_top(spark, sf_dir):
     return groups.group_errors(inputs.errors(spark, sf_dir), max_groups=20, max_bytes=500)
 
 
+def log_file_groups(spark, sf_dir):
+    """E1 over log files, which are read line by line from all their splits."""
+    folder = work_folder(spark)
+    inputs.log_folder(spark, sf_dir, folder)
+    found = groups.file_groups(groups.line_blocks(ingest.log_lines(spark, folder)))
+    log = F.regexp_extract("file", "/log=([0-9]+)/", 1).cast("bigint").alias("log")
+    return found.select(log, "rank", "signature", "count", "representative")
+
+
 def doc_signature(spark, sf_dir):
     return groups.doc_signature(inputs.errors(spark, sf_dir))
 
@@ -464,6 +473,7 @@ QUERIES: dict[str, Query] = {
     "split_blocks": split_blocks,
     "error_groups": error_groups,
     "error_groups_top": error_groups_top,
+    "log_file_groups": log_file_groups,
     "doc_signature": doc_signature,
     "embed_text": embed_text,
     "error_families": error_families,

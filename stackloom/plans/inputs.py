@@ -38,8 +38,8 @@ def _hex(number: Column) -> Column:
     return F.lower(F.hex(number))
 
 
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One log per 40 consecutive events, so no log grows with the data."""
+def log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One log entry per event: event_id, ts, line."""
     n = F.col("event_id")
     message = _choice(
         n % 5,
@@ -55,9 +55,21 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     # now and then a short error of its own, which is noise in a log but not over all logs
     gap = F.when(n % 35 == 0, "\n\nERR 1\n").when(n % 7 == 0, "\n").otherwise("")
     line = _text(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), " ", level, " ", message, gap)
+    return table(spark, sf_dir, "events").select("event_id", "ts", line.alias("line"))
+
+
+def log_folder(spark: SparkSession, sf_dir: str, folder: str, events: int = 4000) -> None:
+    """Writes the entries as log files of so many events, each in a folder of its own."""
+    entries = log_entries(spark, sf_dir).withColumn("log", F.floor(F.col("event_id") / events))
+    rows = entries.repartition("log").sortWithinPartitions("log", "event_id")
+    rows.select("log", "line").write.partitionBy("log").text(folder)
+
+
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One log per 40 consecutive events, so no log grows with the data."""
     return (
-        table(spark, sf_dir, "events")
-        .select(F.floor(n / LOG_EVENTS).alias("log"), n.alias("event_id"), "ts", line.alias("line"))
+        log_entries(spark, sf_dir)
+        .withColumn("log", F.floor(F.col("event_id") / LOG_EVENTS))
         .groupBy("log")
         .agg(F.max(F.col("ts").cast("timestamp")).alias("ts"), F.sort_array(F.collect_list(F.struct("event_id", "line"))).alias("lines"))
         .select(

@@ -214,17 +214,47 @@ def _defines() -> str:
 _EXT = "CASE language " + " ".join(f"WHEN '{k}' THEN '.{v}'" for k, v in fixed.DEFINITION_EXTENSION.items()) + " END"
 _LABELS = "[" + ", ".join(q(x) for x in fixed.SECTION_LABELS) + "]"
 
-CTES: dict[str, str] = {
-    # --- the derived inputs ---
-    "logs": f"""
+def _logs(events: int) -> str:
+    return f"""
 SELECT 'log-' || log AS doc_id, string_agg(line, {NL} ORDER BY event_id) AS text, 'stdin' AS origin, max(ts) AS ts
 FROM (
-  SELECT event_id // 40 AS log, event_id, ts,
+  SELECT event_id // {events} AS log, event_id, ts,
     strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'WARN' END || ' '
     || {choice("event_id % 5", [_t(x) for x in _LOG_TEXTS])}
     || CASE WHEN event_id % 35 = 0 THEN {q(chr(10) * 2 + "ERR 1" + chr(10))} WHEN event_id % 7 = 0 THEN {NL} ELSE '' END AS line
   FROM events
-) GROUP BY log""",
+) GROUP BY log"""
+
+
+def _lines(texts: str) -> str:
+    return f"""
+SELECT doc_id, unnest(string_split(text, {NL})) AS line, generate_subscripts(string_split(text, {NL}), 1) AS line_no FROM {texts}"""
+
+
+def _blocks(lines: str) -> str:
+    return f"""
+SELECT doc_id, block_no, string_agg(line, {NL} ORDER BY line_no) AS block
+FROM (
+  SELECT doc_id, line_no, line, sum((prev_blank OR starts)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS block_no
+  FROM (
+    SELECT *, lag(blank, 1, true) OVER (PARTITION BY doc_id ORDER BY line_no) AS prev_blank
+    FROM (
+      SELECT *, trim(line, {WS}) = '' AS blank, regexp_matches(line, {q("^(?:" + fixed.BLOCK_START + ")")}) AS starts FROM {lines}
+    )
+  ) WHERE NOT blank
+) GROUP BY doc_id, block_no"""
+
+
+def _all_groups(blocks: str) -> str:
+    return f"""
+SELECT doc_id, signature, count(*) AS n, min(block_no) AS first_block, arg_min(rep, block_no) AS rep
+FROM (SELECT doc_id, block_no, trim(block, {WS}) AS rep, {normalize(f"trim(block, {WS})")} AS signature FROM {blocks})
+WHERE signature <> '' GROUP BY doc_id, signature"""
+
+
+CTES: dict[str, str] = {
+    # --- the derived inputs ---
+    "logs": _logs(40),
     "traces": f"""
 SELECT 'trace-' || n AS doc_id, n, CASE WHEN n % 40 = 1 THEN {_DEEP} WHEN n % 56 = 7 THEN {_LATE}
   ELSE {choice("n % 8", [_t(x) for x in _TRACE_TEXTS])} END AS text, 'inline' AS origin, ts, 'r' || (file % 2) AS repo
@@ -264,23 +294,13 @@ SELECT vec_id, 'trace-' || vec_id AS doc_id, embedding::DOUBLE[] AS e,
     "timed": """
 SELECT vec_id, doc_id, e, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(vec_id // 5) AS at_time FROM priors_of""",
     # --- texts ---
-    "lines": f"""
-SELECT doc_id, unnest(string_split(text, {NL})) AS line, generate_subscripts(string_split(text, {NL}), 1) AS line_no FROM errors""",
-    "blocks": f"""
-SELECT doc_id, block_no, string_agg(line, {NL} ORDER BY line_no) AS block
-FROM (
-  SELECT doc_id, line_no, line, sum((prev_blank OR starts)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS block_no
-  FROM (
-    SELECT *, lag(blank, 1, true) OVER (PARTITION BY doc_id ORDER BY line_no) AS prev_blank
-    FROM (
-      SELECT *, trim(line, {WS}) = '' AS blank, regexp_matches(line, {q("^(?:" + fixed.BLOCK_START + ")")}) AS starts FROM lines
-    )
-  ) WHERE NOT blank
-) GROUP BY doc_id, block_no""",
-    "all_groups": f"""
-SELECT doc_id, signature, count(*) AS n, min(block_no) AS first_block, arg_min(rep, block_no) AS rep
-FROM (SELECT doc_id, block_no, trim(block, {WS}) AS rep, {normalize(f"trim(block, {WS})")} AS signature FROM blocks)
-WHERE signature <> '' GROUP BY doc_id, signature""",
+    "lines": _lines("errors"),
+    "blocks": _blocks("lines"),
+    "all_groups": _all_groups("blocks"),
+    "big_logs": _logs(4000),
+    "big_lines": _lines("big_logs"),
+    "big_blocks": _blocks("big_lines"),
+    "big_groups": _all_groups("big_blocks"),
     "groups": f"""
 SELECT doc_id, rank, signature, n AS count, rep AS representative
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_block) AS rank FROM all_groups
@@ -488,6 +508,10 @@ SELECTS: dict[str, str] = {
     "split_blocks": "SELECT doc_id, block_no::INT AS block_no, block FROM blocks",
     "error_groups": "SELECT doc_id, rank::INT AS rank, signature, count, representative FROM groups",
     "error_groups_top": f"SELECT doc_id, rank::INT AS rank, signature, count, {excerpt('representative', 500)} AS representative FROM groups WHERE rank <= 20",
+    "log_file_groups": f"""
+SELECT substr(doc_id, 5)::BIGINT AS log, (row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_block))::INT AS rank, signature, n AS count,
+  rep AS representative
+FROM big_groups WHERE n > 1 OR strlen(rep) >= {fixed.NOISE_BYTES}""",
     "doc_signature": "SELECT doc_id, signature, representative FROM signatures",
     "embed_text": """SELECT e.doc_id, coalesce(g.representative, e.text) AS embed_text
 FROM errors e LEFT JOIN (SELECT * FROM groups WHERE rank = 1) g ON e.doc_id = g.doc_id""",

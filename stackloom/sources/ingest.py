@@ -48,6 +48,25 @@ def read_error_files(spark: SparkSession, path: str, max_bytes: int | None = Non
     return cap_input(files, max_bytes).select("doc_id", "text", "origin", "truncated", "ts")
 
 
+def log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A1/A2: the lines of log files of any length: file, split, row, line.
+
+    Files are read from all their splits.  ``split`` is where a line's split begins in its file and ``row`` orders the lines
+    of a split, so that (split, row) orders the lines of a file.
+    """
+    return (
+        spark.read.option("lineSep", "\n")
+        .option("recursiveFileLookup", "true")
+        .text(path)
+        .select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("row"),
+            F.make_valid_utf8(F.col("value")).alias("line"),
+        )
+    )
+
+
 def read_error_stream(
     spark: SparkSession,
     path: str,

@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from stackloom.operators import groups
 from stackloom.sources import ingest
 
 
@@ -36,3 +39,30 @@ def test_source_lines(spark):
     assert [(r.path, r.line_no, r.text) for r in rows] == [("a", 1, "x"), ("a", 2, "y"), ("a", 3, "")]
     counts = files.select(ingest.line_count(F.col("content")).alias("n")).collect()
     assert [r.n for r in counts] == [3, 1]
+
+
+def test_logs_of_any_length(spark, tmp_path):
+    """Files that lie in many splits give what the same texts give as one value each."""
+    rng = random.Random(3)
+    kinds = ["ERROR disk full", "", "  ", "continued é", "2024-01-01 10:00:00 WARN slow pid=%d", "Traceback", "x", "goroutine %d stuck"]
+    texts = {}
+    for name in ("a.log", "b.log", "c.log"):
+        lines = [rng.choice(kinds) for _ in range(300)]
+        texts[name] = "\n".join(k % rng.randint(0, 9) if "%" in k else k for k in lines)
+        (tmp_path / name).write_text(texts[name])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    want = sorted(tuple(r) for r in groups.group_errors(docs).collect())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("128m", "700b", "97b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", size)
+        try:
+            lines = ingest.log_lines(spark, str(tmp_path))
+            splits = lines.select("file", "split").distinct().count()
+            found = groups.file_groups(groups.line_blocks(lines)).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert splits == 3 if size == "128m" else splits > 10
+        got = sorted((r["file"].rsplit("/", 1)[1], r["rank"], r["signature"], r["count"], r["representative"]) for r in found)
+        assert got == want
