@@ -17,19 +17,19 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 def training_texts(
-    docs: DataFrame, labels: DataFrame, label_col: str, keep: Column, per_class: int, words: int, run: int
+    docs: DataFrame, labels: DataFrame, label_col: str, keep: Column, per_class: tuple[int, int], words: int, run: int
 ) -> DataFrame:
-    """(doc_id, texts, label) of at most ``per_class`` labelled documents of each class for which ``keep`` holds.
+    """(doc_id, texts, label) of at most ``per_class`` documents of label 0 and 1 for which ``keep`` holds.
 
     A document of over ``words`` words gives evenly spread runs of ``run`` words of that length in all, others are one
-    text.  So these are at most 2 * per_class * words words, whatever the input.  Rows are picked by a hash of the id; ids
+    text.  So these are at most sum(per_class) * words words, whatever the input.  Rows are picked by a hash of the id; ids
     labelled twice count as their largest label, and of rows that repeat an id one is taken.
     """
     known = labels.filter(keep & F.col(label_col).isin(0, 1)).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = None
     for value in (0, 1):
-        part = known.filter(F.col("label") == value).orderBy(*order).limit(per_class)
+        part = known.filter(F.col("label") == value).orderBy(*order).limit(per_class[value])
         picked = part if picked is None else picked.unionByName(part)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
 

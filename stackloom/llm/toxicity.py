@@ -28,7 +28,8 @@ HIDDEN, ATTENTION = 8, 8
 WORD_BUCKETS, GRAM_BUCKETS, WORD_DIM, GRAM_DIM = 1 << 13, 1 << 14, 8, 16
 GRAM = 4
 BATCH = 4096
-PER_CLASS, TRAIN_WORDS = 1500, 3000
+# labelled documents of label 0 and 1, and words of each, that training takes at most
+PER_CLASS, TRAIN_WORDS = (3000, 1500), 3000
 EPOCHS, RANDOM_EPOCHS = 18, 3
 
 Params = dict[str, np.ndarray]
@@ -301,8 +302,8 @@ def score_slices(p: Params, column: pa.Array) -> Iterator[tuple[int, int, np.nda
         yield low, high, _sigmoid(best)
 
 
-def fit(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "toxic", per_class: int = PER_CLASS) -> Params:
-    """The network, learnt from at most ``per_class`` labelled documents of each class and ``TRAIN_WORDS`` words of each.
+def fit(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "toxic", per_class: tuple[int, int] = PER_CLASS) -> Params:
+    """The network, learnt from at most ``per_class`` documents of label 0 and 1 and ``TRAIN_WORDS`` words of each.
 
     That bounded sample goes to one task, which trains and gives the parameters back.
     """

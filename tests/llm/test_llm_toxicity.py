@@ -64,7 +64,7 @@ def test_held_out_accuracy(spark, awkward):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     marks = [(i, y, 1) for i, _, y in rows] + [(None, 1, 1), (5, None, 0), (10**9, 1, 0)]
     labels = spark.createDataFrame(marks, "doc_id long, toxic int, text int")
-    p = t.fit(docs, labels, F.col("doc_id") % 3 != 1, per_class=200)
+    p = t.fit(docs, labels, F.col("doc_id") % 3 != 1, per_class=(200, 200))
     held = {i: y for i, _, y in rows if i % 3 == 1}
     right = [int(r["score"] >= 0.7) == held[r["doc_id"]] for r in t.score(docs, p).collect() if r["doc_id"] in held]
     assert len(right) == len(held) and np.mean(right) > 0.93
