@@ -37,15 +37,17 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_is_checked():
+    from stackloom.plans import catalog, oracle
+
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"hash_embed"}
+    assert set(catalog.QUERIES) == set(oracle.ORACLES)
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["error_families", "history_new", "source_budget", "recall_blocked", "occurrence_number"])
+@pytest.mark.parametrize("name", ["error_families", "log_file_groups", "history_new", "source_budget", "recall_blocked", "occurrence_number"])
 def test_result_does_not_depend_on_partitions(spark, name):
     results = []
     for partitions in ("1", "7"):
