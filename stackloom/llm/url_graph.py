@@ -5,7 +5,8 @@ pages rules block and goes against the links, to those that link there.  A host
 that the rules judge, so a blocked section does not stand for a whole host.  A host is blocked if its distrust exceeds its
 trust by ``LIMIT`` of what a host has that is blocked as a whole and has no links.
 
-Edges join hosts whose pages link to each other, and a host with the next longer-known domain above it.  All of it is
+Edges join hosts whose pages link to each other, and a host with the next longer-known domain above it.  Hosts that are
+linked to but have no page take part unless ``crawled_only`` is set.  All of it is
 DataFrame operations; ranks are written after each step.
 """
 
@@ -21,7 +22,7 @@ from stackloom.llm.steps import written
 DAMPING, STEPS, LIMIT = 0.85, 10, 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_LINKS = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
+_LINKS = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+(?:/[^?#"'\s<>]*)?)"""
 
 
 class Rule(NamedTuple):
@@ -51,13 +52,37 @@ def _first_fit(rules: list[Rule], host: Column, path: Column, value) -> Column:
     return F.coalesce(*out, F.lit(None).cast("string"))
 
 
-def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(src, dst, w): pages of src that link to dst, both known hosts; and 1 for the nearest known domain above a host."""
-    found = F.transform(F.regexp_extract_all("html", F.lit(_LINKS), F.lit(1)), lambda x: F.translate(x, _UPPER, _LOWER))
-    links = pages.select(F.col("host").alias("src"), F.explode(F.array_distinct(found)).alias("dst"))
-    links = links.filter("src != dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
+def host_links(pages: DataFrame) -> DataFrame:
+    """(src, dst, path, w): the urls of other hosts that pages of src link to; w sums up to the pages of src that link to dst.
+
+    No path is the path ``/``, as http has it.
+    """
+    places = F.transform(
+        F.regexp_extract_all("html", F.lit(_LINKS), F.lit(1)),
+        lambda x: F.struct(F.translate(F.substring_index(x, "/", 1), _UPPER, _LOWER).alias("dst"), F.coalesce(F.nullif(F.regexp_extract(x, "/.*$", 0), F.lit("")), F.lit("/")).alias("path")),
+    )
+    rows = pages.select(F.col("host").alias("src"), F.array_sort(F.array_distinct(places)).alias("places"))
+    # the first place of each host in the sorted ones counts the page
+    first = F.transform("places", lambda x, i: F.when((i > 0) & (F.get("places", i - 1)["dst"] == x["dst"]), 0).otherwise(1))
+    rows = rows.select("src", F.explode(F.arrays_zip("places", first.alias("first"))).alias("x"))
+    rows = rows.select("src", "x.places.dst", "x.places.path", F.col("x.first").cast("long").alias("w")).filter("src != dst")
+    return rows.groupBy("src", "dst", "path").agg(F.sum("w").alias("w"))
+
+
+def linked_hosts(links: DataFrame, hosts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(host, allowed, blocked) of the hosts that are linked to and have no page: shares of their distinct linked urls."""
+    urls = links.select(F.col("dst").alias("host"), "path").distinct().join(hosts, "host", "left_anti")
+    return urls.groupBy("host").agg(*_shares(_first_fit(rules, F.col("host"), F.col("path"), lambda r: r.verdict)))
+
+
+def _shares(verdict: Column) -> list[Column]:
+    return [F.avg(F.when(verdict == v, 1.0).otherwise(0.0)).alias(name) for v, name in (("allow", "allowed"), ("block", "blocked"))]
+
+
+def host_edges(links: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(src, dst, w): pages of src that link to dst, both in ``hosts``; and 1 for the nearest of them that is a domain above a host."""
     known = hosts.select(F.col("host").alias("dst"))
-    links = links.join(known, "dst", "left_semi")
+    links = links.groupBy("src", "dst").agg(F.sum("w").alias("w")).join(known, "dst", "left_semi")
     labels = F.split("host", r"\.")
     above = hosts.select(F.col("host").alias("src"), F.posexplode(F.transform(F.sequence(F.lit(2), F.greatest(F.size(labels), F.lit(2))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("place", "dst"))
     above = above.filter("dst != '' AND src != dst").join(known, "dst", "left_semi")
@@ -86,20 +111,30 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, step
 
 
 def judge_urls(
-    pages: DataFrame, rules: list[Rule], url_col: str = "url", html_col: str = "html", damping: float = DAMPING, steps: int = STEPS, limit: float = LIMIT
+    pages: DataFrame,
+    rules: list[Rule],
+    url_col: str = "url",
+    html_col: str = "html",
+    damping: float = DAMPING,
+    steps: int = STEPS,
+    limit: float = LIMIT,
+    crawled_only: bool = True,
 ) -> DataFrame:
     """``page_id``, host, path, rule, verdict, trust and distrust of the host, for every row of ``pages``.
 
     Defined results: a null url, or one without ``://``, has empty host and path; the empty host is no part of the graph,
     has no trust and is allowed; null html has no links; rows without an id and repeated rows are judged each; other
-    columns are ignored.
+    columns are ignored.  With ``crawled_only`` links to hosts that have no page of their own are left out; without it such
+    hosts take part, and restart with the share of their linked urls that the rules judge.
     """
     base = pages.select("page_id", host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(html_col).cast("string").alias("html"))
     verdict = _first_fit(rules, F.col("host"), F.col("path"), lambda r: r.verdict)
-    share = {v: F.avg(F.when(verdict == v, 1.0).otherwise(0.0)) for v in ("allow", "block")}
-    hosts = base.filter("host != ''").groupBy("host").agg(share["allow"].alias("allowed"), share["block"].alias("blocked"))
-    hosts = written(hosts)
-    ranks = propagate(hosts, written(host_edges(base.filter("host != ''"), hosts)), damping, steps)
+    own = base.filter("host != ''")
+    hosts = written(own.groupBy("host").agg(*_shares(verdict)))
+    links = written(host_links(own))
+    if not crawled_only:
+        hosts = written(hosts.unionByName(linked_hosts(links, hosts, rules)))
+    ranks = propagate(hosts, written(host_edges(links, hosts)), damping, steps)
     names = _first_fit(rules, F.col("host"), F.col("path"), lambda r: r.name)
     trust, distrust = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("trust", "distrust"))
     by_graph = F.when(distrust - trust >= limit * (1 - damping), "block").otherwise("allow")

@@ -99,3 +99,22 @@ def test_propagation_equals_brute_force(spark):
 
 def test_empty_table(spark):
     assert u.judge_urls(frame(spark, []), RULES).count() == 0
+
+
+def test_hosts_without_pages_take_part(spark):
+    links = ["http://more.NET/x", "//bad.com", "http://news.org/fr/1?q", "http://news.org/de/2#a", "http://news.org/fr/1"]
+    rows = [
+        (1, "http://farm.com/", '<a href="http://Spam.NET/x"><a href="//spam.net/y">'),
+        (2, "http://good.org/fr/", '<a href="http://friend.com/"><a href="http://far.com/a/b">'),
+        (3, "http://friend.com/", None),
+        (4, "http://mixed.com/", "".join(f'<a href="{x}">' for x in links)),
+    ]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["host"]: r for r in u.judge_urls(table, RULES, crawled_only=False).collect()}
+    assert got["farm.com"]["verdict"] == "block" and got["friend.com"]["verdict"] == "allow"
+    # shared with a host that has no page
+    assert got["friend.com"]["trust"] == pytest.approx(0.15 * 0.85 / 2)
+    found = u.host_links(table.select(u.host_of(u.F.col("url")).alias("host"), "html"))
+    hosts = table.select(u.host_of(u.F.col("url")).alias("host"))
+    more = {r["host"]: (r["allowed"], r["blocked"]) for r in u.linked_hosts(found, hosts, RULES).collect()}
+    assert more == {"spam.net": (0, 1), "more.net": (0, 1), "bad.com": (0, 1), "news.org": (0.5, 0), "far.com": (0, 0)}
