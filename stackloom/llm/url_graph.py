@@ -2,8 +2,12 @@
 
 Trust starts from hosts whose pages rules allow and follows links (personalised PageRank); distrust starts from hosts whose
 pages rules block and goes against the links, to those that link there.  A host restarts with the share of its pages
-that the rules judge, so a blocked section does not stand for a whole host.  A host is blocked if its distrust exceeds its
-trust by ``LIMIT`` of what a host has that is blocked as a whole and has no links.
+that the rules judge, so a blocked section does not stand for a whole host.
+
+Both shrink with the number of links that share them, so verdicts come from two measures between 0 and 1 that do not:
+``blame`` is the chance that a walk along links from a host ends on a page that rules block, ``credit`` that a walk against
+them ends on one that they allow.  A walk ends where rules judge the page it reads, and else goes on by ``DAMPING``.  A host is
+blocked if its blame exceeds its credit by ``LIMIT``.
 
 Edges join hosts whose pages link to each other, and a host with the next longer-known domain above it.  Hosts that are
 linked to but have no page take part unless ``crawled_only`` is set.  All of it is
@@ -17,9 +21,14 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.llm.steps import written
+from stackloom.llm.steps import release, written
 
-DAMPING, STEPS, LIMIT = 0.85, 10, 0.5
+DAMPING, LIMIT = 0.85, 0.5
+#: Steps end when no host changes by more; what is left then is below the nine digits that queries show.
+TOLERANCE = 1e-10
+#: More than any table needs, as each step leaves at most ``DAMPING`` of the change before it.
+STEPS = 300
+MEASURES = ("trust", "distrust", "blame", "credit")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINKS = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+(?:/[^?#"'\s<>]*)?)"""
@@ -91,23 +100,30 @@ def host_edges(links: DataFrame, hosts: DataFrame) -> DataFrame:
 
 
 def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """(host, trust, distrust) of the hosts that any reaches; ``hosts`` has (host, allowed, blocked) shares."""
-    forth = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "w")
-    back = edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "w")
-    both = forth.unionByName(back)
-    out = both.groupBy("kind", "host").agg(F.sum("w").alias("total"))
-    moves = written(both.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("w") / F.col("total")).alias("p")))
-    kinds = F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("allowed").alias("s")), F.struct(F.lit("distrust").alias("kind"), F.col("blocked").alias("s"))))
-    seeds = hosts.select("host", kinds.alias("x")).select("x.kind", "host", "x.s").filter("s > 0")
-    seeds = written(seeds.select("kind", "host", (F.col("s") * (1 - damping)).alias("r")))
-    ranks = seeds
-    for _ in range(steps):
-        moved = ranks.join(moves, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("r") * F.col("p") * damping).alias("r"))
-        ranks = written(moved.unionByName(seeds).groupBy("kind", "host").agg(F.sum("r").alias("r")))
-    return ranks.groupBy("host").agg(
-        F.sum(F.when(F.col("kind") == "trust", F.col("r")).otherwise(0.0)).alias("trust"),
-        F.sum(F.when(F.col("kind") == "distrust", F.col("r")).otherwise(0.0)).alias("distrust"),
-    )
+    """(host, trust, distrust, blame, credit) of the hosts that any reaches; ``hosts`` has (host, allowed, blocked) shares."""
+    total = edges.join(edges.groupBy("src").agg(F.sum("w").alias("out")), "src").join(edges.groupBy("dst").agg(F.sum("w").alias("into")), "dst")
+    on = 1 - F.col("allowed") - F.col("blocked")
+    total = total.join(hosts.select(F.col("host").alias("src"), on.alias("src_on")), "src").join(hosts.select(F.col("host").alias("dst"), on.alias("dst_on")), "dst")
+    out, into = F.col("w") / F.col("out"), F.col("w") / F.col("into")
+    ways = (("trust", "src", "dst", out), ("distrust", "dst", "src", into), ("blame", "dst", "src", out * F.col("src_on")), ("credit", "src", "dst", into * F.col("dst_on")))
+    ways = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(a).alias("host"), F.col(b).alias("to"), p.alias("p")) for kind, a, b, p in ways))
+    moves = written(total.select(F.explode(ways).alias("x")).select("x.*").filter("p > 0"))
+    starts = (("trust", F.col("allowed") * (1 - damping)), ("distrust", F.col("blocked") * (1 - damping)), ("blame", F.col("blocked")), ("credit", F.col("allowed")))
+    starts = F.array(*(F.struct(F.lit(kind).alias("kind"), r.alias("r")) for kind, r in starts))
+    seeds = written(hosts.select("host", F.explode(starts).alias("x")).select("x.kind", "host", "x.r").filter("r > 0"))
+    ranks, zero = seeds, F.lit(0.0)
+    for step in range(steps):
+        moved = ranks.join(moves, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("r") * F.col("p") * damping).alias("r"), zero.alias("old"))
+        moved = moved.unionByName(seeds.withColumn("old", zero)).unionByName(ranks.select("kind", "host", zero.alias("r"), F.col("r").alias("old")))
+        ranks = written(moved.groupBy("kind", "host").agg(F.sum("r").alias("r"), F.sum("old").alias("old")))
+        change = ranks.agg(F.max(F.abs(F.col("r") - F.col("old")) / F.greatest("r", F.lit(1.0)))).first()[0]
+        if change is None or change <= TOLERANCE:
+            break
+        if step % 8 == 7:
+            release(hosts.sparkSession)
+    else:
+        raise RuntimeError("ranks did not settle")
+    return ranks.groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("r")).otherwise(0.0)).alias(k) for k in MEASURES))
 
 
 def judge_urls(
@@ -120,7 +136,7 @@ def judge_urls(
     limit: float = LIMIT,
     crawled_only: bool = True,
 ) -> DataFrame:
-    """``page_id``, host, path, rule, verdict, trust and distrust of the host, for every row of ``pages``.
+    """``page_id``, host, path, rule, verdict, and trust, distrust, blame and credit of the host, for every row of ``pages``.
 
     Defined results: a null url, or one without ``://``, has empty host and path; the empty host is no part of the graph,
     has no trust and is allowed; null html has no links; rows without an id and repeated rows are judged each; other
@@ -136,8 +152,9 @@ def judge_urls(
         hosts = written(hosts.unionByName(linked_hosts(links, hosts, rules)))
     ranks = propagate(hosts, written(host_edges(links, hosts)), damping, steps)
     names = _first_fit(rules, F.col("host"), F.col("path"), lambda r: r.name)
-    trust, distrust = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("trust", "distrust"))
-    by_graph = F.when(distrust - trust >= limit * (1 - damping), "block").otherwise("allow")
+    trust, distrust, blame, credit = (F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in MEASURES)
+    # sums of shares carry rounding
+    by_graph = F.when(blame - credit >= limit - 1e-9, "block").otherwise("allow")
     return base.drop("html").join(ranks, "host", "left").select(
-        "page_id", "host", "path", names.alias("rule"), F.coalesce(verdict, by_graph).alias("verdict"), trust.alias("trust"), distrust.alias("distrust")
+        "page_id", "host", "path", names.alias("rule"), F.coalesce(verdict, by_graph).alias("verdict"), trust, distrust, blame, credit
     )

@@ -118,3 +118,19 @@ def test_hosts_without_pages_take_part(spark):
     hosts = table.select(u.host_of(u.F.col("url")).alias("host"))
     more = {r["host"]: (r["allowed"], r["blocked"]) for r in u.linked_hosts(found, hosts, RULES).collect()}
     assert more == {"spam.net": (0, 1), "more.net": (0, 1), "bad.com": (0, 1), "news.org": (0.5, 0), "far.com": (0, 0)}
+
+
+def test_verdict_does_not_shrink_with_linkers(spark):
+    """Many hosts that link to the same blocked host only, one for which it is a quarter of its links, and a far one."""
+    to = lambda *hosts: "".join(f'<a href="http://{x}/">' for x in hosts)
+    linkers = [(f"http://farm{i}.com/", to("bad.com")) for i in range(12)]
+    chain = [(f"http://c{i}.com/", to(f"c{i + 1}.com" if i < 13 else "bad.com")) for i in range(14)]
+    other = [("http://bad.com/", ""), ("http://blog.com/", to("bad.com", "c0.com", "far.com", "near.com")), ("http://good.org/fr/", to("friend.com")), ("http://friend.com/", to("bad.com"))]
+    rows = [(i, *x) for i, x in enumerate(linkers + chain + other)]
+    got = {r["host"]: r for r in u.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES, crawled_only=False).collect()}
+    assert {got[f"farm{i}.com"]["verdict"] for i in range(12)} == {"block"}
+    assert got["farm3.com"]["blame"] == pytest.approx(0.85) and got["blog.com"]["verdict"] == "allow"
+    assert got["friend.com"]["verdict"] == "allow" and got["friend.com"]["credit"] == pytest.approx(0.85)
+    # more than ten steps away
+    assert got["c0.com"]["distrust"] > 0 and got["c0.com"]["blame"] == pytest.approx(0.85**14)
+    assert got["c0.com"]["verdict"] == "allow" and got["c13.com"]["verdict"] == "block"
