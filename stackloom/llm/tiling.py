@@ -1,6 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are lower-cased runs of letters and digits.  A document and a benchmark item that share enough hashes of
+Words are lower-cased runs of letters and digits, and single characters of scripts without spaces.  Items of fewer than
+``MIN_MATCH`` words are found where all their words follow each other.  Else, a document and a benchmark item that share enough hashes of
 ``MIN_MATCH`` consecutive words (seeds) are tiled: Karp-Rabin hashes of the words that are not marked yet give the common
 runs, the longest are marked on both sides without overlap, and the search runs again until no run of ``MIN_MATCH`` words is
 left.  The share of the item's words that lie in tiles is its coverage.  As tiles may lie in any order, reordered passages
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.llm.words import ALNUM_BYTES, find_words, gram_hashes, group_bounds, lowered, text_slices, tidy
+from stackloom.llm.words import ALNUM_BYTES, Words, find_words, gram_hashes, group_bounds, lowered, text_slices, tidy
 
 MIN_MATCH = 5
 COVERAGE = 0.6
@@ -112,6 +113,38 @@ def _found(block: Block, column: pa.Array, k: int, coverage: float) -> Iterator[
                 yield row0 + low + r, q, len(p), covered, tiles
 
 
+def _found_short(block: Block, column: pa.Array, k: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """The same of the items of fewer than k words that a row has whole."""
+    size = np.diff(block.first)
+    lengths = np.unique(size[(size > 0) & (size < k)]).tolist()
+    items = Words(None, None, None, np.repeat(np.arange(len(size)), size), block.words, block.first)
+    short = []
+    for m in lengths:
+        h, at = gram_hashes(items, m)
+        whole = size[items.row[at]] == m
+        order = np.argsort(h[whole], kind="stable")
+        short.append((m, h[whole][order], items.row[at[whole]][order]))
+    for low, high, _, _ in text_slices(column) if short else ():
+        words = find_words(*lowered(column.slice(low, high - low)), ALNUM_BYTES)
+        for m, seed, item in short:
+            h, at = gram_hashes(words, m)
+            a, b = (np.searchsorted(seed, h, side=side) for side in ("left", "right"))
+            seen = set()
+            for x in np.flatnonzero(b > a).tolist():
+                row, place = int(words.row[at[x]]), int(at[x])
+                for q in item[a[x] : b[x]].tolist():
+                    p = block.words[block.first[q] : block.first[q] + m]
+                    if (row, q) not in seen and np.array_equal(p, words.hash[place : place + m]):
+                        seen.add((row, q))
+                        yield low + row, q, m, m, 1
+
+
+def _hits(block: Block, column: pa.Array, k: int, coverage: float) -> Iterator[tuple[int, int, int, int, int]]:
+    if len(block.seed):
+        yield from _found(block, column, k, coverage)
+    yield from _found_short(block, column, k)
+
+
 def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, k: int) -> Iterator[Block]:
     """The items in blocks of about ``BLOCK_BYTES``, one at a time on the driver."""
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -136,8 +169,8 @@ def contaminated(
 ) -> DataFrame:
     """One row for each document row and item of which at least ``coverage`` is found in it.
 
-    Columns: doc_id, item_id, item_words, covered_words, coverage, tiles.  Defined results: null or empty texts and items of
-    fewer than ``min_match`` words are found nowhere; repeated document rows are reported each, repeated items once; a null
+    Columns: doc_id, item_id, item_words, covered_words, coverage, tiles.  Defined results: null or empty texts and items
+    without a word are found nowhere; items of fewer than ``min_match`` words are found whole or not at all; repeated document rows are reported each, repeated items once; a null
     id is reported as null; other columns are ignored; empty tables give an empty result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -150,7 +183,7 @@ def contaminated(
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
             for batch in batches:
-                rows = list(_found(own, batch.column(1), min_match, coverage)) if len(own.seed) else []
+                rows = list(_hits(own, batch.column(1), min_match, coverage))
                 if rows:
                     r, q, n, covered, tiles = (np.array(x) for x in zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays(
@@ -183,8 +216,7 @@ def drop_contaminated(
             for batch in batches:
                 column = batch.column(batch.schema.names.index(text_col)).cast(pa.string())
                 keep = np.ones(batch.num_rows, dtype=bool)
-                if len(own.seed):
-                    keep[[r[0] for r in _found(own, column, min_match, coverage)]] = False
+                keep[[r[0] for r in _hits(own, column, min_match, coverage)]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(tidy(run), docs.schema)

@@ -7,6 +7,8 @@ modulo 2**64 that are mixed at the end; they depend on nothing but the bytes, so
 from __future__ import annotations
 
 import ctypes
+import functools
+import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -19,9 +21,15 @@ _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _PIECE = 1 << 20
 WORD_BYTES = np.ones(256, dtype=bool)
 WORD_BYTES[[0x20, *range(0x09, 0x0E)]] = False
-#: Letters and digits; every byte of a letter beyond ASCII counts as a letter.
+#: Letters and digits.  Given this table, ``find_words`` tells characters beyond ASCII by their Unicode class.
 ALNUM_BYTES = np.zeros(256, dtype=bool)
 ALNUM_BYTES[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: Scripts without spaces between words, of which each character is a word.
+UNSPACED = (
+    *((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x2FDF), (0x3005, 0x3007)),
+    *((0x3021, 0x3029), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAA7F)),
+    *((0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFF)),
+)
 _powers: list[np.ndarray] = []
 
 
@@ -118,9 +126,50 @@ def _hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix(out + (end - start).astype(U))
 
 
+@functools.cache
+def _characters() -> np.ndarray:
+    """Kind of each character: 0 none of a word, 1 letter or digit, 2 of a script without spaces, 3 mark."""
+    of = {"L": 1, "N": 1, "M": 3}
+    out = np.fromiter((of.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)), np.uint8, 0x110000)
+    for low, high in UNSPACED:
+        part = out[low : high + 1]
+        part[part == 1] = 2
+    return out
+
+
+def letter_kinds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Kind of each byte: 0 between words, 1 letters and digits, and 2 and 3 in turn for characters that are words alone.
+
+    Marks belong to the character before them; at the start of a text or after what is no letter they are no part of a word.
+    """
+    kind = ALNUM_BYTES[data].astype(np.uint8)
+    lead = np.flatnonzero(data >= 0xC0)
+    kind[data >= 0x80] = 0
+    if not len(lead):
+        return kind
+    size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+    code = (data[lead] & np.array([0x1F, 0x0F, 0x07])[size - 2]).astype(np.int64)
+    for j in (1, 2, 3):
+        code = np.where(j < size, code << 6 | data[np.minimum(lead + j, len(data) - 1)] & 0x3F, code)
+    own = _characters()[np.minimum(code, 0x10FFFF)]
+    begins = np.zeros(len(data) + 1, dtype=bool)
+    begins[offsets] = True
+    mark, begin = own == 3, begins[lead]
+    follows = np.zeros(len(lead), dtype=bool)
+    follows[1:] = (lead[:-1] + size[:-1] == lead[1:]) & ~begin[1:]
+    # a mark takes the kind of the character that heads its run
+    head = ~(mark & follows)
+    before = np.where(begin, 0, kind[np.maximum(lead - 1, 0)])
+    of_head = np.where(mark, before, np.where(own == 2, 2 + np.cumsum(head) % 2, own))
+    of = of_head[np.maximum.accumulate(np.where(head, np.arange(len(lead)), 0))].astype(np.uint8)
+    for j in range(4):
+        kind[lead[j < size] + j] = of[j < size]
+    return kind
+
+
 def find_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = WORD_BYTES) -> Words:
     """Runs of bytes of one kind: ``is_word`` gives the kind of each byte, 0 (or False) between words."""
-    kind = is_word[data]
+    kind = letter_kinds(data, offsets) if is_word is ALNUM_BYTES else is_word[data]
     inside = kind > 0
     rows = len(offsets) - 1
     if not len(data):

@@ -91,3 +91,14 @@ def test_empty_tables(spark, nothing, awkward):
     assert tiling.contaminated(awkward, bench).count() == 0
     assert tiling.drop_contaminated(awkward, bench.limit(0)).count() == awkward.count()
     assert np.array_equal(tiling.make_block([], [], 5).first, [0])
+
+
+def test_unspaced_scripts_and_short_items(spark):
+    item, thai = "中国的首都是哪里？北京是中国的首都。", "กรุงเทพมหานครเป็นเมืองหลวง"
+    items = [(1, item), (2, "Quite short"), (3, "“seven words”—that end at dashes"), (4, thai), (5, "東京")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, f"问题：{item}完"), (2, "it is quite SHORT, yes"), (3, "seven words that end at dashes"), (4, f"ก่อน{thai}หลัง"), (5, "quite not short"), (6, "東の京"), (7, "在東京站")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["coverage"] for r in tiling.contaminated(docs, bench).collect()}
+    assert found == {(1, 1): 1, (2, 2): 1, (3, 3): 1, (4, 4): 1, (7, 5): 1}
+    assert sorted(r["doc_id"] for r in tiling.drop_contaminated(docs, bench).collect()) == [5, 6]

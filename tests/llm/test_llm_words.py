@@ -45,3 +45,17 @@ def test_whole_groups_keep_groups_together():
     seen = [set(t.column("k").to_pylist()) for t in tables]
     assert sum(map(len, seen)) == len(set(keys.tolist()))
     assert [x for t in tables for x in t.column("v").to_pylist()] == list(range(1000))
+
+
+def letters(text):
+    data, offsets = w.lowered(pa.array(text if isinstance(text, list) else [text]))
+    found = w.find_words(data, offsets, w.ALNUM_BYTES)
+    return [bytes(data[a:b]).decode() for a, b in zip(found.start, found.end, strict=True)]
+
+
+def test_letters_beyond_ascii():
+    assert letters("a b—c “Über” ét naïve 한국어 4٣") == ["a", "b", "c", "über", "ét", "naïve", "한국어", "4٣"]
+    assert letters("機械学習。ab語x") == [*"機械学習", "ab", "語", "x"]
+    assert letters("ที่กา \U00020000\U00020001") == ["ที่", "ก", "า", "\U00020000", "\U00020001"]
+    # a mark does not reach into the text before it
+    assert letters(["é", "́a", "漢", "字"]) == ["é", "a", "漢", "字"]
