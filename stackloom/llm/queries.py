@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import chat, graph_index, jaccard, oracles, packing, phrases, quality, tiling, toxicity, url_graph, warc
+from stackloom.llm import chat, graph_index, jaccard, language_id, oracles, packing, phrases, quality, tiling, toxicity, url_graph, warc
 from stackloom.llm.sampling import fold
 from stackloom.llm.steps import written
 from stackloom.session import work_folder
@@ -114,6 +114,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, whose own text decides; learnt from four fifths of the ids."""
+    docs = _table(spark, sf_dir, "documents")
+    known = (fold("doc_id", 5) != 0) & F.col("lang").isNotNull()
+    found = language_id.predict(docs.select("doc_id", "text"), language_id.fit(docs, known))
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "margin", "accepted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_chat": op2_chat,
@@ -125,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
+    "op11_language_id": op11_language_id,
 }
 
 ORACLES: dict[str, str] = {

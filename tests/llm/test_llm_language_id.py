@@ -1,0 +1,100 @@
+import random
+import unicodedata
+
+import pytest
+import zstandard
+from pyspark.sql import functions as F
+
+from stackloom.llm import language_id as lid
+from stackloom.llm.sampling import fold
+
+SYLLABLES = {
+    "en": "the and ing tion er on of to in is wh sh th ou ea".split(),
+    "de": "der ich sch ung und ein ver ß ü ö keit lich pf tz zu".split(),
+    "fr": "eau eux ment que les une é è ai oi tion aux ier elle pa".split(),
+}
+
+
+def invented(rng, lang, words):
+    return " ".join("".join(rng.choice(SYLLABLES[lang]) for _ in range(rng.randint(1, 3))) for _ in range(words))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(4)
+    out = []
+    for i in range(400):
+        lang = rng.choice(["en", "en", "de", "fr"])
+        out.append((i, invented(rng, lang, rng.randint(8, 200)), lang))
+    return out
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_held_out_accuracy_and_training_rows(spark, texts):
+    docs = frame(spark, texts).repartition(3)
+    model = lid.fit(docs, fold("doc_id", 5) != 0)
+    assert model.names[0] == "en" and sorted(model.names) == ["de", "en", "fr"]
+    held = {r[0] for r in docs.filter(fold("doc_id", 5) == 0).select("doc_id").collect()}
+    for i, text, lang in texts:
+        if i in held:
+            assert text.encode() not in model.dictionaries[model.names.index(lang)]
+    out = {r["doc_id"]: r for r in lid.predict(docs.select("doc_id", "text"), model).collect()}
+    right = [out[i]["lang_pred"] == lang for i, _, lang in texts if i in held]
+    assert sum(right) / len(right) > 0.98
+    assert lid.fit(docs.repartition(7), fold("doc_id", 5) != 0) == model
+
+
+def test_equals_a_plain_loop(spark, texts, awkward):
+    model = lid.fit(frame(spark, texts), F.lit(True))
+    rows = [(r["doc_id"], r["text"]) for r in awkward.collect()] + [(90, "12 ... 34"), (93, "½ ² 3"), (91, "x"), (92, "É" * 5000)]
+    got = lid.predict(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), model).collect()
+    raw = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in model.dictionaries]
+
+    def plain(text):
+        if text is None or not any(unicodedata.category(c).startswith("L") for c in text):
+            return "und", 0.0
+        data = text.lower().encode()
+        total = []
+        for k, name in enumerate(model.names):
+            tool = zstandard.ZstdCompressor(level=lid.LEVEL, dict_data=raw[k], write_content_size=False)
+            total.append((sum(len(tool.compress(data[i : i + lid.BLOCK])) for i in range(0, len(data), lid.BLOCK)), k, name))
+        total.sort()
+        return total[0][2], 1 - total[0][0] / total[1][0]
+
+    want = sorted((str(i), *plain(t)) for i, t in rows)
+    assert sorted((str(r["doc_id"]), r["lang_pred"], r["margin"]) for r in got) == want
+    assert all(r["accepted"] == (r["margin"] >= lid.MIN_MARGIN) == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in got)
+
+
+def test_narrow_margins_are_rejected(spark, texts):
+    model = lid.fit(frame(spark, texts), F.lit(True))
+    both = "zzz qqq 777 kkk"
+    out = lid.predict(spark.createDataFrame([(both,), (texts[0][1],)], "text string"), model).collect()
+    assert [r["accepted"] for r in out] == [False, True]
+    assert out[0]["lang_pred"] in model.names
+
+
+def test_bounds_of_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(lid, "DOCS", 2)
+    monkeypatch.setattr(lid, "DOC_BYTES", 20)
+    monkeypatch.setattr(lid, "LANGUAGES", 2)
+    rows = [(i, f"kurz text {i}", "de") for i in range(9)] + [(20, "much longer than the bound " * 2, "en"), (21, "longer still " * 20, "en"), (22, "z", "fr")]
+    rows += [(23, "Two languages are learnt.", "en"), (None, "kurz", "de"), (24, None, "de"), (25, "ohne", None), (26, "123", "de"), (1, "kurz text 1", "de")]
+    model = lid.fit(frame(spark, rows), F.lit(True))
+    assert model.names == ["de", "en"]
+    assert len(model.dictionaries[0].split(b"\n")) == 2
+    assert model.dictionaries[1] == b"two languages are learnt."
+
+
+def test_without_rows_or_languages(spark, nothing, awkward):
+    model = lid.fit(nothing, F.lit(True))
+    assert model == lid.Model([], []) and lid.predict(nothing, model).count() == 0
+    with pytest.raises(ValueError):
+        lid.predict(awkward, model)
+    assert {(r["lang_pred"], r["score"]) for r in lid.predict(awkward.drop("score"), model).collect()} == {("und", 0.0)}
+    one = lid.fit(frame(spark, [(1, "only one", "en")]), F.lit(True))
+    assert lid.predict(spark.createDataFrame([("one",)], "text string"), one).first()["margin"] == 1.0
+    assert one.dictionaries == [b"only one"]
