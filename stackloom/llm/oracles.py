@@ -131,3 +131,51 @@ o AS (SELECT *, sum(length) OVER (PARTITION BY archive ORDER BY page_id, url, ht
 SELECT archive, begins::BIGINT AS "offset", length::BIGINT AS length, '<urn:page:' || page_id || '>' AS record_id, 'changed' AS kind, page_id
 FROM o WHERE page_id % 97 = 5
 """
+
+_LEAF = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "{n}", "text"))
+
+#: crc32 of the id's decimal text, bit by bit.
+_CRC = """xor(4294967295::BIGINT, list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)))"""
+
+OP12 = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256({_LEAF.format(n="n_chars")}) AS leaf,
+    CASE WHEN {_CRC} % 7 = 0 AND n_chars IS NOT NULL THEN sha256({_LEAF.format(n="(n_chars + 1)")}) END AS changed
+  FROM documents),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS size
+  FROM leaves),
+lv AS (
+  SELECT tree, 0 AS lvl, pos, leaf AS node, size FROM n
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (any_value(size) + 1) // 2
+  FROM lv WHERE size > 1 GROUP BY tree, lvl, pos // 2),
+sub AS (SELECT tree, node AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS size FROM lv WHERE size = 1),
+up AS (
+  SELECT 0 AS lvl, pos, subroot AS node, size FROM sub
+  UNION ALL
+  SELECT lvl + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (any_value(size) + 1) // 2 FROM up WHERE size > 1 GROUP BY lvl, pos // 2),
+steps AS (
+  SELECT n.tree, n.pos, list(CASE WHEN b.node IS NULL THEN '=' WHEN b.pos < a.pos THEN 'L' || b.node ELSE 'R' || b.node END ORDER BY a.lvl) AS path
+  FROM n JOIN lv a ON a.tree = n.tree AND a.pos = n.pos >> a.lvl AND a.size > 1
+    LEFT JOIN lv b ON b.tree = a.tree AND b.lvl = a.lvl AND b.pos = xor(a.pos, 1)
+  GROUP BY n.tree, n.pos),
+upper AS (
+  SELECT sub.tree, list(CASE WHEN b.node IS NULL THEN '=' WHEN b.pos < a.pos THEN 'L' || b.node ELSE 'R' || b.node END ORDER BY a.lvl) AS path
+  FROM sub JOIN up a ON a.pos = sub.pos >> a.lvl AND a.size > 1 LEFT JOIN up b ON b.lvl = a.lvl AND b.pos = xor(a.pos, 1)
+  GROUP BY sub.tree),
+whole AS (
+  SELECT n.doc_id, n.leaf, coalesce(n.changed, n.leaf) AS shown, sub.subroot, (SELECT node FROM up WHERE size = 1) AS root,
+    list_concat(coalesce(steps.path, []), coalesce(upper.path, [])) AS path
+  FROM n JOIN sub USING (tree) LEFT JOIN steps ON steps.tree = n.tree AND steps.pos = n.pos LEFT JOIN upper ON upper.tree = n.tree),
+folded AS (
+  SELECT *, list_reduce(list_concat([shown], path), lambda a, s: sha256(
+    CASE substr(s, 1, 1) WHEN 'L' THEN substr(s, 2) || a WHEN 'R' THEN a || substr(s, 2) ELSE a END)) AS folded_root
+  FROM whole)
+SELECT doc_id, leaf, subroot, root,
+  sha256(coalesce(array_to_string(list_transform(list_filter(path, lambda s: s <> '='), lambda s: substr(s, 2)), ''), '')) AS proof_sha256,
+  folded_root, folded_root = root AS verified
+FROM folded
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import chat, graph_index, jaccard, language_id, oracles, packing, phrases, quality, tiling, toxicity, url_graph, warc
+from stackloom.llm import chat, graph_index, jaccard, language_id, merkle, oracles, packing, phrases, quality, tiling, toxicity, url_graph, warc
 from stackloom.llm.sampling import fold
 from stackloom.llm.steps import written
 from stackloom.session import work_folder
@@ -122,6 +122,25 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "margin", "accepted")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents, a tree for each language; every seventh presented row has one character more."""
+    docs = _table(spark, sf_dir, "documents")
+    names = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = (fold("doc_id", 7) == 0) & F.col("n_chars").isNotNull()
+    leaf = merkle.leaf_digest(*(F.col(c) for c in names))
+    changed = merkle.leaf_digest(*(F.col(c).cast("decimal(20,0)") + 1 if c == "n_chars" else F.col(c) for c in names))
+    done = merkle.manifest(docs, F.col("lang"), F.col("doc_id"), leaf, F.when(tampered, changed).otherwise(leaf))
+    return done.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings(F.col("path")).cast("binary"), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_chat": op2_chat,
@@ -134,6 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
     "op11_language_id": op11_language_id,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -142,4 +162,5 @@ ORACLES: dict[str, str] = {
     "op5_warc_audit": oracles.OP5,
     "op6_ngram_jaccard": oracles.OP6,
     "op9_substring_dedup": oracles.OP9,
+    "op12_merkle_manifest": oracles.OP12,
 }
