@@ -14,17 +14,12 @@ one superblock, and a group that is most of the table is as parallel as any othe
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.llm.steps import written
-from stackloom.llm.words import tidy
+from stackloom.llm.steps import numbered, written
 
 HEIGHT = 12
 #: First character of a step of a proof: the sibling stands left or right of the node, or there is none.
@@ -77,40 +72,6 @@ def siblings(path: Column) -> Column:
     return F.array_join(F.transform(F.filter(path, lambda s: s != ALONE), lambda s: F.substring(s, 2, 64)), "")
 
 
-def numbered(rows: DataFrame, tree: str, order: list[str]) -> DataFrame:
-    """``rows`` with ``pos``, their place from 0 in their tree by ``order`` (nulls first), and ``size``, the rows of the tree.
-
-    Rows are range-partitioned by tree, order and a number of their own, so neither a large tree nor equal rows land in one
-    task; each part counts, and its numbers are shifted by the sizes of the parts before it.
-    """
-    keys = [tree, *order, "_row"]
-    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()))
-    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_row")
-    names, at = ranged.columns, ranged.columns.index(tree)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, seen = TaskContext.get().partitionId(), None, 0
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            of = batch.column(at).to_numpy(zero_copy_only=False)
-            begins = np.append(0, np.flatnonzero(of[1:] != of[:-1]) + 1)
-            place = np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))
-            if of[0] == last:
-                place[: begins[1] if len(begins) > 1 else n] += seen
-            last, seen = of[-1], int(place[-1]) + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(place)], names=[*names, "_part", "_at"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema)
-    placed = written(ranged.mapInArrow(tidy(count), f"{kinds}, _part int, _at long"))
-    parts = placed.groupBy(tree, "_part").agg(F.count("*").alias("_rows"))
-    own = Window.partitionBy(tree)
-    before = F.sum("_rows").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.select(tree, "_part", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_rows").over(own).alias("size"))
-    return placed.join(parts, [tree, "_part"]).withColumn("pos", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
-
-
 def _nodes(rows: DataFrame) -> DataFrame:
     """Numbered rows as nodes: ``block`` is their superblock, ``left`` the levels between them and the top of their tree."""
     left = F.when(F.col("size") > 1, F.length(F.bin(F.col("size") - 1))).otherwise(0).cast("int")

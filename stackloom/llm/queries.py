@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import chat, graph_index, jaccard, language_id, merkle, oracles, packing, phrases, quality, tiling, toxicity, url_graph, warc
+from stackloom.llm import chat, collocations, graph_index, jaccard, language_id, merkle, oracles, packing, phrases, quality, tiling, toxicity, url_graph, warc
 from stackloom.llm.sampling import fold
 from stackloom.llm.steps import written
 from stackloom.session import work_folder
@@ -141,6 +141,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of two to five words of each language, from all documents."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_chat": op2_chat,
@@ -154,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_language_id": op11_language_id,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -163,4 +169,5 @@ ORACLES: dict[str, str] = {
     "op6_ngram_jaccard": oracles.OP6,
     "op9_substring_dedup": oracles.OP9,
     "op12_merkle_manifest": oracles.OP12,
+    "op13_collocations": oracles.OP13,
 }
