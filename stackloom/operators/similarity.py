@@ -71,7 +71,7 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def _unit_rows(vectors: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+def unit_rows(vectors: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     rows = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
@@ -130,7 +130,7 @@ def _micros(batch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
 
 
-def _match_schema(queries: DataFrame, history: DataFrame) -> T.StructType:
+def match_schema(queries: DataFrame, history: DataFrame) -> T.StructType:
     return T.StructType(
         [
             T.StructField("doc_id", queries.schema["doc_id"].dataType),
@@ -158,7 +158,7 @@ def _held(table: pa.Table, dim: int) -> tuple:
     table = table.combine_chunks()
     ids, versions = (table.column(name).combine_chunks() for name in ("sig_id", "version"))
     valid = ((_micros(table, "time"), _texts(table, "since_id")), (_micros(table, "until"), _texts(table, "until_id")))
-    return ids, versions, _unit_rows(table.column("embedding"), dim), valid
+    return ids, versions, unit_rows(table.column("embedding"), dim), valid
 
 
 def _texts(batch, name: str) -> np.ndarray | None:
@@ -183,7 +183,7 @@ def _broadcast_matches(queries, small: pa.Table, dim, k, threshold, as_of, schem
         held = shared.value
         for batch in batches:
             asked = _asked(batch, held, as_of)
-            found = top_matches(_unit_rows(batch.column("embedding"), dim), held[2], k, threshold, asked, held[3])
+            found = top_matches(unit_rows(batch.column("embedding"), dim), held[2], k, threshold, asked, held[3])
             yield _matched(batch.column("doc_id"), held, found)
 
     return queries.mapInArrow(match, schema)
@@ -202,7 +202,7 @@ def _with_cells(df: DataFrame, pivots: np.ndarray, dim: int, radii: np.ndarray |
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            angles = np.arccos(np.clip(_unit_rows(batch.column("embedding"), dim) @ pivots.T, -1.0, 1.0))
+            angles = np.arccos(np.clip(unit_rows(batch.column("embedding"), dim) @ pivots.T, -1.0, 1.0))
             if radii is None:
                 cell = angles.argmin(axis=1)
                 extra = [pa.array(cell.astype(np.int32)), pa.array(angles[np.arange(len(cell)), cell])]
@@ -217,6 +217,34 @@ def _with_cells(df: DataFrame, pivots: np.ndarray, dim: int, radii: np.ndarray |
     return df.mapInArrow(assign, T.StructType([*df.schema.fields, *added]))
 
 
+def match_blocks(arranged: DataFrame, keys: list[str], dim: int, k: int, threshold: float, as_of: bool, schema: T.StructType) -> DataFrame:
+    """The k best matches of each query in each block, of rows that lie together by ``keys``.
+
+    Rows of ``side`` 0 are history and come first in their block, the others are queries and stream past it.
+    """
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, stored, held = None, [], None
+        for batch in batches:
+            block = np.stack([_micros(batch, name) for name in [*keys, "side"]], axis=1)
+            starts = np.concatenate([[0], np.nonzero((block[1:] != block[:-1]).any(axis=1))[0] + 1, [len(block)]])
+            for start, end in zip(starts[:-1], starts[1:]):
+                key, run = tuple(block[start][:3]), batch.slice(start, end - start)
+                if key != current:
+                    current, stored, held = key, [], None
+                if block[start][3] == 0:
+                    stored.append(run)
+                    continue
+                if not stored:
+                    continue
+                held = held or _held(pa.Table.from_batches(stored), dim)
+                asked = _asked(run, held, as_of)
+                found = top_matches(unit_rows(run.column("embedding"), dim), held[2], k, threshold, asked, held[3])
+                yield _matched(run.column("doc_id"), held, found)
+
+    return arranged.mapInArrow(match, schema)
+
+
 def _blocked_matches(queries, history, dim, k, threshold, as_of, schema, block_rows, chunk_rows, pivot_count) -> DataFrame:
     """Queries against a history that is too large to share.
 
@@ -269,48 +297,14 @@ def _blocked_matches(queries, history, dim, k, threshold, as_of, schema, block_r
     keys = ["cell", "part", "chunk"]
     arranged = both.repartition(*keys).sortWithinPartitions(*keys, "side", "sig_id")
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, stored, held = None, [], None
-        for batch in batches:
-            block = np.stack([_micros(batch, name) for name in [*keys, "side"]], axis=1)
-            starts = np.concatenate([[0], np.nonzero((block[1:] != block[:-1]).any(axis=1))[0] + 1, [len(block)]])
-            for start, end in zip(starts[:-1], starts[1:]):
-                key, run = tuple(block[start][:3]), batch.slice(start, end - start)
-                if key != current:
-                    current, stored, held = key, [], None
-                if block[start][3] == 0:
-                    stored.append(run)
-                    continue
-                if not stored:
-                    continue
-                held = held or _held(pa.Table.from_batches(stored), dim)
-                asked = _asked(run, held, as_of)
-                found = top_matches(_unit_rows(run.column("embedding"), dim), held[2], k, threshold, asked, held[3])
-                yield _matched(run.column("doc_id"), held, found)
-
     # At most k candidates per block are left of a query.
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "sig_id")
-    best = arranged.mapInArrow(match, schema).withColumn("rank", F.row_number().over(order))
+    best = match_blocks(arranged, keys, dim, k, threshold, as_of, schema).withColumn("rank", F.row_number().over(order))
     return best.where(F.col("rank") <= k)
 
 
-def nearest(
-    queries: DataFrame,
-    history: DataFrame,
-    k: int = fixed.RECALL_K,
-    threshold: float = fixed.RECALL_THRESHOLD,
-    as_of: bool = False,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    block_rows: int = BLOCK_ROWS,
-    chunk_rows: int = QUERY_CHUNK_ROWS,
-    pivots: int = PIVOTS,
-) -> DataFrame:
-    """doc_id, rank, sig_id, version, score of the k most similar history rows at or above the threshold.
-
-    ``as_of`` (D10) lets a query (column ``ts``) see only what was there before it: history rows whose ``first_seen``
-    is earlier, and of the rows that ``history_versions`` gives those whose (time, id) is earlier than its own and which
-    none that is earlier replaces.  Ties go to the smaller sig_id.
-    """
+def sides(queries: DataFrame, history: DataFrame, as_of: bool) -> tuple[DataFrame, DataFrame]:
+    """Queries and history rows that have a vector, with the times between which they count."""
     versioned = "version" in history.columns
 
     def micros(name: str) -> Column:
@@ -329,7 +323,28 @@ def nearest(
         (F.coalesce(micros("valid_until"), forever) if as_of and versioned else forever).alias("until"),
         *(("since_id", "until_id") if as_of and "since_id" in history.columns else ()),
     )
-    schema = _match_schema(queries, history)
+    return asked, stored
+
+
+def nearest(
+    queries: DataFrame,
+    history: DataFrame,
+    k: int = fixed.RECALL_K,
+    threshold: float = fixed.RECALL_THRESHOLD,
+    as_of: bool = False,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    block_rows: int = BLOCK_ROWS,
+    chunk_rows: int = QUERY_CHUNK_ROWS,
+    pivots: int = PIVOTS,
+) -> DataFrame:
+    """doc_id, rank, sig_id, version, score of the k most similar history rows at or above the threshold.
+
+    ``as_of`` (D10) lets a query (column ``ts``) see only what was there before it: history rows whose ``first_seen``
+    is earlier, and of the rows that ``history_versions`` gives those whose (time, id) is earlier than its own and which
+    none that is earlier replaces.  Ties go to the smaller sig_id.
+    """
+    asked, stored = sides(queries, history, as_of)
+    schema = match_schema(queries, history)
     first = stored.select(F.size("embedding").alias("dim")).first()
     if first is None:
         return queries.sparkSession.createDataFrame([], schema)
@@ -351,7 +366,10 @@ def recall(
     **sizes: int,
 ) -> DataFrame:
     """The nearest past errors with what is known about them: count, last_seen, cause, fixes."""
-    matches = nearest(queries, history, k, threshold, as_of, **sizes)
+    return with_known(nearest(queries, history, k, threshold, as_of, **sizes), history)
+
+
+def with_known(matches: DataFrame, history: DataFrame) -> DataFrame:
     version = F.col("version") if "version" in history.columns else F.lit(0).cast("bigint")
     known = history.select("sig_id", version.alias("version"), "count", "last_seen", "cause", "fixes")
     return matches.join(known, ["sig_id", "version"]).select(

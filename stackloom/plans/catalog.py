@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stackloom.functions.language import detect_language, language_scores
 from stackloom.functions.text import day, excerpt, normalize, rfc3339, sig_id, symbol_name
-from stackloom.operators import context, frames, groups, history, paths, prompts, sections, similarity, source, symbols
+from stackloom.operators import approximate, context, frames, groups, history, paths, prompts, sections, similarity, source, symbols
 from stackloom.operators.rows import once, unfold
 from stackloom.plans import inputs
 from stackloom.session import materialize, work_folder
@@ -290,6 +290,18 @@ def recall_blocked(spark, sf_dir):
     )
 
 
+APPROXIMATE = {"tables": 8, "probe_bits": 3, "bucket_rows": 32}
+
+
+def recall_approx(spark, sf_dir):
+    """The nearest ones that hash tables find; small buckets, so that even small tables are cut up."""
+    return _shown_priors(
+        approximate.recall_approx(
+            inputs.vectors(spark, sf_dir), inputs.vector_history(spark, sf_dir), **RECALL, **APPROXIMATE, part_rows=40
+        )
+    )
+
+
 def recall_as_of(spark, sf_dir):
     return _shown_priors(
         similarity.recall(inputs.vectors(spark, sf_dir), inputs.vector_history(spark, sf_dir), **RECALL, as_of=True)
@@ -497,6 +509,7 @@ QUERIES: dict[str, Query] = {
     "source_budget": source_budget,
     "recall_topk": recall_topk,
     "recall_blocked": recall_blocked,
+    "recall_approx": recall_approx,
     "recall_as_of": recall_as_of,
     "recall_in_turn": recall_in_turn,
     "recall_threshold": recall_threshold,

@@ -424,6 +424,28 @@ SELECT doc_id, rank, id, score, 1 + id % 5 AS count, seen + INTERVAL 1 DAY AS la
   CASE WHEN id % 4 = 0 THEN '' ELSE '- fix ' || (id % 3) END AS fixes
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 12) DESC, id) AS rank FROM scored
   WHERE round(score, 12) >= 0.3 AND seen < asked_at) WHERE rank <= 3""",
+    # sides of random planes; a key is the sum of 2 ** bit over the planes a vector is on the upper side of
+    "key_bits": "SELECT least(40, greatest(1, ceil(log2(count(*) / 32))))::BIGINT AS bits FROM priors_of",
+    "sides": """
+SELECT v.vec_id, p.t, p.b, round(list_sum(list_transform(v.e, lambda x, d: x * p.signs[d])) / sqrt(list_sum(list_transform(v.e, lambda x: x * x))), 9) AS away
+FROM priors_of v, (
+  SELECT t, b, list_transform(range(0, 64), lambda d: CASE WHEN ('0x' || substr(md5(t || ',' || b || ',' || d), 1, 8))::BIGINT % 2 = 0 THEN 1 ELSE -1 END) AS signs
+  FROM (SELECT unnest(range(0, 8)) AS t), (SELECT unnest(range(0, bits)) AS b FROM key_bits)
+) p""",
+    "own_keys": "SELECT vec_id, t, sum(CASE WHEN away >= 0 THEN 1::BIGINT << b ELSE 0 END)::BIGINT AS key FROM sides GROUP BY vec_id, t",
+    "probe_keys": """
+SELECT k.vec_id, k.t, xor(k.key, coalesce(list_sum(list_transform(range(1, len(n.near) + 1), lambda i: CASE WHEN (c.c >> (i - 1)) % 2 = 1 THEN 1::BIGINT << n.near[i] ELSE 0 END)), 0)::BIGINT) AS key
+FROM own_keys k JOIN (
+  SELECT vec_id, t, list(b ORDER BY place) AS near
+  FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, t ORDER BY abs(away), b) AS place FROM sides) WHERE place <= 3 GROUP BY vec_id, t
+) n ON n.vec_id = k.vec_id AND n.t = k.t, (SELECT unnest(range(0, 8)) AS c) c""",
+    "met": "SELECT DISTINCT a.vec_id AS asked, b.vec_id AS id FROM probe_keys a JOIN own_keys b ON a.t = b.t AND a.key = b.key",
+    "priors_met": """
+SELECT doc_id, rank, id, score, 1 + id % 5 AS count, seen + INTERVAL 1 DAY AS last_seen, 'cause ' || (id % 10) AS cause,
+  CASE WHEN id % 4 = 0 THEN '' ELSE '- fix ' || (id % 3) END AS fixes
+FROM (SELECT s.*, row_number() OVER (PARTITION BY s.doc_id ORDER BY round(score, 12) DESC, s.id) AS rank
+  FROM scored s JOIN met m ON s.doc_id = 'trace-' || m.asked AND s.id = m.id WHERE round(score, 12) >= 0.3)
+WHERE rank <= 3""",
     "prior_texts": f"""
 SELECT doc_id, {q(fixed.PRIORS_OPEN)} || string_agg('[' || rank || '] similarity ' || format('{{:.2f}}', score) || ', seen ' || count
   || ' time(s), last ' || strftime(last_seen, '%Y-%m-%d') || {NL}
@@ -546,6 +568,7 @@ FROM trace_frames""",
     "source_budget": f"SELECT doc_id, files, bytes, truncated FROM ({_source(4000)})",
     "recall_topk": _priors("priors"),
     "recall_blocked": _priors("priors"),
+    "recall_approx": _priors("priors_met"),
     "recall_as_of": _priors("priors_before"),
     "recall_in_turn": f"""
 SELECT doc_id, rank::INT AS rank, round(score, 6) AS score, count, strftime(seen, '%Y-%m-%d') AS last_seen, cause, fixes FROM (
