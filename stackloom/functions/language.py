@@ -11,15 +11,27 @@ from stackloom.functions import fixed
 from stackloom.functions.dialect import java
 
 
+def is_plain(pattern: str, needle: str) -> bool:
+    """Whether a pattern matches its needle and nothing else."""
+    return re.sub(r"\\([\[\]().])", r"\1", pattern) == needle
+
+
+def rule_pattern(pattern: str) -> str:
+    """JVM form of a rule's pattern.
+
+    Where two gaps stand next to each other, the first may as well end at its first chance: whether there is a match does not
+    change, and the engine has nothing to try again on a long line.
+    """
+    for gap in (r".* \(", ".* in "):
+        pattern = pattern.replace(gap + ".*", f"(?>.*?{gap[2:]}).*")
+    return java(pattern, per_line=pattern.startswith("(?m)"))
+
+
 def rule_matches(text: Column, pattern: str, needle: str) -> Column:
     """One rule.  The byte search for ``needle`` runs first, so most texts never reach the regular expression."""
-    if re.sub(r"\\([\[\]().])", r"\1", pattern) == needle:
+    if is_plain(pattern, needle):
         return text.contains(needle)
-    # Where two gaps stand next to each other, the first may as well end at its first chance: whether there is a match
-    # does not change, and the engine has nothing to try again on a long line.
-    for gap in (r".* \(", ".* in "):
-        pattern = pattern.replace(gap + ".*", f"(?>.*?{gap[2:]}).*")
-    return text.contains(needle) & text.rlike(java(pattern, per_line=pattern.startswith("(?m)")))
+    return text.contains(needle) & text.rlike(rule_pattern(pattern))
 
 
 def language_scores(text: Column) -> dict[str, Column]:

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackloom.functions import fixed
 from stackloom.functions.language import detect_language, language_scores
 from stackloom.functions.text import day, excerpt, normalize, rfc3339, sig_id, symbol_name
-from stackloom.operators import approximate, context, frames, groups, history, paths, prompts, sections, similarity, source, symbols
+from stackloom.operators import approximate, context, frames, groups, history, paths, prompts, rules, sections, similarity, source, symbols
 from stackloom.operators.rows import once, unfold
 from stackloom.plans import inputs
 from stackloom.session import materialize, work_folder
@@ -164,6 +165,18 @@ def score_languages(spark, sf_dir):
     return inputs.errors(spark, sf_dir).select("doc_id", *scores)
 
 
+def rule_scores(spark, sf_dir):
+    """The same scores from rules that are a table."""
+    scored = rules.score_rules(inputs.errors(spark, sf_dir), rules.language_rules(spark))
+    shown = [F.coalesce(F.col("scores")[name], F.lit(0)).alias(f"{name}_score") for name in fixed.LANGUAGE_PRIORITY]
+    return scored.select("doc_id", *shown)
+
+
+def rule_language(spark, sf_dir):
+    """The language that rules of a table name."""
+    return rules.score_rules(inputs.errors(spark, sf_dir), rules.language_rules(spark)).select("doc_id", "language")
+
+
 def language_mix(spark, sf_dir):
     return detect(spark, sf_dir).groupBy("language").agg(F.count(F.lit(1)).alias("documents"))
 
@@ -491,6 +504,8 @@ QUERIES: dict[str, Query] = {
     "error_families": error_families,
     "detect_language": detect,
     "language_scores": score_languages,
+    "rule_scores": rule_scores,
+    "rule_language": rule_language,
     "language_mix": language_mix,
     "parse_frames": parse_frames,
     **{f"frames_{name}": frames_of(name) for name in ("go", "python", "java", "node", "ruby", "rust", "dotnet", "generic")},

@@ -542,6 +542,8 @@ FROM errors e LEFT JOIN (SELECT * FROM groups WHERE rank = 1) g ON e.doc_id = g.
 HAVING sum(n) > 1 OR max(strlen(rep)) >= 8""",
     "detect_language": "SELECT doc_id, language FROM languages",
     "language_scores": "SELECT * FROM scores",
+    "rule_scores": "SELECT * FROM scores",
+    "rule_language": "SELECT doc_id, language FROM languages",
     "language_mix": "SELECT language, count(*) AS documents FROM languages GROUP BY language",
     "parse_frames": "SELECT doc_id, language, pos, file, line, function, module FROM frames",
     **{
