@@ -15,7 +15,7 @@ from stackloom.operators.rows import once, unfold
 from stackloom.plans import inputs
 from stackloom.session import materialize, work_folder
 from stackloom.sources import history_store, ingest
-from stackloom.streaming import jobs
+from stackloom.streaming import jobs, numbering
 
 Query = Callable[[SparkSession, str], DataFrame]
 RECALL = {"k": 3, "threshold": 0.3}
@@ -427,54 +427,67 @@ def explained_history(spark, sf_dir):
 # --- J: streams -----------------------------------------------------------------------------------------------------------
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return stream.repartition(spark.sparkContext.defaultParallelism, "event_id")
+TURNS = 4
 
 
-def _event_batches(spark: SparkSession, sf_dir: str, batches: int = 4) -> DataFrame:
-    """The events as files that arrive one after the other, in order of time, one to a micro-batch."""
+def _in_turns(spark: SparkSession, parts: list[DataFrame], key: str, closing: DataFrame | None = None) -> DataFrame:
+    """A stream of files that arrive one part after the other, a part to a micro-batch; its files are read in parallel."""
+    folder = work_folder(spark)
+    files = max(1, min(spark.sparkContext.defaultParallelism, *(part.count() for part in parts)))
+    for number, part in enumerate(parts):
+        part.repartitionByRange(files, key).write.parquet(f"{folder}/turn={number}")
+    if closing is not None:
+        closing.coalesce(1).write.parquet(f"{folder}/turn={len(parts)}")
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(folder).drop("turn")
+
+
+def _event_turns(spark: SparkSession, sf_dir: str, close: bool = False) -> DataFrame:
+    """The events in ``TURNS`` parts, in order of time.
+
+    With ``close`` an event follows that is so much later that the watermark passes all others.
+    """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     time = F.unix_micros(F.col("ts").cast("timestamp"))
-    bounds = events.select(time.cast("double").alias("t")).approxQuantile("t", [i / batches for i in range(1, batches)], 0.01)
-    folder = work_folder(spark)
+    bounds = events.select(time.cast("double").alias("t")).approxQuantile("t", [i / TURNS for i in range(1, TURNS)], 0.01)
+    parts = []
     for low, high in zip([None, *bounds], [*bounds, None], strict=True):
         part = events if low is None else events.where(time >= low)
-        (part if high is None else part.where(time < high)).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    return stream.repartition(spark.sparkContext.defaultParallelism, "event_id")
+        parts.append(part if high is None else part.where(time < high))
+    last = events.agg(F.max("ts").alias("ts")).select(
+        *(
+            {"event_id": F.lit(-1), "ts": F.col("ts") + F.expr("INTERVAL 30 DAYS"), "event_type": F.lit("end")}.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in events.schema
+        )
+    )
+    return _in_turns(spark, parts, "event_id", last if close else None)
 
 
-def _finished(spark: SparkSession, stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Run a stream over all there is and give back the table it wrote; of update mode the last row of each key."""
+def _finished(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """Run a stream in append mode over all there is and give back the table it wrote."""
     out = work_folder(spark)
     query = (
-        stream.writeStream.outputMode(mode)
+        stream.writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", f"{out}/rows")
         .option("checkpointLocation", f"{out}/checkpoint")
-        .foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}"))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    rows = spark.read.schema(f"{stream._jdf.schema().toDDL()}, batch long").parquet(f"{out}/rows")
-    if keys:
-        rest = [c for c in stream.columns if c not in keys]
-        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, "last.*")
-    return rows.select(*stream.columns)
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
 def stream_analysis(spark, sf_dir):
     """The frames of every trace, found on the stream."""
-    analysed = jobs.analyze_stream(inputs.traces_of(_event_stream(spark, sf_dir)))
+    analysed = jobs.analyze_stream(inputs.traces_of(_event_turns(spark, sf_dir)))
     found = unfold(analysed, F.col("stack_frames"), "doc_id", "language")
-    return _finished(spark, found.select("doc_id", "language", "pos", "item.*"), "append")
+    return _finished(spark, found.select("doc_id", "language", "pos", "item.*"))
 
 
 def stream_family_counts(spark, sf_dir):
-    """Hourly counts of every family over several micro-batches, windows that are still open included."""
-    counts = jobs.family_counts(inputs.traces_of(_event_batches(spark, sf_dir)))
-    return _finished(spark, counts, "update", ("start", "end", "signature")).select(
+    """Hourly counts of every family over several micro-batches; a window comes out when it is closed."""
+    counts = jobs.family_counts(inputs.traces_of(_event_turns(spark, sf_dir, close=True)))
+    return _finished(spark, counts).select(
         rfc3339(F.col("start")).alias("window_start"), "signature", "occurrences", "documents"
     )
 
@@ -483,11 +496,35 @@ def stream_history(spark, sf_dir):
     """The history that a stream of traces leaves behind."""
     out = work_folder(spark)
     jobs.stream_history(
-        inputs.traces_of(_event_stream(spark, sf_dir)), f"{out}/history", f"{out}/checkpoint", prepare=occurrences
+        inputs.traces_of(_event_turns(spark, sf_dir)), f"{out}/history", f"{out}/checkpoint", prepare=occurrences
     ).awaitTermination()
     return shown_history(history_store.read_history(spark, f"{out}/history"))
 
 
+def stream_occurrence_number(spark, sf_dir):
+    """F10 on a stream: every trace's number within its family, from state that is kept between micro-batches."""
+    rows = numbering.number_occurrences(occurrences(inputs.traces_of(_event_turns(spark, sf_dir, close=True))))
+    with numbering.keyed_state(spark):
+        numbered = _finished(spark, rows)
+    return numbered.where(F.col("doc_id") != "trace--1").select(
+        "doc_id", "signature", "occurrence", rfc3339(F.col("previous_ts")).alias("previous_ts")
+    )
+
+
+def stream_recall(spark, sf_dir):
+    """D10 on a stream: vectors arrive in four turns, and each turn recalls what the turns before it recorded."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    stream = _in_turns(spark, [vectors.where(F.col("vec_id") % TURNS == turn) for turn in range(TURNS)], "vec_id")
+
+    def prepared(batch: DataFrame) -> DataFrame:
+        rows = inputs.vector_occurrences_of(batch, at_once=5)
+        return rows.withColumns({"representative": F.col("signature"), "language": F.lit("generic"), "model": F.lit("m1")})
+
+    out = work_folder(spark)
+    jobs.stream_recall(stream, f"{out}/history", f"{out}/priors", f"{out}/checkpoint", prepared, **RECALL).awaitTermination()
+    return _shown_priors(spark.read.parquet(f"{out}/priors")).drop("sig_id")
+
+
 QUERIES: dict[str, Query] = {
     "cap_input": cap_input,
     "excerpt_bytes": excerpt_bytes,
@@ -544,4 +581,6 @@ QUERIES: dict[str, Query] = {
     "stream_analysis": stream_analysis,
     "stream_family_counts": stream_family_counts,
     "stream_history": stream_history,
+    "stream_occurrence_number": stream_occurrence_number,
+    "stream_recall": stream_recall,
 }

@@ -253,8 +253,13 @@ def vector_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_occurrences(spark: SparkSession, sf_dir: str, at_once: int = 1) -> DataFrame:
     """The embeddings as occurrences, those of one label forming a family; ``at_once`` of them have one time."""
+    return vector_occurrences_of(table(spark, sf_dir, "embeddings"), at_once)
+
+
+def vector_occurrences_of(embeddings: DataFrame, at_once: int = 1) -> DataFrame:
+    """``vector_occurrences`` of a table or stream of embeddings."""
     n = F.col("vec_id")
-    return table(spark, sf_dir, "embeddings").select(
+    return embeddings.select(
         _text("trace-", n).alias("doc_id"),
         F.timestamp_seconds(F.lit(1704067200) + F.floor(n / at_once) * 60).alias("ts"),
         _text("family ", F.col("label")).alias("signature"),

@@ -629,6 +629,19 @@ LEFT JOIN prior_texts p ON p.doc_id = t.doc_id""",
     "stream_family_counts": f"""SELECT {stamp("date_trunc('hour', ts)")} AS window_start, signature, sum(g.n)::BIGINT AS occurrences, count(*) AS documents
 FROM all_groups g JOIN traces e ON g.doc_id = e.doc_id GROUP BY ALL HAVING sum(g.n) > 1 OR max(strlen(rep)) >= 8""",
     "stream_history": _history(f"SELECT * FROM seen WHERE {_TRACES}"),
+    "stream_occurrence_number": f"SELECT doc_id, signature, occurrence, {stamp('previous_ts')} AS previous_ts FROM ({_OCCURRENCE})",
+    "stream_recall": f"""
+SELECT doc_id, rank::INT AS rank, round(score, 6) AS score, count, strftime(seen, '%Y-%m-%d') AS last_seen, cause, fixes FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 12) DESC) AS rank FROM (
+    SELECT q.doc_id, list_cosine_similarity(q.e, v.e) AS score, t.count, v.at_time AS seen, 'cause ' || (v.vec_id % 10) AS cause,
+      CASE WHEN v.vec_id % 4 = 0 THEN '' ELSE '- fix ' || (v.vec_id % 3) END AS fixes
+    FROM timed q JOIN (
+      SELECT turn, m.label, count(*) AS count, arg_max(p.vec_id, {{'at': p.at_time, 'id': p.doc_id}}) AS last
+      FROM timed p JOIN embeddings m ON m.vec_id = p.vec_id, (SELECT unnest(range(0, 4)) AS turn)
+      WHERE p.vec_id % 4 < turn GROUP BY turn, m.label
+    ) t ON t.turn = q.vec_id % 4 JOIN timed v ON v.vec_id = t.last
+  ) WHERE round(score, 12) >= 0.3
+) WHERE rank <= {fixed.RECALL_K}""",
 }
 
 

@@ -16,17 +16,19 @@ def _complete(spark: SparkSession, path: str) -> dict[str, str]:
     return {f.getName(): f.toString() for f in folders}
 
 
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    """Folders that make up the history: the last compaction and the versions after it."""
+def _versions(spark: SparkSession, path: str, before: str | None = None) -> list[str]:
+    """Folders that make up the history: the last compaction and the versions after it, all ``before`` a version if given."""
     found = _complete(spark, path)
+    if before is not None:
+        found = {n: folder for n, folder in found.items() if n.partition("=")[2] < before}
     base = max((n for n in found if n.startswith("upto=")), default="upto=")
     after = [n for n in found if n.startswith("version=") and n.partition("=")[2] > base.partition("=")[2]]
     return [found[n] for n in ([base] if base in found else []) + sorted(after)]
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """All complete versions folded to one row per family; empty when there is none."""
-    versions = _versions(spark, path)
+def read_history(spark: SparkSession, path: str, before: str | None = None) -> DataFrame:
+    """All complete versions, or those ``before`` one, folded to one row per family; empty when there is none."""
+    versions = _versions(spark, path, before)
     if not versions:
         return spark.createDataFrame([], HISTORY_SCHEMA)
     rows = spark.read.schema(HISTORY_SCHEMA).parquet(*versions)

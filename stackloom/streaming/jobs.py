@@ -1,4 +1,4 @@
-"""Streaming jobs."""
+"""Streaming jobs."""
 
 from __future__ import annotations
 
@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from stackloom.functions import fixed
 from stackloom.operators.context import analyze
 from stackloom.operators.groups import counted_families, error_groups
 from stackloom.operators.history import new_history
 from stackloom.operators.rows import unfold
-from stackloom.sources.history_store import write_history
+from stackloom.operators.similarity import recall
+from stackloom.sources.history_store import read_history, write_history
 
 
 def analyze_stream(errors: DataFrame) -> DataFrame:
@@ -54,3 +56,38 @@ def stream_history(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def stream_recall(
+    occurrences: DataFrame,
+    path: str,
+    out: str,
+    checkpoint: str,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
+    k: int = fixed.RECALL_K,
+    threshold: float = fixed.RECALL_THRESHOLD,
+    **trigger: object,
+) -> StreamingQuery:
+    """Each micro-batch of occurrences recalls what the batches before it recorded at ``path``, and is recorded then.
+
+    Priors (doc_id, rank, sig_id, score, count, last_seen, cause, fixes) of a batch are written to a folder of its own below
+    ``out``.  A batch that is run again looks at the versions before its own, as it did the first time, writes the same priors
+    over the old ones and finds its version there: nothing changes.
+    """
+
+    def turn(batch: DataFrame, batch_id: int) -> None:
+        version = f"{batch_id:010d}"
+        rows = (prepare(batch) if prepare else batch).persist()
+        try:
+            priors = recall(rows, read_history(rows.sparkSession, path, before=version), k, threshold)
+            priors.write.mode("overwrite").parquet(f"{out}/batch={version}")
+            write_history(new_history(rows), path, version)
+        finally:
+            rows.unpersist()
+
+    return (
+        occurrences.writeStream.foreachBatch(turn)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
