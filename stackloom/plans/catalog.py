@@ -14,7 +14,7 @@ from stackloom.operators import approximate, context, frames, groups, history, p
 from stackloom.operators.rows import once, unfold
 from stackloom.plans import inputs
 from stackloom.session import materialize, work_folder
-from stackloom.sources import history_store, ingest
+from stackloom.sources import history_store, ingest, keyed_store
 from stackloom.streaming import jobs, numbering
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -361,6 +361,26 @@ def history_upsert(spark, sf_dir):
     return shown_history(history.record(stored, occurrences(inputs.errors(spark, sf_dir))))
 
 
+def _keyed_history(spark: SparkSession, sf_dir: str) -> str:
+    """Logs, then all texts, as two versions of a bucketed history."""
+    folder = work_folder(spark)
+    keyed_store.upsert(occurrences(inputs.logs(spark, sf_dir)), folder, "000", buckets=16)
+    keyed_store.upsert(occurrences(inputs.errors(spark, sf_dir)), folder, "001")
+    return folder
+
+
+def history_keyed(spark, sf_dir):
+    """What ``history_upsert`` gives, from tables that are bucketed by family."""
+    return shown_history(keyed_store.read_keyed(spark, _keyed_history(spark, sf_dir)))
+
+
+def history_lookup(spark, sf_dir):
+    """What is stored about the families of all traces."""
+    families = groups.doc_signature(inputs.traces(spark, sf_dir)).select("signature").distinct()
+    ids = families.select(sig_id(F.col("signature")).alias("sig_id"))
+    return shown_history(keyed_store.lookup(spark, _keyed_history(spark, sf_dir), ids))
+
+
 def history_payloads(spark, sf_dir):
     return shown_history(history.history_from_payloads(inputs.payloads(spark, sf_dir)))
 
@@ -570,6 +590,8 @@ QUERIES: dict[str, Query] = {
     "prior_blocks": prior_blocks,
     "history_new": history_new,
     "history_upsert": history_upsert,
+    "history_keyed": history_keyed,
+    "history_lookup": history_lookup,
     "history_payloads": history_payloads,
     "history_rejected": history_rejected,
     "occurrence_number": occurrence_number,

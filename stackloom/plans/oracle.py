@@ -601,6 +601,9 @@ FROM w LEFT JOIN v ON v.doc_id = w.doc_id)""",
     "prior_blocks": "SELECT doc_id, prior_block FROM prior_texts",
     "history_new": _history(f"SELECT * FROM seen WHERE {_TRACES}"),
     "history_upsert": _history("SELECT * FROM seen UNION ALL SELECT * FROM seen WHERE doc_id LIKE 'log-%'"),
+    "history_keyed": _history("SELECT * FROM seen UNION ALL SELECT * FROM seen WHERE doc_id LIKE 'log-%'"),
+    "history_lookup": f"""SELECT * FROM ({_history("SELECT * FROM seen UNION ALL SELECT * FROM seen WHERE doc_id LIKE 'log-%'")})
+WHERE signature IN (SELECT signature FROM seen WHERE {_TRACES})""",
     "history_payloads": f"""SELECT event_id::VARCHAR AS sig_id, 'family ' || (event_id % 100) AS signature, 'r' AS representative, 'go' AS language,
   CASE WHEN event_id % 12 = 5 THEN '' ELSE 'cause ' || (event_id % 10) END AS cause, CASE WHEN event_id % 8 = 0 THEN '' ELSE '- fix' END AS fixes, 'm1' AS model,
   CASE WHEN event_id % 6 IN (0, 1) THEN 0 ELSE event_id % 50 END AS count,
