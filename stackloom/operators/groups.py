@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stackloom.functions import fixed
 from stackloom.functions.text import UNICODE_SPACE, excerpt, let, normalize, starts_block, strip
+from stackloom.operators.ranking import places
 from stackloom.operators.rows import once, unfold
 
 # A break is a run of blank lines, or a newline in front of a line that starts an entry.
@@ -181,7 +182,8 @@ def line_blocks(lines: DataFrame) -> DataFrame:
 def file_groups(blocks_of_files: DataFrame) -> DataFrame:
     """E1 for logs of any length: file, rank, signature, count, representative, as ``error_groups`` ranks them.
 
-    Groups are counted by a hash aggregation; the blocks that stand for them are fetched afterwards.
+    Groups are counted by a hash aggregation; the blocks that stand for them are fetched afterwards.  A file of very many
+    groups is ranked by as many tasks as it needs.
     """
     trimmed = strip(F.col("block"))
     signed = blocks_of_files.select("file", "block_no", trimmed.alias("block"), normalize(trimmed).alias("signature"))
@@ -190,5 +192,5 @@ def file_groups(blocks_of_files: DataFrame) -> DataFrame:
     )
     shown = counted.join(signed.select("file", "block_no", F.col("block").alias("representative")), ["file", "block_no"])
     kept = shown.where((F.col("count") > 1) | (F.octet_length("representative") >= fixed.NOISE_BYTES))
-    rank = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("count"), "block_no"))
-    return kept.select("file", rank.alias("rank"), "signature", "count", "representative")
+    ranked = places(kept, ["file"], [F.desc("count"), F.col("block_no")])
+    return ranked.select("file", F.col("rank").cast("int").alias("rank"), "signature", "count", "representative")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stackloom.functions import fixed
 from stackloom.functions.language import detect_language, language_scores
 from stackloom.functions.text import day, excerpt, normalize, rfc3339, sig_id, symbol_name
-from stackloom.operators import approximate, context, frames, groups, history, paths, prompts, rules, sections, similarity, source, symbols
+from stackloom.operators import approximate, context, frames, groups, history, long_blocks, paths, prompts, rules, sections, similarity, source, symbols
 from stackloom.operators.rows import once, unfold
 from stackloom.plans import inputs
 from stackloom.session import materialize, work_folder
@@ -134,6 +134,15 @@ def log_file_groups(spark, sf_dir):
     return found.select(log, "rank", "signature", "count", "representative")
 
 
+def log_groups_merged(spark, sf_dir):
+    """C2/E1 over log files whose blocks may be of any length: folded split by split, never put together."""
+    folder = work_folder(spark)
+    inputs.log_folder(spark, sf_dir, folder)
+    found = long_blocks.long_file_groups(ingest.log_lines(spark, folder), max_bytes=50)
+    log = F.regexp_extract("file", "/log=([0-9]+)/", 1).cast("bigint").alias("log")
+    return found.select(log, "rank", "signature", "count", "representative")
+
+
 def doc_signature(spark, sf_dir):
     return groups.doc_signature(inputs.errors(spark, sf_dir))
 
@@ -556,6 +565,7 @@ QUERIES: dict[str, Query] = {
     "error_groups": error_groups,
     "error_groups_top": error_groups_top,
     "log_file_groups": log_file_groups,
+    "log_groups_merged": log_groups_merged,
     "doc_signature": doc_signature,
     "embed_text": embed_text,
     "error_families": error_families,

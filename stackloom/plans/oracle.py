@@ -533,6 +533,10 @@ SELECTS: dict[str, str] = {
     "log_file_groups": f"""
 SELECT substr(doc_id, 5)::BIGINT AS log, (row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_block))::INT AS rank, signature, n AS count,
   rep AS representative
+FROM big_groups WHERE n > 1 OR strlen(rep) >= {fixed.NOISE_BYTES}""",
+    "log_groups_merged": f"""
+SELECT substr(doc_id, 5)::BIGINT AS log, (row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_block))::INT AS rank, {cut("signature", 50)} AS signature,
+  n AS count, {cut("rep", 50)} AS representative
 FROM big_groups WHERE n > 1 OR strlen(rep) >= {fixed.NOISE_BYTES}""",
     "doc_signature": "SELECT doc_id, signature, representative FROM signatures",
     "embed_text": """SELECT e.doc_id, coalesce(g.representative, e.text) AS embed_text
