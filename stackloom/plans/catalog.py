@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stackloom.functions import fixed
 from stackloom.functions.language import detect_language, language_scores
 from stackloom.functions.text import day, excerpt, normalize, rfc3339, sig_id, symbol_name
-from stackloom.operators import approximate, context, frames, groups, history, long_blocks, paths, prompts, rules, sections, similarity, source, symbols
+from stackloom.operators import approximate, context, frames, groups, history, long_blocks, path_index, paths, prompts, rules, sections, similarity, source, symbols
 from stackloom.operators.rows import once, unfold
 from stackloom.plans import inputs
 from stackloom.session import materialize, work_folder
@@ -227,6 +227,12 @@ def resolve_paths(spark, sf_dir):
     return found.select("doc_id", "repo", "pos", "file", "line", "path", "n_lines")
 
 
+def resolve_indexed(spark, sf_dir):
+    """The same answer from the index of reversed paths."""
+    found = path_index.resolve_paths_indexed(trace_frames(spark, sf_dir), inputs.source_files(spark, sf_dir))
+    return found.select("doc_id", "repo", "pos", "file", "line", "path", "n_lines")
+
+
 def unresolved_frames(spark, sf_dir):
     missing = paths.unresolved_frames(trace_frames(spark, sf_dir), inputs.source_files(spark, sf_dir))
     return missing.select("doc_id", "repo", "pos", "file", "line")
@@ -581,6 +587,7 @@ QUERIES: dict[str, Query] = {
     "path_candidates": path_candidates,
     "unique_basenames": unique_basenames,
     "resolve_paths": resolve_paths,
+    "resolve_indexed": resolve_indexed,
     "unresolved_frames": unresolved_frames,
     "docs_with_source": docs_with_source,
     "frame_symbols": frame_symbols,

@@ -560,6 +560,8 @@ HAVING sum(n) > 1 OR max(strlen(rep)) >= 8""",
 FROM base_candidates""",
     "unique_basenames": "SELECT repo, name, path FROM single_names",
     "resolve_paths": """SELECT r.doc_id, r.repo, r.pos, r.file, f.line, r.path, s.n_lines::INT AS n_lines FROM resolved r
+JOIN frames f ON r.doc_id = f.doc_id AND r.pos = f.pos JOIN file_sizes s ON s.repo = r.repo AND s.path = r.path""",
+    "resolve_indexed": """SELECT r.doc_id, r.repo, r.pos, r.file, f.line, r.path, s.n_lines::INT AS n_lines FROM resolved r
 JOIN frames f ON r.doc_id = f.doc_id AND r.pos = f.pos JOIN file_sizes s ON s.repo = r.repo AND s.path = r.path""",
     "unresolved_frames": """SELECT t.doc_id, t.repo, t.pos, t.file, t.line FROM trace_frames t
 WHERE NOT EXISTS (SELECT 1 FROM resolved r WHERE r.doc_id = t.doc_id AND r.pos = t.pos)""",
