@@ -15,6 +15,7 @@ from stackloom.operators.rows import once, unfold
 from stackloom.plans import inputs
 from stackloom.session import materialize, work_folder
 from stackloom.sources import history_store, ingest, keyed_store
+from stackloom.sources.log_source import LogSource
 from stackloom.streaming import jobs, numbering
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -546,6 +547,20 @@ def stream_occurrence_number(spark, sf_dir):
     )
 
 
+def stream_log_lines(spark, sf_dir):
+    """A2: log files that appear in three turns, read by a stream that is started anew for each."""
+    spark.dataSource.register(LogSource)
+    folder, out = work_folder(spark), work_folder(spark)
+    for turn in range(3):
+        inputs.log_folder(spark, sf_dir, folder, events=1000, turn=turn, turns=3)
+        stream = spark.readStream.format("log_lines").load(folder)
+        stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(
+            availableNow=True
+        ).start().awaitTermination()
+    lines = spark.read.schema("file string, offset bigint, line string").parquet(f"{out}/rows")
+    return lines.select(F.regexp_extract("file", "/log=([0-9]+)/", 1).cast("bigint").alias("log"), "offset", "line")
+
+
 def stream_recall(spark, sf_dir):
     """D10 on a stream: vectors arrive in four turns, and each turn recalls what the turns before it recorded."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -621,5 +636,6 @@ QUERIES: dict[str, Query] = {
     "stream_family_counts": stream_family_counts,
     "stream_history": stream_history,
     "stream_occurrence_number": stream_occurrence_number,
+    "stream_log_lines": stream_log_lines,
     "stream_recall": stream_recall,
 }

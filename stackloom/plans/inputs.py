@@ -58,11 +58,13 @@ def log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "ts", line.alias("line"))
 
 
-def log_folder(spark: SparkSession, sf_dir: str, folder: str, events: int = 4000) -> None:
-    """Writes the entries as log files of so many events, each in a folder of its own."""
+def log_folder(spark: SparkSession, sf_dir: str, folder: str, events: int = 4000, turn: int | None = None, turns: int = 1) -> None:
+    """Writes the entries as log files of so many events, each in a folder of its own; all, or those of one of several turns."""
     entries = log_entries(spark, sf_dir).withColumn("log", F.floor(F.col("event_id") / events))
+    if turn is not None:
+        entries = entries.where(F.col("log") % turns == turn)
     rows = entries.repartition("log").sortWithinPartitions("log", "event_id")
-    rows.select("log", "line").write.partitionBy("log").text(folder)
+    rows.select("log", "line").write.mode("append").partitionBy("log").text(folder)
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -299,6 +299,8 @@ SELECT vec_id, doc_id, e, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(vec_id //
     "all_groups": _all_groups("blocks"),
     "big_logs": _logs(4000),
     "big_lines": _lines("big_logs"),
+    "thousands": _logs(1000),
+    "thousand_lines": _lines("thousands"),
     "big_blocks": _blocks("big_lines"),
     "big_groups": _all_groups("big_blocks"),
     "groups": f"""
@@ -639,6 +641,9 @@ LEFT JOIN prior_texts p ON p.doc_id = t.doc_id""",
 FROM all_groups g JOIN traces e ON g.doc_id = e.doc_id GROUP BY ALL HAVING sum(g.n) > 1 OR max(strlen(rep)) >= 8""",
     "stream_history": _history(f"SELECT * FROM seen WHERE {_TRACES}"),
     "stream_occurrence_number": f"SELECT doc_id, signature, occurrence, {stamp('previous_ts')} AS previous_ts FROM ({_OCCURRENCE})",
+    "stream_log_lines": """SELECT substr(doc_id, 5)::BIGINT AS log,
+  coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", line
+FROM thousand_lines""",
     "stream_recall": f"""
 SELECT doc_id, rank::INT AS rank, round(score, 6) AS score, count, strftime(seen, '%Y-%m-%d') AS last_seen, cause, fixes FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 12) DESC) AS rank FROM (
