@@ -264,9 +264,18 @@ def _blocked_matches(queries, history, dim, k, threshold, as_of, schema, block_r
     for row in stats:  # bounded: one row per pivot
         radii[row.cell] = row.radius
         parts[row.cell] = -(-row.rows // block_rows)
-    reach = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + 1e-6
+    routed = _with_cells(queries, pivots, dim, radii, reach_of(threshold))
     chunks = max(1, -(-queries.count() // chunk_rows))
+    return join_blocks(placed, routed, parts, chunks, dim, k, threshold, as_of, schema)
 
+
+def reach_of(threshold: float) -> float:
+    """The largest angle to a match."""
+    return float(np.arccos(np.clip(threshold, -1.0, 1.0))) + 1e-6
+
+
+def join_blocks(placed, routed, parts, chunks, dim, k, threshold, as_of, schema) -> DataFrame:
+    """History rows with their ``cell`` against queries with the ``cells`` that can hold a match; a cell has so many ``parts``."""
     parts_of = F.array(*[F.lit(int(n)).cast("bigint") for n in parts])
     history_side = placed.select(
         F.col("cell"),
@@ -281,8 +290,7 @@ def _blocked_matches(queries, history, dim, k, threshold, as_of, schema, block_r
         *(c for c in ("since_id", "until_id") if c in placed.columns),
     )
     query_side = (
-        _with_cells(queries, pivots, dim, radii, reach)
-        .withColumn("cell", F.explode("cells"))
+        routed.withColumn("cell", F.explode("cells"))
         .select(
             "cell",
             F.explode(F.sequence(F.lit(0).cast("bigint"), F.get(parts_of, F.col("cell")) - 1)).alias("part"),

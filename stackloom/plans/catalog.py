@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stackloom.functions import fixed
 from stackloom.functions.language import detect_language, language_scores
 from stackloom.functions.text import day, excerpt, normalize, rfc3339, sig_id, symbol_name
-from stackloom.operators import approximate, context, frames, groups, history, long_blocks, path_index, paths, prompts, rules, sections, similarity, source, symbols
+from stackloom.operators import approximate, context, frames, groups, history, long_blocks, path_index, paths, pivot_tree, prompts, rules, sections, similarity, source, symbols
 from stackloom.operators.rows import once, unfold
 from stackloom.plans import inputs
 from stackloom.session import materialize, work_folder
@@ -319,6 +319,15 @@ def recall_blocked(spark, sf_dir):
     )
 
 
+def recall_tree(spark, sf_dir):
+    """The same answer from blocks that are the leaves of a tree."""
+    return _shown_priors(
+        pivot_tree.recall_in_tree(
+            inputs.vectors(spark, sf_dir), inputs.vector_history(spark, sf_dir), **RECALL, block_rows=100, fanout=8
+        )
+    )
+
+
 APPROXIMATE = {"tables": 8, "probe_bits": 3, "bucket_rows": 32}
 
 
@@ -613,6 +622,7 @@ QUERIES: dict[str, Query] = {
     "source_budget": source_budget,
     "recall_topk": recall_topk,
     "recall_blocked": recall_blocked,
+    "recall_tree": recall_tree,
     "recall_approx": recall_approx,
     "recall_as_of": recall_as_of,
     "recall_in_turn": recall_in_turn,

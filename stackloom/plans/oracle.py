@@ -578,6 +578,7 @@ FROM trace_frames""",
     "source_budget": f"SELECT doc_id, files, bytes, truncated FROM ({_source(4000)})",
     "recall_topk": _priors("priors"),
     "recall_blocked": _priors("priors"),
+    "recall_tree": _priors("priors"),
     "recall_approx": _priors("priors_met"),
     "recall_as_of": _priors("priors_before"),
     "recall_in_turn": f"""
