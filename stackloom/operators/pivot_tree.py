@@ -31,7 +31,7 @@ from stackloom.operators.similarity import (
 )
 
 FANOUT = 16
-LEVELS = 5
+LEVELS = 8
 #: Bytes of pivots and ranges that every task holds.
 TREE_BYTES = 64 * 1024 * 1024
 
@@ -161,8 +161,8 @@ def build(history: DataFrame, rows: int, dim: int, block_rows: int = BLOCK_ROWS,
             break
         new, next_cell = {}, max(sizes) + 1
         for cell, pivots in sorted(_new_pivots(history, nodes, large, fanout, dim).items()):
-            # no more children than blocks are needed
-            n = min(len(pivots), max(2, -(-sizes[cell] // block_rows)))
+            # no more children than make small blocks
+            n = min(len(pivots), max(2, -(-2 * sizes[cell] // block_rows)))
             if len(pivots) > 1:
                 pivots = pivots[:n]
                 new[cell] = Node(pivots, np.arange(next_cell, next_cell + n), np.full((n, n), np.inf), np.full((n, n), -np.inf))
