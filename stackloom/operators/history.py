@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from stackloom.functions.text import payload as parsed_payload
 from stackloom.functions.text import payload_int, payload_text, payload_time, sig_id
+from stackloom.operators.rows import once
 from stackloom.operators.similarity import check_dimension
-from stackloom.session import ensure_checkpoint_dir
+from stackloom.session import materialize
 
 HISTORY_SCHEMA = (
     "sig_id decimal(20,0), signature string, representative string, language string, cause string, fixes string, "
@@ -65,7 +66,7 @@ def new_history(occurrences: DataFrame, dim: int | None = None) -> DataFrame:
     ``dim`` a vector of another dimension fails the job (A8).
     """
     kept = storable(occurrences)
-    rows = (kept if dim is None else check_dimension(kept, dim)).select(
+    fields = F.struct(
         "signature",
         F.lit(1).cast("bigint").alias("count"),
         F.col("ts").alias("first_seen"),
@@ -74,13 +75,16 @@ def new_history(occurrences: DataFrame, dim: int | None = None) -> DataFrame:
         *LATEST[:-1],
         F.col("embedding").cast("array<double>").alias("embedding"),
     )
+    # a boundary: else Spark sorts what the columns are computed from, whole texts, and computes them in the aggregation
+    rows = (kept if dim is None else check_dimension(kept, dim)).select(once(fields).alias("row")).select("row.*")
     return _fold(rows, "signature", LATEST).withColumn("sig_id", sig_id(F.col("signature"))).select(*HISTORY_COLUMNS)
 
 
 def record(history: DataFrame, occurrences: DataFrame, dim: int | None = None) -> DataFrame:
     """The history after these occurrences: counts bumped, first_seen kept, the rest from the latest one.
 
-    All vectors must have one dimension: ``dim``, or else that of the stored history, one row of which is looked at.
+    All vectors must have one dimension: ``dim``, or else that of the stored history, one row of which is looked at, which
+    computes a history that is not a table.
     """
     stored = history.select(*HISTORY_COLUMNS)
     if dim is None:
@@ -112,17 +116,13 @@ def occurrence_numbers(occurrences: DataFrame) -> DataFrame:
 
     A window over a family would put a hot one into a single task.  Instead rows are range partitioned by
     (signature, ts, doc_id), which splits a family over as many tasks as it needs; each slice is numbered on its own
-    and shifted by the sizes of the family's earlier slices, a table of one row per family and slice.  The checkpoint
-    pins the slices, so numbering and sizes agree even when a task is run again.
+    and shifted by the sizes of the family's earlier slices, a table of one row per family and slice.  The rows are
+    computed and written once, as partitioning by range looks at its input twice; the second table pins the slices, so
+    numbering and sizes agree even when a task is run again.
     """
-    ensure_checkpoint_dir(occurrences.sparkSession)
     order = ["ts", "doc_id"]
-    sliced = (
-        occurrences.select("signature", *order)
-        .repartitionByRange("signature", *order)
-        .withColumn("slice", F.spark_partition_id())
-        .checkpoint()
-    )
+    narrow = materialize(occurrences.select("signature", *order))
+    sliced = materialize(narrow.repartitionByRange("signature", *order).withColumn("slice", F.spark_partition_id()))
     slices = Window.partitionBy("signature").orderBy("slice")
     earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
     sizes = (

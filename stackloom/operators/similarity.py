@@ -344,23 +344,25 @@ def nearest(
     block_rows: int = BLOCK_ROWS,
     chunk_rows: int = QUERY_CHUNK_ROWS,
     pivots: int = PIVOTS,
+    dim: int | None = None,
 ) -> DataFrame:
     """doc_id, rank, sig_id, version, score of the k most similar history rows at or above the threshold.
 
     ``as_of`` (D10) lets a query (column ``ts``) see only what was there before it: history rows whose ``first_seen``
     is earlier, and of the rows that ``history_versions`` gives those whose (time, id) is earlier than its own and which
-    none that is earlier replaces.  Ties go to the smaller sig_id.
+    none that is earlier replaces.  Ties go to the smaller sig_id.  ``dim`` is the vectors' size, by default the largest that
+    is stored; others fail the job.  The history is computed twice, to count and to match it.
     """
     asked, stored = sides(queries, history, as_of)
     schema = match_schema(queries, history)
-    first = stored.select(F.size("embedding").alias("dim")).first()
-    if first is None:
+    rows, found = stored.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    if not rows:
         return queries.sparkSession.createDataFrame([], schema)
-    dim = first.dim
+    dim = dim or found
     asked, stored = check_dimension(asked, dim), check_dimension(stored, dim)
 
     fits = max(1, broadcast_bytes // (8 * (dim + 6)))
-    if stored.count() <= fits:  # counted where the rows are; only what fits the byte budget is fetched
+    if rows <= fits:  # counted where the rows are; only what fits the byte budget is fetched
         return _broadcast_matches(asked, stored.toArrow(), dim, k, threshold, as_of, schema)
     return _blocked_matches(asked, stored, dim, k, threshold, as_of, schema, block_rows, chunk_rows, pivots)
 

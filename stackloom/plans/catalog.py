@@ -383,7 +383,7 @@ def history_new(spark, sf_dir):
 
 def history_upsert(spark, sf_dir):
     stored = history.new_history(occurrences(inputs.logs(spark, sf_dir)))
-    return shown_history(history.record(stored, occurrences(inputs.errors(spark, sf_dir))))
+    return shown_history(history.record(stored, occurrences(inputs.errors(spark, sf_dir)), dim=2))
 
 
 def _keyed_history(spark: SparkSession, sf_dir: str) -> str:
