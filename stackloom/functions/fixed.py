@@ -4,24 +4,12 @@ Everything in this module is a FIXED VALUE: limits, word lists, labels and patte
 results to be right.  Patterns are written in RE2 syntax; ``dialect.java`` turns them into the JVM dialect.
 """
 
-# --- fixed values: limits; none of them is a default -------------------------------------------------------------------------------------------
-MAX_INPUT_BYTES = 256 * 1024
-MAX_FRAMES = 25
-MAX_GROUPS = 20
-REPRESENTATIVE_BYTES = 500
+# --- fixed values: limits and defaults of recall and of windows ------------------------------------------------------
 NOISE_BYTES = 8
-FALLBACK_BYTES = 4096
 CONTEXT_LINES = 10
 SYMBOL_LINES = 5
-SOURCE_BYTES = 64 * 1024
-SOURCE_FRAMES = 8
-SOURCE_SYMBOLS = 5
-SOURCE_FILES = 5
-SOURCE_FILE_BYTES = 2 * 1024 * 1024
 RECALL_K = 3
 RECALL_THRESHOLD = 0.85
-PRIOR_BYTES = 500
-SUMMARY_BYTES = 1000
 ELLIPSIS = "…"
 
 # --- fixed values: language rules (language, pattern, text every match contains) -------------------------------------

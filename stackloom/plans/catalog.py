@@ -85,6 +85,31 @@ def cap_input(spark, sf_dir):
     return ingest.cap_input(inputs.errors(spark, sf_dir), 2000).select("doc_id", "origin", "truncated", "text")
 
 
+def literal_texts(spark, sf_dir):
+    """A3: the names of the nations, a table that never grows, handed over as literal texts."""
+    names = [row.n_name for row in spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()]
+    return ingest.from_texts(spark, names)
+
+
+def _shown_files(files: DataFrame) -> DataFrame:
+    log = F.regexp_extract("doc_id", "/log=([0-9]+)/", 1).cast("bigint").alias("log")
+    return files.select(log, F.octet_length("text").cast("bigint").alias("bytes"), F.md5("text").alias("text_md5"), "truncated")
+
+
+def error_files(spark, sf_dir):
+    """A1/A5: log files as one document each."""
+    folder = work_folder(spark)
+    inputs.log_folder(spark, sf_dir, folder, events=1000)
+    return _shown_files(ingest.read_error_files(spark, folder))
+
+
+def stream_error_files(spark, sf_dir):
+    """A2: the same files as they arrive."""
+    folder = work_folder(spark)
+    inputs.log_folder(spark, sf_dir, folder, events=1000)
+    return _finished(spark, _shown_files(ingest.read_error_stream(spark, f"{folder}/*")))
+
+
 def source_lines(spark, sf_dir):
     return ingest.source_lines(inputs.source_files(spark, sf_dir))
 
@@ -585,6 +610,9 @@ def stream_recall(spark, sf_dir):
 
 
 QUERIES: dict[str, Query] = {
+    "literal_texts": literal_texts,
+    "error_files": error_files,
+    "stream_error_files": stream_error_files,
     "cap_input": cap_input,
     "excerpt_bytes": excerpt_bytes,
     "normalize_signature": normalize_signature,

@@ -523,6 +523,9 @@ SELECT doc_id, ts, signature, row_number() OVER w AS occurrence, lag(ts) OVER w
 FROM seen WHERE {_TRACES} WINDOW w AS (PARTITION BY signature ORDER BY ts, doc_id)"""
 
 SELECTS: dict[str, str] = {
+    "literal_texts": "SELECT n_nationkey::VARCHAR AS doc_id, n_name AS text, 'inline' AS origin, false AS truncated FROM nation",
+    "error_files": "SELECT substr(doc_id, 5)::BIGINT AS log, (strlen(text) + 1)::BIGINT AS bytes, md5(text || chr(10)) AS text_md5, false AS truncated FROM thousands",
+    "stream_error_files": "SELECT substr(doc_id, 5)::BIGINT AS log, (strlen(text) + 1)::BIGINT AS bytes, md5(text || chr(10)) AS text_md5, false AS truncated FROM thousands",
     "cap_input": f"SELECT doc_id, origin, strlen(text) > 2000 AS truncated, {cut('text', 2000)} AS text FROM errors",
     "source_lines": "SELECT repo, path, line_no, text FROM file_lines",
     "excerpt_bytes": f"SELECT doc_id, {excerpt('text', 500)} AS excerpt FROM errors",
