@@ -20,6 +20,14 @@ def written(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores behind it as it takes to be none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished steps, which it does once their plans are garbage."""
     gc.collect()

@@ -1,5 +1,4 @@
 import random
-from collections import defaultdict
 
 import pytest
 from llm_texts import prose, varied
@@ -15,17 +14,15 @@ def brute(rows, window=13):
             key = tuple(words[i : i + window])
             if doc is not None:
                 first[key] = min(first.get(key, doc), doc)
-    gone = defaultdict(set)
+    out = []
     for doc, text in rows:
         words = (text or "").encode().split()
+        gone = set()
         if doc is not None:
             for i in range(len(words) - window + 1):
                 if first[tuple(words[i : i + window])] < doc:
-                    gone[doc] |= set(range(i, i + window))
-    out = []
-    for doc, text in rows:
-        words = (text or "").encode().split()
-        left = [w for i, w in enumerate(words) if i not in gone[doc]]
+                    gone |= set(range(i, i + window))
+        left = [w for i, w in enumerate(words) if i not in gone]
         out.append((doc, len(words), len(words) - len(left), b" ".join(left).decode()))
     return sorted(out, key=repr)
 
@@ -54,7 +51,7 @@ def test_equals_brute_force(spark, monkeypatch, hot, small):
         monkeypatch.setattr(phrases, "SHARD_BYTES", 200)
         monkeypatch.setattr(phrases, "SHARD_PATTERNS", 5)
         monkeypatch.setattr(phrases, "HEAVY", 3)
-    monkeypatch.setattr(phrases.repeated_ranges, "__defaults__", ("doc_id", "text", 13, hot))
+    monkeypatch.setattr(phrases.repeated_ranges, "__defaults__", ("doc_id", "text", 13, hot, None))
     rows = sample(hot)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert got(phrases.remove_repeats(df, rejoin=True)) == brute(rows)
@@ -70,5 +67,42 @@ def test_awkward_rows(awkward):
     assert (4, None) in texts and (6, " \t\n") in texts and (9, dict(rows)[9]) in texts and 2 not in {d for d, _ in texts}
 
 
+@pytest.mark.parametrize("hot", [5000, 1])
+def test_rows_that_repeat_an_id_are_judged_one_by_one(spark, monkeypatch, hot):
+    monkeypatch.setattr(phrases.repeated_ranges, "__defaults__", ("doc_id", "text", 13, hot, None))
+    rng = random.Random(8)
+    p, other, tail = prose(rng, 40), prose(rng, 60), prose(rng, 20)
+    rows = [(1, p), (5, p), (5, other), (5, other), (5, tail + " " + p), (5, p[:-1]), (7, other), (7, None), (7, ""), (None, p)] + [(9, p)] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = got(phrases.remove_repeats(df, rejoin=True))
+    assert found == brute(rows)
+    assert (5, 60, 0, other) in found
+
+
+def test_names_that_clash(spark):
+    rng = random.Random(9)
+    p = prose(rng, 30)
+    names = ["_id", "_ranges", "_n_words", "_N_removed", "_t", "h", "marks", "low", "digest", "a b"]
+    rows = [(1, p, *names), (2, p + " x", *names), (2, "y", *names)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    cut = phrases.remove_repeats(df)
+    assert cut.columns == [*df.columns, "_n_words_", "_n_removed_"]
+    assert sorted(r["text"] for r in cut.collect()) == sorted([p, "x", "y"])
+    kept = phrases.drop_repeats(df)
+    assert kept.columns == df.columns and kept.count() == 3 and kept.first()["_ranges"] == "_ranges"
+
+
+def test_windows_of_one_hash_are_told_apart(spark, monkeypatch):
+    """With a hash that tells nothing apart the words decide."""
+    monkeypatch.setattr(phrases, "gram_hashes", lambda words, k: (lambda h, at: (h * 0, at))(*real(words, k)))
+    from stackloom.llm.words import gram_hashes as real
+
+    words = phrases._number_words(phrases.pa.array(["a b c d", "b c d e", "a b c"]))
+    at, owner = phrases._confirmed(words, phrases.np.array([3, 1, 2]), phrases.np.array([3, 1, 2]), 3)
+    assert sorted((words.row[a], a - words.first[words.row[a]], o) for a, o in zip(at.tolist(), owner.tolist(), strict=True)) in (
+        [(0, 0, 2), (0, 1, 1)], [(0, 0, 2), (1, 0, 1)], [(0, 1, 1), (2, 0, 2)], [(1, 0, 1), (2, 0, 2)]
+    )
+
+
 def test_empty_table(nothing):
     assert phrases.remove_repeats(nothing).count() == 0
