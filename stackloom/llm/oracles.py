@@ -91,32 +91,49 @@ base AS (
   FROM cut),
 ruled AS (SELECT *, {_RULES} AS rule FROM base),
 judged AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS said FROM ruled),
-hosts AS (
+places AS (
+  SELECT DISTINCT page_id, host AS src, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s<>]+(?:/[^?#"''\s<>]*)?)', 1)) AS place
+  FROM judged WHERE host != ''),
+links AS (
+  SELECT DISTINCT page_id, src, translate(regexp_extract(place, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    CASE WHEN strpos(place, '/') > 0 THEN substr(place, strpos(place, '/')) ELSE '/' END AS path
+  FROM places),
+own AS (
   SELECT host, avg(CASE WHEN said = 'allow' THEN 1.0::DOUBLE ELSE 0.0 END) AS allowed, avg(CASE WHEN said = 'block' THEN 1.0::DOUBLE ELSE 0.0 END) AS blocked
   FROM judged WHERE host != '' GROUP BY host),
-found AS (
-  SELECT DISTINCT page_id, host AS src, translate(unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s<>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst
-  FROM judged WHERE host != ''),
+linked AS (SELECT host, {_RULES} AS rule FROM (SELECT DISTINCT host, path FROM links WHERE src != host AND host NOT IN (SELECT host FROM own))),
+hosts AS (
+  SELECT * FROM own
+  UNION ALL
+  SELECT host, avg(CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 1.0::DOUBLE ELSE 0.0 END), avg(CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1.0::DOUBLE ELSE 0.0 END)
+  FROM linked GROUP BY host),
 above AS (
   SELECT h.host AS src, max_by(k.host, length(k.host)) AS dst FROM hosts h JOIN hosts k ON ends_with(h.host, '.' || k.host) GROUP BY 1),
 edges AS (
   SELECT src, dst, sum(w) AS w FROM (
-    SELECT src, dst, count(*) AS w FROM found WHERE src != dst AND dst IN (SELECT host FROM hosts) GROUP BY 1, 2
+    SELECT src, host AS dst, count(DISTINCT page_id) AS w FROM links WHERE src != host GROUP BY 1, 2
     UNION ALL SELECT src, dst, 1 FROM above) GROUP BY 1, 2),
 both_ways AS (SELECT 'trust' AS kind, src AS host, dst AS goal, w FROM edges UNION ALL SELECT 'distrust', dst, src, w FROM edges),
-moves AS (SELECT kind, host, goal, w / sum(w) OVER (PARTITION BY kind, host) AS p FROM both_ways),
-seeds AS (SELECT 'trust' AS kind, host, allowed * 0.15 AS r FROM hosts UNION ALL SELECT 'distrust', host, blocked * 0.15 FROM hosts),
+moves AS (
+  SELECT kind, b.host, goal, p * (1 - allowed - blocked) AS p
+  FROM (SELECT *, w / sum(w) OVER (PARTITION BY kind, host) AS p FROM both_ways) b JOIN hosts ON hosts.host = goal),
+seeds AS (SELECT 'trust' AS kind, host, allowed * 0.15 AS r, 0.15::DOUBLE AS q FROM hosts UNION ALL SELECT 'distrust', host, blocked * 0.15, 0.15 FROM hosts),
 walk AS (
-  SELECT 0 AS step, kind, host, r FROM seeds
+  SELECT 0 AS step, kind, host, r, q FROM seeds
   UNION ALL
-  SELECT walk.step + 1, walk.kind, moves.goal, walk.r * moves.p * 0.85
-  FROM walk JOIN moves ON moves.kind = walk.kind AND moves.host = walk.host WHERE walk.step < 10),
+  SELECT walk.step + 1, walk.kind, moves.goal, sum(walk.r * moves.p * 0.85), sum(walk.q * moves.p * 0.85)
+  FROM walk JOIN moves ON moves.kind = walk.kind AND moves.host = walk.host WHERE walk.step < 160 GROUP BY ALL),
+sums AS (
+  SELECT kind, host, sum(r) AS r, CASE WHEN coalesce(sum(q) FILTER (step > 0), 0) > 1e-6 THEN sum(r) FILTER (step > 0) / sum(q) FILTER (step > 0) ELSE 0 END AS share
+  FROM walk GROUP BY kind, host),
 ranks AS (
-  SELECT host, coalesce(sum(r) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(r) FILTER (kind = 'distrust'), 0) AS distrust
-  FROM walk GROUP BY host)
+  SELECT host, sum(r) FILTER (kind = 'trust') AS trust, sum(r) FILTER (kind = 'distrust') AS distrust,
+    sum(share) FILTER (kind = 'trust') AS trust_share, sum(share) FILTER (kind = 'distrust') AS distrust_share
+  FROM sums GROUP BY host)
 SELECT page_id, j.host, path, rule,
-  coalesce(said, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) >= 0.075 THEN 'block' ELSE 'allow' END) AS verdict,
-  round(coalesce(trust, 0), 9) AS trust, round(coalesce(distrust, 0), 9) AS distrust
+  coalesce(said, CASE WHEN coalesce(distrust_share, 0) - coalesce(trust_share, 0) >= 0.5 - 1e-7 THEN 'block' ELSE 'allow' END) AS verdict,
+  round(coalesce(trust, 0), 8) AS trust, round(coalesce(distrust, 0), 8) AS distrust,
+  round(coalesce(trust_share, 0), 8) AS trust_share, round(coalesce(distrust_share, 0), 8) AS distrust_share
 FROM judged j LEFT JOIN ranks ON ranks.host = j.host
 """
 

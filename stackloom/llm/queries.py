@@ -47,8 +47,8 @@ URL_RULES = [
 
 def op3_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url, by rules and else by trust and distrust of its host."""
-    judged = url_graph.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES, crawled_only=False)
-    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
+    judged = url_graph.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", *(F.round(c, 8).alias(c) for c in url_graph.MEASURES))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,17 @@
 
 Trust starts from hosts whose pages rules allow and follows links (personalised PageRank); distrust starts from hosts whose
 pages rules block and goes against the links, to those that link there.  A host restarts with the share of its pages
-that the rules judge, so a blocked section does not stand for a whole host.
+that the rules judge, so a blocked section does not stand for a whole host, and takes in by the share that they do not
+judge: what a blocked host links to, or who links to an allowed one, changes nothing about it.
 
-Both shrink with the number of links that share them, so verdicts come from two measures between 0 and 1 that do not:
-``blame`` is the chance that a walk along links from a host ends on a page that rules block, ``credit`` that a walk against
-them ends on one that they allow.  A walk ends where rules judge the page it reads, and else goes on by ``DAMPING``.  A host is
-blocked if its blame exceeds its credit by ``LIMIT``.
+Both shrink with the number of links that share them, so verdicts compare each with what the host would get if every host
+were a seed: ``trust_share`` is the part of the trust that reaches a host, its own restart left out, that comes from allowed
+pages, ``distrust_share`` the part of the distrust that comes from blocked ones.  They lie between 0 and 1 whatever the number
+of links.  A host is blocked if its share of distrust exceeds that of trust by ``LIMIT``.
 
-Edges join hosts whose pages link to each other, and a host with the next longer-known domain above it.  Hosts that are
-linked to but have no page take part unless ``crawled_only`` is set.  All of it is
-DataFrame operations; ranks are written after each step.
+Edges join hosts whose pages link to each other, and a host with the nearest known domain above it.  Hosts that are linked to
+but have no page take part, and restart with the share of their linked urls that the rules judge.  All of it is DataFrame
+operations; ranks are written after each step.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ DAMPING, LIMIT = 0.85, 0.5
 TOLERANCE = 1e-10
 #: More than any table needs, as each step leaves at most ``DAMPING`` of the change before it.
 STEPS = 300
-MEASURES = ("trust", "distrust", "blame", "credit")
+MEASURES = ("trust", "distrust", "trust_share", "distrust_share")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINKS = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+(?:/[^?#"'\s<>]*)?)"""
@@ -100,30 +101,42 @@ def host_edges(links: DataFrame, hosts: DataFrame) -> DataFrame:
 
 
 def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """(host, trust, distrust, blame, credit) of the hosts that any reaches; ``hosts`` has (host, allowed, blocked) shares."""
+    """(host, trust, distrust, trust_share, distrust_share); ``hosts`` has (host, allowed, blocked) shares.
+
+    Each row of a rank carries two: ``r`` from the seeds, and ``q`` with every host as a seed.
+    """
     total = edges.join(edges.groupBy("src").agg(F.sum("w").alias("out")), "src").join(edges.groupBy("dst").agg(F.sum("w").alias("into")), "dst")
-    on = 1 - F.col("allowed") - F.col("blocked")
-    total = total.join(hosts.select(F.col("host").alias("src"), on.alias("src_on")), "src").join(hosts.select(F.col("host").alias("dst"), on.alias("dst_on")), "dst")
-    out, into = F.col("w") / F.col("out"), F.col("w") / F.col("into")
-    ways = (("trust", "src", "dst", out), ("distrust", "dst", "src", into), ("blame", "dst", "src", out * F.col("src_on")), ("credit", "src", "dst", into * F.col("dst_on")))
+    open_share = hosts.select("host", (1 - F.col("allowed") - F.col("blocked")).alias("open"))
+    total = total.join(open_share.select(F.col("host").alias("src"), F.col("open").alias("src_open")), "src")
+    total = total.join(open_share.select(F.col("host").alias("dst"), F.col("open").alias("dst_open")), "dst")
+    out, into = F.col("w") / F.col("out") * F.col("dst_open"), F.col("w") / F.col("into") * F.col("src_open")
+    ways = (("trust", "src", "dst", out), ("distrust", "dst", "src", into))
     ways = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(a).alias("host"), F.col(b).alias("to"), p.alias("p")) for kind, a, b, p in ways))
     moves = written(total.select(F.explode(ways).alias("x")).select("x.*").filter("p > 0"))
-    starts = (("trust", F.col("allowed") * (1 - damping)), ("distrust", F.col("blocked") * (1 - damping)), ("blame", F.col("blocked")), ("credit", F.col("allowed")))
-    starts = F.array(*(F.struct(F.lit(kind).alias("kind"), r.alias("r")) for kind, r in starts))
-    seeds = written(hosts.select("host", F.explode(starts).alias("x")).select("x.kind", "host", "x.r").filter("r > 0"))
-    ranks, zero = seeds, F.lit(0.0)
+    starts = F.array(*(F.struct(F.lit(kind).alias("kind"), (F.col(share) * (1 - damping)).alias("r0")) for kind, share in (("trust", "allowed"), ("distrust", "blocked"))))
+    seeds = written(hosts.select("host", F.explode(starts).alias("x")).select("x.kind", "host", "x.r0", F.lit(1 - damping).alias("q0")))
+    nothing = F.lit(0.0)
+    ranks = seeds.select("kind", "host", F.col("r0").alias("r"), F.col("q0").alias("q"), "r0", "q0")
     for step in range(steps):
-        moved = ranks.join(moves, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("r") * F.col("p") * damping).alias("r"), zero.alias("old"))
-        moved = moved.unionByName(seeds.withColumn("old", zero)).unionByName(ranks.select("kind", "host", zero.alias("r"), F.col("r").alias("old")))
-        ranks = written(moved.groupBy("kind", "host").agg(F.sum("r").alias("r"), F.sum("old").alias("old")))
-        change = ranks.agg(F.max(F.abs(F.col("r") - F.col("old")) / F.greatest("r", F.lit(1.0)))).first()[0]
+        moved = ranks.select("kind", "host", "r", "q").join(moves, ["kind", "host"])
+        moved = moved.select("kind", F.col("to").alias("host"), *((F.col(c) * F.col("p") * damping).alias(c) for c in ("r", "q")), *(nothing.alias(c) for c in ("r0", "q0", "r1", "q1")))
+        kept = ranks.select("kind", "host", F.col("r0").alias("r"), F.col("q0").alias("q"), "r0", "q0", F.col("r").alias("r1"), F.col("q").alias("q1"))
+        ranks = written(moved.unionByName(kept).groupBy("kind", "host").agg(*(F.sum(c).alias(c) for c in ("r", "q", "r0", "q0", "r1", "q1"))))
+        change = ranks.agg(F.max(F.greatest(*(F.abs(F.col(c) - F.col(f"{c}1")) / F.greatest(c, F.lit(1.0)) for c in ("r", "q"))))).first()[0]
         if change is None or change <= TOLERANCE:
             break
         if step % 8 == 7:
             release(hosts.sparkSession)
     else:
         raise RuntimeError("ranks did not settle")
-    return ranks.groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("r")).otherwise(0.0)).alias(k) for k in MEASURES))
+    # what reached a host; next to nothing is nothing
+    reached = F.col("q") - F.col("q0")
+    share = F.when(reached > 1e-6, (F.col("r") - F.col("r0")) / reached).otherwise(nothing)
+    of = ranks.select("kind", "host", "r", share.alias("share"))
+    return of.groupBy("host").agg(
+        *(F.sum(F.when(F.col("kind") == k, F.col("r")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")),
+        *(F.sum(F.when(F.col("kind") == k, F.col("share")).otherwise(0.0)).alias(f"{k}_share") for k in ("trust", "distrust")),
+    )
 
 
 def judge_urls(
@@ -134,27 +147,24 @@ def judge_urls(
     damping: float = DAMPING,
     steps: int = STEPS,
     limit: float = LIMIT,
-    crawled_only: bool = True,
 ) -> DataFrame:
-    """``page_id``, host, path, rule, verdict, and trust, distrust, blame and credit of the host, for every row of ``pages``.
+    """``page_id``, host, path, rule, verdict, and trust, distrust and their shares of the host, for every row of ``pages``.
 
     Defined results: a null url, or one without ``://``, has empty host and path; the empty host is no part of the graph,
     has no trust and is allowed; null html has no links; rows without an id and repeated rows are judged each; other
-    columns are ignored.  With ``crawled_only`` links to hosts that have no page of their own are left out; without it such
-    hosts take part, and restart with the share of their linked urls that the rules judge.
+    columns are ignored.
     """
     base = pages.select("page_id", host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(html_col).cast("string").alias("html"))
     verdict = _first_fit(rules, F.col("host"), F.col("path"), lambda r: r.verdict)
     own = base.filter("host != ''")
     hosts = written(own.groupBy("host").agg(*_shares(verdict)))
     links = written(host_links(own))
-    if not crawled_only:
-        hosts = written(hosts.unionByName(linked_hosts(links, hosts, rules)))
+    hosts = written(hosts.unionByName(linked_hosts(links, hosts, rules)))
     ranks = propagate(hosts, written(host_edges(links, hosts)), damping, steps)
     names = _first_fit(rules, F.col("host"), F.col("path"), lambda r: r.name)
-    trust, distrust, blame, credit = (F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in MEASURES)
+    shown = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in MEASURES}
     # sums of shares carry rounding
-    by_graph = F.when(blame - credit >= limit - 1e-9, "block").otherwise("allow")
+    by_graph = F.when(shown["distrust_share"] - shown["trust_share"] >= limit - 1e-7, "block").otherwise("allow")
     return base.drop("html").join(ranks, "host", "left").select(
-        "page_id", "host", "path", names.alias("rule"), F.coalesce(verdict, by_graph).alias("verdict"), trust, distrust, blame, credit
+        "page_id", "host", "path", names.alias("rule"), F.coalesce(verdict, by_graph).alias("verdict"), *(value.alias(c) for c, value in shown.items())
     )
