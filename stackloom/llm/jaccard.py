@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.llm.steps import components, release, written
+from stackloom.llm.phrases import repeated_ids
+from stackloom.llm.steps import components, fresh, numbered, release, written
 from stackloom.llm.words import (
     tidy,
     U,
@@ -364,8 +365,19 @@ def jaccard_classes(
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Keeps the row with the smallest id of each near-duplicate class.
 
-    Rows without an id belong to no class and stay.  Of rows that repeat the kept id, one stays: that with the smallest text.
+    Rows without an id belong to no class and stay.  Rows that repeat an id are judged one by one, by their own texts; of
+    rows that are equal in id and text one stays, which a hash of all columns chooses.
     """
-    kept = jaccard_classes(docs, id_col, text_col, threshold).filter("doc_id = class_id").select(F.col("doc_id").alias(id_col))
-    out = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return out.unionByName(docs.filter(F.col(id_col).isNull()))
+    repeated = repeated_ids(docs, id_col)
+    if repeated is None:
+        kept = jaccard_classes(docs, id_col, text_col, threshold).filter("doc_id = class_id").select(F.col("doc_id").alias(id_col))
+        return docs.join(kept, id_col, "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    # each different (id, text) gets a number of its own, in order of the ids
+    key, t, row = (fresh(name, docs.columns) for name in ("_key", "_t", "_row"))
+    own = docs.filter(F.col(id_col).isNotNull()).withColumns({key: F.col(id_col).cast("long"), t: F.xxhash64(F.col(text_col).cast("string"))})
+    numbers = numbered(own.select(F.lit("").alias("tree"), F.col(key).alias("id"), F.col(t).alias("t")).distinct(), "tree", ["id", "t"])
+    numbers = written(numbers.select(F.col("id").alias(key), F.col("t").alias(t), F.col("pos").alias(row)))
+    several = own.groupBy(key, t).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns))))).alias("kept"))
+    single = written(several.join(numbers, [key, t]).select(row, "kept.*"))
+    kept = jaccard_classes(single, row, text_col, threshold).filter("doc_id = class_id").select(F.col("doc_id").alias(row))
+    return single.join(kept, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.filter(F.col(id_col).isNull()))

@@ -100,3 +100,14 @@ def test_components(spark):
         up[max(x, y)] = min(x, y)
     found = components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
     assert {(r["node"], r["root"]) for r in found} == {(x, root(x)) for x in up} and len(found) == len(up)
+
+
+def test_rows_that_repeat_an_id_are_judged_one_by_one(spark):
+    rng = random.Random(12)
+    x, y, z = prose(rng, 60), prose(rng, 60), prose(rng, 60)
+    rows = [(1, x, "a"), (2, x, "b"), (2, y, "c"), (2, y, "c"), (3, varied(rng, y, 1), "d"), (3, z, "e"), (3, z, "f"), (None, x, "g"), (4, None, "h"), (4, "", "i"), (5, z, "j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _t string").repartition(3)
+    out = [tuple(r) for r in jaccard.drop_near_duplicates(df).collect()]
+    assert sorted((str(i), t) for i, t, _ in out if t) == sorted([("1", x), ("2", y), ("3", z), ("None", x)])
+    assert len([r for r in out if not r[1]]) == 1 and jaccard.drop_near_duplicates(df).columns == df.columns
+    assert {tuple(r) for r in jaccard.drop_near_duplicates(df.repartition(7)).collect()} == set(out)
