@@ -25,6 +25,8 @@ SHARD = 4096
 DEGREE, BEAM, ALPHA = 24, 64, 1.2
 ENTRIES, EXPAND, BATCH = 16, 4, 256
 QUERY_BATCH = 512
+#: Searches look further than the building does, as vectors that crowd one place need it.
+QUERY_BEAM = 128
 
 _INDEX = "dim int, shard int, n int, vectors binary, edges binary, ids array<array<bigint>>"
 
@@ -132,15 +134,49 @@ def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alp
             by = np.argsort(target, kind="stable")
             source, target = source[by], target[by]
             nodes, first, count = np.unique(target, return_index=True, return_counts=True)
-            width = min(int(count.max(initial=0)), 2 * degree)
             place = np.arange(len(target)) - np.repeat(first, count)
-            ok = place < width
-            back = np.full((len(nodes), width), -1, dtype=np.int64)
-            back[np.repeat(np.arange(len(nodes)), count)[ok], place[ok]] = source[ok]
-            for a in range(0, len(nodes), 2 * BATCH):
-                part = slice(a, a + 2 * BATCH)
-                edges[nodes[part]] = robust_prune(vectors, nodes[part], np.concatenate([edges[nodes[part]], back[part]], axis=1), degree, alpha if last else 1.0)
-    return Graph(vectors, edges, entries)
+            index = np.repeat(np.arange(len(nodes)), count)
+            width = 2 * degree
+            for start in range(0, int(count.max(initial=0)), width):  # all back edges of a node meet the pruning, in rounds
+                ok = (place >= start) & (place < start + width)
+                here = np.unique(index[ok])
+                back = np.full((len(nodes), width), -1, dtype=np.int64)
+                back[index[ok], place[ok] - start] = source[ok]
+                for a in range(0, len(here), 2 * BATCH):
+                    part = here[a : a + 2 * BATCH]
+                    edges[nodes[part]] = robust_prune(vectors, nodes[part], np.concatenate([edges[nodes[part]], back[part]], axis=1), degree, alpha if last else 1.0)
+    return Graph(vectors, connect(vectors, edges, entries, beam), entries)
+
+
+def reached(edges: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Whether each node can be reached from the entries."""
+    seen = np.zeros(len(edges), dtype=bool)
+    seen[entries] = True
+    front = entries
+    while len(front):
+        near = edges[front].ravel()
+        near = np.unique(near[near >= 0])
+        front = near[~seen[near]]
+        seen[front] = True
+    return seen
+
+
+def connect(vectors: np.ndarray, edges: np.ndarray, entries: np.ndarray, beam: int) -> np.ndarray:
+    """The edges, and an edge to each node that no entry reaches, from a node that a search for it meets.
+
+    It takes a free place of the nearest node that has one; if none has, all nodes get a place more.
+    """
+    while len(lost := np.flatnonzero(~reached(edges, entries))):
+        lost = lost[:BATCH]
+        found, _ = beam_search(vectors, edges, entries, vectors[lost], beam)
+        for node, near in zip(lost, found, strict=True):
+            near = near[near >= 0]
+            free = (edges[near] < 0).any(axis=1)
+            if not free.any():
+                edges = np.concatenate([edges, np.full((len(edges), 1), -1, dtype=np.int64)], axis=1)
+            at = near[free.argmax()]
+            edges[at, (edges[at] < 0).argmax()] = node
+    return edges
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -250,7 +286,7 @@ def _nearest(graph: Graph, exact: np.ndarray, ids: list, waiting: list, k: int,
 
 
 def nearest(
-    vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, beam: int = BEAM, shard_size: int = SHARD
+    vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, beam: int = QUERY_BEAM, shard_size: int = SHARD
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row for which ``is_query`` holds, by Euclidean distance.
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from stackloom.llm import graph_index as g
@@ -81,3 +82,31 @@ def test_awkward_vectors(spark):
     assert got[100] == [0, 1, 2, 9, *range(1001, 1007)] and got[200] == [8]
     assert set(got) == {0, 100, 200}
     assert g.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+@pytest.mark.parametrize("sd", [0.01, 0.0001])
+def test_crowded_vectors_are_reached_and_found(sd):
+    """A shard in 64 dimensions of which most vectors crowd one centre."""
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(4096, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    center = rng.normal(size=64)
+    v[:3500] = center / np.linalg.norm(center) + rng.normal(size=(3500, 64)) * sd
+    v = v[rng.permutation(4096)].astype(np.float32)
+    graph = g.build_graph(v)
+    assert g.reached(graph.edges, graph.entries).all()
+    asked = v[::40]
+    away = ((asked[:, None].astype(float) - v[None].astype(float)) ** 2).sum(axis=2)
+    want = np.argsort(away, axis=1, kind="stable")[:, :11]
+    found, _ = g.beam_search(graph.vectors, graph.edges, graph.entries, asked, g.QUERY_BEAM)
+    assert np.mean([len(set(a) & set(b)) / 11 for a, b in zip(found[:, :11], want, strict=True)]) >= 0.95
+
+
+def test_nodes_without_an_in_edge_are_connected():
+    v = np.random.default_rng(2).normal(size=(50, 4)).astype(np.float32)
+    edges = np.full((50, 2), -1, dtype=np.int64)
+    entries = g.entry_points(50)
+    edges[entries] = entries[:2]
+    whole = g.connect(v, edges, entries, 8)
+    assert not g.reached(edges, entries).all() and g.reached(whole, entries).all()
+    assert (whole[:, :2][entries] == edges[entries]).all()
