@@ -47,7 +47,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["error_families", "log_file_groups", "history_new", "source_budget", "recall_blocked", "occurrence_number"])
+@pytest.mark.parametrize("name", ["error_families", "log_file_groups", "history_new", "source_budget", "recall_blocked", "occurrence_number", "log_groups_merged", "resolve_indexed", "recall_approx"])
 def test_result_does_not_depend_on_partitions(spark, name):
     results = []
     for partitions in ("1", "7"):
