@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stackloom.llm.steps import written
@@ -148,7 +148,9 @@ def audit(good: DataFrame, other: DataFrame) -> DataFrame:
     """Records in which replicas differ: archive, offset, length, record_id (those of ``good`` if it has the record), kind.
 
     ``good`` and ``other`` are what ``read_records`` gives, written.  ``kind`` is changed, missing or extra.  Replicas with
-    equal roots, two empty ones as well, give an empty result.  Only nodes below nodes that differ are compared.
+    equal roots, two empty ones as well, give an empty result.  Only nodes below nodes that differ are compared.  A lost or
+    added record moves all that follow it in its archive, whose ranges then differ; records that only lie elsewhere in their
+    archive are no findings.  Of equal records as many are missing or extra as one side has more, the last ones.
     """
     archives = max(x.select("archive").distinct().count() for x in (good, other))
     groups = [1]
@@ -174,15 +176,25 @@ def audit(good: DataFrame, other: DataFrame) -> DataFrame:
             break
     key = [F.col("archive").alias("k1"), F.floor(F.col("offset") / RANGE).alias("k2")]
     left, right = (x.select("*", *key).join(wrong, ["k1", "k2"], "left_semi").drop("k1", "k2") for x in (good, other))
-    left, right = left.withColumn("side", F.lit(0)), right.withColumn("side", F.lit(1))
-    met = left.unionByName(right).groupBy("archive", "offset").agg(
-        *(F.min_by(c, "side").alias(c) for c in ("length", "record_id")),
-        F.count_distinct("sha256").alias("hashes"),
-        F.min("side").alias("first"),
-        F.max("side").alias("last"),
-    )
-    kind = F.when(F.col("first") == 1, "extra").when(F.col("last") == 0, "missing").when(F.col("hashes") > 1, "changed")
-    return met.withColumn("kind", kind).filter("kind IS NOT NULL").select("archive", "offset", "length", "record_id", "kind")
+    return _findings(left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))))
+
+
+def _paired(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of both sides met by ``keys`` and their order in it: those of side 0 if there are two, and ``sides``, how many there are."""
+    place = F.row_number().over(Window.partitionBy("side", *keys).orderBy("offset"))
+    values = F.struct(*(c for c in ("side", "offset", "length", "record_id", "sha256")))
+    met = rows.withColumn("n", place).groupBy(*(F.col(k).alias(f"_{k}") for k in ("archive", *keys) if k != "archive"), "archive", "n")
+    return met.agg(F.count("*").alias("sides"), F.min(values).alias("v")).select("archive", "v.*", "sides")
+
+
+def _findings(rows: DataFrame) -> DataFrame:
+    """What differs between the sides of ``rows``: equal records cancel wherever they lie, the others pair by id, then by place."""
+    single = _paired(rows, ["archive", "record_id", "sha256"]).filter("sides = 1").drop("sides")
+    by_id = written(_paired(single, ["archive", "record_id"]))
+    by_place = _paired(by_id.filter("sides = 1").drop("sides"), ["archive", "offset"])
+    kind = F.when(F.col("sides") == 2, "changed").when(F.col("side") == 0, "missing").otherwise("extra")
+    found = by_id.filter("sides = 2").unionByName(by_place)
+    return found.select("archive", "offset", "length", "record_id", kind.alias("kind"))
 
 
 def _filled(levels: list[DataFrame], upper: int, depth: int) -> list[DataFrame]:

@@ -79,6 +79,27 @@ def test_lost_archives_and_damaged_headers(spark, replicas):
     assert [s for s in warc.split_records(bytes(broken)) if s[0] < a or s[0] >= b] == [s for s in spans if s != (a, b)]
 
 
+@pytest.mark.parametrize("size", [2000, 1 << 16])
+def test_lost_added_and_moved_records(spark, replicas, monkeypatch, size):
+    monkeypatch.setattr(warc, "RANGE", size)
+    _, folder = replicas
+    rows = warc.read_records(spark, str(folder / "good"), with_bytes=True).select("archive", "offset", "record_id", F.expr("substring(record, 1, length - 4)").cast("string").alias("value"))
+
+    def replica(name, df):
+        warc.write_archives(df.select("archive", "offset", "value").sortWithinPartitions("archive", "offset"), str(folder / name))
+        return audit(spark, folder, name)
+
+    assert replica(f"without-{size}", rows.filter("NOT record_id <=> '<urn:page:10>'")) == [("<urn:page:10>", "missing")]
+    new = rows.filter("record_id = '<urn:page:11>'").withColumns({"value": F.regexp_replace("value", "page:11>", "page:999>"), "offset": F.lit(1).cast("long")})
+    assert replica(f"with-{size}", rows.unionByName(new)) == [("<urn:page:999>", "extra")]
+    moved = rows.withColumn("offset", F.when(F.col("record_id") == "<urn:page:12>", 10**9).otherwise(F.col("offset")))
+    assert replica(f"moved-{size}", moved) == []
+    twice = rows.unionByName(rows.filter("record_id = '<urn:page:20>'").withColumn("offset", F.lit(10**9).cast("long")))
+    both = twice.filter("NOT record_id <=> '<urn:page:21>'").withColumn("value", F.when(F.col("record_id") == "<urn:page:22>", F.regexp_replace("value", "http://h22/", "http://H22/")).otherwise(F.col("value")))
+    found = replica(f"all-{size}", both)
+    assert found == [("<urn:page:20>", "extra"), ("<urn:page:21>", "missing"), ("<urn:page:22>", "changed")]
+
+
 def test_empty_table(spark, tmp_path):
     _, df = pages(spark, 6)
     warc.archive_pages(df.limit(0), F.lit("a"), str(tmp_path / "x"))
