@@ -9,6 +9,7 @@ rows are nodes of the next level, until blocks are small or the tree has as many
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
@@ -24,6 +25,7 @@ from stackloom.operators.similarity import (
     check_dimension,
     join_blocks,
     match_schema,
+    pack_blocks,
     reach_of,
     sides,
     unit_rows,
@@ -69,21 +71,25 @@ def place(nodes: dict[int, Node], vectors: np.ndarray) -> np.ndarray:
     return cell
 
 
-def visit(tree: Tree, vectors: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """(vector, block) pairs that can hold a match, in order of the vectors."""
-    pairs = []
+def _visits(tree: Tree, reach: float, vectors: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """(vectors, block) for each block that can hold a match of some."""
     waiting = [(0, np.arange(len(vectors)))]
     while waiting:
         own, rows = waiting.pop()
         node = tree.nodes.get(own)
         if node is None:
-            pairs.append((rows, np.full(len(rows), own)))
+            yield rows, own
             continue
         angles = _angles(vectors[rows], node.pivots)[:, :, None]
         possible = ((angles >= node.low - reach) & (angles <= node.high + reach)).all(axis=1)
         for child in range(possible.shape[1]):
             if possible[:, child].any():
                 waiting.append((int(node.cells[child]), rows[possible[:, child]]))
+
+
+def visit(tree: Tree, vectors: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(vector, block) pairs that can hold a match, in order of the vectors."""
+    pairs = [(rows, np.full(len(rows), own)) for rows, own in _visits(tree, reach, vectors)]
     rows, cells = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.int64) for i in (0, 1))
     order = np.lexsort((cells, rows))
     return rows[order], cells[order]
@@ -224,10 +230,10 @@ def nearest_in_tree(
         return queries.sparkSession.createDataFrame([], schema)
     asked, stored, dim, tree = ready
     block_rows = sizes.get("block_rows", BLOCK_ROWS)
-    parts = [max(1, -(-tree.rows.get(c, 0) // block_rows)) for c in range(max(tree.rows) + 1)]
-    chunks = max(1, -(-asked.count() // chunk_rows))
-    placed, routed = _with_block(stored, tree, dim, None), _with_block(asked, tree, dim, reach_of(threshold))
-    return join_blocks(placed, routed, parts, chunks, dim, k, threshold, as_of, schema)
+    rows = np.array([tree.rows.get(c, 0) for c in range(max(tree.rows) + 1)])
+    visits = partial(_visits, tree, reach_of(threshold))
+    packing = pack_blocks(rows, block_rows, asked.count(), chunk_rows, dim, queries.sparkSession.sparkContext.defaultParallelism)
+    return join_blocks(_with_block(stored, tree, dim, None), asked, visits, packing, dim, k, threshold, as_of, schema)
 
 
 def recall_in_tree(queries: DataFrame, history: DataFrame, k: int = fixed.RECALL_K, threshold: float = fixed.RECALL_THRESHOLD, as_of: bool = False, **sizes: int) -> DataFrame:

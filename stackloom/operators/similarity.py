@@ -8,10 +8,14 @@ query's best of that block.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +30,11 @@ QUERY_CHUNK_ROWS = 1_000_000
 PIVOTS = 64
 TILE_ROWS = 4096
 QUERY_ROWS = 1024
+# Blocks are packed, so that a query is moved once to a task and not once to each block: bytes of history vectors and tiles
+# (bits of a long) in a pack, and comparisons in a task.
+PACK_BYTES = 64 * 1024 * 1024
+PACK_TILES = 62
+TASK_PAIRS = 2**32
 # Scores are compared at this precision, so that equal vectors tie whatever order a dot product was summed in.
 SCORE_DIGITS = 12
 
@@ -87,43 +96,56 @@ def _first_k(rows: np.ndarray, cols: np.ndarray, scores: np.ndarray, k: int):
     return rows[kept], cols[kept], scores[kept]
 
 
-def _hidden(asked: tuple, since: tuple, until: tuple) -> np.ndarray:
-    """Which history rows (columns) a query (row) may not see; each side is (times, ids or None).
+def _hidden(asked: tuple, since: tuple, until: tuple, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Of which pairs of a query (row) and a history row (column) the query may not see the latter; sides are (times, ids or None).
 
     A row counts for queries after its ``since`` and up to its ``until``.  Equal times are told apart by ids, if there
     are any; only pairs of equal times look at them.
     """
-    time, start, end = asked[0][:, None], since[0][None], until[0][None]
-    hidden = (start >= time) | (end < time)
+    time, start, end = asked[0][rows], since[0][cols], until[0][cols]
+    over = end < time
+    hidden = (start >= time) | over
     if since[1] is not None:
-        rows, cols = np.nonzero(start == time)
-        hidden[rows, cols] = (since[1][cols] >= asked[1][rows]) | (end < time)[rows, cols]
-        rows, cols = np.nonzero((end == time) & ~hidden)
-        hidden[rows, cols] = until[1][cols] < asked[1][rows]
+        same = np.flatnonzero(start == time)
+        hidden[same] = (since[1][cols[same]] >= asked[1][rows[same]]) | over[same]
+        same = np.flatnonzero((end == time) & ~hidden)
+        hidden[same] = until[1][cols[same]] < asked[1][rows[same]]
     return hidden
 
 
 def top_matches(queries, history, k, threshold, asked=None, valid=None):
     """Row numbers of queries and history and their scores: per query the k best at or above the threshold.
 
-    With ``asked`` only what a query may see counts (``_hidden``).
+    With ``asked`` only what a query may see counts (``_hidden``).  Once a query has k matches only better ones are looked at.
     """
     parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
     for q in range(0, len(queries), QUERY_ROWS):
+        own = queries[q : q + QUERY_ROWS]
+        mine = None if asked is None else tuple(x if x is None else x[q : q + QUERY_ROWS] for x in asked)
+        floor = np.full(len(own), float(threshold))
+        best = parts[0]
         for h in range(0, len(history), TILE_ROWS):
-            scores = np.round(queries[q : q + QUERY_ROWS] @ history[h : h + TILE_ROWS].T, SCORE_DIGITS)
+            scores = own @ history[h : h + TILE_ROWS].T
+            # what rounding may lift to the floor is looked at as well
+            near = scores >= (floor - 2 * 10.0**-SCORE_DIGITS)[:, None]
+            rows, cols = np.nonzero(near)
             if asked is not None:
-                mine = tuple(x if x is None else x[q : q + QUERY_ROWS] for x in asked)
-                sides = (tuple(x if x is None else x[h : h + TILE_ROWS] for x in side) for side in valid)
-                scores[_hidden(mine, *sides)] = -2.0
-            floor = threshold
-            if scores.shape[1] > k:
-                floor = np.maximum(np.partition(scores, -k, axis=1)[:, -k, None], threshold)
-            rows, cols = np.nonzero(scores >= floor)
-            best = _first_k(rows, cols, scores[rows, cols], k)
-            parts.append((best[0] + q, best[1] + h, best[2]))
-    rows, cols, scores = (np.concatenate(column) for column in zip(*parts))
-    return _first_k(rows, cols, scores, k)
+                seen = ~_hidden(mine, *(tuple(x if x is None else x[h : h + TILE_ROWS] for x in side) for side in valid), rows, cols)
+                rows, cols = rows[seen], cols[seen]
+            if len(rows) > 16 * k * len(own) and scores.shape[1] > k:
+                kept = np.full(scores.shape, -2.0)
+                kept[rows, cols] = np.round(scores[rows, cols], SCORE_DIGITS)
+                rows, cols = np.nonzero(kept >= np.maximum(np.partition(kept, -k, axis=1)[:, -k], floor)[:, None])
+            found = np.round(scores[rows, cols], SCORE_DIGITS)
+            enough = found >= floor[rows]
+            if not enough.any():
+                continue
+            new = (rows[enough], cols[enough] + h, found[enough])
+            best = _first_k(*(np.concatenate(pair) for pair in zip(best, new)), k)
+            full = np.bincount(best[0], minlength=len(own)) >= k
+            floor[full] = best[2][np.searchsorted(best[0], np.flatnonzero(full), side="right") - 1]
+        parts.append((best[0] + q, best[1], best[2]))
+    return tuple(np.concatenate(column) for column in zip(*parts))
 
 
 def _micros(batch, name: str) -> np.ndarray:
@@ -189,30 +211,16 @@ def _broadcast_matches(queries, small: pa.Table, dim, k, threshold, as_of, schem
     return queries.mapInArrow(match, schema)
 
 
-def _with_cells(df: DataFrame, pivots: np.ndarray, dim: int, radii: np.ndarray | None, reach: float) -> DataFrame:
-    """Adds ``cell`` and ``angle`` (nearest pivot), or with ``radii`` the array ``cells`` that can hold a match.
-
-    Angles on the unit sphere obey the triangle inequality: a vector within ``reach`` of the query whose distance to
-    pivot p is at most radii[p] forces angle(query, p) <= radii[p] + reach.
-    """
-    if radii is None:
-        added = [T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())]
-    else:
-        added = [T.StructField("cells", T.ArrayType(T.IntegerType()))]
+def _with_cells(df: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
+    """Adds ``cell`` (the nearest pivot) and ``angle``."""
+    added = [T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             angles = np.arccos(np.clip(unit_rows(batch.column("embedding"), dim) @ pivots.T, -1.0, 1.0))
-            if radii is None:
-                cell = angles.argmin(axis=1)
-                extra = [pa.array(cell.astype(np.int32)), pa.array(angles[np.arange(len(cell)), cell])]
-            else:
-                possible = angles <= radii + reach
-                offsets = np.concatenate([[0], possible.sum(axis=1).cumsum()]).astype(np.int32)
-                extra = [pa.ListArray.from_arrays(offsets, np.nonzero(possible)[1].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *extra], names=[*batch.schema.names, *(f.name for f in added)]
-            )
+            cell = angles.argmin(axis=1)
+            extra = [pa.array(cell.astype(np.int32)), pa.array(angles[np.arange(len(cell)), cell])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *(f.name for f in added)])
 
     return df.mapInArrow(assign, T.StructType([*df.schema.fields, *added]))
 
@@ -245,6 +253,17 @@ def match_blocks(arranged: DataFrame, keys: list[str], dim: int, k: int, thresho
     return arranged.mapInArrow(match, schema)
 
 
+def _visits(pivots: np.ndarray, radii: np.ndarray, reach: float, vectors: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """(vectors, cell) for each cell that can hold a match of some.
+
+    Angles on the unit sphere obey the triangle inequality: a vector within ``reach`` of the query whose distance to
+    pivot p is at most radii[p] forces angle(query, p) <= radii[p] + reach.
+    """
+    possible = np.arccos(np.clip(vectors @ pivots.T, -1.0, 1.0)) <= radii + reach
+    for cell in range(len(pivots)):
+        yield np.flatnonzero(possible[:, cell]), cell
+
+
 def _blocked_matches(queries, history, dim, k, threshold, as_of, schema, block_rows, chunk_rows, pivot_count) -> DataFrame:
     """Queries against a history that is too large to share.
 
@@ -257,16 +276,15 @@ def _blocked_matches(queries, history, dim, k, threshold, as_of, schema, block_r
     pivots = np.array([row.embedding for row in pivot_rows], dtype=float)
     pivots /= np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-300)
 
-    placed = _with_cells(history, pivots, dim, None, 0.0)
+    placed = _with_cells(history, pivots, dim)
     stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("angle").alias("radius")).collect()
     radii = np.full(len(pivots), -np.inf)  # an empty cell admits no query
-    parts = np.ones(len(pivots), dtype=int)
+    rows = np.zeros(len(pivots), np.int64)
     for row in stats:  # bounded: one row per pivot
-        radii[row.cell] = row.radius
-        parts[row.cell] = -(-row.rows // block_rows)
-    routed = _with_cells(queries, pivots, dim, radii, reach_of(threshold))
-    chunks = max(1, -(-queries.count() // chunk_rows))
-    return join_blocks(placed, routed, parts, chunks, dim, k, threshold, as_of, schema)
+        radii[row.cell], rows[row.cell] = row.radius, row.rows
+    visits = partial(_visits, pivots, radii, reach_of(threshold))
+    packing = pack_blocks(rows, block_rows, queries.count(), chunk_rows, dim, queries.sparkSession.sparkContext.defaultParallelism)
+    return join_blocks(placed, queries, visits, packing, dim, k, threshold, as_of, schema)
 
 
 def reach_of(threshold: float) -> float:
@@ -274,14 +292,135 @@ def reach_of(threshold: float) -> float:
     return float(np.arccos(np.clip(threshold, -1.0, 1.0))) + 1e-6
 
 
-def join_blocks(placed, routed, parts, chunks, dim, k, threshold, as_of, schema) -> DataFrame:
-    """History rows with their ``cell`` against queries with the ``cells`` that can hold a match; a cell has so many ``parts``."""
-    parts_of = F.array(*[F.lit(int(n)).cast("bigint") for n in parts])
-    history_side = placed.select(
-        F.col("cell"),
-        F.pmod(F.xxhash64("sig_id", "version"), F.get(parts_of, F.col("cell"))).alias("part"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))).alias("chunk"),
+class Packing(NamedTuple):
+    """Of each cell its first block and number of blocks, of each block its pack and its tile there, and how often queries are cut."""
+
+    first: np.ndarray
+    parts: np.ndarray
+    pack: np.ndarray
+    tile: np.ndarray
+    chunks: int
+
+    @property
+    def packs(self) -> int:
+        return int(self.pack.max()) + 1
+
+
+def pack_blocks(rows: np.ndarray, block_rows: int, queries: int, chunk_rows: int, dim: int, cores: int) -> Packing:
+    """Where blocks of at most ``block_rows`` of the rows of each cell, and chunks of at most ``chunk_rows`` queries, meet.
+
+    What a block and a chunk have to be small for is their task, which any number of small ones can share: a task gets
+    ``TASK_PAIRS`` comparisons at most, and more tasks than twice the cores are not made for fewer.  Neighbouring cells
+    share a tile, tiles a pack.  A query is moved once a pack and a history row once a chunk, which are about as many.
+    """
+    rows = np.asarray(rows, np.int64)
+    parts = np.maximum(1, -(-rows // block_rows))
+    first = np.concatenate([[0], np.cumsum(parts)[:-1]])
+    total, blocks = max(1, int(rows.sum())), int(parts.sum())
+    units = blocks * max(1, -(-queries // chunk_rows))
+    tasks = max(-(-total * queries // TASK_PAIRS), min(2 * cores, units), 1)
+    most = max(1, PACK_BYTES // (8 * (dim + 6)))
+    pack_rows = min(most, -(-total // math.ceil(math.sqrt(tasks))))
+    tile_rows = min(pack_rows, max(TILE_ROWS, -(-2 * pack_rows // PACK_TILES)))
+    pack, tile = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
+    p = t = in_pack = in_tile = 0
+    for block, size in enumerate(np.repeat(-(-rows // parts), parts).tolist()):
+        if in_pack and (in_pack + size > pack_rows or (in_tile + size > tile_rows and t + 1 == PACK_TILES)):
+            p, t, in_pack, in_tile = p + 1, 0, 0, 0
+        elif in_tile and in_tile + size > tile_rows:
+            t, in_tile = t + 1, 0
+        pack[block], tile[block] = p, t
+        in_pack, in_tile = in_pack + size, in_tile + size
+    return Packing(first, parts, pack, tile, -(-tasks // (p + 1)))
+
+
+def _routed(queries: DataFrame, visits: Callable, packing: Packing, dim: int) -> DataFrame:
+    """One row for each query and pack that it visits, with the ``tiles`` it visits there."""
+    shared = queries.sparkSession.sparkContext.broadcast((visits, packing))
+    added = [T.StructField("pack", T.LongType()), T.StructField("tiles", T.LongType())]
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        visited, laid = shared.value
+        bits: list[dict[int, int]] = []
+        for start, count in zip(laid.first.tolist(), laid.parts.tolist()):
+            own: dict[int, int] = {}
+            for block in range(start, start + count):
+                own[int(laid.pack[block])] = own.get(int(laid.pack[block]), 0) | 1 << int(laid.tile[block])
+            bits.append(own)
+        step = max(1, 100_000 // laid.packs)
+        for whole in batches:
+            for begin in range(0, whole.num_rows, step):
+                batch = whole.slice(begin, step)
+                tiles = np.zeros((batch.num_rows, laid.packs), np.int64)
+                for rows, cell in visited(unit_rows(batch.column("embedding"), dim)):
+                    for pack, mask in bits[cell].items():
+                        tiles[rows, pack] |= mask
+                rows, packs = np.nonzero(tiles)
+                extra = [pa.array(packs.astype(np.int64)), pa.array(tiles[rows, packs])]
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns), *extra], names=[*batch.schema.names, "pack", "tiles"])
+
+    return queries.mapInArrow(route, T.StructType([*queries.schema.fields, *added]))
+
+
+def _tile_matches(run: pa.RecordBatch, held: tuple, tiles: list, rank: np.ndarray, by_rank: np.ndarray, k: int, threshold: float, asked: tuple | None, dim: int):
+    """``top_matches`` of queries and the tiles (number, start, end) of a pack that they visit; ties by the rank of history rows."""
+    vectors, visited = unit_rows(run.column("embedding"), dim), _micros(run, "tiles")
+    parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for tile, start, end in tiles:
+        rows = np.flatnonzero((visited >> tile) & 1)
+        if len(rows):
+            mine = None if asked is None else tuple(x if x is None else x[rows] for x in asked)
+            valid = tuple(tuple(x if x is None else x[start:end] for x in side) for side in held[3])
+            found = top_matches(vectors[rows], held[2][start:end], k, threshold, mine, valid)
+            parts.append((rows[found[0]], rank[found[1] + start], found[2]))
+    rows, ranks, scores = _first_k(*(np.concatenate(column) for column in zip(*parts)), k)
+    return rows, by_rank[ranks], scores
+
+
+def match_packs(arranged: DataFrame, dim: int, k: int, threshold: float, as_of: bool, schema: T.StructType) -> DataFrame:
+    """The k best matches of each query in each pack; history rows (``side`` 0) come first in order of tiles and ids."""
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, stored, held = None, [], None
+        for batch in batches:
+            block = np.stack([_micros(batch, name) for name in ("pack", "chunk", "side")], axis=1)
+            starts = np.concatenate([[0], np.nonzero((block[1:] != block[:-1]).any(axis=1))[0] + 1, [len(block)]])
+            for start, end in zip(starts[:-1], starts[1:]):
+                key, run = tuple(block[start][:2]), batch.slice(start, end - start)
+                if key != current:
+                    current, stored, held = key, [], None
+                if block[start][2] == 0:
+                    stored.append(run)
+                    continue
+                if not stored:
+                    continue
+                if held is None:
+                    table = pa.Table.from_batches(stored)
+                    held, stored = _held(table, dim), [run.slice(0, 0)]
+                    numbers, first = np.unique(_micros(table, "tile"), return_index=True)
+                    tiles = list(zip(numbers.tolist(), first.tolist(), [*first[1:].tolist(), len(table)]))
+                    by_rank = pc.sort_indices(table, sort_keys=[("sig_id", "ascending")]).to_numpy()
+                    rank = np.empty(len(by_rank), np.int64)
+                    rank[by_rank] = np.arange(len(by_rank))
+                found = _tile_matches(run, held, tiles, rank, by_rank, k, threshold, _asked(run, held, as_of), dim)
+                yield _matched(run.column("doc_id"), held, found)
+
+    return arranged.mapInArrow(match, schema)
+
+
+def join_blocks(placed, queries, visits, packing: Packing, dim, k, threshold, as_of, schema) -> DataFrame:
+    """History rows with their ``cell`` against queries; ``visits`` gives (vectors, cell) for the cells that can hold a match of theirs.
+
+    A history row goes to one block of its cell, that block's pack and all its chunks, a query to its chunk of all packs it visits.
+    """
+    chunks = F.lit(packing.chunks).cast("bigint")
+    first, parts, pack, tile = (F.lit(x.astype(np.int64)) for x in packing[:4])
+    block = F.get(first, F.col("cell")) + F.pmod(F.xxhash64("sig_id", "version"), F.get(parts, F.col("cell")))
+    history_side = placed.withColumn("block", block.cast("int")).select(
+        F.get(pack, F.col("block")).alias("pack"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("chunk"),
         F.lit(0).alias("side"),
+        F.get(tile, F.col("block")).alias("tile"),
         "sig_id",
         "version",
         "embedding",
@@ -289,25 +428,17 @@ def join_blocks(placed, routed, parts, chunks, dim, k, threshold, as_of, schema)
         "until",
         *(c for c in ("since_id", "until_id") if c in placed.columns),
     )
-    query_side = (
-        routed.withColumn("cell", F.explode("cells"))
-        .select(
-            "cell",
-            F.explode(F.sequence(F.lit(0).cast("bigint"), F.get(parts_of, F.col("cell")) - 1)).alias("part"),
-            F.pmod(F.xxhash64("doc_id"), F.lit(chunks).cast("bigint")).alias("chunk"),
-            F.lit(1).alias("side"),
-            "doc_id",
-            "embedding",
-            "time",
-        )
+    query_side = _routed(queries, visits, packing, dim).select(
+        "pack", F.pmod(F.xxhash64("doc_id"), chunks).alias("chunk"), F.lit(1).alias("side"), "tiles", "doc_id", "embedding", "time"
     )
     both = history_side.unionByName(query_side, allowMissingColumns=True)
-    keys = ["cell", "part", "chunk"]
-    arranged = both.repartition(*keys).sortWithinPartitions(*keys, "side", "sig_id")
+    # a partition for each pack and chunk, of about equal work
+    arranged = both.repartitionById(packing.packs * packing.chunks, (F.col("pack") * chunks + F.col("chunk")).cast("int"))
+    arranged = arranged.sortWithinPartitions("pack", "chunk", "side", "tile", "sig_id")
 
-    # At most k candidates per block are left of a query.
+    # At most k candidates per pack are left of a query.
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "sig_id")
-    best = match_blocks(arranged, keys, dim, k, threshold, as_of, schema).withColumn("rank", F.row_number().over(order))
+    best = match_packs(arranged, dim, k, threshold, as_of, schema).withColumn("rank", F.row_number().over(order))
     return best.where(F.col("rank") <= k)
 
 

@@ -122,3 +122,30 @@ def test_shared_recall_is_not_shuffled(spark):
     q, h, *_ = make(spark)
     plan = similarity.nearest(q, h)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_small_blocks_share_a_task(spark, monkeypatch):
+    """A query moves to tasks, not to each of a hundred blocks, and a history row not to each of forty chunks."""
+    q, h, queries, history = make(spark)
+    moved = []
+    match = similarity.match_packs
+
+    def counted(arranged, *more):
+        moved.append(arranged.count())
+        return match(arranged, *more)
+
+    monkeypatch.setattr(similarity, "match_packs", counted)
+    got = similarity.nearest(q, h, 3, 0.3, broadcast_bytes=0, block_rows=3, chunk_rows=3, pivots=20).collect()
+    assert {(r.doc_id, r["rank"], r.sig_id) for r in got} == brute(queries, history, 3, 0.3)
+    assert moved[0] < 6 * (len(queries) + len(history))
+
+
+def test_moves_grow_with_the_input_and_tasks_are_bounded():
+    def moved(rows):
+        packing = similarity.pack_blocks(np.full(rows // 100, 100), 100, rows, 200, 64, 12)
+        sizes = np.bincount(packing.pack, minlength=packing.packs) * 100
+        assert sizes.max() * 8 * 70 <= similarity.PACK_BYTES and packing.tile.max() < similarity.PACK_TILES
+        assert sizes.max() * rows / packing.chunks <= 2 * similarity.TASK_PAIRS
+        return packing.packs + packing.chunks
+
+    assert moved(100_000) <= 12 and moved(600_000) <= 30
