@@ -30,36 +30,41 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
 class NumberInOrder(StatefulProcessor):
     """Rows of a family wait until the watermark has passed their time, so that they are numbered in order.
 
-    State of a family is how often it was seen and when last, and the rows that wait, by millisecond; each millisecond has a
-    timer.  A row that is late by more than the watermark allows is dropped by Spark.
+    State of a family is how often it was seen and when last, and the rows that wait, as one list: a batch adds its rows at
+    once, and a timer at the earliest of them takes out all that the watermark has passed.  So calls to the state are a few a
+    family and batch, not a few a row.  A row that is late by more than the watermark allows is dropped by Spark.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._seen = handle.getValueState("seen", "number bigint, last timestamp")
-        self._waiting = handle.getMapState("waiting", "at bigint", "rows array<struct<ts:timestamp,doc_id:string>>")
+        self._waiting = handle.getListState("waiting", "at bigint, ts timestamp, doc_id string")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        arrived: dict[int, list[tuple]] = {}
-        for row in rows:
-            arrived.setdefault(row["at"], []).append((row["ts"], row["doc_id"]))
-        for at, own in arrived.items():
-            if self._waiting.containsKey((at,)):
-                own = [tuple(r) for r in self._waiting.getValue((at,))[0]] + own
-            else:
-                self._handle.registerTimer(at)
-            self._waiting.updateValue((at,), (own,))
+        arrived = [(row["at"], row["ts"], row["doc_id"]) for row in rows]
+        if arrived:
+            self._waiting.appendList(arrived)
+            self._handle.registerTimer(min(row[0] for row in arrived))
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
+        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        ready, later = [], []
+        for row in self._waiting.get():
+            (ready if row[0] <= passed else later).append(tuple(row))
+        if not ready:  # an earlier timer took them
+            return
         number, last = self._seen.get() if self._seen.exists() else (0, None)
-        for ts, doc_id in sorted((tuple(r) for r in self._waiting.getValue((at,))[0]), key=lambda r: (r[0], r[1] is not None, r[1] or "")):
+        for _, ts, doc_id in sorted(ready, key=lambda r: (r[1], r[2] is not None, r[2] or "")):
             number += 1
             yield Row(doc_id=doc_id, ts=ts, signature=key[0], occurrence=number, previous_ts=last)
             last = ts
-        self._waiting.removeKey((at,))
         self._seen.update((number, last))
+        if later:
+            self._waiting.put(later)
+            self._handle.registerTimer(min(row[0] for row in later))
+        else:
+            self._waiting.clear()
 
     def close(self) -> None:
         pass

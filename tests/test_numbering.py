@@ -57,3 +57,38 @@ def test_equals_the_batch_answer_also_after_a_restart(spark, tmp_path, lateness)
     assert got == want
     # what came out before the restart was part of it
     assert first and set(first) <= set(want)
+
+
+def test_calls_to_the_state_do_not_grow_with_the_rows():
+    """A thousand rows of a family that arrive and pass together are a handful of calls, whatever their times."""
+    from datetime import datetime, timedelta, timezone
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from stackloom.streaming.numbering import NumberInOrder
+
+    calls, timers, kept, seen = [], set(), [], []
+
+    def call(name, do, value=None):
+        calls.append(name)
+        return do(value) if value is not None else do()
+
+    def reset(rows=()):
+        kept[:] = list(rows)
+
+    listed = SimpleNamespace(
+        appendList=lambda rows: call("append", kept.extend, rows), get=lambda: call("get", lambda: iter(list(kept))),
+        put=lambda rows: call("put", reset, rows), clear=lambda: call("clear", reset),
+    )
+    valued = SimpleNamespace(exists=lambda: bool(seen), get=lambda: seen[-1], update=lambda v: call("update", seen.append, v))
+    handle = SimpleNamespace(getValueState=lambda *_: valued, getListState=lambda *_: listed, registerTimer=lambda at: call("timer", timers.add, at))
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    rows = [Row(at=n, ts=start + timedelta(milliseconds=n), doc_id=f"d{n}") for n in reversed(range(1000))]
+    processor = NumberInOrder()
+    processor.init(handle)
+    list(processor.handleInputRows(("f",), iter(rows), None))
+    at = SimpleNamespace(getExpiryTimeInMs=lambda: min(timers))
+    out = list(processor.handleExpiredTimer(("f",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 900), at))
+    assert [(r.doc_id, r.occurrence) for r in out] == [(f"d{n}", n + 1) for n in range(900)]
+    assert len(kept) == 100 and 900 in timers and len(calls) <= 8
