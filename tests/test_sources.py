@@ -65,3 +65,12 @@ def test_logs_of_any_length(spark, tmp_path):
         assert splits == 3 if size == "128m" else splits > 10
         got = sorted((r["file"].rsplit("/", 1)[1], r["rank"], r["signature"], r["count"], r["representative"]) for r in found)
         assert got == want
+
+
+def test_tasks_grow_in_number_with_the_rows(spark):
+    from stackloom.sources.ingest import spread
+
+    df = spark.range(0, 1000, 1, 6).withColumnRenamed("id", "event_id")
+    assert spread(df, "event_id").rdd.getNumPartitions() == 6
+    many = spread(df, "event_id", rows_per_task=50)
+    assert many.rdd.getNumPartitions() == 20 and many.count() == 1000
