@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +14,10 @@ from stackloom.functions import fixed
 from stackloom.functions.dialect import java
 
 UNICODE_SPACE = r"\p{IsWhite_Space}"
+# All runs of it but a single blank.
+OTHER_SPACE = rf" {UNICODE_SPACE}+|[{UNICODE_SPACE}&&[^ ]]{UNICODE_SPACE}*"
+#: So many texts are hashed at once at least; fewer take longer together than one by one.
+FNV_TOGETHER = 32
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -65,8 +72,11 @@ def excerpt(col: Column, max_bytes: int, ellipsis: str = fixed.ELLIPSIS) -> Colu
     )
 
 
-def normalize(col: Column) -> Column:
-    """B1: the signature of a log block, its volatile parts replaced and its white space collapsed.
+def normalize_all(texts: Column) -> Column:
+    """B1: ``normalize`` of each text of an array.
+
+    The steps are chained, one pass over the array each, and not put inside each other: what is bound to a variable of a lambda
+    inside a lambda makes Spark ask for its type, for every element and through all levels, twice a level.
 
     A byte search decides whether a step's regular expression has to run at all; most texts need few of them.
 
@@ -79,14 +89,17 @@ def normalize(col: Column) -> Column:
         own_line = r"(?m)^[\t\f\r ]*+"
         return java(own_line + pattern[len(start) :]) if pattern.startswith(start) else java(pattern)
 
-    def apply(text: Column, step: int) -> Column:
-        if step == len(fixed.SIGNATURE_STEPS):
-            return F.btrim(F.regexp_replace(text, UNICODE_SPACE + "+", " "))
-        pattern, replacement, needle = fixed.SIGNATURE_STEPS[step]
-        replaced = F.when(text.contains(needle), F.regexp_replace(text, linear(pattern), replacement)).otherwise(text)
-        return let(replaced, lambda result: apply(result, step + 1))
+    for pattern, replacement, needle in fixed.SIGNATURE_STEPS:
+        texts = F.transform(
+            texts,
+            lambda text: F.when(text.contains(needle), F.regexp_replace(text, linear(pattern), replacement)).otherwise(text),
+        )
+    return F.transform(texts, lambda text: F.btrim(F.regexp_replace(text, OTHER_SPACE, " ")))
 
-    return apply(col, 0)
+
+def normalize(col: Column) -> Column:
+    """B1: the signature of a log block, its volatile parts replaced and its white space collapsed."""
+    return F.get(normalize_all(F.array(col)), F.lit(0))
 
 
 def starts_block(line: Column) -> Column:
@@ -94,32 +107,49 @@ def starts_block(line: Column) -> Column:
     return line.rlike(f"^(?:{fixed.BLOCK_START})")
 
 
+def _fnv(values: pa.Array) -> np.ndarray:
+    """64-bit FNV-1a of each value, byte by byte for all values at once; the few that are longer than the rest on their own."""
+    values = values.cast(pa.large_binary())
+    if not len(values):
+        return np.empty(0, np.uint64)
+    offsets = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, 8 * values.offset)
+    raw = values.buffers()[2]
+    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.empty(0, np.uint8)
+    order = np.argsort(offsets[:-1] - offsets[1:], kind="stable")  # long ones first
+    starts, lengths = offsets[:-1][order], np.diff(offsets)[order]
+    state = np.full(len(values), fixed.FNV_OFFSET_HIGH << 32 | fixed.FNV_OFFSET_LOW, np.uint64)
+    prime = 1 << 40 | fixed.FNV_PRIME_LOW
+    place, left = 0, int((lengths > 0).sum())
+    while left >= FNV_TOGETHER:
+        state[:left] = (state[:left] ^ data[starts[:left] + place]) * np.uint64(prime)
+        place += 1
+        while left and lengths[left - 1] <= place:
+            left -= 1
+    for row in range(left):
+        hashed = int(state[row])
+        for byte in data[starts[row] + place : starts[row] + lengths[row]].tobytes():
+            hashed = (hashed ^ byte) * prime & 0xFFFFFFFFFFFFFFFF
+        state[row] = hashed
+    result = np.empty(len(values), np.uint64)
+    result[order] = state
+    return result
+
+
+def _unsigned(values: pa.Array) -> pa.Array:
+    """The hashes as decimals, whose 128 bits they are the lower half of; of NULL it is NULL."""
+    wide = np.zeros((len(values), 2), "<u8")
+    wide[:, 0] = _fnv(values)
+    numbers = pa.Array.from_buffers(pa.decimal128(20, 0), len(values), [None, pa.py_buffer(wide.tobytes())])
+    return pc.if_else(values.is_valid(), numbers, pa.scalar(None, pa.decimal128(20, 0)))
+
+
 def sig_id(signature: Column) -> Column:
     """Unsigned 64-bit FNV-1a of the UTF-8 bytes as DECIMAL(20,0).
 
-    The state is two 32-bit halves so that nothing overflows; the prime is 2^40 + 0x1b3, hence the shift by 8 of the
-    low half into the high one.  Decoding as ISO-8859-1 gives one character per byte.
+    Column functions take a text apart into its bytes and fold them one by one, at some microseconds a byte; a task does so for
+    thousands of texts at a time.
     """
-    mask = F.lit(0xFFFFFFFF)
-    prime = F.lit(fixed.FNV_PRIME_LOW)
-    chars = F.filter(F.split(F.decode(signature.cast("binary"), "ISO-8859-1"), ""), lambda c: c != "")
-    codes = F.transform(chars, lambda c: F.ascii(c).cast("bigint"))
-    start = F.struct(
-        F.lit(fixed.FNV_OFFSET_HIGH).cast("bigint").alias("hi"), F.lit(fixed.FNV_OFFSET_LOW).cast("bigint").alias("lo")
-    )
-
-    def step(state: Column, code: Column) -> Column:
-        low = state["lo"].bitwiseXOR(code)
-        product = low * prime
-        high = (state["hi"] * prime + F.shiftright(product, 32) + F.shiftleft(low, 8)).bitwiseAND(mask)
-        return F.struct(high.alias("hi"), product.bitwiseAND(mask).alias("lo"))
-
-    def finish(state: Column) -> Column:
-        return (
-            state["hi"].cast("decimal(20,0)") * F.lit(4294967296).cast("decimal(10,0)") + state["lo"]
-        ).cast("decimal(20,0)")
-
-    return F.aggregate(codes, start, step, finish)
+    return F.arrow_udf(_unsigned, "decimal(20,0)")(signature.cast("binary"))
 
 
 def symbol_name(function: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackloom.functions import fixed
-from stackloom.functions.text import UNICODE_SPACE, excerpt, let, normalize, starts_block, strip
+from stackloom.functions.text import UNICODE_SPACE, excerpt, let, normalize, normalize_all, starts_block, strip
 from stackloom.operators.ranking import places
 from stackloom.operators.rows import once, unfold
 
@@ -54,7 +54,7 @@ def error_groups(
         return block if max_bytes is None else excerpt(block, max_bytes)
 
     def signed(pieces: Column) -> Column:
-        pairs = F.transform(pieces, lambda b, i: F.struct(normalize(b).alias("signature"), i.alias("block_no")))
+        pairs = F.transform(normalize_all(pieces), lambda s, i: F.struct(s.alias("signature"), i.alias("block_no")))
         return F.sort_array(F.filter(pairs, lambda p: p["signature"] != ""))
 
     def heads(pairs: Column) -> Column:
@@ -93,14 +93,11 @@ def error_groups(
             ),
         )
 
-    trimmed = F.transform(block_pieces(text), strip)
-    return let(
-        trimmed,
-        lambda pieces: let(
-            signed(pieces),
-            lambda pairs: let(heads(pairs), lambda starts: counted(pieces, pairs, starts)),
-        ),
-    )
+    # arrays of one state, each made of the one before, as in normalize_all
+    trimmed = F.filter(F.transform(F.split(text, BLOCK_BREAK), strip), lambda b: b != "")
+    state = F.transform(F.array(trimmed), lambda pieces: F.struct(pieces.alias("pieces"), signed(pieces).alias("pairs")))
+    state = F.transform(state, lambda s: F.struct(s["pieces"].alias("pieces"), s["pairs"].alias("pairs"), heads(s["pairs"]).alias("starts")))
+    return F.get(F.transform(state, lambda s: counted(s["pieces"], s["pairs"], s["starts"])), F.lit(0))
 
 
 def group_errors(df: DataFrame, max_groups: int | None = None, max_bytes: int | None = None) -> DataFrame:
