@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackloom.operators.history import HISTORY_COLUMNS, HISTORY_SCHEMA, fold_history, new_history
+from stackloom.operators.rows import once
 
 BUCKETS = 64
 
@@ -64,7 +65,9 @@ def lookup(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
     rows = _rows(spark, path)
     if rows is None:
         return spark.createDataFrame([], HISTORY_SCHEMA)
-    return fold_history(rows.join(ids.select(F.col("sig_id").cast("decimal(20,0)").alias("sig_id")), "sig_id", "left_semi"))
+    # else Spark computes the ids twice, the first time to tell in front of whatever made them distinct if they are missing
+    wanted = ids.select(once(F.col("sig_id").cast("decimal(20,0)")).alias("sig_id"))
+    return fold_history(rows.join(wanted, "sig_id", "left_semi"))
 
 
 def point(spark: SparkSession, path: str, sig_ids: list[int]) -> DataFrame:
