@@ -83,7 +83,7 @@ def cosine(a: Column, b: Column) -> Column:
 def unit_rows(vectors: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
-    rows = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    rows = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(norms == 0, 1.0, norms)
 
@@ -116,8 +116,27 @@ def _hidden(asked: tuple, since: tuple, until: tuple, rows: np.ndarray, cols: np
 def top_matches(queries, history, k, threshold, asked=None, valid=None):
     """Row numbers of queries and history and their scores: per query the k best at or above the threshold.
 
-    With ``asked`` only what a query may see counts (``_hidden``).  Once a query has k matches only better ones are looked at.
+    With ``asked`` only what a query may see counts (``_hidden``).  Queries of about one time are then taken together, against the
+    history rows that count at some time of theirs: of the versions of a family few do, however many there are.
     """
+    if asked is None:
+        return _top_seen(queries, history, k, threshold)
+    order = np.argsort(asked[0], kind="stable")
+    parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for q in range(0, len(order), QUERY_ROWS):
+        own = order[q : q + QUERY_ROWS]
+        cols = np.flatnonzero((valid[0][0] <= asked[0][own[-1]]) & (valid[1][0] >= asked[0][own[0]]))
+        mine = tuple(x if x is None else x[own] for x in asked)
+        sides = tuple(tuple(x if x is None else x[cols] for x in side) for side in valid)
+        found = _top_seen(queries[own], history if len(cols) == len(history) else history[cols], k, threshold, mine, sides)
+        parts.append((own[found[0]], cols[found[1]], found[2]))
+    rows, cols, scores = (np.concatenate(column) for column in zip(*parts))
+    back = np.argsort(rows, kind="stable")
+    return rows[back], cols[back], scores[back]
+
+
+def _top_seen(queries, history, k, threshold, asked=None, valid=None):
+    """``top_matches`` against all history rows given.  Once a query has k matches only better ones are looked at."""
     parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
     for q in range(0, len(queries), QUERY_ROWS):
         own = queries[q : q + QUERY_ROWS]
@@ -225,34 +244,6 @@ def _with_cells(df: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
     return df.mapInArrow(assign, T.StructType([*df.schema.fields, *added]))
 
 
-def match_blocks(arranged: DataFrame, keys: list[str], dim: int, k: int, threshold: float, as_of: bool, schema: T.StructType) -> DataFrame:
-    """The k best matches of each query in each block, of rows that lie together by ``keys``.
-
-    Rows of ``side`` 0 are history and come first in their block, the others are queries and stream past it.
-    """
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, stored, held = None, [], None
-        for batch in batches:
-            block = np.stack([_micros(batch, name) for name in [*keys, "side"]], axis=1)
-            starts = np.concatenate([[0], np.nonzero((block[1:] != block[:-1]).any(axis=1))[0] + 1, [len(block)]])
-            for start, end in zip(starts[:-1], starts[1:]):
-                key, run = tuple(block[start][:3]), batch.slice(start, end - start)
-                if key != current:
-                    current, stored, held = key, [], None
-                if block[start][3] == 0:
-                    stored.append(run)
-                    continue
-                if not stored:
-                    continue
-                held = held or _held(pa.Table.from_batches(stored), dim)
-                asked = _asked(run, held, as_of)
-                found = top_matches(unit_rows(run.column("embedding"), dim), held[2], k, threshold, asked, held[3])
-                yield _matched(run.column("doc_id"), held, found)
-
-    return arranged.mapInArrow(match, schema)
-
-
 def _visits(pivots: np.ndarray, radii: np.ndarray, reach: float, vectors: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
     """(vectors, cell) for each cell that can hold a match of some.
 
@@ -434,7 +425,7 @@ def join_blocks(placed, queries, visits, packing: Packing, dim, k, threshold, as
     both = history_side.unionByName(query_side, allowMissingColumns=True)
     # a partition for each pack and chunk, of about equal work
     arranged = both.repartitionById(packing.packs * packing.chunks, (F.col("pack") * chunks + F.col("chunk")).cast("int"))
-    arranged = arranged.sortWithinPartitions("pack", "chunk", "side", "tile", "sig_id")
+    arranged = arranged.sortWithinPartitions("pack", "chunk", "side", "tile", "sig_id", "time")  # queries by time
 
     # At most k candidates per pack are left of a query.
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "sig_id")
