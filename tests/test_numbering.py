@@ -92,3 +92,55 @@ def test_calls_to_the_state_do_not_grow_with_the_rows():
     out = list(processor.handleExpiredTimer(("f",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 900), at))
     assert [(r.doc_id, r.occurrence) for r in out] == [(f"d{n}", n + 1) for n in range(900)]
     assert len(kept) == 100 and 900 in timers and len(calls) <= 8
+
+
+def test_families_of_a_bucket_share_calls_to_the_state():
+    """A thousand families of a few rows cost as many calls as one; numbers go on from batch to batch, null is a family."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from stackloom.streaming.numbering import NumberBuckets
+
+    calls, timers, kept, seen, out = [], set(), [], [], []
+
+    def call(do, *value):
+        calls.append(do)
+        return do(*value)
+
+    listed = SimpleNamespace(
+        appendList=lambda rows: call(kept.extend, rows), get=lambda: call(iter, list(kept)),
+        put=lambda rows: call(lambda: kept.__setitem__(slice(None), rows)), clear=lambda: call(kept.clear),
+    )
+    valued = SimpleNamespace(exists=lambda: bool(seen), get=lambda: seen[-1], update=lambda v: call(seen.append, v))
+    handle = SimpleNamespace(getValueState=lambda *_: valued, getListState=lambda *_: listed, registerTimer=lambda at: call(timers.add, at))
+    processor = NumberBuckets()
+    processor.init(handle)
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *(f"family {n}" for n in range(1000))]), rng.randrange(2000) * 500, rng.choice([None, "é", *(f"d{n}" for n in range(50))])) for _ in range(4000)]
+    for low, high, mark in ((0, 500_000, 400), (500_000, 1_000_000, 3000)):
+        part = [Row(signature=s, micros=t, doc_id=d) for s, t, d in rows if low <= t < high]
+        list(processor.handleInputRows((7,), iter(part), None))
+        at = SimpleNamespace(getExpiryTimeInMs=lambda: min(timers))
+        for _ in range(2):  # a second timer finds nothing to do
+            out += processor.handleExpiredTimer((7,), SimpleNamespace(getCurrentWatermarkInMs=lambda mark=mark: mark), at)
+    want, last = [], {}
+    for s, t, d in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2] is not None, r[2] or "")):
+        number, before = last.get(s, (0, None))
+        want.append((s, number + 1, d, t, before))
+        last[s] = (number + 1, t)
+    assert sorted(map(str, ((r.signature, r.occurrence, r.doc_id, r.micros, r.previous) for r in out))) == sorted(map(str, want))
+    assert not kept and len(calls) <= 20
+
+
+def test_a_family_on_its_own_gives_the_same(spark, tmp_path):
+    rows = made(60)
+    frame(spark, [*rows, ("end", 1e6, "end")]).coalesce(1).write.parquet(str(tmp_path / "in"))
+    found = []
+    for buckets in (None, 3):
+        stream = spark.readStream.schema("doc_id string, signature string, ts timestamp").parquet(str(tmp_path / "in"))
+        out = str(tmp_path / str(buckets))
+        with keyed_state(spark):
+            number_occurrences(stream, buckets=buckets).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/c").trigger(availableNow=True).start().awaitTermination()
+        found.append(shown(spark.read.parquet(f"{out}/rows")))
+    assert found[0] == found[1] == shown(history.occurrence_numbers(frame(spark, rows)))
